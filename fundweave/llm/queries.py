@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing
+from . import decontam, mixing, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    files, folder = tokenfile.token_output(_table(spark, sf_dir, "documents"), tokenizer_path=path, end_id=2)
+    return tokenfile.document_digests(files, folder)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark"), n=10)
@@ -34,6 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
 }
 
