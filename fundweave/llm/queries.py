@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, tokenfile
+from . import decontam, linededup, mixing, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.keep_bitmaps(_table(spark, sf_dir, "documents"), min_chars=10)
+    kept = linededup.kept_text(F.col("text"), F.col("keep"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files, folder = tokenfile.token_output(_table(spark, sf_dir, "documents"), tokenizer_path=path, end_id=2)
@@ -41,6 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op6_line_dedup": op6_line_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
 }
@@ -78,6 +85,19 @@ ORACLE_SQL: dict[str, str] = {
                     THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM k JOIN u ON k.source IS NOT DISTINCT FROM u.source
         JOIN c ON c.source IS NOT DISTINCT FROM k.source AND c.key = k.key""",
+    "op6_line_dedup": rf"""
+        WITH l AS (
+            SELECT doc_id, i, ls[i] AS line,
+                   translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             '{_UPPER}', '{_LOWER}') AS key
+            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+                 unnest(range(1, len(ls) + 1)) AS t(i)),
+        k AS (SELECT key, min(doc_id) AS first_doc FROM l WHERE length(key) >= 10
+              GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        m AS (SELECT l.*, k.key IS NULL OR l.doc_id = k.first_doc AS keep FROM l LEFT JOIN k USING (key))
+        SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT keep))::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keep), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op10_decontamination": rf"""
         WITH b AS (
             SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
