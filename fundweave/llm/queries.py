@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, tokenfile
+from . import decontam, linededup, mixing, secrets, simhash, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,34 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, max_bits=2)
+    return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, folder = warc.write_archives(_table(spark, sf_dir, "pages"), min_revisit_bytes=0)
+    found = warc.read_archives(index, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        parts = F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")))
+        return F.array_join(parts, ",")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        F.col("id").alias("doc_id"), number("assign"), number("access"), number("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.keep_bitmaps(_table(spark, sf_dir, "documents"), min_chars=10)
     kept = linededup.kept_text(F.col("text"), F.col("keep"))
@@ -47,6 +75,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
+    "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
@@ -85,6 +116,19 @@ ORACLE_SQL: dict[str, str] = {
                     THEN 1 ELSE 0 END))::BIGINT AS taken
         FROM k JOIN u ON k.source IS NOT DISTINCT FROM u.source
         JOIN c ON c.source IS NOT DISTINCT FROM k.source AND c.key = k.key""",
+    "op4_warc": r"""
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+                   sha1(coalesce(html, '')) AS sha FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i:
+                   substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                          1 + ((('0x' || substr(sha, 1 + 5 * (i // 4), 5))::INTEGER >> (15 - 5 * (i % 4))) & 31)::INTEGER,
+                          1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM f""",
     "op6_line_dedup": rf"""
         WITH l AS (
             SELECT doc_id, i, ls[i] AS line,
