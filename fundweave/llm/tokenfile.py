@@ -140,7 +140,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, held, block: int, eve
         nonlocal seq
         # The attempt is part of the name: a repeated task never touches a listed file.
         name, data = f"ids-{part:06d}-{seq:05d}-{attempt}.fwtk", writer.finish()
-        with store.open_output_stream(posixpath.join(root, name)) as out:
+        with store.open_output_stream(posixpath.join(root, name), compression=None) as out:
             out.write(data)
         rows.append((part, seq, name, len(writer.ids), writer.total, len(data)))
         seq += 1
@@ -213,7 +213,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool) -> Ite
     store, root = fs.FileSystem.from_uri(folder)
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            with store.open_input_stream(posixpath.join(root, path)) as f:
+            with store.open_input_stream(posixpath.join(root, path), compression=None) as f:
                 data = f.read()
             rows, size = [], 0
             for doc, ids in read_file(data):

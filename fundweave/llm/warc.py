@@ -93,7 +93,7 @@ class _Archive:
     def _open(self) -> None:
         held = dictionary([d for _, d in self.waiting], self.dictionary_bytes)
         self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=held)
-        self.out = self.store.open_output_stream(self.path)
+        self.out = self.store.open_output_stream(self.path, compression=None)
         packed = zstandard.ZstdCompressor(level=self.level).compress(held.as_bytes())
         self.out.write(struct.pack("<II", DICTIONARY_FRAME, len(packed)) + packed)
         self.at = 8 + len(packed)
@@ -238,7 +238,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, with_payload: bool) ->
     for batch in batches:
         for path in batch.column(0).to_pylist():
             rows, size = [], 0
-            with store.open_input_stream(posixpath.join(root, path)) as stream:
+            with store.open_input_stream(posixpath.join(root, path), compression=None) as stream:
                 for fields, block in read_archive(stream):
                     rows.append(_page(fields, block, with_payload))
                     size += 100 + (len(block) if with_payload else 0)
