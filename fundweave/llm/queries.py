@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, secrets, simhash, tokenfile, warc
+from . import decontam, linededup, mixing, secrets, simhash, tokenattr, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), sample_rows=6000, levels=2)
+    found = toxicity.with_severity(docs, model)
+    severity = F.col("__severity")
+    return found.select("doc_id", severity.alias("expected_severity"), (severity >= toxicity.REJECT_AT).alias("toxic"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenattr.attribute(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"), rule="most")
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     files, folder = tokenfile.token_output(_table(spark, sf_dir, "documents"), tokenizer_path=path, end_id=2)
@@ -79,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_secret_scan": op5_secret_scan,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
 }
