@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, mixing, secrets, simhash, tokenattr, tokenfile, toxicity, warc
+from . import ann, decontam, linededup, mixing, secrets, simhash, tokenattr, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(sizes, plan).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), query_every=50, k=5, codes=32, visit=0.6, sample_rows=20_000)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3, max_bits=2)
     return found.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -88,6 +92,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_neighbours": op2_neighbours,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_secret_scan": op5_secret_scan,

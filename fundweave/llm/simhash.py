@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -208,3 +208,123 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+# Similarity of word shingles ------------------------------------------------------------
+#
+# A SimHash link of two or three bits stands for a shingle overlap of about 0.97 or more.
+# Below that the expected difference grows past eight bits (about ten at a Jaccard
+# similarity of 0.8), where no positional byte need be shared and the count filter has no
+# minimum to guarantee. near_duplicates() therefore adds to the links of the fingerprints
+# those of banded minima of the same shingle hashes, and verifies all of them exactly.
+
+BANDS, ROWS = 16, 4
+_ALL_PAIRS_UPTO = 8
+_KEYS = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """For each band, a hash of the least values of its rows' permutations."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(hashes), 2048):
+            part = hashes[i : i + 2048]
+            x = part[None] * _MULTIPLIERS[:, None]
+            x ^= x >> np.uint64(32)
+            least = np.minimum(least, (x * np.uint64(0x9E3779B97F4A7C15)).min(1))
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def _key_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for s in chunks(texts):
+            rows: list[list] = [[], [], [], []]
+            for text in texts[s]:
+                whole = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+                h1, h2 = np.frombuffer(hashlib.blake2b(whole, digest_size=16).digest(), "<i8").tolist()
+                hashes = shingle_hashes(text, words)
+                for column, x in zip(rows, (h1, h2, fingerprint(hashes), band_keys(hashes)), strict=True):
+                    column.append(x)
+            columns = [pa.array(c, f.type) for c, f in zip(rows, list(_KEYS)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *columns], schema=_KEYS)
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        for s in chunks(texts):
+            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts[s]]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(sets, pa.binary())], schema=schema)
+
+
+def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = []
+        for i in range(batch.num_rows):
+            x, y = (np.frombuffer(batch.column(k)[i].as_py(), np.uint64) for k in (2, 3))
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            good.append(both >= similarity * (len(x) + len(y) - both))
+        mask = pa.array(good, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=_LINKS)
+
+
+def _band_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs that share a band: all of a short list; of a longer one each with two leaders.
+
+    The leaders are drawn anew for each band by a hash, so that a group of near copies is
+    joined over many stars without ever emitting all of its pairs.
+    """
+    posted = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
+    lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
+    at = posted.join(lists, ["band", "key"])
+    long = at.where(F.col("n") > _ALL_PAIRS_UPTO).select(F.explode(F.array("low.node", "high.node")).alias("a"), F.col("node").alias("b"))
+    short = at.where(F.col("n") <= _ALL_PAIRS_UPTO).groupBy("band", "key").agg(F.collect_list("node").alias("l"))  # at most 8
+    short = short.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b"))
+    return long.unionByName(short)
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of every row that has an id.
+
+    Rows with the same words are copies. Texts whose sets of shingles have a Jaccard
+    similarity of at least `similarity` are linked; component_id is the least id reachable.
+    Candidates: SimHash fingerprints within two bits, and shared bands of minima (at 0.8 a
+    pair shares one with a probability of 0.9998); each is verified on the whole sets.
+
+    Texts without words are copies of each other. A row with a null id is left out. An
+    empty table gives no rows; other columns play no part.
+    """
+    d = like(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), "text").where("id is not null")
+    keys = staged(d.mapInArrow(partial(_key_batches, words=words), "id long, h1 long, h2 long, fp long, bands array<long>"), "near-keys")
+    copies = keys.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = staged(copies, "near-nodes")
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
+    same = nodes.join(prints.withColumnRenamed("node", "first"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    pairs = fingerprint_links(prints).unionByName(same).unionByName(_band_pairs(nodes))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    pairs = staged(pairs, "near-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = d.join(asked, d["id"] == F.col("node"), "left_semi")
+    sets = staged(texts.mapInArrow(partial(_set_batches, words=words), "node long, shingles binary"), "near-sets")
+    sets = sets.dropDuplicates(["node", "shingles"])
+    x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+    links = x.mapInArrow(partial(_verify, similarity=similarity), "a long, b long")
+    of = components(links)
+    classes = nodes.join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
+    return keys.join(staged(classes, "near-classes"), ["h1", "h2"]).select("id", "component_id")
+
+
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the least id.
+
+    Rows that repeat an id are one document. Rows with a null id stay. All columns are kept.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
+    gone = found.groupBy("id").agg(F.min("component_id").alias("c")).where("c <> id").select(F.col("id").alias("__near_id"))
+    gone = staged(gone, "near-gone")
+    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__near_id"), "left_anti")
