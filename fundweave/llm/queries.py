@@ -60,10 +60,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), sample_rows=6000, levels=2)
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), sample_rows=20_000, levels=2)
     found = toxicity.with_severity(docs, model)
     severity = F.col("__severity")
-    return found.select("doc_id", severity.alias("expected_severity"), (severity >= toxicity.REJECT_AT).alias("toxic"))
+    return found.select("doc_id", severity.alias("expected_severity"), (severity >= model.reject_at).alias("toxic"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

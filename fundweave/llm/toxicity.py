@@ -37,8 +37,16 @@ _REMEMBERED = 200_000
 
 
 class Model(NamedTuple):
+    """reject_at: the expected severity from which a document is rejected."""
+
     weights: np.ndarray
     thresholds: np.ndarray
+    reject_at: float = 1.0
+
+
+def severity(f: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+    """Expected severity: the sum over the thresholds of P(grade > k)."""
+    return (0.5 * (1 + np.tanh(0.5 * (f[..., None] - thresholds)))).sum(-1)
 
 
 def text_words(text: str | None) -> set[str]:
@@ -69,7 +77,7 @@ def scales(rows: list[np.ndarray], toxic: np.ndarray, least_rows: int = 3, least
     return np.where((seen.sum(0) >= least_rows) & (np.abs(odds) >= least_odds), odds, 0.0)
 
 
-def fit(rows: list[np.ndarray], scale: np.ndarray, grades: np.ndarray, *, l2: float = 0.1, steps: int = 200, rate: float = 0.03) -> Model:
+def fit(rows: list[np.ndarray], scale: np.ndarray, grades: np.ndarray, *, l2: float = 0.05, steps: int = 150, rate: float = 0.03) -> Model:
     """Maximum likelihood of the cumulative-link model with an L2 penalty (Adam, full batch)."""
     rows = [i[scale[i] != 0] for i in rows]
     levels = int(grades.max(initial=1))
@@ -132,9 +140,14 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 6000, levels: int = 2, seed: int = 42) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, levels: int = 2, clean_rejected: float = 0.001, least_reject: float = 0.4, seed: int = 42
+) -> Model:
     """Fits on at most sample_rows labelled documents.
 
+    reject_at is the severity that a share of clean_rejected of the sample's rows that are
+    not toxic reach, and least_reject at least.
+
     Labels that are null or have no document are left out. Without any toxic label the
     model scores every text 0.
     """
@@ -144,13 +157,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     d = like(docs, id_col, text_col).toDF("id", "text")
     rows = d.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text")  # sample_rows labels at most
     found = rows.mapInArrow(_features_of, "id long, toxic int, index array<int>").toArrow()
-    data = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
-    toxic = np.array([t > 0 for _, t, _ in data], bool)
+    found = found.sort_by([("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    toxic = found.column(1).to_numpy() > 0
     if not toxic.any():
         return Model(np.zeros(BUCKETS, np.float32), np.full(levels, 1e9))
-    index = [np.array(i, np.int32) for _, _, i in data]
+    lists = found.column(2).combine_chunks()
+    index = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
     scale = scales(index, toxic)
-    return fit(index, scale, severity_grades(index, scale, toxic, levels))
+    model = fit(index, scale, severity_grades(index, scale, toxic, levels))
+    clean = severity(np.array([model.weights[i].sum(dtype=np.float64) for i, t in zip(index, toxic, strict=True) if not t]), model.thresholds)
+    return model._replace(reject_at=float(max(least_reject, np.quantile(clean, 1 - clean_rejected) if len(clean) else 0)))
 
 
 class Scorer:
@@ -175,7 +191,7 @@ class Scorer:
         for raw in set((text or "").lower().split()):
             found.update(self._weighted(raw))
         f = float(self.model.weights[sorted(found)].sum(dtype=np.float64)) if found else 0.0
-        return float((0.5 * (1 + np.tanh(0.5 * (f - self.model.thresholds)))).sum())
+        return float(severity(np.array(f), self.model.thresholds))
 
 
 def _score(batches: Iterator[pa.RecordBatch], held, text_at: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -197,11 +213,7 @@ def with_severity(docs: DataFrame, model: Model, *, text_col: str = "text") -> D
     return docs.mapInArrow(score, schema)
 
 
-#: Expected severity from which a document is rejected.
-REJECT_AT = 0.45
-
-
-def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text", reject_at: float = REJECT_AT) -> DataFrame:
-    """docs without those of an expected severity of reject_at or more."""
+def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """docs without those of an expected severity of the model's reject_at or more."""
     found = with_severity(docs, model, text_col=text_col)
-    return found.where(F.col("__severity") < reject_at).select(*[found[f"`{c}`"] for c in docs.columns])
+    return found.where(F.col("__severity") < model.reject_at).select(*[found[f"`{c}`"] for c in docs.columns])
