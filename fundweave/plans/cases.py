@@ -69,7 +69,7 @@ def _summary(spark, d):
 def _commands(spark, d):
     c = t.case_edges(spark, d)
     e = t.edges(spark, d).where("event_id % 3 = 0").withColumn("case_id", F.concat(F.lit("case"), (F.col("event_id") % 15).cast("string")))
-    foreign = e.where("event_id % 50 = 0").select("case_id", "edge_id", F.col("event_id").alias("seq"), F.lit(True).alias("is_pinned"), F.lit("LAYERING").alias("tag"))
+    foreign = e.where("event_id % 50 = 0").select("case_id", "edge_id", (F.col("event_id") + 1_000_000).alias("seq"), F.lit(True).alias("is_pinned"), F.lit("LAYERING").alias("tag"))
     own = c.withColumn("k", F.substring("edge_id", 2, 20).cast("long"))
     n = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
     own = own.select("case_id", "edge_id", "k", n).select(
@@ -218,7 +218,7 @@ ORACLE_SQL = {
     "latest_pins": f"""WITH {EDGES}, {CASES},
         o AS (SELECT case_id, edge_id, substr(edge_id, 2)::BIGINT AS k, n FROM case_edges, (SELECT unnest([0, 1, 2]) AS n) u),
         c AS (SELECT case_id, edge_id, k + n * 100000 AS seq, (k + n) % 3 <> 0 AS is_pinned, CASE WHEN (k + n) % 2 = 0 THEN 'FAN_IN' ELSE 'LAYERING' END AS tag FROM o
-              UNION ALL SELECT 'case' || (event_id % 15), edge_id, event_id, true, 'LAYERING' FROM edges WHERE event_id % 150 = 0)
+              UNION ALL SELECT 'case' || (event_id % 15), edge_id, event_id + 1000000, true, 'LAYERING' FROM edges WHERE event_id % 150 = 0)
         SELECT case_id, edge_id, is_pinned, tag, seq FROM c QUALIFY row_number() OVER (PARTITION BY case_id, edge_id ORDER BY seq DESC) = 1""",
     "claim_status": f"""WITH {_RUNS}
         SELECT run_id, status, CASE WHEN status = 'HYPOTHESIS_GENERATED' AND full_answer THEN 2 ELSE 0 END::INTEGER AS n_claims FROM st""",
