@@ -25,7 +25,7 @@ def parse_envelope(records: DataFrame) -> DataFrame:
     number), version 1, well-formed id, non-blank ends, a positive amount, a UTC time of
     whole seconds, and the coordinates of the record itself.
     """
-    text = F.decode("value", "UTF-8")
+    text = F.try_validate_utf8(F.col("value").cast("string"))
     p = records.withColumn("payload_hash", F.sha2("value", 256)).withColumn("_e", F.from_json(text, _FIELDS))
     shape = F.schema_of_variant(F.try_parse_json(text)).rlike(_SHAPE)
     e = lambda name: F.col(f"_e.{name}")
