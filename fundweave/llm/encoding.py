@@ -1,24 +1,51 @@
-"""Whole-text encoding with public tokenizers, one distinct word at a time.
+"""Whole-text encoding with public tokenizers, one distinct piece at a time.
 
 Both encoders cut a text where its tokenizer can form no token across the cut, encode each
 distinct piece once with the tokenizers library and put the pieces' ids together. The ids
-are those of encoding the whole text; tests compare the two.
+are those of encoding the whole text; tests compare the two. A worker keeps its encoders,
+and the pieces they know, from task to task.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
 
-#: Distinct pieces remembered by a worker before it starts afresh.
-REMEMBERED = 200_000
+#: Distinct pieces remembered in each of two generations.
+REMEMBERED = 250_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A single blank between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Texts of these characters alone are normalised by str.lower() and split by _PIECES.
+_PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
+#: The tokenizer's own pattern, for lower-case plain text.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+
+
+class Memory:
+    """What pieces become, in two generations: the older one is dropped when the newer is full."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable]):
+        self.make, self.new, self.old = make, {}, {}
+
+    def of(self, pieces: set[str]) -> dict:
+        """A mapping that holds all the pieces."""
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        fresh = pieces - self.new.keys()
+        again = fresh & self.old.keys()
+        for p in again:
+            self.new[p] = self.old[p]
+        order = list(fresh - again)
+        for i in range(0, len(order), 5000):
+            part = order[i : i + 5000]
+            self.new.update(zip(part, self.make(part), strict=True))
+        return self.new
 
 
 @cache
@@ -31,38 +58,49 @@ def tokenizer(path: str, special_as_text: bool):
     return t
 
 
+def _raw(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
 class WordEncoder:
-    """For tokenizers that drop white space, which then separates words for good.
+    """For the word BPE: lower case, white space separates words for good and is dropped.
 
-    str.split() cuts at Unicode white space and at \\x1c-\\x1f, which such a tokenizer
-    takes for symbols; texts with those four are encoded as they are.
+    A plain text is lower-cased and split by the tokenizer's pattern here; its pieces are
+    encoded by the same model without the normaliser and the pattern. Other texts are cut
+    at white space and their words go through the whole tokenizer. str.split() also cuts at
+    \\x1c-\\x1f, which the tokenizer takes for symbols: texts with those are encoded as
+    they are.
     """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
         self.tokenizer = tokenizer(path, False)
         self.vocab_size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        model = Tokenizer.from_file(path)
+        model.normalizer = normalizers.Sequence([])
+        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        encoded = lambda t: lambda part: (_raw(e.ids) for e in t.encode_batch_fast(part, add_special_tokens=False))
+        self.pieces, self.words = Memory(encoded(model)), Memory(encoded(self.tokenizer))
 
     def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """For each text, its ids as little-endian unsigned 32-bit integers."""
-        split = [[] if t is None or _SEPARATORS.search(t) else t.split() for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = set().union(*split)
-        order = list(new)
-        for i in range(0, len(order), 5000):
-            part = order[i : i + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        get, out = self.known.__getitem__, []
-        for text, ws in zip(texts, split, strict=True):
-            if text and not ws and _SEPARATORS.search(text):
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes() + end)
+        end = b"" if end_id is None else _raw([end_id])
+        plain, other = [], []
+        for text in texts:
+            easy = not text or (_PLAIN.fullmatch(text) and "<|" not in text)
+            plain.append(_PIECES.findall((text or "").lower()) if easy else None)
+            other.append(None if easy or _SEPARATORS.search(text) else text.split())
+        pieces = self.pieces.of(set().union(*(p for p in plain if p))).__getitem__
+        words = self.words.of(set().union(*(w for w in other if w))).__getitem__
+        out = []
+        for text, p, w in zip(texts, plain, other, strict=True):
+            if p is not None:
+                out.append(b"".join(map(pieces, p)) + end)
+            elif w is not None:
+                out.append(b"".join(map(words, w)) + end)
             else:
-                out.append(b"".join(map(get, ws)) + end)
+                out.append(_raw(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
         return out
 
 
@@ -75,7 +113,11 @@ class SpanEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path, True)
-        self.known: dict[str, tuple[bytes, bytes, bytes]] = {}
+        self.pieces = Memory(lambda part: map(self._entry, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+
+    @staticmethod
+    def _entry(e) -> tuple[bytes, bytes]:
+        return np.array(e.ids, "<i8").tobytes(), np.array(e.offsets, "<i8").tobytes()
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends) of the whole text, in characters."""
@@ -83,16 +125,20 @@ class SpanEncoder:
             return (np.zeros(0, np.int64),) * 3
         pieces = _CUT.split(text)
         pieces[1:] = [" " + p for p in pieces[1:]]
-        new = set(pieces).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, set(pieces)
-        if new:
-            order = list(new)
-            for piece, e in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-                spans = np.array(e.offsets, np.int64).reshape(-1, 2)
-                self.known[piece] = tuple(np.ascontiguousarray(x, np.int64).tobytes() for x in (e.ids, spans[:, 0], spans[:, 1]))
-        found = [self.known[p] for p in pieces]
-        base = np.cumsum([0, *map(len, pieces[:-1])])
-        base = np.repeat(base, [len(f[0]) // 8 for f in found])
-        ids, starts, ends = (np.frombuffer(b"".join(column), np.int64) for column in zip(*found, strict=True))
-        return ids, starts + base, ends + base
+        known = self.pieces.of(set(pieces))
+        ids, spans = zip(*map(known.__getitem__, pieces), strict=True)
+        base = np.zeros(len(pieces), np.int64)
+        np.cumsum([len(p) for p in pieces[:-1]], out=base[1:])
+        base = np.repeat(base, [len(x) // 8 for x in ids])
+        span = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
+        return np.frombuffer(b"".join(ids), "<i8"), span[:, 0] + base, span[:, 1] + base
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+@cache
+def span_encoder(path: str) -> SpanEncoder:
+    return SpanEncoder(path)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .encoding import SpanEncoder
+from .encoding import span_encoder
 from .tokenfile import chunks
 
 RULES = ("first", "last", "most")
@@ -84,7 +84,7 @@ def _lines(text: str | None) -> list[tuple[int, int]]:
 
 
 def _attribute(batches: Iterator[pa.RecordBatch], path: str, text_at: int, sections_at: int | None, rule: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder = SpanEncoder(path)
+    encoder = span_encoder(path)
     for batch in batches:
         texts = batch.column(text_at).to_pylist()
         given = None if sections_at is None else batch.column(sections_at)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .encoding import WordEncoder
+from .encoding import word_encoder
 from .staging import like, shared_dir, staged
 
 MAGIC = b"FWTK"
@@ -55,7 +55,7 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(path)
+    encoder = word_encoder(path)
     kind = "<u2" if encoder.vocab_size <= 1 << 16 else "<u4"
     for batch in batches:
         texts = batch.column(1).to_pylist()

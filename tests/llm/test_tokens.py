@@ -16,13 +16,13 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     None, "", " ", "Hello  World", "a\tb\nc\r\n d", "it's <|endoftext|> we've", "<|startoftext|>x", "é é ß ΑΣ İ",
     "a b c　d", "x\x1cy \x1f z", "# ## a#b", "\n\n  two\n\n", "naïve 😀😀 " * 50, "word " * 3000, " lead", "trail ",
-    "a  b   c", "tab\t x", "Ǆ 12345 6", "́start",
+    "a  b   c", "tab\t x", "ÀÉß ÿ×÷ ½ ²x ªº µm DON'T don'ts 'RE", "İstanbul ΑΣΣ. ŉ ﬁ K", "Ǆ 12345 6", "́start",
 ]
 
 
 def _random_texts(n):
     r = random.Random(3)
-    alphabet = "ab cdEF  \n\t'.#é́ \x1c\x1d😀12 <|>"
+    alphabet = "ab cdEFÉß×ª'st  \n\t'.#é́ \x1c\x1d😀12 <|>"
     return ["".join(r.choice(alphabet) for _ in range(r.randrange(60))) for _ in range(n)]
 
 
