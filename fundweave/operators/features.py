@@ -111,7 +111,7 @@ def neighborhood_features(edges: DataFrame, features: DataFrame, columns: list[s
     for r in range(1, rounds + 1):
         values = out.select(F.col("account_id").alias("neighbor_id"), *now)
         means = hop.join(values, "neighbor_id").groupBy(F.col("node_id").alias("account_id")).agg(
-            *[F.avg(F.col(c).cast("decimal(28,6)")).cast("double").alias(f"{base}_mean{r}") for c, base in zip(now, columns, strict=True)]
+            *[(F.sum(F.col(c).cast("decimal(28,6)")).cast("double") / F.count(F.lit(1))).alias(f"{base}_mean{r}") for c, base in zip(now, columns, strict=True)]
         )
         out = out.join(means, "account_id", "left").fillna(0.0)
         now = [f"{c}_mean{r}" for c in columns]

@@ -271,8 +271,8 @@ ORACLE_SQL = {
               UNION ALL SELECT target_id, source_id, edge_id FROM edges WHERE event_time <= TIMESTAMP '{CUTOFF}'),
         p AS (SELECT a, n, min(edge_id) AS edge_id FROM b GROUP BY a, n),
         r AS (SELECT a, n FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY edge_id, n) <= 15),
-        m1 AS (SELECT r.a, avg(f.amount_in) AS m FROM r JOIN f ON f.account_id = r.n GROUP BY r.a),
-        m2 AS (SELECT r.a, avg(m1.m) AS m FROM r JOIN m1 ON m1.a = r.n GROUP BY r.a)
+        m1 AS (SELECT r.a, sum(f.amount_in::DECIMAL(28,6))::DOUBLE / count(*) AS m FROM r JOIN f ON f.account_id = r.n GROUP BY r.a),
+        m2 AS (SELECT r.a, sum(m1.m::DECIMAL(28,6))::DOUBLE / count(*) AS m FROM r JOIN m1 ON m1.a = r.n GROUP BY r.a)
         SELECT f.account_id, f.amount_in AS amount, round(coalesce(m1.m, 0), 4) AS amount_mean1, round(coalesce(m2.m, 0), 3) AS amount_mean2
         FROM f LEFT JOIN m1 ON m1.a = f.account_id LEFT JOIN m2 ON m2.a = f.account_id""",
     "transfer_formats": f"""WITH {EDGES},
