@@ -16,7 +16,7 @@ from functools import cache
 import numpy as np
 
 #: Distinct pieces remembered in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A single blank between two characters that are not white space.
@@ -26,6 +26,11 @@ _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 #: The tokenizer's own pattern, for lower-case plain text.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
+#: The byte-level tokenizer's own pattern, for plain text; its pieces follow each other without gaps.
+_BYTE_PIECES = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+"
+)
+
 
 class Memory:
     """What pieces become, in two generations: the older one is dropped when the newer is full."""
@@ -37,11 +42,12 @@ class Memory:
         """A mapping that holds all the pieces."""
         if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
-        fresh = pieces - self.new.keys()
-        again = fresh & self.old.keys()
-        for p in again:
-            self.new[p] = self.old[p]
-        order = list(fresh - again)
+        order = []
+        for p in pieces.difference(self.new):
+            if p in self.old:
+                self.new[p] = self.old[p]
+            else:
+                order.append(p)
         for i in range(0, len(order), 5000):
             part = order[i : i + 5000]
             self.new.update(zip(part, self.make(part), strict=True))
@@ -58,10 +64,6 @@ def tokenizer(path: str, special_as_text: bool):
     return t
 
 
-def _raw(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
-
 class WordEncoder:
     """For the word BPE: lower case, white space separates words for good and is dropped.
 
@@ -75,17 +77,37 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = tokenizer(path, False)
-        self.vocab_size = self.tokenizer.get_vocab_size()
-        model = Tokenizer.from_file(path)
-        model.normalizer = normalizers.Sequence([])
-        model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        encoded = lambda t: lambda part: (_raw(e.ids) for e in t.encode_batch_fast(part, add_special_tokens=False))
-        self.pieces, self.words = Memory(encoded(model)), Memory(encoded(self.tokenizer))
+        self.path = path
+        self.model = Tokenizer.from_file(path)
+        #: How ids are returned: two bytes an id where the vocabulary allows it.
+        self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        self.pieces, self.words = Memory(self._of_pieces), Memory(self._of_words)
+
+    @property
+    def tokenizer(self):
+        """The whole tokenizer, loaded once a text needs it."""
+        return tokenizer(self.path, False)
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _of_words(self, words: list[str]) -> Iterable[bytes]:
+        return (self._raw(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))
+
+    def _of_pieces(self, pieces: list[str]) -> Iterable[bytes]:
+        """Pieces are encoded as the words of one text, which costs less than a text each."""
+        e = self.model.encode(" ".join(pieces), add_special_tokens=False)
+        raw, size = self._raw(e.ids), np.dtype(self.kind).itemsize
+        cuts = (np.searchsorted(np.array(e.word_ids), np.arange(len(pieces) + 1)) * size).tolist()
+        return (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
     def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
-        """For each text, its ids as little-endian unsigned 32-bit integers."""
-        end = b"" if end_id is None else _raw([end_id])
+        """For each text, its ids as little-endian unsigned integers of self.kind."""
+        end = b"" if end_id is None else self._raw([end_id])
         plain, other = [], []
         for text in texts:
             easy = not text or (_PLAIN.fullmatch(text) and "<|" not in text)
@@ -100,15 +122,15 @@ class WordEncoder:
             elif w is not None:
                 out.append(b"".join(map(words, w)) + end)
             else:
-                out.append(_raw(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
+                out.append(self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
         return out
 
 
 class SpanEncoder:
     """Ids and character spans of a byte-level BPE whose words carry their leading blank.
 
-    Its pattern lets a word begin with one blank, so a single blank between two characters
-    that are not white space always begins a new word.
+    Plain texts are split by the tokenizer's pattern here. Others are cut before a single
+    blank between two characters that are not white space: that blank always begins a word.
     """
 
     def __init__(self, path: str):
@@ -123,8 +145,11 @@ class SpanEncoder:
         """(ids, starts, ends) of the whole text, in characters."""
         if not text:
             return (np.zeros(0, np.int64),) * 3
-        pieces = _CUT.split(text)
-        pieces[1:] = [" " + p for p in pieces[1:]]
+        if _PLAIN.fullmatch(text):
+            pieces = _BYTE_PIECES.findall(text)
+        else:
+            pieces = _CUT.split(text)
+            pieces[1:] = [" " + p for p in pieces[1:]]
         known = self.pieces.of(set(pieces))
         ids, spans = zip(*map(known.__getitem__, pieces), strict=True)
         base = np.zeros(len(pieces), np.int64)

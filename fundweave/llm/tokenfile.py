@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import huffman
+from .batches import by_size
 from .encoding import word_encoder
 from .staging import like, shared_dir, staged
 
@@ -56,15 +57,11 @@ def chunks(texts: list[str | None]) -> Iterator[slice]:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = word_encoder(path)
-    kind = "<u2" if encoder.vocab_size <= 1 << 16 else "<u4"
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for s in chunks(texts):
-            ids = [np.frombuffer(x, "<u4") for x in encoder.encode_batch(texts[s], end_id)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0)[s.start : s.stop], pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())],
-                schema=_IDS,
-            )
+    size = np.dtype(encoder.kind).itemsize
+    for batch in by_size(batches, 1):
+        ids = encoder.encode_batch(batch.column(1).to_pylist(), end_id)
+        n = pa.array([len(x) // size for x in ids], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.binary())], schema=_IDS)
 
 
 def _unpack(data: bytes, n: int) -> np.ndarray:
@@ -79,7 +76,7 @@ def encoded(docs: DataFrame, *, id_col: str, text_col: str, tokenizer_path: str,
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in by_size(batches, 2):
         for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             c = np.bincount(_unpack(data, n))
             if len(c) > len(total):
@@ -146,7 +143,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, held, block: int, eve
         seq += 1
         writer.clear()
 
-    for batch in batches:
+    for batch in by_size(batches, 2):
         for doc, n, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             if writer.ids and writer.total + n > file_tokens:
                 close()
@@ -161,7 +158,7 @@ def write_ids(tokens: DataFrame, folder: str, *, max_bits: int = 20, block: int
     """Writes encoded() rows to folder; returns the files (part, seq, path, docs, tokens, bytes, base).
 
     base: the ids in all files before this one. Rows that share an id follow each other in
-    the order of their ids' bytes; a null id comes last. tokens must be a written table.
+    the order of a hash of their ids; a null id comes last. tokens must be a written table.
     """
     counts = tokens.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     used = counts.collect()  # a row an id of the vocabulary at most
@@ -170,8 +167,9 @@ def write_ids(tokens: DataFrame, folder: str, *, max_bits: int = 20, block: int
         freq[r.token] = r.n
     lengths = huffman.code_lengths(freq, max_bits)
     held = tokens.sparkSession.sparkContext.broadcast(zlib.compress(lengths.tobytes()))
-    order = [F.col("id").asc_nulls_last(), F.col("ids").asc()]
-    ranged = tokens.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The ranges are cut by id and a hash of the ids: the sample that finds them goes to the driver.
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("ids").asc()]
+    ranged = tokens.repartitionByRange(*order).sortWithinPartitions(*order, F.col("ids").asc())
     write = partial(_write, folder=folder, held=held, block=block, every=every, file_tokens=file_tokens)
     files = staged(ranged.mapInArrow(write, "part long, seq long, path string, docs long, tokens long, bytes long"), "token-files")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
