@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .batches import by_size
 from .staging import like, staged
 
 #: Bytes that are not part of a word become blanks, A-Z become a-z; others stay.
@@ -88,7 +89,7 @@ class WindowSet:
 
 def _scan_batches(batches: Iterator[pa.RecordBatch], held, schema: pa.Schema, text_at: int) -> Iterator[pa.RecordBatch]:
     found: WindowSet = held.value
-    for batch in batches:
+    for batch in by_size(batches, text_at):
         n_words, n_hit, hits, items = [], [], [], []
         old_hits, old_items = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
         for text, was, had in zip(batch.column(text_at).to_pylist(), old_hits, old_items, strict=True):
@@ -144,7 +145,9 @@ def contamination(
     return out
 
 
-def _cut(text: str, hits: bytes, n_words: int) -> str:
+def _cut(text: str | None, hits: bytes | None, n_words: int) -> str | None:
+    if hits is None:
+        return text
     raw = text.encode("utf-8", "replace")
     mask = np.unpackbits(np.frombuffer(hits, np.uint8), count=n_words).astype(bool)
     spans = [m.span() for m in _RUN.finditer(raw.translate(_FOLD))]
@@ -173,5 +176,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     cut = F.udf(_cut, "string", useArrow=True)
-    text = F.when(F.col("__hits").isNotNull(), cut(found[f"`{text_col}`"], "__hits", "__n_words")).otherwise(found[f"`{text_col}`"])
+    text = cut(found[f"`{text_col}`"], "__hits", "__n_words")
     return found.select(*[text.alias(c) if c == text_col else found[f"`{c}`"] for c in docs.columns])

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .batches import by_size
 from .staging import like, staged
-from .tokenfile import chunks
 
 _STRIP = b" \t\n\x0b\x0c\r"
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("pos", pa.int64())])
@@ -46,20 +46,18 @@ def line_keys(text: str | None, min_chars: int) -> tuple[int, list[tuple[int, by
 
 
 def _lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for s in chunks(texts):
-            docs, pos, keys = [], [], []
-            for doc, text in zip(ids[s], texts[s], strict=True):
-                seen = set()
-                for i, key in line_keys(text, min_chars)[1]:
-                    if key not in seen:
-                        seen.add(key)
-                        docs.append(doc)
-                        pos.append(i)
-                        keys.append(key)
-            h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs, pa.int64()), pa.array(pos, pa.int64())], schema=_LINES)
+    for batch in by_size(batches, 1):
+        docs, pos, keys = [], [], []
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen = set()
+            for i, key in line_keys(text, min_chars)[1]:
+                if key not in seen:
+                    seen.add(key)
+                    docs.append(doc)
+                    pos.append(i)
+                    keys.append(key)
+        h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(docs, pa.int64()), pa.array(pos, pa.int64())], schema=_LINES)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +105,7 @@ def dropped_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch], min_chars: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, 1):
         texts, gone = batch.column(1).to_pylist(), batch.column(batch.num_columns - 1)
         out: list[list] = [[], [], []]
         for i, text in enumerate(texts):

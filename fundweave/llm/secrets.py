@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_size
 from .staging import like
 
 
@@ -207,33 +208,20 @@ _SEGMENT = 1 << 20
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
-def _segments(texts: list[str]) -> Iterator[slice]:
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= _SEGMENT:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _scan(batches: Iterator[pa.RecordBatch], rules: Sequence[Rule]) -> Iterator[pa.RecordBatch]:
     queries = [trigram_query(r.pattern) for r in rules]
     expressions = [_long_runs(r) or compiled(r) for r in rules]
     index = SegmentIndex(sorted(set().union(*map(trigrams, queries))))
     schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(_SPAN))])
-    for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for s in _segments(texts):
-            part = texts[s]
-            postings = index.build([t.encode("utf-8", "replace") for t in part])
-            found: list[list] = [[] for _ in part]
-            for k, (rule, query, expression) in enumerate(zip(rules, queries, expressions, strict=True)):
-                for i in candidates(query, postings, len(part)).tolist():
-                    found[i] += [(a, k, b) for a, b in matches(rule, expression, part[i])]
-            spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(f)] for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(spans, pa.list_(_SPAN))], schema=schema)
+    for batch in by_size(batches, 1, _SEGMENT):
+        part = [t or "" for t in batch.column(1).to_pylist()]
+        postings = index.build([t.encode("utf-8", "replace") for t in part])
+        found: list[list] = [[] for _ in part]
+        for k, (rule, query, expression) in enumerate(zip(rules, queries, expressions, strict=True)):
+            for i in candidates(query, postings, len(part)).tolist():
+                found[i] += [(a, k, b) for a, b in matches(rule, expression, part[i])]
+        spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in sorted(f)] for f in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(_SPAN))], schema=schema)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:

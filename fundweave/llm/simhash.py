@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import by_size
 from .components import components
 from .staging import like, staged
-from .tokenfile import chunks
 
 SEED = 42
 _SMALL = 64
@@ -67,11 +67,9 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def _print_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for s in chunks(texts):
-            fps = [fingerprint(shingle_hashes(t, words)) for t in texts[s]]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(fps, pa.int64())], schema=_PRINTS)
+    for batch in by_size(batches, 1):
+        fps = [fingerprint(shingle_hashes(t, words)) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], schema=_PRINTS)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -237,27 +235,23 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for s in chunks(texts):
-            rows: list[list] = [[], [], [], []]
-            for text in texts[s]:
-                whole = b" ".join((text or "").encode("utf-8", "replace").lower().split())
-                h1, h2 = np.frombuffer(hashlib.blake2b(whole, digest_size=16).digest(), "<i8").tolist()
-                hashes = shingle_hashes(text, words)
-                for column, x in zip(rows, (h1, h2, fingerprint(hashes), band_keys(hashes)), strict=True):
-                    column.append(x)
-            columns = [pa.array(c, f.type) for c, f in zip(rows, list(_KEYS)[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], *columns], schema=_KEYS)
+    for batch in by_size(batches, 1):
+        rows: list[list] = [[], [], [], []]
+        for text in batch.column(1).to_pylist():
+            whole = b" ".join((text or "").encode("utf-8", "replace").lower().split())
+            h1, h2 = np.frombuffer(hashlib.blake2b(whole, digest_size=16).digest(), "<i8").tolist()
+            hashes = shingle_hashes(text, words)
+            for column, x in zip(rows, (h1, h2, fingerprint(hashes), band_keys(hashes)), strict=True):
+                column.append(x)
+        columns = [pa.array(c, f.type) for c, f in zip(rows, list(_KEYS)[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=_KEYS)
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-    for batch in batches:
-        texts = batch.column(1).to_pylist()
-        for s in chunks(texts):
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in texts[s]]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[s.start : s.stop], pa.array(sets, pa.binary())], schema=schema)
+    for batch in by_size(batches, 1):
+        sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:

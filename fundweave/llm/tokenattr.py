@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .batches import by_size
 from .encoding import span_encoder
-from .tokenfile import chunks
 
 RULES = ("first", "last", "most")
 
@@ -85,24 +85,20 @@ def _lines(text: str | None) -> list[tuple[int, int]]:
 
 def _attribute(batches: Iterator[pa.RecordBatch], path: str, text_at: int, sections_at: int | None, rule: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     encoder = span_encoder(path)
-    for batch in batches:
-        texts = batch.column(text_at).to_pylist()
+    for batch in by_size(batches, text_at):
         given = None if sections_at is None else batch.column(sections_at)
-        for s in chunks(texts):
-            out: list[list] = [[], [], [], []]
-            for i in range(s.start, s.stop):
-                text = texts[i]
-                spans = _lines(text) if given is None else [(x["start"] or 0, x["end"] or 0) for x in given[i].as_py() or [] if x]
-                _, starts, ends = encoder.encode(text)
-                bounds, owner = divide(spans, len(text or ""))
-                interval, crosses = allocate(starts, ends, bounds, rule)
-                of = owner[interval]
-                counts = np.bincount(of + 1, minlength=len(spans) + 1)
-                for column, x in zip(out, (len(starts), int(crosses.sum()), int(counts[0]), counts[1:].tolist()), strict=True):
-                    column.append(x)
-            kept = [batch.column(i)[s.start : s.stop] for i in range(batch.num_columns) if i not in (text_at, sections_at)]
-            kept += [pa.array(c, f.type) for c, f in zip(out, list(schema)[-4:], strict=True)]
-            yield pa.RecordBatch.from_arrays(kept, schema=schema)
+        out: list[list] = [[], [], [], []]
+        for i, text in enumerate(batch.column(text_at).to_pylist()):
+            spans = _lines(text) if given is None else [(x["start"] or 0, x["end"] or 0) for x in given[i].as_py() or [] if x]
+            _, starts, ends = encoder.encode(text)
+            bounds, owner = divide(spans, len(text or ""))
+            interval, crosses = allocate(starts, ends, bounds, rule)
+            counts = np.bincount(owner[interval] + 1, minlength=len(spans) + 1)
+            for column, x in zip(out, (len(starts), int(crosses.sum()), int(counts[0]), counts[1:].tolist()), strict=True):
+                column.append(x)
+        kept = [batch.column(i) for i in range(batch.num_columns) if i not in (text_at, sections_at)]
+        kept += [pa.array(c, f.type) for c, f in zip(out, list(schema)[-4:], strict=True)]
+        yield pa.RecordBatch.from_arrays(kept, schema=schema)
 
 
 def attribute(docs: DataFrame, *, tokenizer_path: str, text_col: str = "text", sections_col: str | None = None, rule: str = "first") -> DataFrame:

@@ -43,18 +43,6 @@ _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.in
 _CHUNK = 4 << 20
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of about 4 million characters, so that what a batch becomes stays small."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "") + 8
-        if size >= _CHUNK:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
-
-
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = word_encoder(path)
     size = np.dtype(encoder.kind).itemsize

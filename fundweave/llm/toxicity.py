@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .batches import by_size
 from .staging import like
 
 BUCKETS = 1 << 18
 _STRIP = re.compile(r"^\W+|\W+$")
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 class Model(NamedTuple):
@@ -135,7 +136,7 @@ def severity_grades(rows: list[np.ndarray], scale: np.ndarray, toxic: np.ndarray
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("toxic", pa.int32()), ("index", pa.list_(pa.int32()))])
-    for batch in batches:
+    for batch in by_size(batches, 2):
         found = [features(t).tolist() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], schema=schema)
 
@@ -196,7 +197,7 @@ class Scorer:
 
 def _score(batches: Iterator[pa.RecordBatch], held, text_at: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     scorer = Scorer(held.value)
-    for batch in batches:
+    for batch in by_size(batches, text_at):
         scores = [round(scorer(t), 9) for t in batch.column(text_at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
