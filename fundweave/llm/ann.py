@@ -193,7 +193,7 @@ def search(
     query_every: int = 50,
     k: int = 5,
     codes: int = 32,
-    visit: float = 0.6,
+    visit: float = 0.75,
     sample_rows: int = 20_000,
     block_rows: int = 4096,
     seed: int = 42,
