@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = staged(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = d.join(asked, d["id"] == F.col("node"), "left_semi")
+    # The lists of ids in both joins with the texts grow with the table: never broadcast.
+    texts = d.join(asked.hint("merge"), d["id"] == F.col("node"), "left_semi")
     sets = staged(texts.mapInArrow(partial(_set_batches, words=words), "node long, shingles binary"), "near-sets")
     sets = sets.dropDuplicates(["node", "shingles"])
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -321,4 +322,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
     gone = found.groupBy("id").agg(F.min("component_id").alias("c")).where("c <> id").select(F.col("id").alias("__near_id"))
     gone = staged(gone, "near-gone")
-    return docs.join(gone, docs[f"`{id_col}`"].cast("long") == F.col("__near_id"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].cast("long") == F.col("__near_id"), "left_anti")
