@@ -253,6 +253,7 @@ def read_archives(index: DataFrame, folder: str, *, with_payload: bool = False)
 
     payload is that of responses, if asked for; revisits have none.
     """
-    files = index.select("path").distinct().repartition("path")
+    files = index.select("path").distinct()
+    files = files.repartition(max(1, files.count()), "path")  # a number, so that they stay apart
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
     return files.mapInArrow(partial(_read, folder=folder, with_payload=with_payload), schema)
