@@ -218,6 +218,8 @@ def fingerprint_hex(fp):
 
 BANDS, ROWS = 16, 4
 _ALL_PAIRS_UPTO = 8
+#: Texts and bytes of shingles in a block of a long list, and shingles compared at once.
+_BLOCK, _BLOCK_BYTES, _COLUMNS = 256, 8 << 20, 4096
 _KEYS = pa.schema([("id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _MULTIPLIERS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -265,29 +267,87 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], schema=_LINKS)
 
 
-def _band_pairs(nodes: DataFrame) -> DataFrame:
+def _band_lists(nodes: DataFrame) -> DataFrame:
+    """(band, key, node, n, low, high) of the lists of two and more texts that share a band; low and high lead."""
+    posted = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
+    lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
+    return posted.join(lists, ["band", "key"])
+
+
+def _band_pairs(at: DataFrame) -> DataFrame:
     """Pairs that share a band: all of a short list; of a longer one each with two leaders.
 
     The leaders are drawn anew for each band by a hash, so that a group of near copies is
-    joined over many stars without ever emitting all of its pairs.
+    joined over many stars without ever emitting all of its pairs. What they leave apart is
+    compared by _rest_links().
     """
-    posted = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
-    at = posted.join(lists, ["band", "key"])
     long = at.where(F.col("n") > _ALL_PAIRS_UPTO).select(F.explode(F.array("low.node", "high.node")).alias("a"), F.col("node").alias("b"))
     short = at.where(F.col("n") <= _ALL_PAIRS_UPTO).groupBy("band", "key").agg(F.collect_list("node").alias("l"))  # at most 8
     short = short.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b"))
     return long.unionByName(short)
 
 
+def _block_links(group: pa.Table, similarity: float) -> pa.Table:
+    """Rows (i, j, block, c, shingles) of two blocks, or of one -> a spanning forest of the links between their components c."""
+    c, block = group.column("c").to_numpy(), group.column("block").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")]
+    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    sizes = np.array([len(x) for x in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[at] > 1
+    column, row = (np.cumsum(counts > 1) - 1)[at[shared]], np.repeat(np.arange(len(sets)), sizes)[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((len(left), len(right)))
+    for first in range(0, int(column.max(initial=-1)) + 1, _COLUMNS):
+        s = slice(*np.searchsorted(column, (first, first + _COLUMNS)))
+        has = np.zeros((len(sets), _COLUMNS), np.float32)
+        has[row[s], column[s] - first] = 1
+        both += has[left] @ has[right].T
+    good = both >= similarity * (sizes[left][:, None] + sizes[right][None] - both)
+    x, y = np.nonzero(good & (c[left][:, None] != c[right][None]))
+    pairs = np.unique(np.stack([c[left[x]], c[right[y]]], 1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+    a, b = zip(*kept, strict=True) if (kept := _forest([tuple(p) for p in pairs.tolist()])) else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
+
+
+def _rest_links(at: DataFrame, sets: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of components that hold a pair of a long list within the similarity and are still apart.
+
+    Of each long list with more than one component, the texts outside its largest component
+    are compared with all of the list. Both parts are dealt into blocks bounded by rows and
+    bytes; a task compares two blocks, and returns links of components, not pairs of texts.
+    """
+    long = at.where(F.col("n") > _ALL_PAIRS_UPTO).select("band", "key", "node").join(of, "node", "left")
+    long = long.select("band", "key", "node", F.coalesce("component", "node").alias("c"))
+    apart = long.groupBy("band", "key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band", "key")
+    size = sets.groupBy("node").agg(F.sum(F.length("shingles")).alias("size"))
+    long = staged(long.join(apart, ["band", "key"]).join(size, "node"), "near-apart")
+    parts = long.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "c"))
+    lists = parts.groupBy("band", "key").agg(most["c"].alias("main"), most["n"].alias("n_main"), F.sum("n").alias("n"), F.max_by("size", F.struct("n", "c")).alias("size_main"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_BYTES), F.lit(1))
+    lists = lists.select("band", "key", "main", blocks(F.col("n_main"), F.col("size_main")).alias("k"), blocks(F.col("n") - F.col("n_main"), F.col("size") - F.col("size_main")).alias("r"))
+    h, main = F.xxhash64("node", "band"), F.col("c") == F.col("main")
+    dealt = long.join(lists, ["band", "key"]).withColumn("block", F.when(main, F.pmod(h, "k")).otherwise(F.col("k") + F.pmod(h, "r")))
+    # Blocks of the largest component meet the others only, those meet all.
+    others = F.sequence(F.when(main, F.col("k")).otherwise(F.lit(0)), F.col("k") + F.col("r") - 1)
+    asked = dealt.select("band", "key", "node", "c", "block", F.explode(others).alias("o"))
+    asked = asked.select("band", "key", "node", "c", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    whole = asked.join(sets, "node").select("band", "key", "i", "j", "block", "c", "shingles")
+    return whole.groupBy("band", "key", "i", "j").applyInArrow(lambda group: _block_links(group, similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of every row that has an id.
 
     Rows with the same words are copies. Texts whose sets of shingles have a Jaccard
     similarity of at least `similarity` are linked; component_id is the least id reachable.
     Candidates: SimHash fingerprints within two bits, and shared bands of minima (at 0.8 a
-    pair shares one with a probability of 0.9998); each is verified on the whole sets.
+    pair shares one with a probability of 0.9998); each is verified on the whole sets,
+    unless its texts are joined over others. The length of a list plays no part.
 
     Texts without words are copies of each other. A row with a null id is left out. An
     empty table gives no rows; other columns play no part.
@@ -298,18 +358,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = staged(copies, "near-nodes")
     prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
     same = nodes.join(prints.withColumnRenamed("node", "first"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    pairs = fingerprint_links(prints).unionByName(same).unionByName(_band_pairs(nodes))
+    at = staged(_band_lists(nodes), "near-lists")
+    pairs = fingerprint_links(prints).unionByName(same).unionByName(_band_pairs(at))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     pairs = staged(pairs, "near-pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # The lists of ids in both joins with the texts grow with the table: never broadcast.
     texts = d.join(asked.hint("merge"), d["id"] == F.col("node"), "left_semi")
-    sets = staged(texts.mapInArrow(partial(_set_batches, words=words), "node long, shingles binary"), "near-sets")
-    sets = sets.dropDuplicates(["node", "shingles"])
+    sets = texts.mapInArrow(partial(_set_batches, words=words), "node long, shingles binary")
+    sets = staged(sets.dropDuplicates(["node", "shingles"]), "near-sets")
     x = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
     x = x.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
     links = x.mapInArrow(partial(_verify, similarity=similarity), "a long, b long")
-    of = components(links)
+    stars = staged(components(links), "near-stars")
+    rest = _rest_links(at, sets, stars, similarity)
+    joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    of = components(joined.unionByName(rest))
     classes = nodes.join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     return keys.join(staged(classes, "near-classes"), ["h1", "h2"]).select("id", "component_id")
 

@@ -53,6 +53,37 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert simhash.dedup(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_large_group_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_BLOCK", 64, raising=False)  # several blocks a list
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [r.choice(vocab) for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 401):
+        ws = list(base)
+        for at in r.sample(range(300), r.choice([4, 5, 6, 9])):
+            ws[at] = r.choice(vocab)
+        rows.append((i, " ".join(ws)))
+    sets = {i: _sets(t) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    want = {i: root(i) for i in sets}
+    assert sum(c == 0 for c in want.values()) > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
+
+
 def test_stages_keep_columns_and_their_decisions_hold(spark):
     docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
     columns, before = docs.columns, docs.count()
