@@ -185,19 +185,35 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
     edge was still queued at max_edges, else COMPLETE; a seed without edges returns none.
 
     No trace can visit more than max_edges edges, so of a source's edges only the
-    max_edges + 1 best can matter: they are kept before any join, and each seed's part,
-    reached within max_hops, is folded by a heap in one group.
+    max_edges + 1 best can matter: they are kept before any join. Where max_edges + 1 edges
+    are reached in one or two hops over amounts of at least x, one of them is queued until
+    all are popped, so that no smaller amount is popped before: each seed goes on over
+    edges of at least its x, and its part, reached within max_hops, is folded by a heap in
+    one group.
     """
     _bounds(max_hops, max_edges)
     best = Window.partitionBy("source_id").orderBy(F.desc("amount"), "edge_id")
-    kept = edges.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_edges + 1).select("edge_id", "source_id", "target_id", "amount")
+    kept = edges.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_edges + 1).select("edge_id", "source_id", "target_id", "amount", "_r")
     kept = staged(kept, "candidate-edges")
-    nodes = seeds.select("seed", F.col("seed").alias("node")).distinct()
+    enough = F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))
+    last = F.col("_r") == max_edges + 1
+    floors = kept.where(last).select(F.col("source_id").alias("seed"), F.col("amount").alias("floor"))
+    nodes = seeds.select("seed").distinct().join(floors, "seed", "left")
+    kept = kept.drop("_r")
+    if max_hops > 1:
+        one = nodes.join(kept, nodes["seed"] == kept["source_id"]).where(enough).select("seed", "floor", "edge_id", F.col("target_id").alias("node"), "amount")
+        two = one.select("seed", "floor", "node", F.col("amount").alias("before")).distinct().join(kept, F.col("node") == kept["source_id"]).where(enough)
+        paths = one.select("seed", "edge_id", "amount").unionByName(two.select("seed", "edge_id", F.least("before", "amount").alias("amount")))
+        paths = paths.groupBy("seed", "edge_id").agg(F.max("amount").alias("amount"))
+        rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("amount")))
+        floors = paths.withColumn("_r", rank).where(last).select("seed", F.col("amount").alias("floor"))
+        nodes = staged(nodes.select("seed").join(floors, "seed", "left"), "candidate-floors")
+    nodes = nodes.select("seed", "floor", F.col("seed").alias("node"))
     reached = nodes
     for _ in range(max_hops - 1):
-        nodes = nodes.join(kept, nodes["node"] == kept["source_id"]).select("seed", F.col("target_id").alias("node")).distinct()
+        nodes = nodes.join(kept, nodes["node"] == kept["source_id"]).where(enough).select("seed", "floor", F.col("target_id").alias("node")).distinct()
         reached = reached.unionByName(nodes).distinct()
-    part = reached.join(kept, reached["node"] == kept["source_id"]).select("seed", "edge_id", "source_id", "target_id", "amount")
+    part = reached.join(kept, reached["node"] == kept["source_id"]).where(enough).select("seed", "edge_id", "source_id", "target_id", "amount")
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = list(pdf[["edge_id", "source_id", "target_id", "amount"]].itertuples(index=False, name=None))

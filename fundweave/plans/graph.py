@@ -79,7 +79,7 @@ def _expand_edges(spark, d):
 
 def _candidates(spark, d):
     e = t.edges(spark, d)
-    seeds = e.select(F.col("source_id").alias("seed")).distinct().where(F.expr("cast(substring(seed, 2) as int) % 5 = 0"))
+    seeds = e.select(F.col("source_id").alias("seed")).distinct()
     return traversal.trace_candidates(e, seeds, 3, 50)
 
 

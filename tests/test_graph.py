@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fundweave.operators import features, traversal, typology
+from fundweave.plans import graph, tables
+from tests import oracle
 
 EDGE = "edge_id string, source_id string, target_id string, amount double, event_time timestamp"
 
@@ -110,6 +112,24 @@ def test_trace_candidates_equal_an_unpruned_heap(spark):
         assert got.get(s, []) == [(o[0], o[4], "TRACE_TRUNCATED" if left else "COMPLETE") for o in out]
 
 
+def test_trace_candidates_of_many_edges_equal_an_unpruned_heap(spark):
+    r = random.Random(6)
+    for hops, most in ((1, 5), (2, 9), (3, 9), (4, 12)):
+        rows = [(f"e{i:03d}", f"n{r.randrange(25)}", f"n{r.randrange(25)}", float(r.randrange(1, 40))) for i in range(150)]
+        e = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, amount double")
+        got: dict = {}
+        for x in traversal.trace_candidates(e, e.select(F.col("source_id").alias("seed")), hops, most).orderBy("seed", "rank").collect():
+            got.setdefault(x.seed, []).append((x.edge_id, x.hop, x.status))
+        for s in {x[1] for x in rows}:
+            out, left = traversal.best_first(rows, s, hops, most)
+            assert got[s] == [(o[0], o[4], "TRACE_TRUNCATED" if left else "COMPLETE") for o in out]
+
+
+def test_trace_candidates_query_traces_every_source(spark):
+    sources = {x.source_id for x in tables.edges(spark, oracle.DATA).select("source_id").distinct().collect()}
+    assert {x.seed for x in graph.QUERIES["trace_candidates"](spark, oracle.DATA).select("seed").distinct().collect()} == sources
+
+
 def test_focus_paths_are_those_of_an_ordered_search(spark):
     r = random.Random(9)
     rows, seeds, targets, want = [], [], [], {}
