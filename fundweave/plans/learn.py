@@ -28,7 +28,7 @@ def _logistic(spark, d):
 
 def _trees(spark, d):
     a = _accounts(spark, d)
-    model = models.fit_boosted_trees(a.where("row_id % 3 > 0"), COLUMNS, trees=5)
+    model = models.fit_boosted_trees(a.where("row_id % 3 > 0"), COLUMNS)
     return models.predict_scores(model, a, COLUMNS).select("account_id", "label", F.round("score", 6).alias("score"))
 
 
@@ -44,7 +44,7 @@ def _ranker(spark, d):
     k = F.substring("edge_id", 2, 20).cast("long")
     label = F.when(k % 4 == 0, "UNKNOWN").when(F.col("amount") + k % 30 > 70, "RELEVANT").otherwise("CONFIRMED_BENIGN")
     e = c.withColumn("label", label).withColumn("size", F.log1p("amount")).withColumn("at", F.coalesce(F.hour("event_time"), F.lit(-1)))
-    model = models.fit_edge_ranker(e.where(k % 2 == 0), ["size", "at"], trees=5)
+    model = models.fit_edge_ranker(e.where(k % 2 == 0), ["size", "at"])
     return models.rank(model, e, ["size", "at"]).select("case_id", "edge_id", F.round("score", 6).alias("score"), "rank")
 
 
