@@ -340,6 +340,14 @@ def _rest_links(at: DataFrame, sets: DataFrame, of: DataFrame, similarity: float
     return whole.groupBy("band", "key", "i", "j").applyInArrow(lambda group: _block_links(group, similarity), "a long, b long")
 
 
+def _id_links(keys: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the nodes of ids that repeat with different texts."""
+    text = F.struct("h1", "h2")
+    several = keys.groupBy("id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").select("id")
+    of = keys.join(several, "id").join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node").distinct()
+    return of.join(of.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a <> b")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) of every row that has an id.
 
@@ -349,7 +357,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pair shares one with a probability of 0.9998); each is verified on the whole sets,
     unless its texts are joined over others. The length of a list plays no part.
 
-    Texts without words are copies of each other. A row with a null id is left out. An
+    Texts without words are copies of each other. The texts of one id are one document and
+    are linked, so that an id has one component. A row with a null id is left out. An
     empty table gives no rows; other columns play no part.
     """
     d = like(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), "text").where("id is not null")
@@ -373,7 +382,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stars = staged(components(links), "near-stars")
     rest = _rest_links(at, sets, stars, similarity)
     joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    of = components(joined.unionByName(rest))
+    of = components(joined.unionByName(rest).unionByName(_id_links(keys, nodes)))
     classes = nodes.join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     return keys.join(staged(classes, "near-classes"), ["h1", "h2"]).select("id", "component_id")
 

@@ -84,6 +84,15 @@ def test_near_duplicates_of_a_large_group_equal_all_pairs(spark, monkeypatch):
     assert {x.id: x.component_id for x in simhash.near_duplicates(docs).collect()} == want
 
 
+def test_each_group_keeps_a_document_where_ids_repeat_with_different_texts(spark):
+    x, y = "one two three four five six", "red green blue grey black white"
+    docs = spark.createDataFrame([(5, x), (5, y), (2, y), (9, x), (7, "alone")], "doc_id long, text string")
+    found = {(r.id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert found == {(5, 2), (2, 2), (9, 2), (7, 7)}
+    kept = {r.doc_id for r in simhash.dedup(docs).collect()}
+    assert kept == {c for _, c in found}
+
+
 def test_stages_keep_columns_and_their_decisions_hold(spark):
     docs = spark.read.parquet(f"{oracle.DATA}/documents.parquet")
     columns, before = docs.columns, docs.count()
