@@ -53,9 +53,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.keep_bitmaps(_table(spark, sf_dir, "documents"), min_chars=10)
-    kept = linededup.kept_text(F.col("text"), F.col("keep"))
-    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(kept, 256).alias("kept_sha256"))
+    found = linededup.kept_texts(_table(spark, sf_dir, "documents"), min_chars=10)
+    return found.select(F.col("doc").alias("doc_id"), "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
