@@ -3,7 +3,9 @@
 Every round replaces links by links to a smaller neighbour (two grouped minima and two
 joins); after a number of rounds that grows with the logarithm of the number of nodes, each
 component is a star around its least node. Every round is a written table, so no round's
-loss costs more than itself, and no links come to the driver.
+loss costs more than itself, and no links come to the driver. A node with a large part of
+all links, such as the centre of a large star, has its least neighbour broadcast, so that
+its links are not dealt to one task.
 """
 
 from __future__ import annotations
@@ -11,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import join_unique, staged
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """u, its least v and its number n of links."""
+    return links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+
+
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     """u > v -> every larger neighbour of a node to the least of the node and its neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    # Only links to larger neighbours go on; their number is what may fill a task.
+    found = join_unique(both.where("v > u"), least, ["u"], 2 * rows)
+    return found.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     """u > v -> a node and its smaller neighbours to the least of those."""
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    rest = e.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(e)
+    rest = join_unique(e, least, ["u"], rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -43,7 +52,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = staged(e, "links")
     mark = _mark(e)
     while mark[0]:
-        e = staged(_small_star(_large_star(e)), "links")
+        # A large star has no more rows than the links before it; each is settled on its own.
+        e = staged(_small_star(_large_star(e, mark[0]), mark[0]), "links")
         now = _mark(e)
         if now == mark:
             break

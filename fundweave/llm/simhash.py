@@ -1,17 +1,22 @@
 """SimHash near-dedup with a byte-position inverted index and count filtering.
 
 Two 64-bit fingerprints that differ in at most d bits differ in at most d of their eight
-bytes, so they share at least 8 - d bytes at the same positions. The index posts every
-distinct fingerprint under each choice of 8 - d (position, byte) pairs: two fingerprints
-meet in a list only when their tally of shared positional bytes has reached that minimum,
-which is the count filter, and meet there as often as the tally allows. Pairs that meet are
-verified bit by bit, and a pair is settled in one list only, that of the first choice of
-positions it shares.
+bytes, so they share at least 8 - d bytes at the same positions: the guaranteed minimum.
+The index posts every distinct fingerprint under each choice of 7 - d (position, byte)
+pairs. Fingerprints that meet in a list have the shared positional bytes of their pair
+tallied; pairs below the guaranteed minimum are dropped, the others verified bit by bit. A
+pair is settled in one list only, that of the first choice of positions it shares.
+
+Lists are keyed by one byte less than the minimum, not by a single byte: a list of one of
+the 8 x 256 single bytes holds a 256th of all fingerprints, so that tallying its pairs
+would grow with the square of the table.
 
 Scale: copies share a fingerprint and are posted once, so a group of copies, however large,
-is one entry. A list holds distinct values of d bytes at most (65,536 for d = 2); lists
-above 64 entries are searched by flipping bits, not pair by pair, and each list returns a
-spanning forest of its links, never all pairs.
+is one entry. In a list of more than 64 entries the tally goes on byte by byte: it is cut by
+one more shared byte, and only entries that have reached the minimum are compared; where
+those are still more than 64 (65,536 values of d bytes at most), each looks up the values
+within d bits of its own. Every list returns a spanning forest of its links, never all
+pairs.
 
 near_duplicates() is the general form for similarity of word shingles: see there.
 """
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_size
 from .components import components
-from .staging import like, staged
+from .staging import join_unique, like, staged
 
 SEED = 42
 _SMALL = 64
@@ -95,10 +100,22 @@ def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return kept
 
 
-def _large_list(fp: np.ndarray, node: np.ndarray, free: tuple[int, ...], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a list to the least member of each of its components, by flipping bits."""
+def _near_pairs(run: np.ndarray, fp: np.ndarray, most: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, positions shared) of entries of one run, at most `most` long, that pass the tally and the bits."""
+    for k in range(1, most):
+        same = np.flatnonzero(run[k:] == run[:-k])
+        if not len(same):
+            return
+        x = fp[same] ^ fp[same + k]
+        shared = np.stack([(x >> np.uint64(8 * p)) & np.uint64(255) == 0 for p in range(8)], 1)
+        good = (shared.sum(1) >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
+        yield same[good], same[good] + k, shared[good]
+
+
+def _probe(fp: np.ndarray, free: list[int], max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) of each entry to the least of its component: looks up all values within max_bits."""
     order = np.argsort(fp)
-    fp, node = fp[order], node[order]
+    fp = fp[order]
     bits = [np.uint64(1) << np.uint64(8 * p + i) for p in free for i in range(8)]
     flips = [np.bitwise_or.reduce(np.array(c, np.uint64)) for k in range(1, max_bits + 1) for c in combinations(bits, k)]
     hops = []
@@ -115,77 +132,92 @@ def _large_list(fp: np.ndarray, node: np.ndarray, free: tuple[int, ...], max_bit
         label = label[label]
         if (label == before).all():
             break
-    moved = label != np.arange(len(fp))
-    return node[moved], node[label[moved]]
-
-
-def _list_links(batches: Iterator[pa.RecordBatch], choices: list[tuple[int, ...]], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Sorted (choice, key, fp, node) -> links within each list."""
-    free = [tuple(p for p in range(8) if p not in c) for c in choices]
-    rest: list[np.ndarray] | None = None
-
-    def settle(c, key, fp, node) -> pa.RecordBatch:
-        new = np.ones(len(c), bool)
-        new[1:] = (c[1:] != c[:-1]) | (key[1:] != key[:-1])
-        starts = np.flatnonzero(new)
-        sizes = np.diff([*starts, len(c)])
-        a, b = [], []
-        for i in np.flatnonzero(sizes > _SMALL).tolist():
-            s = slice(starts[i], starts[i] + sizes[i])
-            x, y = _large_list(fp[s], node[s], free[c[starts[i]]], max_bits)
-            a += x.tolist()
-            b += y.tolist()
+    moved = np.flatnonzero(label != np.arange(len(fp)))
+    return order[moved], order[label[moved]]
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of the runs of equal keys in sorted arrays."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    starts = np.flatnonzero(new)
+    return starts, np.diff([*starts, len(new)])
+
+
+def _large_list(fp: np.ndarray, choice: tuple[int, ...], max_bits: int) -> list[tuple[int, int]]:
+    """Links (i, j) of a long list: cut by each further byte that a pair may share."""
+    links = []
+    free = [p for p in range(8) if p not in choice]
+    for p in free:
+        byte = (fp >> np.uint64(8 * p)) & np.uint64(255)
+        order = np.argsort(byte, kind="stable")
+        starts, sizes = _runs(byte[order])
         small = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
-        run, fp, node, c = np.repeat(np.arange(len(starts)), sizes)[small], fp[small], node[small], c[small]
-        links: dict[int, list] = {}
-        for k in range(1, int(sizes[(sizes > 1) & (sizes <= _SMALL)].max(initial=1))):
-            same = np.flatnonzero(run[k:] == run[:-k])
-            if not len(same):
-                break
-            x = fp[same] ^ fp[same + k]
-            differ = np.stack([(x >> np.uint64(8 * p)) & np.uint64(255) > 0 for p in range(8)])
-            tally = 8 - differ.sum(0)
-            good = (tally >= 8 - max_bits) & (np.bitwise_count(x) <= max_bits)
-            for j in np.flatnonzero(good).tolist():
-                shared = tuple(np.flatnonzero(~differ[:, j]).tolist())[: 8 - max_bits]
-                at = same[j]
-                if choices[c[at]] == shared:
-                    links.setdefault(int(run[at]), []).append((int(node[at]), int(node[at + k])))
-        for found in links.values():
-            for x, y in _forest(found):
-                a.append(x)
-                b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINKS)
-
+        at, run = order[small], np.repeat(np.arange(len(sizes)), sizes)[small]
+        for i, j, _ in _near_pairs(run, fp[at], min(_SMALL, int(sizes.max())), max_bits):
+            links += zip(at[i].tolist(), at[j].tolist(), strict=True)
+        for k in np.flatnonzero(sizes > _SMALL).tolist():
+            at = order[starts[k] : starts[k] + sizes[k]]
+            i, j = _probe(fp[at], [q for q in free if q != p], max_bits)
+            links += zip(at[i].tolist(), at[j].tolist(), strict=True)
+    return links
+
+
+def _settle(c: np.ndarray, fp: np.ndarray, choices: list[tuple[int, ...]], masks: np.ndarray, max_bits: int) -> pa.RecordBatch:
+    """Sorted entries of whole lists -> a spanning forest of the links of each."""
+    starts, sizes = _runs(c, fp & masks[c])
+    a, b = [], []
+    for i in np.flatnonzero(sizes > _SMALL).tolist():
+        part = fp[starts[i] : starts[i] + sizes[i]]
+        for x, y in _forest(_large_list(part, choices[c[starts[i]]], max_bits)):
+            a.append(part[x])
+            b.append(part[y])
+    small = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
+    run, fp, c = np.repeat(np.arange(len(starts)), sizes)[small], fp[small], c[small]
+    links: dict[int, list] = {}
+    most = int(sizes[(sizes > 1) & (sizes <= _SMALL)].max(initial=1))
+    for i, j, shared in _near_pairs(run, fp, most, max_bits):
+        for x, y, s in zip(i.tolist(), j.tolist(), shared, strict=True):
+            if choices[c[x]] == tuple(np.flatnonzero(s).tolist())[: 7 - max_bits]:
+                links.setdefault(int(run[x]), []).append((x, y))
+    for found in links.values():
+        for x, y in _forest(found):
+            a.append(fp[x])
+            b.append(fp[y])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)], schema=_LINKS)
+
+
+def _list_links(batches: Iterator[pa.RecordBatch], choices: list[tuple[int, ...]], masks: np.ndarray, max_bits: int) -> Iterator[pa.RecordBatch]:
+    """(choice, fp), sorted by choice and key -> links within each list."""
+    c, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
     for batch in batches:
-        if not batch.num_rows:
+        c = np.concatenate([c, batch.column(0).to_numpy().astype(np.int64)])
+        fp = np.concatenate([fp, batch.column(1).to_numpy().astype(np.int64).view(np.uint64)])
+        if not len(c):
             continue
-        now = [batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(np.int64).view(np.uint64), batch.column(3).to_numpy()]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now, strict=True)]
         # The last list may go on in the next batch.
-        open_at = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1])).max(initial=-1)) + 1
-        rest = [x[open_at:] for x in now]
-        if open_at:
-            yield settle(*(x[:open_at] for x in now))
-    if rest is not None:
-        yield settle(*rest)
+        key = fp & masks[c]
+        upto = int(np.flatnonzero((c != c[-1]) | (key != key[-1])).max(initial=-1)) + 1
+        if upto:
+            yield _settle(c[:upto], fp[:upto], choices, masks, max_bits)
+            c, fp = c[upto:], fp[upto:]
+    if len(c):
+        yield _settle(c, fp, choices, masks, max_bits)
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     """(fp, node) with distinct fp -> links (a, b) between nodes, spanning all pairs within max_bits."""
     if not 1 <= max_bits <= 3:
         raise ValueError("max_bits is 1, 2 or 3: the guaranteed minimum of shared bytes must leave selective lists")
-    choices = list(combinations(range(8), 8 - max_bits))
-    fp = F.col("fp")
-    entries = []
-    for i, choice in enumerate(choices):
-        mask = sum(255 << (8 * p) for p in choice)
-        mask = mask - (1 << 64) if mask >= 1 << 63 else mask
-        entries.append(F.struct(F.lit(i).cast("byte").alias("c"), fp.bitwiseAND(F.lit(mask)).alias("key")))
-    posted = prints.select(F.explode(F.array(*entries)).alias("e"), "fp", "node").select("e.c", "e.key", "fp", "node")
-    lists = posted.repartition("c", "key").sortWithinPartitions("c", "key")
-    return lists.mapInArrow(partial(_list_links, choices=choices, max_bits=max_bits), "a long, b long")
+    choices = list(combinations(range(8), 7 - max_bits))
+    masks = np.array([sum(255 << (8 * p) for p in choice) for choice in choices], np.uint64)
+    posted = prints.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks.view(np.int64).tolist()])).alias("c", "mask"))
+    posted = posted.select(F.col("c").cast("byte").alias("c"), "fp", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+    lists = posted.repartition("c", "key").sortWithinPartitions("c", "key").select("c", "fp")
+    links = lists.mapInArrow(partial(_list_links, choices=choices, masks=masks, max_bits=max_bits), "a long, b long")
+    for end in ("a", "b"):
+        links = links.join(prints.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    return links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
 
 
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -198,10 +230,12 @@ def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     gives no rows; other columns play no part.
     """
     prints = staged(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    nodes = staged(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("node")), "fingerprint-nodes")
+    every = staged(prints.groupBy("fp").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n")), "fingerprint-nodes")
+    nodes = every.where("node is not null")  # that is, of a row with an id
     of = components(fingerprint_links(nodes, max_bits))
-    classes = nodes.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(staged(classes, "fingerprint-classes"), "fp", "left").select("id", "fp", "component_id")
+    classes = every.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"), "n")
+    classes = staged(classes, "fingerprint-classes")
+    return join_unique(prints, classes, ["fp"], prints.count()).select("id", "fp", "component_id")
 
 
 def fingerprint_hex(fp):
@@ -271,8 +305,10 @@ def _band_lists(nodes: DataFrame) -> DataFrame:
     """(band, key, node, n, low, high) of the lists of two and more texts that share a band; low and high lead."""
     posted = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("low"), F.max(order).alias("high")).where("n > 1")
-    return posted.join(lists, ["band", "key"])
+    lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("low"), F.max(order).alias("high")).where("rows > 1")
+    lists = staged(lists.withColumn("n", F.col("rows")), "near-bands")
+    found = join_unique(posted, lists, ["band", "key"], BANDS * nodes.count())
+    return found.withColumnRenamed("rows", "n")
 
 
 def _band_pairs(at: DataFrame) -> DataFrame:
@@ -363,10 +399,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     d = like(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long"), "text").where("id is not null")
     keys = staged(d.mapInArrow(partial(_key_batches, words=words), "id long, h1 long, h2 long, fp long, bands array<long>"), "near-keys")
-    copies = keys.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    copies = keys.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n"))
     nodes = staged(copies, "near-nodes")
-    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("node")), "near-prints")
-    same = nodes.join(prints.withColumnRenamed("node", "first"), "fp").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    prints = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "near-prints")
+    same = join_unique(nodes.select("fp", F.col("node").alias("b")), prints.select("fp", F.col("node").alias("a"), "n"), ["fp"], nodes.count()).select("a", "b")
     at = staged(_band_lists(nodes), "near-lists")
     pairs = fingerprint_links(prints).unionByName(same).unionByName(_band_pairs(at))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
@@ -383,8 +419,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = _rest_links(at, sets, stars, similarity)
     joined = stars.select(F.col("node").alias("a"), F.col("component").alias("b"))
     of = components(joined.unionByName(rest).unionByName(_id_links(keys, nodes)))
-    classes = nodes.join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
-    return keys.join(staged(classes, "near-classes"), ["h1", "h2"]).select("id", "component_id")
+    classes = nodes.join(of, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"), "n")
+    return join_unique(keys, staged(classes, "near-classes"), ["h1", "h2"], keys.count()).select("id", "component_id")
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:

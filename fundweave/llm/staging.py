@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -39,3 +40,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def like(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, so that other columns, whatever their names, play no part."""
     return df.select(*[df[f"`{n}`"] for n in names])
+
+
+#: A key counts as hot from one in so many of its table's rows: fewer keys than this are hot.
+HOT_KEYS = 1024
+
+
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: int, n: str = "n") -> DataFrame:
+    """left inner-joined to right, which has one row a key and the key's number n of left's rows.
+
+    A key with more than 1 in HOT_KEYS of left's rows would fill a task of its own. There
+    are fewer than HOT_KEYS of those, whatever the size of the table, so they are broadcast
+    and their rows stay where they are; the rows of all other keys are shuffled.
+    """
+    limit = max(1, rows // HOT_KEYS)
+    hot, cold = right.where(F.col(n) > limit).drop(n), right.where(F.col(n) <= limit).drop(n)
+    near = left.join(F.broadcast(hot), on)
+    far = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on)
+    return near.unionByName(far)
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, lengthened until df has no column of that name in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
