@@ -41,12 +41,13 @@ def _data(spark):
     return rows, items, spark.createDataFrame(rows, "doc_id long, text string, items array<int>").repartition(3), bench
 
 
-@pytest.mark.parametrize("limit", [16 << 20, 200])
+@pytest.mark.parametrize("limit", [16 << 20, 3000])
 def test_documents_equal_brute_force(spark, limit):
     rows, items, docs, bench = _data(spark)
-    got = decontam.contamination(docs, bench, n=4, broadcast_bytes=limit).collect()
+    got = decontam.contamination(docs, bench, n=4, held_bytes=limit).collect()
     got = sorted(((r.doc_id, r["__n_words"], r["__n_hit"], list(r["__items"])) for r in got), key=str)
     assert got == sorted(((i, *_brute(t, items, 4)) for i, t, _ in rows), key=str)
+    assert (decontam._blocks(bench.where("text is not null"), 4, limit) > 1) == (limit == 3000)
 
 
 def test_removal_of_documents_and_spans(spark):
@@ -60,6 +61,26 @@ def test_removal_of_documents_and_spans(spark):
     assert [r.text for r in decontam.decontaminate(d, b, n=4, remove="spans").orderBy("doc_id").collect()] == ["Keep ÉÉ: ! rest", None]
 
 
+@pytest.mark.parametrize("limit", [16 << 20, 400])
+def test_columns_that_have_the_names_of_new_ones(spark, limit):
+    b = spark.createDataFrame([(1, "one two three four"), (2, "five six seven eight nine")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "x one two THREE four y", 7, 8, 9, "k"), (2, "other", 7, 8, 9, "k")], "doc_id long, text string, __hits int, __N_Words int, ___x int, key string")
+    kept = decontam.decontaminate(d, b, n=4, held_bytes=limit)
+    assert [tuple(r) for r in kept.collect()] == [(2, "other", 7, 8, 9, "k")] and kept.columns == d.columns
+    cut = decontam.decontaminate(d, b, n=4, remove="spans", held_bytes=limit)
+    assert sorted(tuple(r) for r in cut.collect()) == [(1, "x  y", 7, 8, 9, "k"), (2, "other", 7, 8, 9, "k")]
+    found = decontam.contamination(d, b, n=4, held_bytes=limit)
+    assert sorted((r.doc_id, r["__n_words"], r["__n_hit"], r.key) for r in found.collect()) == [(1, 6, 4, "k"), (2, 1, 0, "k")]
+
+
+def test_a_very_long_text(spark):
+    b = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    text = " ".join(["word one two"] * 400_000 + ["one two three four"] * 3)
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = decontam.contamination(d, b, n=4).first()
+    assert (r["__n_words"], r["__n_hit"], list(r["__items"])) == (1_200_012, 12, [1])
+
+
 def test_empty_tables(spark):
     _, _, docs, bench = _data(spark)
     assert decontam.contamination(docs.limit(0), bench).count() == 0
