@@ -7,8 +7,10 @@ a record can be read alone at the offset that the index returns.
 Of records with equal payloads (by SHA-1) that with the least page id is written as a
 response, the others as revisits without payload that refer to it.
 
-Scale: payloads are hashed where they are read; only digests that occur twice or more are
-joined back, so a group of equal pages costs one row. Archives are written by the task that
+Scale: payloads are hashed where they are read; digests that occur twice or more, one row
+each, are broadcast to the pages up to a checked number of bytes. Beyond it they are joined
+to ids and digests alone, without payloads, and the payloads are joined to the revisits by
+id, so that a group of equal pages is never dealt to one task. Archives are written by the task that
 holds the pages, in files of at most file_bytes of records, to the shared folder, under
 names that no repeated task reuses.
 """
@@ -30,11 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import like, shared_dir, staged
+from .staging import join_unique, like, shared_dir, staged
 
 DICTIONARY_FRAME = 0x184D2A5D
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NAMES = uuid.UUID("2b0c6a5e-7d0f-5a52-9a53-6f1c4b0f7a11")
+#: A repeated digest and its first id, in a broadcast table.
+_REPEAT_BYTES = 120
 _INDEX = pa.schema([("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64())])
 _PAGES = pa.schema(
     [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]
@@ -156,13 +160,15 @@ def write_archives(
     dictionary_bytes: int = 64 << 10,
     sample_bytes: int = 2 << 20,
     level: int = 3,
+    broadcast_bytes: int = 32 << 20,
     date: str = "1970-01-01T00:00:00Z",
 ) -> tuple[DataFrame, str]:
     """Writes a record for every page; returns (index, folder).
 
     index: path, offset, length, page_id of every record. Equal payloads below
     min_revisit_bytes are all responses. The dictionary of an archive is built from its
-    records up to sample_bytes, which bounds the writer's memory.
+    records up to sample_bytes, which bounds the writer's memory. Repeated digests are
+    broadcast where they take at most broadcast_bytes.
 
     A null html is an empty payload; a null url is the page's own urn. Rows that repeat the
     id and payload of a response are responses too. A null id revisits a payload that some
@@ -174,9 +180,16 @@ def write_archives(
     p = p.withColumn("sha", F.sha1(body.cast("binary")))
     sums = p.select("page_id", "sha", F.octet_length(body).alias("size")).where(F.col("size") >= min_revisit_bytes)
     twice = sums.groupBy("sha").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    twice = staged(twice.select("sha", "first"), "warc-repeats")
-    revisit = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    todo = p.join(twice, "sha", "left").select("page_id", "url", "html", "sha", revisit.alias("first"))
+    twice = staged(twice, "warc-repeats")
+    other = ~F.col("page_id").eqNullSafe(F.col("first"))
+    if twice.count() * _REPEAT_BYTES <= broadcast_bytes:
+        todo = p.join(F.broadcast(twice.drop("n")), "sha", "left").withColumn("first", F.when(other, F.col("first")))
+    else:
+        sums = staged(sums.select("page_id", "sha").distinct(), "warc-sums")
+        revisits = join_unique(sums, twice, ["sha"], pages.count()).where(F.col("first").isNotNull() & other)
+        revisits = revisits.select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first")
+        todo = p.join(revisits.hint("merge"), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
+    todo = todo.select("page_id", "url", "html", "sha", "first")
     write = partial(_write, folder=folder, file_bytes=file_bytes, dictionary_bytes=dictionary_bytes, sample_bytes=sample_bytes, level=level, date=date)
     return staged(todo.mapInArrow(write, "path string, offset long, length long, page_id long"), "warc-index"), folder
 

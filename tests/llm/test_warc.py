@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import pytest
 import zstandard
 from pyarrow import fs
 
@@ -14,14 +15,15 @@ def _pages(spark, rows):
     return spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, sha string").repartition(3)
 
 
-def test_round_trip(spark):
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_round_trip(spark, limit):
     r = random.Random(1)
     bodies = [None, "", "<p>é😀</p>\r\n\r\n", "WARC/1.1\r\nContent-Length: 9\r\n\r\n", "x" * 300_000] + [
         "<html>" + " ".join(r.choice(["alpha", "beta", "<b>", "</b>"]) for _ in range(80)) for _ in range(60)
     ]
     rows = [(i, f"http://e.org/{i}" if i % 5 else None, b) for i, b in enumerate(bodies)]
     rows += [(100 + i, "http://e.org/a\r\nb", bodies[i % 7]) for i in range(30)] + [(3, "u", bodies[3]), (None, "u", bodies[9]), (None, None, "alone")]
-    index, folder = warc.write_archives(_pages(spark, rows), file_bytes=20_000, sample_bytes=8_000)
+    index, folder = warc.write_archives(_pages(spark, rows), file_bytes=20_000, sample_bytes=8_000, broadcast_bytes=limit)
     assert index.select("path").distinct().count() > 3
     got = sorted((tuple(x[:5]) for x in warc.read_archives(index, folder).collect()), key=str)
     first: dict = {}
