@@ -8,9 +8,11 @@ the cells passed hold a given share of all vectors; what they hold is reranked e
 Scale: the codebooks are fitted on a bounded sample; every vector is indexed. Equal vectors
 are indexed once with their least ids, of which a query needs no more than k + 1. Cells are
 packed into blocks of at most block_rows vectors, a larger cell being split; a task holds
-one block and streams the queries that visit it, each returning its best k of the block.
-The share, not a number, of vectors is visited, so the work of a query grows with the
-table: the data of this kind have no structure that would allow less at a recall of 0.9.
+one block and streams the queries that visit it: each cell is multiplied with the queries
+that visit that cell, so that cells not visited cost nothing, and each query returns its
+best k of the block. The share visited is the least at which vectors of the fitted sample
+find their true neighbours. A share, not a number, of vectors is visited, so the work of a
+query grows with the table: vectors without structure do not allow less.
 """
 
 from __future__ import annotations
@@ -141,7 +143,7 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _score(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Sorted by block, entries before queries -> each query's best k of the block."""
+    """Sorted by block, entries before queries -> each query's best k of the cells it visits there."""
     block, parts, ready = None, [], None
     for batch in batches:
         blocks = batch.column(0).to_numpy()
@@ -155,36 +157,86 @@ def _score(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.R
             is_query = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
             n = int((~is_query).sum())
             if n:
-                parts.append((part.column(3).slice(0, n).to_pylist(), _matrix(part.column(4).slice(0, n), dim), [c[0] for c in part.column(5).slice(0, n).to_pylist()]))
+                parts.append((part.column(3).slice(0, n).to_pylist(), _matrix(part.column(4).slice(0, n), dim), part.column(5).slice(0, n).flatten().to_numpy()))
             if n == len(part) or not parts:
                 continue
-            if ready is None:
-                x = np.concatenate([p[1] for p in parts])
-                cell = np.concatenate([np.array(p[2], np.int64) for p in parts])
-                ready = sum((p[0] for p in parts), []), x, _unit(x), cell
+            ready = ready or _by_cell(parts)
             q = part.slice(n)
-            yield _best(q.column(2).to_pylist(), _matrix(q.column(4), dim), q.column(5).to_pylist(), ready, k)
-
-
-def _best(query_ids: list[int], queries: np.ndarray, cells: list[list[int]], ready: tuple, k: int) -> pa.RecordBatch:
-    ids, x, unit, cell = ready
-    rows = []
-    for i in range(0, len(query_ids), 256):
-        near = _unit(queries[i : i + 256]) @ unit.T
-        for r, j in enumerate(range(i, min(i + 256, len(query_ids)))):
-            line = np.where(np.isin(cell, np.array(cells[j])), near[r], -np.inf)
-            # A few more than k, as near ties may change places once scored exactly; one may be the query itself.
-            top = np.argpartition(-line, min(k + 8, len(line) - 1))[: k + 9]
-            cut = np.sort(line[top])[::-1][: k + 1][-1] - 1e-9
-            found = []
-            for t in np.flatnonzero(line >= max(cut, -2)).tolist():
-                score = cosine(queries[j], x[t])
-                found += [(-score, v) for v in ids[t] if v != query_ids[j]]
-            rows += [(query_ids[j], v, -s) for s, v in sorted(found)[:k]]
-    columns = list(zip(*rows, strict=True)) or [()] * 3
+            for i in range(0, q.num_rows, 1024):
+                some = q.slice(i, 1024)
+                yield _best(some.column(2).to_pylist(), _matrix(some.column(4), dim), some.column(5), ready, k)
+
+
+def _by_cell(parts: list[tuple]) -> tuple:
+    """(ids, vectors, unit vectors, cells, starts of the cells), sorted by cell."""
+    cell = np.concatenate([p[2] for p in parts])
+    order = np.argsort(cell, kind="stable")
+    every = sum((p[0] for p in parts), [])
+    x = np.concatenate([p[1] for p in parts])[order]
+    cells, starts = np.unique(cell[order], return_index=True)
+    return [every[i] for i in order.tolist()], x, _unit(x), cells, np.append(starts, len(x))
+
+
+def _best(query_ids: list[int], queries: np.ndarray, visited: pa.ListArray, ready: tuple, k: int) -> pa.RecordBatch:
+    """Multiplies each cell with the queries that visit it alone, keeping each query's nearest so far."""
+    ids, x, unit, cells, starts = ready
+    q = _unit(queries)
+    # A few more than k, as near ties may change places once scored exactly; one may be the query itself.
+    room = k + 9
+    score, at = np.full((len(q), room), -np.inf), np.zeros((len(q), room), np.int64)
+    wanted = np.searchsorted(cells, visited.flatten().to_numpy())
+    of = np.repeat(np.arange(len(q)), np.diff(visited.offsets.to_numpy()))
+    order = np.argsort(wanted, kind="stable")
+    bounds = np.searchsorted(wanted[order], np.arange(len(cells) + 1))
+    for c in range(len(cells)):
+        rows = of[order[bounds[c] : bounds[c + 1]]]
+        if not len(rows):
+            continue
+        near = q[rows] @ unit[starts[c] : starts[c + 1]].T
+        better = near.max(1) > score[rows].min(1)
+        rows, near = rows[better], near[better]
+        both = np.concatenate([score[rows], near], 1)
+        place = np.concatenate([at[rows], np.broadcast_to(np.arange(starts[c], starts[c + 1]), near.shape)], 1)
+        top = np.argpartition(-both, room - 1, axis=1)[:, :room]
+        score[rows], at[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(place, top, 1)
+    out = []
+    for j, query in enumerate(query_ids):
+        held = at[j][score[j] >= max(np.sort(score[j])[-(k + 1)] - 1e-9, -2)]
+        found = []
+        for t in held.tolist():
+            exact = cosine(queries[j], x[t])
+            found += [(-exact, v) for v in ids[t] if v != query]
+        out += [(query, v, -s) for s, v in sorted(found)[:k]]
+    columns = list(zip(*out, strict=True)) or [()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)
 
 
+def visit_share(x: np.ndarray, books: Codebooks, *, recall: float, k: int = 5, asked: int = 400, seed: int = 42) -> float:
+    """The share of all vectors that must be visited to pass `recall` of the k nearest of some of the sample.
+
+    Each of `asked` vectors of the sample is compared with all of it; for each of its true
+    neighbours the share visited up to the end of the neighbour's cell is noted.
+    """
+    if len(x) <= k + 1:
+        return 1.0
+    half, cell = books.left.shape[1], cells_of(x, books)
+    sizes = np.bincount(cell, minlength=len(books.left) * len(books.right))
+    chosen = np.random.default_rng(seed).choice(len(x), min(asked, len(x)), replace=False)
+    shares = []
+    for i in range(0, len(chosen), 100):
+        rows = chosen[i : i + 100]
+        near = x[rows] @ x.T
+        near[np.arange(len(rows)), rows] = -np.inf
+        true = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        left, right = _distances(x[rows, :half], books.left), _distances(x[rows, half:], books.right)
+        for r in range(len(rows)):
+            order = np.argsort((left[r][:, None] + right[r][None]).ravel(), kind="stable")
+            passed = np.zeros(len(sizes))
+            passed[order] = np.cumsum(sizes[order])
+            shares += (passed[cell[true[r]]] / len(x)).tolist()
+    return float(np.quantile(shares, recall))
+
+
 def search(
     vectors: DataFrame,
     *,
@@ -193,7 +245,8 @@ def search(
     query_every: int = 50,
     k: int = 5,
     codes: int = 32,
-    visit: float = 0.75,
+    visit: float | None = None,
+    recall: float = 0.95,
     sample_rows: int = 20_000,
     block_rows: int = 4096,
     seed: int = 42,
@@ -203,7 +256,9 @@ def search(
     Queries are the rows whose id is divisible by query_every; candidates all rows but the
     query's own id; ties go to the smaller id. Vectors that are null, zero, or hold null or
     non-finite components take no part, nor do rows without an id, nor vectors of another
-    length than most have. An id that repeats is several candidates, and a query once for
+    length than most have. visit: the share of the vectors that a query's cells hold; if
+    not given, the least at which some of the fitted sample find `recall` of their true
+    neighbours in the sample. An id that repeats is several candidates, and a query once for
     each different vector; equal results of theirs are listed once. Fewer candidates than
     k are all returned. An empty table gives no rows; other columns play no part.
     """
@@ -213,7 +268,7 @@ def search(
     v = v.where(F.col("id").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
     dims = v.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if dims is None or dims.d < 2:
+    if dims is None:
         return nothing
     dim = dims.d
     v = v.where(F.size("vector") == dim)
@@ -224,6 +279,7 @@ def search(
     sample = distinct.orderBy(F.xxhash64("vector", F.lit(seed)), F.col("ids")[0]).limit(sample_rows).select("vector").toArrow()
     x = _unit(_matrix(sample.column(0).combine_chunks(), dim))
     books = Codebooks(kmeans(x[:, : dim // 2], codes, seed), kmeans(x[:, dim // 2 :], codes, seed + 1))
+    visit = visit_share(x, books, recall=recall, k=k, seed=seed) if visit is None else visit
     kind = dict(distinct.dtypes)["vector"]
     entries = staged(distinct.mapInArrow(partial(_assign, books=books, dim=dim), f"ids array<long>, vector {kind}, cell int"), "ann-cells")
     sizes = np.zeros(len(books.left) * len(books.right), np.int64)
