@@ -8,6 +8,7 @@ and the pieces they know, from task to task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -15,8 +16,9 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct pieces remembered in each of two generations.
-REMEMBERED = 150_000
+#: Distinct pieces remembered in each of two generations: of the word encoder's short
+#: pieces (about 200 bytes each), and of those with spans (about 400 bytes).
+REMEMBERED, REMEMBERED_SPANS = 400_000, 150_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A single blank between two characters that are not white space.
@@ -26,21 +28,67 @@ _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 #: The tokenizer's own pattern, for lower-case plain text.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 
+#: Lower-case letters and white space, and signs that stand alone: no two of those are one piece.
+_SIMPLE = re.compile("[\t-\r a-zß-öø-ÿ.,;:!?()]*")
+_SIGNS = ".,;:!?()"
+_TWO_SIGNS = re.compile("[.,;:!?()]{2}")
+
 #: The byte-level tokenizer's own pattern, for plain text; its pieces follow each other without gaps.
 _BYTE_PIECES = re.compile(
     "'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\\s+(?!\\S)|\\s+"
 )
 
 
+@cache
+def _description(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def _steps(part: dict | None) -> list[dict]:
+    """The steps of a normaliser or pre-tokenizer, one after the other."""
+    if part is None:
+        return []
+    return [step for p in part.get("normalizers") or part.get("pretokenizers") or [part] for step in ([p] if p is part else _steps(p))]
+
+
+#: Fixed value: the pattern that the word encoder stands in for.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _is_word_bpe(found: dict) -> bool:
+    """Whether the file's normaliser and pattern are those that WordEncoder stands in for."""
+    norm, pre = _steps(found["normalizer"]), _steps(found["pre_tokenizer"])
+    return (
+        [x["type"] for x in norm] == ["NFC", "Replace", "Lowercase"]
+        and (norm[1]["pattern"], norm[1]["content"]) == ({"Regex": r"\s+"}, " ")
+        and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        and (pre[0]["pattern"], pre[0]["behavior"], pre[0]["invert"]) == ({"Regex": _WORD_PATTERN}, "Removed", True)
+        and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+        and found["post_processor"] is None and found["truncation"] is None and found["model"]["type"] == "BPE"
+        and all(t["content"].startswith("<|") and not re.search(r"\s", t["content"]) for t in found["added_tokens"])
+    )
+
+
+def _is_byte_bpe(found: dict) -> bool:
+    """Whether the file's pre-tokenizer is the byte-level one that SpanEncoder stands in for."""
+    pre = _steps(found["pre_tokenizer"])
+    return (
+        not _steps(found["normalizer"]) and [x["type"] for x in pre] == ["ByteLevel"] and not pre[0]["add_prefix_space"] and pre[0]["use_regex"]
+        and found["post_processor"] is None and found["truncation"] is None and found["model"]["type"] == "BPE"
+        and all(t["special"] for t in found["added_tokens"])
+    )
+
+
 class Memory:
     """What pieces become, in two generations: the older one is dropped when the newer is full."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable]):
-        self.make, self.new, self.old = make, {}, {}
+    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
+        self.make, self.most, self.new, self.old = make, most, {}, {}
 
     def of(self, pieces: set[str]) -> dict:
         """A mapping that holds all the pieces."""
-        if len(self.new) >= REMEMBERED:
+        if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
         order = []
         for p in pieces.difference(self.new):
@@ -64,6 +112,16 @@ def tokenizer(path: str, special_as_text: bool):
     return t
 
 
+def _plain_pieces(text: str) -> list[str]:
+    """The pieces of a lower-case plain text, by splitting at white space where that is enough."""
+    if not _SIMPLE.fullmatch(text) or _TWO_SIGNS.search(text):
+        return _PIECES.findall(text)
+    for sign in _SIGNS:
+        if sign in text:
+            text = text.replace(sign, f" {sign} ")
+    return text.split()
+
+
 class WordEncoder:
     """For the word BPE: lower case, white space separates words for good and is dropped.
 
@@ -72,20 +130,26 @@ class WordEncoder:
     at white space and their words go through the whole tokenizer. str.split() also cuts at
     \\x1c-\\x1f, which the tokenizer takes for symbols: texts with those are encoded as
     they are.
+
+    All that holds for a tokenizer with the normaliser and the pattern that _is_word_bpe()
+    asks for. Any other encodes whole texts.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path = path
+        self.known = _is_word_bpe(_description(path))
         self.model = Tokenizer.from_file(path)
         #: How ids are returned: two bytes an id where the vocabulary allows it.
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
+        if not self.known:
+            return
         self.model.normalizer = normalizers.Sequence([])
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.pieces, self.words = Memory(self._of_pieces), Memory(self._of_words)
+        self.pieces, self.words = Memory(self._of_pieces, REMEMBERED), Memory(self._of_words, REMEMBERED_SPANS)
 
     @property
     def tokenizer(self):
@@ -108,10 +172,12 @@ class WordEncoder:
     def encode_batch(self, texts: list[str | None], end_id: int | None = None) -> list[bytes]:
         """For each text, its ids as little-endian unsigned integers of self.kind."""
         end = b"" if end_id is None else self._raw([end_id])
+        if not self.known:
+            return [self._raw(e.ids) + end for e in self.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         plain, other = [], []
         for text in texts:
             easy = not text or (_PLAIN.fullmatch(text) and "<|" not in text)
-            plain.append(_PIECES.findall((text or "").lower()) if easy else None)
+            plain.append(_plain_pieces((text or "").lower()) if easy else None)
             other.append(None if easy or _SEPARATORS.search(text) else text.split())
         pieces = self.pieces.of(set().union(*(p for p in plain if p))).__getitem__
         words = self.words.of(set().union(*(w for w in other if w))).__getitem__
@@ -131,30 +197,34 @@ class SpanEncoder:
 
     Plain texts are split by the tokenizer's pattern here. Others are cut before a single
     blank between two characters that are not white space: that blank always begins a word.
+    All that holds for a tokenizer of that pattern; any other encodes whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path, True)
-        self.pieces = Memory(lambda part: map(self._entry, self.tokenizer.encode_batch(part, add_special_tokens=False)))
+        self.known = _is_byte_bpe(_description(path))
+        self.pieces = Memory(self._entries, REMEMBERED_SPANS)
 
-    @staticmethod
-    def _entry(e) -> tuple[bytes, bytes]:
-        return np.array(e.ids, "<i8").tobytes(), np.array(e.offsets, "<i8").tobytes()
+    def _entries(self, texts: list[str]) -> Iterable[tuple[bytes, bytes, int]]:
+        for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            yield np.array(e.ids, "<i8").tobytes(), np.array(e.offsets, "<i8").tobytes(), len(text)
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, ends) of the whole text, in characters."""
         if not text:
             return (np.zeros(0, np.int64),) * 3
-        if _PLAIN.fullmatch(text):
-            pieces = _BYTE_PIECES.findall(text)
+        if not self.known:
+            found = self._entries([text])
         else:
-            pieces = _CUT.split(text)
-            pieces[1:] = [" " + p for p in pieces[1:]]
-        known = self.pieces.of(set(pieces))
-        ids, spans = zip(*map(known.__getitem__, pieces), strict=True)
-        base = np.zeros(len(pieces), np.int64)
-        np.cumsum([len(p) for p in pieces[:-1]], out=base[1:])
-        base = np.repeat(base, [len(x) // 8 for x in ids])
+            if _PLAIN.fullmatch(text):
+                pieces = _BYTE_PIECES.findall(text)
+            else:
+                pieces = _CUT.split(text)
+                pieces[1:] = [" " + p for p in pieces[1:]]
+            found = map(self.pieces.of(set(pieces)).__getitem__, pieces)
+        ids, spans, sizes = zip(*found, strict=True)
+        sizes = np.array(sizes)
+        base = np.repeat(np.cumsum(sizes) - sizes, np.array([len(x) for x in ids]) // 8)
         span = np.frombuffer(b"".join(spans), "<i8").reshape(-1, 2)
         return np.frombuffer(b"".join(ids), "<i8"), span[:, 0] + base, span[:, 1] + base
 

@@ -1,7 +1,9 @@
 """Token files: encoders against whole-text encoding, codes and files as exact round trips."""
 
+import json
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +18,7 @@ BYTES = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
     None, "", " ", "Hello  World", "a\tb\nc\r\n d", "it's <|endoftext|> we've", "<|startoftext|>x", "é é ß ΑΣ İ",
     "a b c　d", "x\x1cy \x1f z", "# ## a#b", "\n\n  two\n\n", "naïve 😀😀 " * 50, "word " * 3000, " lead", "trail ",
-    "a  b   c", "tab\t x", "ÀÉß ÿ×÷ ½ ²x ªº µm DON'T don'ts 'RE", "İstanbul ΑΣΣ. ŉ ﬁ K", "Ǆ 12345 6", "́start",
+    "a  b   c", "tab\t x", "ÀÉß ÿ×÷ ½ ²x ªº µm DON'T don'ts 'RE", "İstanbul ΑΣΣ. ŉ ﬁ K", "Ǆ 12345 6", "́start", "Hello, world. (Yes); no!?", "one. two, (three) four: é;\nfive ! six", "end..", "(a.) b",
 ]
 
 
@@ -46,6 +48,38 @@ def test_span_encoder_equals_whole_text_encoding():
         assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets, repr(text)
 
 
+def _other_file(tmp_path, source, change):
+    found = json.loads(Path(source).read_text(encoding="utf-8"))
+    change(found)
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(found), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize("change", [
+    lambda d: d.update(normalizer=None),
+    lambda d: d["pre_tokenizer"]["pretokenizers"][0]["pattern"].update(Regex=r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]"),
+    lambda d: d.update(added_tokens=[*d["added_tokens"], {**d["added_tokens"][0], "id": 49408, "content": "two words"}]),
+])
+def test_words_of_another_tokenizer_are_those_of_whole_texts(tmp_path, change):
+    path = _other_file(tmp_path, WORDS, change)
+    plain, encoder = Tokenizer.from_file(path), WordEncoder(path)
+    assert not encoder.known and WordEncoder(WORDS).known
+    texts = ["Hello World 123", "it's two words, DON'T", None, "", "a  b\n"]
+    for text, ids in zip(texts, encoder.encode_batch(texts, 2), strict=True):
+        assert np.frombuffer(ids, encoder.kind).tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def test_spans_of_another_tokenizer_are_those_of_whole_texts(tmp_path):
+    path = _other_file(tmp_path, BYTES, lambda d: d["pre_tokenizer"].update(use_regex=False))
+    plain, encoder = Tokenizer.from_file(path), SpanEncoder(path)
+    assert not encoder.known and SpanEncoder(BYTES).known
+    for text in ("Hello World 123", "it's  two words", "", "é x"):
+        want = plain.encode(text, add_special_tokens=False)
+        ids, starts, ends = encoder.encode(text)
+        assert ids.tolist() == want.ids and list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+
+
 @pytest.mark.parametrize("limit", [4, 9, 20])
 def test_code_round_trip(limit):
     r = np.random.default_rng(limit)
