@@ -5,11 +5,13 @@ thresholds, and the expected severity is the sum of these probabilities. f is li
 hashed words and word beginnings that the whole text holds, each scaled by how far toxic
 and other rows of the sample differ in it.
 
-Grades come from the labels: 0 for rows that are not toxic; toxic rows are graded by the
-share of their words that the labels show to be typical of toxic rows, cut at quantiles.
+Grades come from the labels: 0 for rows that are not toxic. The labels do not say how toxic a
+row is, so toxic rows are graded by the agreement of raters, each fitted on a part of the
+labelled rows that the graded row is not in: the more of them take it for toxic, the
+higher its grade.
 
-Scale: the model is fitted on a bounded sample of labelled rows (sample_rows, chosen by a
-seeded hash of the id). Scoring is one pass over the documents: the weights, a fixed number
+Scale: the model is fitted on a sample of labelled rows bounded in rows and in features
+(sample_rows, sample_features; chosen by a seeded hash of the id). Scoring is one pass over the documents: the weights, a fixed number
 of buckets, are broadcast, and a worker remembers the weight of each distinct word.
 """
 
@@ -24,13 +26,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .batches import by_size
-from .staging import like
+from .staging import free_names, like, staged
 
 BUCKETS = 1 << 18
 _STRIP = re.compile(r"^\W+|\W+$")
@@ -125,13 +127,28 @@ def fit(rows: list[np.ndarray], scale: np.ndarray, grades: np.ndarray, *, l2: fl
     return Model(weights, cuts(x))
 
 
-def severity_grades(rows: list[np.ndarray], scale: np.ndarray, toxic: np.ndarray, levels: int) -> np.ndarray:
-    """0 where not toxic; else 1..levels by the share of buckets typical of toxic rows."""
-    grades = np.zeros(len(rows), np.int64)
-    share = np.array([(scale[i] > 2).mean() if len(i) else 0.0 for i, t in zip(rows, toxic.tolist(), strict=True) if t])
-    cut = np.quantile(share, [k / levels for k in range(1, levels)])
-    grades[toxic] = 1 + np.searchsorted(cut, share, side="right")
-    return grades
+def severity_grades(rows: list[np.ndarray], toxic: np.ndarray, levels: int, *, raters: int = 5, clean_alarms: float = 0.05) -> np.ndarray:
+    """0 where not toxic; else 1..levels by how many raters agree that the row is.
+
+    The rows are dealt to as many parts as there are raters. A rater knows one part: it
+    adds up the log odds of a row's buckets in it, and calls a row toxic above what a share
+    of clean_alarms of the other rows of its part reach. A row is rated by all raters but
+    that of its own part; grades are even steps of the share of those that agree.
+    """
+    part = np.arange(len(rows)) % raters
+    votes, asked = np.zeros(len(rows)), np.zeros(len(rows))
+    for r in range(raters):
+        own = np.flatnonzero(part == r)
+        if not toxic[own].any() or toxic[own].all():
+            continue  # a part of one kind alone makes no rater
+        scale = scales([rows[i] for i in own], toxic[own], least_rows=2)
+        score = np.array([scale[i].sum() for i in rows])
+        alarm = np.quantile(score[own[~toxic[own]]], 1 - clean_alarms)
+        other = part != r
+        votes[other] += score[other] > alarm
+        asked[other] += 1
+    share = np.divide(votes, asked, out=np.ones(len(rows)), where=asked > 0)
+    return np.where(toxic, np.clip(np.ceil(share * levels), 1, levels), 0).astype(np.int64)
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +159,12 @@ def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, levels: int = 2, clean_rejected: float = 0.001, least_reject: float = 0.4, seed: int = 42
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = 20_000, sample_features: int = 20_000_000, levels: int = 2, clean_rejected: float = 0.001, least_reject: float = 0.4, seed: int = 42
 ) -> Model:
-    """Fits on at most sample_rows labelled documents.
+    """Fits on at most sample_rows labelled documents of at most sample_features features in all.
 
-    reject_at is the severity that a share of clean_rejected of the sample's rows that are
+    Of documents in the sample those come first whose hash of the id is least; the first
+    that would exceed sample_features, and those after it, are left out. reject_at is the severity that a share of clean_rejected of the sample's rows that are
     not toxic reach, and least_reject at least.
 
     Labels that are null or have no document are left out. Without any toxic label the
@@ -157,15 +175,19 @@ def train(
     chosen = lab.orderBy(key, "id", "toxic").limit(sample_rows)
     d = like(docs, id_col, text_col).toDF("id", "text")
     rows = d.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text")  # sample_rows labels at most
-    found = rows.mapInArrow(_features_of, "id long, toxic int, index array<int>").toArrow()
-    found = found.sort_by([("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    found = staged(rows.mapInArrow(_features_of, "id long, toxic int, index array<int>"), "toxicity-sample")
+    # sample_rows numbers at most in the one task of this window.
+    before = Window.orderBy(F.xxhash64("id", F.lit(seed)), "id", "toxic", F.size("index"), F.xxhash64("index"))
+    so_far = F.sum(F.size("index")).over(before.rowsBetween(Window.unboundedPreceding, 0))
+    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_features).toArrow()
+    found = found.sort_by([("so_far", "ascending"), ("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
     toxic = found.column(1).to_numpy() > 0
     if not toxic.any():
         return Model(np.zeros(BUCKETS, np.float32), np.full(levels, 1e9))
     lists = found.column(2).combine_chunks()
     index = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
     scale = scales(index, toxic)
-    model = fit(index, scale, severity_grades(index, scale, toxic, levels))
+    model = fit(index, scale, severity_grades(index, toxic, levels))
     clean = severity(np.array([model.weights[i].sum(dtype=np.float64) for i, t in zip(index, toxic, strict=True) if not t]), model.thresholds)
     return model._replace(reject_at=float(max(least_reject, np.quantile(clean, 1 - clean_rejected) if len(clean) else 0)))
 
@@ -202,19 +224,23 @@ def _score(batches: Iterator[pa.RecordBatch], held, text_at: int, schema: pa.Sch
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], schema=schema)
 
 
-def with_severity(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs with __severity, the expected severity: 0 to the number of levels.
+def with_severity(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "__severity") -> DataFrame:
+    """docs with the expected severity, 0 to the number of levels, in a column of that name.
 
     Null and empty texts are scored like a text without any known word. Every row is scored
-    for itself, so repeated rows and null ids change nothing; other columns pass unchanged.
+    for itself, so repeated rows and null ids change nothing, and ties do not matter; other
+    columns pass unchanged, but a column that has the name is replaced. An empty table
+    gives no rows.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("__severity", T.DoubleType())])
+    d = docs.drop(*[c for c in docs.columns if c.lower() == name.lower()])
+    schema = T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets
-    score = partial(_score, held=held, text_at=docs.columns.index(text_col), schema=to_arrow_schema(schema))
-    return docs.mapInArrow(score, schema)
+    score = partial(_score, held=held, text_at=d.columns.index(text_col), schema=to_arrow_schema(schema))
+    return d.mapInArrow(score, schema)
 
 
 def reject_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """docs without those of an expected severity of the model's reject_at or more."""
-    found = with_severity(docs, model, text_col=text_col)
-    return found.where(F.col("__severity") < model.reject_at).select(*[found[f"`{c}`"] for c in docs.columns])
+    """docs without those of an expected severity of the model's reject_at or more; all columns are kept."""
+    (name,) = free_names(docs, "severity")
+    found = with_severity(docs, model, text_col=text_col, name=name)
+    return found.where(F.col(name) < model.reject_at).select(*[found[f"`{c}`"] for c in docs.columns])
