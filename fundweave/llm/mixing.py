@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import like, staged
+from .staging import free_names, like, staged
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -173,13 +173,10 @@ def mix(
         docs, id_col=id_col, text_col=text_col, source_col=source_col,
         weights=weights, max_epochs=max_epochs, seed=seed,
     )
-    p = plan.select(
-        F.col("source").alias("__mix_source"), F.col("whole").alias("__mix_whole"), F.col("cut").alias("__mix_cut")
-    )
-    key = _sample_key(docs[f"`{id_col}`"], word_count(docs[f"`{text_col}`"]), seed)
-    d = docs.withColumn("__mix_key", key)
-    d = d.join(p, d[f"`{source_col}`"].eqNullSafe(F.col("__mix_source")))
-    repeats = F.col("__mix_whole") + F.when(F.col("__mix_key") <= F.col("__mix_cut"), 1).otherwise(0)
-    d = d.where(repeats > 0)
-    d = d.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
+    of, whole, cut, key, copy = free_names(docs, "mix_source", "mix_whole", "mix_cut", "mix_key", "mix_copy")
+    p = plan.select(F.col("source").alias(of), F.col("whole").alias(whole), F.col("cut").alias(cut))
+    d = docs.withColumn(key, _sample_key(docs[f"`{id_col}`"], word_count(docs[f"`{text_col}`"]), seed))
+    d = d.join(p, d[f"`{source_col}`"].eqNullSafe(F.col(of)))
+    repeats = F.col(whole) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)
+    d = d.where(repeats > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), repeats)))
     return d.select(*[d[f"`{c}`"] for c in docs.columns])

@@ -65,6 +65,14 @@ def test_mixed_rows_are_the_plan(spark):
     assert got == {k: n for k, n in want.items() if n}
 
 
+def test_columns_of_any_name_and_a_very_long_text(spark):
+    rows = [(1, "w " * 2_000_000, "a", 1, 2, 3), (2, "w", "a", 1, 2, 3), (3, "x y", "b", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_key int, `__mix_key` int, Mix_Source int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {tuple(r)[3:] for r in mixed.collect()} == {(1, 2, 3)}
+    assert {r.id: r.size for r in mixing.mixture(docs)[0].collect()} == {1: 2_000_000, 2: 1, 3: 2}
+
+
 def test_weight_table_and_empty(spark):
     docs = _docs(spark, [(1, "a b c d", "x"), (2, "a b", "y"), (3, "a", "z")])
     w = spark.createDataFrame([("x", 1), ("y", 3)], "source string, weight int")
