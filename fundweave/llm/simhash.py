@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .batches import by_size
 from .components import components
-from .staging import join_unique, like, staged
+from .staging import free_names, join_unique, like, staged
 
 SEED = 42
 _SMALL = 64
@@ -358,16 +358,16 @@ def _rest_links(at: DataFrame, sets: DataFrame, of: DataFrame, similarity: float
     """
     long = at.where(F.col("n") > _ALL_PAIRS_UPTO).select("band", "key", "node").join(of, "node", "left")
     long = long.select("band", "key", "node", F.coalesce("component", "node").alias("c"))
-    apart = long.groupBy("band", "key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band", "key")
+    apart = long.groupBy("band", "key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "key", "n")
     size = sets.groupBy("node").agg(F.sum(F.length("shingles")).alias("size"))
-    long = staged(long.join(apart, ["band", "key"]).join(size, "node"), "near-apart")
+    long = staged(join_unique(long, apart, ["band", "key"], at.count()).join(size, "node"), "near-apart")
     parts = long.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     most = F.max(F.struct("n", "c"))
     lists = parts.groupBy("band", "key").agg(most["c"].alias("main"), most["n"].alias("n_main"), F.sum("n").alias("n"), F.max_by("size", F.struct("n", "c")).alias("size_main"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_BYTES), F.lit(1))
-    lists = lists.select("band", "key", "main", blocks(F.col("n_main"), F.col("size_main")).alias("k"), blocks(F.col("n") - F.col("n_main"), F.col("size") - F.col("size_main")).alias("r"))
+    lists = lists.select("band", "key", "main", "n", blocks(F.col("n_main"), F.col("size_main")).alias("k"), blocks(F.col("n") - F.col("n_main"), F.col("size") - F.col("size_main")).alias("r"))
     h, main = F.xxhash64("node", "band"), F.col("c") == F.col("main")
-    dealt = long.join(lists, ["band", "key"]).withColumn("block", F.when(main, F.pmod(h, "k")).otherwise(F.col("k") + F.pmod(h, "r")))
+    dealt = join_unique(long, lists, ["band", "key"], long.count()).withColumn("block", F.when(main, F.pmod(h, "k")).otherwise(F.col("k") + F.pmod(h, "r")))
     # Blocks of the largest component meet the others only, those meet all.
     others = F.sequence(F.when(main, F.col("k")).otherwise(F.lit(0)), F.col("k") + F.col("r") - 1)
     asked = dealt.select("band", "key", "node", "c", "block", F.explode(others).alias("o"))
@@ -429,6 +429,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wo
     Rows that repeat an id are one document. Rows with a null id stay. All columns are kept.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity)
-    gone = found.groupBy("id").agg(F.min("component_id").alias("c")).where("c <> id").select(F.col("id").alias("__near_id"))
+    (name,) = free_names(docs, "near_id")
+    gone = found.groupBy("id").agg(F.min("component_id").alias("c")).where("c <> id").select(F.col("id").alias(name))
     gone = staged(gone, "near-gone")
-    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].cast("long") == F.col("__near_id"), "left_anti")
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].cast("long") == gone[name], "left_anti")

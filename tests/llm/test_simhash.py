@@ -89,6 +89,22 @@ def test_documents_equal_brute_force(spark):
     assert got == want
 
 
+def test_a_very_long_text(spark):
+    r = random.Random(9)
+    text = " ".join(r.choice("alpha beta gamma delta".split()) for _ in range(300_000))
+    docs = spark.createDataFrame([(4, text), (9, text + " "), (5, "alpha")], "doc_id long, text string")
+    got = {r.id: (r.fp, r.component_id) for r in simhash.simhash_components(docs).collect()}
+    assert got[4] == got[9] == (_signed(_fingerprint(text, 3)), 4)
+
+
+@pytest.mark.parametrize("shape", ["star", "chain of stars"])
+def test_components_of_hubs(spark, shape):
+    links = [(0, i) for i in range(1, 3000)] if shape == "star" else [(10_000 * k, 10_000 * k + i) for k in range(5) for i in range(1, 500)] + [(10_000 * k + 7, 10_000 * (k + 1) + 9) for k in range(4)]
+    links = [(7_000_000 - a, 7_000_000 - b) for a, b in links]
+    got = dict(tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert set(got.values()) == {min(min(x) for x in links)} and len(got) == len({n for x in links for n in x})
+
+
 def test_components(spark):
     r = random.Random(2)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (7, 7)]
