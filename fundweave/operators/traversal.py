@@ -151,30 +151,34 @@ def canvas_expand(edges: DataFrame, seeds: DataFrame, requests: DataFrame, snaps
 
 
 def best_first(edges: list[tuple], seed: str, max_hops: int, max_edges: int) -> tuple[list[tuple], bool]:
-    """Edges (edge_id, source, target, amount) in the order popped: the largest amount first,
-    then edge id, target and hop; and whether an unvisited edge was left."""
+    """Edges (edge_id, source, target, amount, out-degree of the source) in the order popped.
+
+    The largest amount first, then edge id, target and hop. The search ends with the last
+    edge of the budget, whose target is not entered any more; the flag tells whether a node
+    entered has an edge that was not visited.
+    """
     by_source: dict[str, list] = {}
     for e in edges:
         by_source.setdefault(e[1], []).append(e)
     heap: list = []
+    entered: dict[str, int] = {}
 
-    def push(node: str, hop: int) -> None:
-        if hop <= max_hops:
-            for e in by_source.get(node, ()):
-                heapq.heappush(heap, (-e[3], e[0], e[2], hop, e))
+    def enter(node: str, hop: int) -> None:
+        entered[node] = max((e[4] for e in by_source.get(node, ())), default=0)
+        for e in by_source.get(node, ()):
+            heapq.heappush(heap, (-e[3], e[0], e[2], hop, e))
 
-    push(seed, 1)
+    enter(seed, 1)
     out, visited = [], set()
-    while heap:
+    while heap and len(out) < max_edges:
         _, edge_id, target, hop, e = heapq.heappop(heap)
         if edge_id in visited:
             continue
-        if len(out) == max_edges:
-            return out, True
         visited.add(edge_id)
         out.append((edge_id, e[1], target, e[3], hop))
-        push(target, hop + 1)
-    return out, False
+        if hop < max_hops and len(out) < max_edges:
+            enter(target, hop + 1)
+    return out, sum(entered.values()) > len(out)
 
 
 def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_edges: int = 100) -> DataFrame:
@@ -182,27 +186,33 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
 
     edges (edge_id, source_id, target_id, amount); seeds (seed). Directed; an edge is
     visited once, a node may be entered again. Status is TRACE_TRUNCATED if an unvisited
-    edge was still queued at max_edges, else COMPLETE; a seed without edges returns none.
+    edge was still queued when max_edges were found, else COMPLETE. A seed without edges
+    returns one COMPLETE row whose edge is null. A null or non-finite amount is an error.
 
     No trace can visit more than max_edges edges, so of a source's edges only the
     max_edges + 1 best can matter: they are kept before any join. Where max_edges + 1 edges
-    are reached in one or two hops over amounts of at least x, one of them is queued until
-    all are popped, so that no smaller amount is popped before: each seed goes on over
+    are reached in one or two hops over amounts of at least x, one of them is queued
+    whenever an edge is popped, so that no smaller amount is popped: each seed goes on over
     edges of at least its x, and its part, reached within max_hops, is folded by a heap in
-    one group.
+    one group. The best edge of each source stays, whatever its amount, and carries the
+    number of edges kept for the source, so that the status counts smaller ones as well.
     """
     _bounds(max_hops, max_edges)
+    sound = F.col("amount").isNotNull() & ~F.isnan("amount") & (F.abs("amount") < float("inf"))
+    amount = F.when(sound, F.col("amount")).otherwise(F.raise_error(F.lit("an edge amount is missing or not finite")).cast("double"))
     best = Window.partitionBy("source_id").orderBy(F.desc("amount"), "edge_id")
-    kept = edges.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_edges + 1).select("edge_id", "source_id", "target_id", "amount", "_r")
-    kept = staged(kept, "candidate-edges")
+    kept = edges.withColumn("amount", amount).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_edges + 1)
+    kept = kept.withColumn("_n", F.max("_r").over(Window.partitionBy("source_id")))
+    kept = staged(kept.select("edge_id", "source_id", "target_id", "amount", "_r", "_n"), "candidate-edges")
     enough = F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))
     last = F.col("_r") == max_edges + 1
     floors = kept.where(last).select(F.col("source_id").alias("seed"), F.col("amount").alias("floor"))
-    nodes = seeds.select("seed").distinct().join(floors, "seed", "left")
-    kept = kept.drop("_r")
+    asked = seeds.select("seed").distinct()
+    nodes = asked.join(floors, "seed", "left")
+    slim = kept.drop("_r", "_n")
     if max_hops > 1:
-        one = nodes.join(kept, nodes["seed"] == kept["source_id"]).where(enough).select("seed", "floor", "edge_id", F.col("target_id").alias("node"), "amount")
-        two = one.select("seed", "floor", "node", F.col("amount").alias("before")).distinct().join(kept, F.col("node") == kept["source_id"]).where(enough)
+        one = nodes.join(slim, nodes["seed"] == slim["source_id"]).where(enough).select("seed", "floor", "edge_id", F.col("target_id").alias("node"), "amount")
+        two = one.select("seed", "floor", "node", F.col("amount").alias("before")).distinct().join(slim, F.col("node") == slim["source_id"]).where(enough)
         paths = one.select("seed", "edge_id", "amount").unionByName(two.select("seed", "edge_id", F.least("before", "amount").alias("amount")))
         paths = paths.groupBy("seed", "edge_id").agg(F.max("amount").alias("amount"))
         rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("amount")))
@@ -211,12 +221,12 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
     nodes = nodes.select("seed", "floor", F.col("seed").alias("node"))
     reached = nodes
     for _ in range(max_hops - 1):
-        nodes = nodes.join(kept, nodes["node"] == kept["source_id"]).where(enough).select("seed", "floor", F.col("target_id").alias("node")).distinct()
+        nodes = nodes.join(slim, nodes["node"] == slim["source_id"]).where(enough).select("seed", "floor", F.col("target_id").alias("node")).distinct()
         reached = reached.unionByName(nodes).distinct()
-    part = reached.join(kept, reached["node"] == kept["source_id"]).where(enough).select("seed", "edge_id", "source_id", "target_id", "amount")
+    part = reached.join(kept, reached["node"] == kept["source_id"]).where(enough | (F.col("_r") == 1)).select("seed", "edge_id", "source_id", "target_id", "amount", "_n")
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["edge_id", "source_id", "target_id", "amount"]].itertuples(index=False, name=None))
+        rows = list(pdf[["edge_id", "source_id", "target_id", "amount", "_n"]].itertuples(index=False, name=None))
         out, left = best_first(rows, key[0], max_hops, max_edges)
         status = "TRACE_TRUNCATED" if left else "COMPLETE"
         return pd.DataFrame(
@@ -225,33 +235,75 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
         )
 
     schema = "seed string, status string, edge_id string, source_id string, target_id string, amount double, hop int, rank int"
-    return part.groupBy("seed").applyInPandas(fold, schema)
-
+    found = part.groupBy("seed").applyInPandas(fold, schema)
+    absent = asked.join(kept.select(F.col("source_id").alias("seed")).distinct(), "seed", "left_anti").withColumn("status", F.lit("COMPLETE"))
+    return found.unionByName(absent, allowMissingColumns=True)
 
-def focus(edges: DataFrame, seeds: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
-    """case_id, node, depth, step, edge_id: one shortest undirected path from seed to each target.
 
-    Among shortest paths: neighbours are visited in the order of their id, then edge id, so
-    a node's parent is the first visited that reaches it. step counts from the seed.
-    """
+def _links(edges: DataFrame) -> DataFrame:
+    """case_id, a, b, edge_id: neighbours in both directions, with the least edge between them."""
     ends = F.array(
         F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b"))
     )
     links = edges.select("case_id", F.explode(ends).alias("e"), "edge_id").select("case_id", "e.a", "e.b", "edge_id")
-    links = links.groupBy("case_id", "a", "b").agg(F.min("edge_id").alias("edge_id")).where("a <> b")
-    tree = seeds.select("case_id", "node", F.lit(0).alias("depth"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("edge_id")).distinct()
-    for depth in range(1, max_depth + 1):
-        last = tree.where(F.col("depth") == depth - 1).select("case_id", F.col("node").alias("a"), F.col("rank").alias("from_rank"))
-        step = last.join(links, ["case_id", "a"])
-        step = step.groupBy("case_id", F.col("b").alias("node")).agg(F.min(F.struct("from_rank", "edge_id", F.col("a"))).alias("m"))
-        step = step.join(tree.select("case_id", "node"), ["case_id", "node"], "left_anti")
-        order = Window.partitionBy("case_id").orderBy("m.from_rank", "node")
-        new = step.select("case_id", "node", F.lit(depth).alias("depth"), F.row_number().over(order).alias("rank"), F.col("m.a").alias("parent"), F.col("m.edge_id").alias("edge_id"))
-        tree = staged(tree.unionByName(new), "focus")
-    path = targets.join(tree, ["case_id", "node"]).select("case_id", "node", "depth", F.col("depth").alias("step"), "edge_id", "parent")
+    return links.groupBy("case_id", "a", "b").agg(F.min("edge_id").alias("edge_id")).where("a <> b")
+
+
+def steps_to_seed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """case_id, node, depth, next, edge_id: from each node the step of its shortest link to the seed.
+
+    A breadth-first search from a node that takes neighbours in the order of their id, then
+    edge id, finds of its shortest paths to the seed that with the least sequence of nodes.
+    Every node nearer to the seed lies on some shortest path, so the next node is the least
+    neighbour that is one step nearer, whatever node the search began at: one search from
+    the seed, without a limit of depth, serves all nodes of the case.
+    """
+    links = staged(_links(edges), "focus-links")
+    last = staged(seeds.select("case_id", "node", F.lit(0).alias("depth")).distinct(), "focus")
+    reached, depth = last, 0
+    while True:
+        depth += 1
+        step = last.join(links, (last["case_id"] == links["case_id"]) & (last["node"] == links["a"])).select(last["case_id"], F.col("b").alias("node"), F.lit(depth).alias("depth"))
+        last = staged(step.distinct().join(reached, ["case_id", "node"], "left_anti"), "focus")
+        if last.isEmpty():
+            break
+        reached = reached.unionByName(last)
+    far = reached.select("case_id", F.col("node").alias("a"), "depth")
+    near = reached.select("case_id", F.col("node").alias("b"), (F.col("depth") + 1).alias("depth"))
+    best = links.join(far, ["case_id", "a"]).join(near, ["case_id", "b", "depth"])
+    best = best.groupBy("case_id", F.col("a").alias("node"), "depth").agg(F.min(F.struct("b", "edge_id")).alias("m"))
+    return staged(best.select("case_id", "node", "depth", F.col("m.b").alias("next"), F.col("m.edge_id").alias("edge_id")), "focus-steps")
+
+
+def focus(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """case_id, node, depth, step, edge_id, end_node: one shortest undirected path between seed and each target.
+
+    Among shortest paths it is the one that a search from the target finds (see
+    steps_to_seed). step counts from the seed; end_node is the end of the edge on the target's side.
+    """
+    steps = steps_to_seed(edges, seeds)
+    path = targets.select("case_id", "node").distinct().join(steps, ["case_id", "node"])
+    path = staged(path.select("case_id", "node", "depth", F.col("depth").alias("step"), "edge_id", F.col("node").alias("end_node"), "next"), "focus-path")
     out = path
-    for _ in range(max_depth - 1):
-        up = tree.select("case_id", F.col("node").alias("parent"), F.col("edge_id").alias("e"), F.col("parent").alias("p"))
-        path = path.where(F.col("step") > 1).join(up, ["case_id", "parent"]).select("case_id", "node", "depth", (F.col("step") - 1).alias("step"), F.col("e").alias("edge_id"), F.col("p").alias("parent"))
+    onward = steps.select("case_id", F.col("node").alias("end_node"), F.col("next").alias("n"), F.col("edge_id").alias("e"))
+    while not path.isEmpty():
+        path = path.drop("end_node", "edge_id").withColumnRenamed("next", "end_node").join(onward, ["case_id", "end_node"])
+        path = path.select("case_id", "node", "depth", (F.col("step") - 1).alias("step"), F.col("e").alias("edge_id"), "end_node", F.col("n").alias("next"))
+        path = staged(path, "focus-path")
         out = out.unionByName(path)
-    return out.where(F.col("step") > 0).select("case_id", "node", "depth", "step", "edge_id")
+    return out.drop("next")
+
+
+def focus_elements(edges: DataFrame, seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """case_id, node, kind (edge, node), id: a node's closed neighbourhood and its path to the seed."""
+    asked = targets.select("case_id", "node").distinct()
+    ends = edges.select("case_id", "edge_id", "source_id", "target_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("node"))
+    at = ends.join(asked, ["case_id", "node"])
+    pair = lambda kind, column: F.struct(F.lit(kind).alias("kind"), F.col(column).alias("id"))
+    near = at.select("case_id", "node", F.explode(F.array(pair("edge", "edge_id"), pair("node", "source_id"), pair("node", "target_id"))).alias("x"))
+    path = focus(edges, seeds, asked).select("case_id", "node", F.explode(F.array(pair("edge", "edge_id"), pair("node", "end_node"))).alias("x"))
+    own = asked.select("case_id", "node", pair("node", "node").alias("x"))
+    # The seed ends the path of every node that reaches it.
+    seed = seeds.select("case_id", F.col("node").alias("s")).distinct()
+    seed = path.select("case_id", "node").distinct().join(seed, "case_id").select("case_id", "node", pair("node", "s").alias("x"))
+    return near.unionByName(path).unionByName(own).unionByName(seed).select("case_id", "node", "x.*").distinct()

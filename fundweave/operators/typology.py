@@ -18,16 +18,18 @@ def funding_candidates(
     """case_id, target_id, first_ms, senders: windows that begin at an edge and hold enough senders.
 
     edges (case_id, seed, edge_id, source_id, target_id, amount, currency, event_time). A
-    window is closed at both ends. Small edges are filtered first; a target that still has
-    too many for one task can be cut into blocks of the window's length, since a window
-    never reaches past the next block.
+    window is closed at both ends. Small edges are filtered first; then time is cut into
+    blocks of the window's length and each edge is copied to the block before its own, as a
+    window never reaches past the next block: a target's edges are dealt by block.
     """
     e = edges.where(
         (F.col("currency") == "VND") & (F.col("amount") > 0) & (F.col("amount") < below) & (F.col("source_id") != F.col("target_id"))
         & (F.col("source_id") != F.col("seed")) & (F.col("event_time") <= cutoff)
     ).withColumn("ms", F.unix_millis("event_time"))
-    w = Window.partitionBy("case_id", "target_id").orderBy("ms").rangeBetween(0, window_ms)
-    found = e.withColumn("senders", F.array_sort(F.collect_set("source_id").over(w))).where(F.size("senders") >= senders)
+    e = e.select("case_id", "target_id", "source_id", "ms", F.floor(F.col("ms") / window_ms).alias("own"))
+    e = e.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("block"))
+    w = Window.partitionBy("case_id", "target_id", "block").orderBy("ms").rangeBetween(0, window_ms)
+    found = e.withColumn("senders", F.array_sort(F.collect_set("source_id").over(w))).where((F.col("own") == F.col("block")) & (F.size("senders") >= senders))
     return found.select("case_id", "target_id", F.col("ms").alias("first_ms"), "senders").distinct()
 
 

@@ -68,8 +68,9 @@ def _summary(spark, d):
 
 def _commands(spark, d):
     c = t.case_edges(spark, d)
-    e = t.edges(spark, d).where("event_id % 3 = 0").withColumn("case_id", F.concat(F.lit("case"), (F.col("event_id") % 15).cast("string")))
-    foreign = e.where("event_id % 50 = 0").select("case_id", "edge_id", (F.col("event_id") + 1_000_000).alias("seq"), F.lit(True).alias("is_pinned"), F.lit("LAYERING").alias("tag"))
+    # Every edge is also named, wrongly, in the case after its own.
+    after = F.concat(F.lit("case"), (F.floor(F.col("event_id") / t.CASE_EVENTS) + 1).cast("string"))
+    foreign = t.edges(spark, d).select(after.alias("case_id"), "edge_id", (F.col("event_id") + 1_000_000).alias("seq"), F.lit(True).alias("is_pinned"), F.lit("LAYERING").alias("tag"))
     own = c.withColumn("k", F.substring("edge_id", 2, 20).cast("long"))
     n = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("n")
     own = own.select("case_id", "edge_id", "k", n).select(
@@ -91,7 +92,7 @@ def _pin_log(spark, d):
 def _runs(spark, d):
     ev = t.evidence(spark, d)
     per = ev.groupBy("case_id").agg(F.array_sort(F.collect_list("evidence_id")).alias("ids"))
-    docs = t.read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")).alias("case_id"))
+    docs = t.read(spark, d, "documents").select(F.col("doc_id").alias("k"), F.concat(F.lit("c"), F.floor(F.col("doc_id") / t.CASE_DOCUMENTS).cast("string")).alias("case_id"))
     r = docs.join(per, "case_id")
     good, foreign = F.get("ids", F.lit(0)), F.lit("ev-foreign")
     cited = F.when(F.col("k") % 7 == 0, F.array(good, foreign)).when(F.col("k") % 7 == 1, F.array().cast("array<string>")).otherwise(F.array(good))
@@ -150,10 +151,12 @@ def _release(spark, d):
 
 
 def _content(spark, d):
-    n = t.read(spark, d, "nation")
-    h = hashing.content_hash(n.repartition(3))
-    same = hashing.content_hash(n.orderBy(F.desc("n_name")).coalesce(1)).withColumnRenamed("content_hash", "other").drop("row_count")
-    return h.crossJoin(same).select("row_count", (F.col("content_hash") == F.col("other")).alias("order_free"))
+    """The hash of all order lines, dealt in two ways."""
+    n = t.read(spark, d, "lineitem")
+    h = hashing.content_hash(n.repartition("l_partkey"))
+    same = hashing.content_hash(n.repartitionByRange("l_shipdate")).withColumnRenamed("content_hash", "other").drop("row_count")
+    changed = hashing.content_hash(n.withColumn("l_quantity", F.col("l_quantity") + (F.col("l_orderkey") == 1).cast("int"))).select(F.col("content_hash").alias("changed"))
+    return h.crossJoin(same).crossJoin(changed).select("row_count", (F.col("content_hash") == F.col("other")).alias("order_free"), (F.col("content_hash") != F.col("changed")).alias("sees_changes"))  # a row each
 
 
 QUERIES = {
@@ -218,7 +221,7 @@ ORACLE_SQL = {
     "latest_pins": f"""WITH {EDGES}, {CASES},
         o AS (SELECT case_id, edge_id, substr(edge_id, 2)::BIGINT AS k, n FROM case_edges, (SELECT unnest([0, 1, 2]) AS n) u),
         c AS (SELECT case_id, edge_id, k + n * 100000 AS seq, (k + n) % 3 <> 0 AS is_pinned, CASE WHEN (k + n) % 2 = 0 THEN 'FAN_IN' ELSE 'LAYERING' END AS tag FROM o
-              UNION ALL SELECT 'case' || (event_id % 15), edge_id, event_id + 1000000, true, 'LAYERING' FROM edges WHERE event_id % 150 = 0)
+              UNION ALL SELECT 'case' || (event_id // {t.CASE_EVENTS} + 1), edge_id, event_id + 1000000, true, 'LAYERING' FROM edges)
         SELECT case_id, edge_id, is_pinned, tag, seq FROM c QUALIFY row_number() OVER (PARTITION BY case_id, edge_id ORDER BY seq DESC) = 1""",
     "claim_status": f"""WITH {_RUNS}
         SELECT run_id, status, CASE WHEN status = 'HYPOTHESIS_GENERATED' AND full_answer THEN 2 ELSE 0 END::INTEGER AS n_claims FROM st""",
@@ -247,5 +250,5 @@ ORACLE_SQL = {
     "release_status": """
         WITH s AS (SELECT s_suppkey AS r, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 8 END AS n, CASE WHEN s_suppkey % 10 IN (3, 4) THEN 1 ELSE 0 END AS p FROM supplier)
         SELECT r AS release_id, n::BIGINT AS n_artifacts, p::BIGINT AS n_problems, p = 0 AND r % 7 <> 0 AND r % 11 <> 0 AND r % 13 <> 0 AS ready FROM s""",
-    "content_hash": "SELECT count(*) AS row_count, true AS order_free FROM nation",
+    "content_hash": "SELECT count(*) AS row_count, true AS order_free, count(*) FILTER (l_orderkey = 1) > 0 AS sees_changes FROM lineitem",
 }

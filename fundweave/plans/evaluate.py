@@ -22,7 +22,7 @@ def _members(spark, d):
 
 
 def _overlap(spark, d):
-    return audits.split_overlap(_members(spark, d)).select("kind", F.array_join("overlaps", ",").alias("overlaps"))
+    return audits.split_overlap(_members(spark, d))
 
 
 def _temporal(spark, d):
@@ -42,8 +42,8 @@ def _embargo(spark, d):
 def _stages(spark, d):
     e = t.edges(spark, d)
     names = F.array(*[F.lit(s) for s in audits.STAGES])
-    seq = F.floor(F.col("event_id") / 40)
-    log = e.select((F.col("event_id") % 40).alias("run_id"), F.col("event_id").alias("seq"), F.get(names, ((seq + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)) % 9).cast("int")).alias("stage"))
+    at = F.col("event_id") % 9 + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0)
+    log = e.select(F.floor(F.col("event_id") / 9).alias("run_id"), F.col("event_id").alias("seq"), F.get(names, (at % 9).cast("int")).alias("stage"))
     return audits.stage_violations(log)
 
 
@@ -143,9 +143,8 @@ ORACLE_SQL = {
     "split_overlap": f"""WITH {EDGES}, {CASES},
         m AS (SELECT substr(case_id, 5)::INTEGER AS k, source_id, edge_id FROM case_edges),
         x AS (SELECT DISTINCT k % 2 AS o, 'entity' AS kind, source_id AS id FROM m UNION SELECT DISTINCT k % 2, 'edge', edge_id FROM m
-              UNION SELECT DISTINCT k % 2, 'seed', (k % 9)::VARCHAR FROM m),
-        y AS (SELECT kind, id FROM x GROUP BY kind, id HAVING count(DISTINCT o) = 2)
-        SELECT kind, string_agg(id, ',' ORDER BY id) AS overlaps FROM y GROUP BY kind""",
+              UNION SELECT DISTINCT k % 2, 'seed', (k % 9)::VARCHAR FROM m)
+        SELECT kind, id FROM x GROUP BY kind, id HAVING count(DISTINCT o) = 2""",
     "temporal_split_audit": f"""WITH {EDGES},
         n AS (SELECT count(*) AS n_embargo FROM edges WHERE event_id > 500 AND event_id <= 520),
         o AS (SELECT count(*) AS n_overlap FROM (SELECT source_id FROM edges WHERE event_id <= 500 INTERSECT SELECT source_id FROM edges WHERE event_id > 500))
@@ -153,9 +152,9 @@ ORACLE_SQL = {
     "embargo_violations": f"""WITH {EDGES}, x AS (SELECT (epoch_us(event_time) // 3600000000)::BIGINT AS tick, edge_id FROM edges)
         SELECT * FROM x WHERE tick > 473552 AND tick <= 473576""",
     "stage_order": f"""WITH {EDGES},
-        l AS (SELECT event_id % 40 AS run_id, event_id AS seq, 1 + (event_id // 40 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % 9 AS pos FROM edges),
+        l AS (SELECT event_id // 9 AS run_id, event_id AS seq, 1 + (event_id % 9 + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % 9 AS pos FROM edges),
         w AS (SELECT *, coalesce(lag(pos) OVER (PARTITION BY run_id ORDER BY seq), 0) AS b FROM l)
-        SELECT run_id, seq, ['INTAKE','QUALITY','SPLIT','FEATURES','TRAIN','CALIBRATE','EVALUATE','GATE','PACKAGE'][pos::INTEGER] AS stage FROM w WHERE pos <> b + 1""",
+        SELECT run_id, seq, ['PREREGISTERED', 'DATA_VERIFIED', 'FITTED', 'VALIDATED', 'CALIBRATED', 'FROZEN', 'TESTED', 'TRACE_EVALUATED', 'DECIDED'][pos::INTEGER] AS stage FROM w WHERE pos <> b + 1""",
     "detection_metrics": f"""WITH {_SCORES},
         g AS (SELECT score, sum(y) AS pos, count(*) AS n FROM s GROUP BY score),
         r AS (SELECT *, sum(pos) OVER o AS cp, sum(n) OVER o AS cn, sum(pos) OVER () AS total FROM g WINDOW o AS (ORDER BY score DESC)),

@@ -77,42 +77,48 @@ def _expand_edges(spark, d):
     return _expand(spark, d, 1)
 
 
+def _accounts(e):
+    """Every account is a seed; those that never send have a trace without edges."""
+    return e.select(F.explode(F.array("source_id", "target_id")).alias("seed")).distinct()
+
+
 def _candidates(spark, d):
     e = t.edges(spark, d)
-    seeds = e.select(F.col("source_id").alias("seed")).distinct()
-    return traversal.trace_candidates(e, seeds, 3, 50)
+    return traversal.trace_candidates(e, _accounts(e), 3, 50)
 
 
 def _candidates_one_hop(spark, d):
     e = t.edges(spark, d)
-    return traversal.trace_candidates(e, e.select(F.col("source_id").alias("seed")).distinct(), 1, 20)
+    return traversal.trace_candidates(e, _accounts(e), 1, 20)
+
+
+def _targets(c):
+    return c.select("case_id", F.col("target_id").alias("node")).distinct()
 
 
 def _focus_depth(spark, d):
     c = t.case_edges(spark, d)
-    targets = c.select("case_id", F.col("target_id").alias("node")).distinct()
-    return traversal.focus(c, _seeds(c), targets, 4).where("step = 1").select("case_id", "node", "depth")
+    return traversal.focus(c, _seeds(c), _targets(c)).where("step = 1").select("case_id", "node", "depth")
 
 
 def _focus_path(spark, d):
     c = t.case_edges(spark, d)
-    targets = c.select("case_id", F.col("target_id").alias("node")).distinct()
-    return traversal.focus(c, _seeds(c), targets, 4)
+    return traversal.focus(c, _seeds(c), _targets(c))
 
 
-def _all(spark, d):
-    e = t.edges(spark, d)
-    return e.withColumn("case_id", F.lit("all")).withColumn("seed", F.lit("A0")).withColumn("currency", F.lit("VND"))
+def _focus_elements(spark, d):
+    c = t.case_edges(spark, d)
+    return traversal.focus_elements(c, _seeds(c), _targets(c))
 
 
 def _funding_candidates(spark, d):
-    f = typology.funding_candidates(_all(spark, d), _cut(), below=50, window_ms=HOUR24, senders=5)
-    return f.select("target_id", "first_ms", F.array_join("senders", "|").alias("senders"))
+    f = typology.funding_candidates(t.case_edges(spark, d), _cut(), below=50, window_ms=HOUR24, senders=5)
+    return f.select("case_id", "target_id", "first_ms", F.array_join("senders", "|").alias("senders"))
 
 
 def _funding_clusters(spark, d):
-    f = typology.funding_clusters(_all(spark, d), _cut(), below=50, window_ms=HOUR24, senders=5)
-    return f.drop("case_id").withColumn("senders", F.array_join("senders", "|"))
+    f = typology.funding_clusters(t.case_edges(spark, d), _cut(), below=50, window_ms=HOUR24, senders=5)
+    return f.withColumn("senders", F.array_join("senders", "|"))
 
 
 def _view_of(spark, d):
@@ -152,6 +158,7 @@ QUERIES = {
     "trace_candidates_one_hop": _candidates_one_hop,
     "focus_depth": _focus_depth,
     "focus_path": _focus_path,
+    "focus_elements": _focus_elements,
     "funding_candidates": _funding_candidates,
     "funding_clusters": _funding_clusters,
     "project_view": _view,
@@ -181,9 +188,36 @@ rq AS (SELECT case_id || ':' || edge_id AS request_id, case_id, edge_id, seed, s
        FROM case_edges WHERE source_id = seed OR target_id = seed),
 st AS (SELECT *, CASE WHEN k % 11 = 0 THEN 'SNAPSHOT_CONFLICT' WHEN k % 7 = 0 OR node = 'A-none' THEN 'INVALID_EXPANSION' ELSE 'OK' END AS status FROM rq)"""
 
-_FUND = f"""WITH {EDGES},
-e AS (SELECT target_id, source_id, epoch_us(event_time) // 1000 AS ms, edge_id FROM edges
-      WHERE amount > 0 AND amount < 50 AND source_id <> target_id AND source_id <> 'A0' AND event_time <= TIMESTAMP '{CUTOFF}')"""
+_FUND = f"""{_C},
+e AS (SELECT case_id, target_id, source_id, epoch_us(event_time) // 1000 AS ms, edge_id FROM case_edges
+      WHERE currency = 'VND' AND amount > 0 AND amount < 50 AND source_id <> target_id AND source_id <> seed AND event_time <= TIMESTAMP '{CUTOFF}')"""
+
+# Any depth below 100: no case has that many nodes in a row.
+_FOCUS = f"""WITH RECURSIVE {EDGES}, {CASES},
+bfs AS (SELECT * FROM hops0 UNION SELECT w.case_id, w.b, b.d + 1 FROM bfs b JOIN both_ways w ON w.case_id = b.case_id AND w.a = b.node WHERE b.d < 100),
+dist AS (SELECT case_id, node, min(d) AS d FROM bfs GROUP BY ALL),
+ln AS (SELECT case_id, source_id AS a, target_id AS b, edge_id FROM case_edges UNION SELECT case_id, target_id, source_id, edge_id FROM case_edges),
+nx AS (SELECT x.case_id, x.node, x.d, first(l.b ORDER BY l.b, l.edge_id) AS b, first(l.edge_id ORDER BY l.b, l.edge_id) AS edge_id
+       FROM dist x JOIN ln l ON l.case_id = x.case_id AND l.a = x.node JOIN dist y ON y.case_id = x.case_id AND y.node = l.b AND y.d = x.d - 1 GROUP BY ALL),
+tg AS (SELECT DISTINCT case_id, target_id AS node FROM case_edges),
+pt AS (SELECT case_id, node, d AS depth, d AS step, edge_id, node AS end_node, b AS onward FROM tg JOIN nx USING (case_id, node)
+       UNION ALL SELECT p.case_id, p.node, p.depth, p.step - 1, n.edge_id, p.onward, n.b FROM pt p JOIN nx n ON n.case_id = p.case_id AND n.node = p.onward)"""
+
+# At most 50 edges are popped, each queued once a hop: 3 x 51 entries always hold 51 edges, if there are.
+_WALK = f"""WITH RECURSIVE {EDGES},
+top AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY amount DESC, edge_id) AS r FROM edges QUALIFY r <= 51),
+adj AS (SELECT source_id AS node, list({{'a': -amount, 'e': edge_id, 't': target_id}}) AS outs FROM top GROUP BY source_id),
+walk AS (
+    SELECT s.seed, 0 AS n, NULL::VARCHAR AS edge_id, 0 AS hop, []::VARCHAR[] AS seen,
+           list_sort(coalesce(list_transform(outs, lambda o: {{'a': o.a, 'e': o.e, 't': o.t, 'h': 1}}), []))[:153] AS q
+    FROM (SELECT source_id AS seed FROM edges UNION SELECT target_id FROM edges) s LEFT JOIN adj ON adj.node = s.seed
+    UNION ALL
+    SELECT w.seed, w.n + 1, w.x.e, w.x.h, list_append(w.seen, w.x.e),
+           list_sort(list_concat(list_filter(w.q, lambda y: y.e <> w.x.e), CASE WHEN w.n + 1 < 50 AND w.x.h < 3
+               THEN coalesce(list_transform(list_filter(outs, lambda o: o.e <> w.x.e AND NOT list_contains(w.seen, o.e)), lambda o: {{'a': o.a, 'e': o.e, 't': o.t, 'h': w.x.h + 1}}), [])
+               ELSE [] END))[:153]
+    FROM (SELECT *, q[1] AS x FROM walk WHERE n < 50 AND len(q) > 0) w LEFT JOIN adj ON adj.node = w.x.t),
+ends AS (SELECT seed, max(n) AS n, CASE WHEN len(arg_max(q, n)) > 0 THEN 'TRACE_TRUNCATED' ELSE 'COMPLETE' END AS status FROM walk GROUP BY seed)"""
 
 ORACLE_SQL = {
     "case_distances": f"{_C} SELECT * FROM hops4",
@@ -208,19 +242,28 @@ ORACLE_SQL = {
                (row_number() OVER (PARTITION BY st.request_id ORDER BY sc.event_time NULLS LAST, sc.edge_id))::INTEGER AS rank
         FROM st JOIN sc ON sc.case_id = st.case_id AND (sc.source_id = st.node OR sc.target_id = st.node) AND sc.edge_id <> st.edge_id
         WHERE st.status = 'OK' QUALIFY rank <= 5""",
+    "trace_candidates": f"""{_WALK}
+        SELECT w.seed, status, w.edge_id, source_id, target_id, amount, CASE WHEN w.n > 0 THEN hop END AS hop, CASE WHEN w.n > 0 THEN w.n END AS rank
+        FROM walk w JOIN ends USING (seed) LEFT JOIN edges g ON g.edge_id = w.edge_id WHERE w.n > 0 OR ends.n = 0""",
     "trace_candidates_one_hop": f"""WITH {EDGES},
         r AS (SELECT source_id AS seed, edge_id, source_id, target_id, amount, 1 AS hop,
                      (row_number() OVER (PARTITION BY source_id ORDER BY amount DESC, edge_id))::INTEGER AS rank,
                      count(*) OVER (PARTITION BY source_id) AS n FROM edges)
         SELECT seed, CASE WHEN n > 20 THEN 'TRACE_TRUNCATED' ELSE 'COMPLETE' END AS status, edge_id, source_id, target_id, amount, hop, rank
-        FROM r WHERE rank <= 20""",
-    "focus_depth": f"""{_C}
-        SELECT h.case_id, h.node, h.d AS depth FROM hops4 h JOIN (SELECT DISTINCT case_id, target_id FROM case_edges) g
-        ON g.case_id = h.case_id AND g.target_id = h.node WHERE h.d > 0""",
+        FROM r WHERE rank <= 20
+        UNION ALL SELECT DISTINCT target_id, 'COMPLETE', NULL, NULL, NULL, NULL, NULL, NULL FROM edges WHERE target_id NOT IN (SELECT source_id FROM edges)""",
+    "focus_depth": f"""{_FOCUS} SELECT case_id, node, depth FROM pt WHERE step = 1""",
+    "focus_path": f"""{_FOCUS} SELECT case_id, node, depth, step, edge_id, end_node FROM pt""",
+    "focus_elements": f"""{_FOCUS},
+        nb AS (SELECT t.case_id, t.node, e.edge_id, e.source_id, e.target_id FROM tg t
+               JOIN case_edges e ON e.case_id = t.case_id AND (e.source_id = t.node OR e.target_id = t.node))
+        SELECT case_id, node, 'edge' AS kind, edge_id AS id FROM nb UNION SELECT case_id, node, 'node', source_id FROM nb UNION SELECT case_id, node, 'node', target_id FROM nb
+        UNION SELECT case_id, node, 'node', node FROM tg
+        UNION SELECT case_id, node, 'edge', edge_id FROM pt UNION SELECT case_id, node, 'node', end_node FROM pt UNION SELECT case_id, node, 'node', onward FROM pt""",
     "funding_candidates": f"""{_FUND}
-        SELECT DISTINCT a.target_id, a.ms AS first_ms, string_agg(DISTINCT b.source_id, '|' ORDER BY b.source_id) AS senders
-        FROM e a JOIN e b ON b.target_id = a.target_id AND b.ms BETWEEN a.ms AND a.ms + {HOUR24}
-        GROUP BY a.target_id, a.ms HAVING count(DISTINCT b.source_id) >= 5""",
+        SELECT DISTINCT a.case_id, a.target_id, a.ms AS first_ms, string_agg(DISTINCT b.source_id, '|' ORDER BY b.source_id) AS senders
+        FROM e a JOIN e b ON b.case_id = a.case_id AND b.target_id = a.target_id AND b.ms BETWEEN a.ms AND a.ms + {HOUR24}
+        GROUP BY a.case_id, a.target_id, a.ms HAVING count(DISTINCT b.source_id) >= 5""",
     "project_view": f"""{_C}
         SELECT case_id, edge_id, CASE WHEN event_time IS NULL THEN 'unknown_time' WHEN event_time > TIMESTAMP '{CUTOFF}' THEN 'future'
             WHEN substr(edge_id, 2)::BIGINT % 10 = 0 THEN 'hidden'

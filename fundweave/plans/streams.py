@@ -14,8 +14,8 @@ from fundweave.streaming import envelopes, online, replay
 
 
 def _records(spark, d):
-    """Events as broker records: 64 partitions by user; broken payloads, a gap, retries and a conflict."""
-    e = t.edges(spark, d).withColumn("partition", F.expr("cast(substring(source_id, 2) as int) % 64"))
+    """Events as broker records: a partition for eight users; broken payloads, a gap, retries and a conflict."""
+    e = t.edges(spark, d).withColumn("partition", F.expr("cast(cast(substring(source_id, 2) as int) div 8 as int)"))
     e = e.withColumn("offset", (F.row_number().over(Window.partitionBy("partition").orderBy("event_id")) - 1).cast("long"))
     k = F.col("event_id")
     event_id = F.when(k % 1511 == 700, F.concat(F.lit("e"), (k - 64).cast("string"))).otherwise(F.col("edge_id"))
@@ -114,7 +114,7 @@ QUERIES = {
 }
 
 _RECORDS = f"""{EDGES},
-p AS (SELECT *, substr(source_id, 2)::INTEGER % 64 AS part FROM edges),
+p AS (SELECT *, substr(source_id, 2)::INTEGER // 8 AS part FROM edges),
 o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY event_id) - 1 AS off FROM p),
 r1 AS (SELECT part, off, event_id AS k, CASE WHEN event_id % 1511 = 700 THEN 'e' || (event_id - 64) ELSE edge_id END AS eid, source_id, target_id, amount,
        date_trunc('second', event_time) AS ts, event_id % 997 <> 500 AS valid FROM o WHERE event_id % 1999 <> 1200),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUTOFF = "2024-01-20 00:00:00"
-N_CASES = 15
+#: Events of a case and documents of an evidence case: the numbers of both kinds of cases grow with the tables.
+CASE_EVENTS, CASE_DOCUMENTS = 500, 40
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,23 +75,19 @@ judged AS (
 
 
 def case_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """case_id, seed, and a sparse part of the edges: every case has some at its seed."""
+    """case_id, seed and edges: every edge, in the case of its time; the seed is the first edge's target."""
     e = edges(spark, sf_dir).withColumn("currency", F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise("VND"))
     e = e.withColumn("event_time", F.when(F.col("event_id") % 19 != 0, F.col("event_time")))
-    k = F.explode(F.sequence(F.lit(0), F.lit(N_CASES - 1))).alias("k")
-    c = e.select("*", k)
-    seed = F.concat(F.lit("A"), F.col("k").cast("string"))
-    at_seed = ((F.col("source_id") == seed) | (F.col("target_id") == seed)) & (F.col("event_id") % 17 == F.col("k") % 17)
-    c = c.where((F.col("event_id") % 211 == (F.col("k") * 13) % 211) | at_seed)
-    return c.select(F.concat(F.lit("case"), F.col("k").cast("string")).alias("case_id"), seed.alias("seed"), "edge_id", "source_id", "target_id", "amount", "event_time", "currency")
+    e = e.withColumn("case_id", F.concat(F.lit("case"), F.floor(F.col("event_id") / CASE_EVENTS).cast("string")))
+    seed = F.min_by("target_id", "event_id").over(Window.partitionBy("case_id"))
+    return e.select("case_id", seed.alias("seed"), "edge_id", "source_id", "target_id", "amount", "event_time", "currency")
 
 
 CASES = f"""case_edges AS (
-    SELECT 'case' || k AS case_id, 'A' || k AS seed, edge_id, source_id, target_id, amount,
+    SELECT 'case' || (event_id // {CASE_EVENTS}) AS case_id, arg_min(target_id, event_id) OVER (PARTITION BY event_id // {CASE_EVENTS}) AS seed,
+           edge_id, source_id, target_id, amount,
            CASE WHEN event_id % 19 <> 0 THEN event_time END AS event_time, CASE WHEN event_id % 5 <> 0 THEN 'VND' END AS currency
-    FROM edges, unnest(range({N_CASES})) AS t(k)
-    WHERE event_id % 211 = (k * 13) % 211
-       OR ((source_id = 'A' || k OR target_id = 'A' || k) AND event_id % 17 = k % 17)),
+    FROM edges),
 hops0 AS (SELECT DISTINCT case_id, seed AS node, 0 AS d FROM case_edges),
 both_ways AS (SELECT case_id, source_id AS a, target_id AS b FROM case_edges UNION SELECT case_id, target_id, source_id FROM case_edges),
 hops1 AS (SELECT case_id, node, min(d) AS d FROM (SELECT * FROM hops0 UNION ALL
@@ -104,14 +101,14 @@ hops4 AS (SELECT case_id, node, min(d) AS d FROM (SELECT * FROM hops3 UNION ALL
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as evidence rows of 50 cases."""
+    """Documents as evidence rows, CASE_DOCUMENTS a case."""
     d = read(spark, sf_dir, "documents")
     k = F.col("doc_id")
     categories = F.array(*[F.lit(f"CATEGORY_{i}") for i in range(6)])
     polarities = F.array(*[F.lit(x) for x in ("SUPPORTING", "MITIGATING", "NEUTRAL", "CONTRADICTING")])
     return d.select(
         F.concat(F.lit("ev"), k.cast("string")).alias("evidence_id"),
-        F.concat(F.lit("c"), (k % 50).cast("string")).alias("case_id"),
+        F.concat(F.lit("c"), F.floor(k / CASE_DOCUMENTS).cast("string")).alias("case_id"),
         F.get(categories, (k % 6).cast("int")).alias("category"),
         F.get(polarities, (k % 4).cast("int")).alias("polarity"),
         F.col("source").alias("source_ref"),
@@ -120,8 +117,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVIDENCE = """evidence AS (
-    SELECT 'ev' || doc_id AS evidence_id, 'c' || (doc_id % 50) AS case_id, 'CATEGORY_' || (doc_id % 6) AS category,
+EVIDENCE = f"""evidence AS (
+    SELECT 'ev' || doc_id AS evidence_id, 'c' || (doc_id // {CASE_DOCUMENTS}) AS case_id, 'CATEGORY_' || (doc_id % 6) AS category,
            ['SUPPORTING', 'MITIGATING', 'NEUTRAL', 'CONTRADICTING'][1 + (doc_id % 4)::INTEGER] AS polarity,
            source AS source_ref, n_chars, sha256(coalesce(text, '')) AS payload_hash
     FROM documents)"""

@@ -83,81 +83,123 @@ def test_bounded_trace_equals_the_plain_version(spark):
     assert {k: (v, *sums[k]) for k, v in got.items()} == {k: (a, b, c) for k, (a, b, c) in want.items()}
 
 
+def _plain_best_first(edges, seed, hops, most):
+    """Scans all queued edges for the next one; no heap, no pruning."""
+    order = lambda e: (-e[0][3], e[0][0], e[0][2], e[1])
+    queued = [(e, 1) for e in edges if e[1] == seed]
+    found = []
+    while queued and len(found) < most:
+        edge, hop = min(queued, key=order)
+        queued = [q for q in queued if q[0][0] != edge[0]]
+        found.append((edge[0], hop))
+        if len(found) < most and hop < hops:
+            known = {i for i, _ in found}
+            queued += [(e, hop + 1) for e in edges if e[1] == edge[2] and e[0] not in known]
+    return found, "TRACE_TRUNCATED" if queued else "COMPLETE"
+
+
+TRACE = "edge_id string, source_id string, target_id string, amount double"
+
+
+def _traces(spark, rows, seeds, hops, most):
+    df = traversal.trace_candidates(spark.createDataFrame(rows, TRACE), spark.createDataFrame([(s,) for s in seeds], "seed string"), hops, most)
+    got: dict = {}
+    for x in df.orderBy("seed", "rank").collect():
+        found, status = got.setdefault(x.seed, ([], x.status))
+        assert status == x.status
+        if x.edge_id is not None:
+            found.append((x.edge_id, x.hop))
+    return got
+
+
 @pytest.mark.parametrize(
     ("rows", "hops", "most", "want", "status"),
     [
-        ([(f"e{i}", "s", f"n{i}", 10.0 - i) for i in range(5)], 1, 2, ["e0", "e1"], "TRACE_TRUNCATED"),
-        ([("e0", "s", "n1", 50.0), ("e1", "n1", "n2", 40.0)], 2, 10, ["e0", "e1"], "COMPLETE"),
-        ([("edge_b", "s", "x", 100.0), ("edge_a", "s", "y", 100.0)], 1, 1, ["edge_a"], "TRACE_TRUNCATED"),
-        ([("e1", "s", "b", 100.0), ("e2", "b", "c", 90.0), ("e3", "c", "s", 80.0)], 4, 10, ["e1", "e2", "e3"], "COMPLETE"),
-        ([("e1", "x", "y", 1.0)], 2, 10, [], None),
+        # The budget ends with the first edge: what lies behind it is not queued.
+        ([("k1", "s", "p", 8.0), ("k2", "p", "q", 9.0)], 2, 1, ["k1"], "COMPLETE"),
+        ([("k1", "s", "p", 8.0), ("k2", "p", "q", 9.0), ("k3", "s", "r", 1.0)], 2, 1, ["k1"], "TRACE_TRUNCATED"),
+        # A small edge that no budget reaches is still queued.
+        ([("k1", "s", "p", 8.0), ("k2", "s", "q", 0.5)] + [(f"m{i}", "p", f"t{i}", 5.0 + i) for i in range(4)], 2, 3, ["k1", "m3", "m2"], "TRACE_TRUNCATED"),
+        ([("k1", "s", "s", 2.0), ("k2", "s", "p", 2.0), ("k3", "p", "s", 3.0)], 4, 9, ["k1", "k2", "k3"], "COMPLETE"),
+        ([("k1", "p", "s", 8.0)], 3, 9, [], "COMPLETE"),
+        ([("k1", "p", "q", 8.0)], 3, 9, [], "COMPLETE"),
     ],
 )
 def test_trace_candidates_examples(spark, rows, hops, most, want, status):
-    e = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, amount double")
-    got = traversal.trace_candidates(e, spark.createDataFrame([("s",)], "seed string"), hops, most).orderBy("rank").collect()
-    assert [x.edge_id for x in got] == want and {x.status for x in got} == ({status} if status else set())
-
-
-def test_trace_candidates_equal_an_unpruned_heap(spark):
-    r = random.Random(3)
-    rows = [(f"e{i:03d}", f"n{r.randrange(12)}", f"n{r.randrange(12)}", float(r.randrange(1, 30))) for i in range(160)]
-    e = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, amount double")
-    seeds = [f"n{i}" for i in range(12)]
-    got: dict = {}
-    for x in traversal.trace_candidates(e, spark.createDataFrame([(s,) for s in seeds], "seed string"), 3, 7).orderBy("seed", "rank").collect():
-        got.setdefault(x.seed, []).append((x.edge_id, x.hop, x.status))
-    for s in seeds:
-        out, left = traversal.best_first(rows, s, 3, 7)
-        assert got.get(s, []) == [(o[0], o[4], "TRACE_TRUNCATED" if left else "COMPLETE") for o in out]
-
-
-def test_trace_candidates_of_many_edges_equal_an_unpruned_heap(spark):
-    r = random.Random(6)
-    for hops, most in ((1, 5), (2, 9), (3, 9), (4, 12)):
-        rows = [(f"e{i:03d}", f"n{r.randrange(25)}", f"n{r.randrange(25)}", float(r.randrange(1, 40))) for i in range(150)]
-        e = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, amount double")
-        got: dict = {}
-        for x in traversal.trace_candidates(e, e.select(F.col("source_id").alias("seed")), hops, most).orderBy("seed", "rank").collect():
-            got.setdefault(x.seed, []).append((x.edge_id, x.hop, x.status))
-        for s in {x[1] for x in rows}:
-            out, left = traversal.best_first(rows, s, hops, most)
-            assert got[s] == [(o[0], o[4], "TRACE_TRUNCATED" if left else "COMPLETE") for o in out]
-
-
-def test_trace_candidates_query_traces_every_source(spark):
-    sources = {x.source_id for x in tables.edges(spark, oracle.DATA).select("source_id").distinct().collect()}
-    assert {x.seed for x in graph.QUERIES["trace_candidates"](spark, oracle.DATA).select("seed").distinct().collect()} == sources
-
-
-def test_focus_paths_are_those_of_an_ordered_search(spark):
+    found, got = _traces(spark, rows, ["s"], hops, most)["s"]
+    assert [i for i, _ in found] == want and got == status
+
+
+@pytest.mark.parametrize(("hops", "most"), [(1, 1), (1, 5), (2, 1), (2, 3), (2, 9), (3, 2), (3, 9), (4, 1), (4, 12)])
+def test_trace_candidates_equal_a_plain_search(spark, hops, most):
+    r = random.Random(10 * hops + most)
+    rows, seeds = [], []
+    for k in range(12):  # apart from each other, sparse and dense
+        n = r.choice([3, 8, 25])
+        rows += [(f"e{k:02d}-{i:03d}", f"{k}n{r.randrange(n)}", f"{k}n{r.randrange(n)}", float(r.randrange(1, 15))) for i in range(r.choice([4, 12, 60]))]
+        seeds += [f"{k}n{i}" for i in range(n)]
+    got = _traces(spark, rows, seeds, hops, most)
+    assert got == {s: _plain_best_first(rows, s, hops, most) for s in seeds}
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_trace_amounts_must_be_finite(spark, bad):
+    with pytest.raises(Exception, match="not finite"):
+        _traces(spark, [("k1", "s", "p", 8.0), ("k2", "s", "q", bad)], ["s"], 2, 5)
+
+
+def test_trace_candidates_query_traces_every_account(spark):
+    accounts = {x for r in tables.edges(spark, oracle.DATA).select("source_id", "target_id").collect() for x in r}
+    assert {x.seed for x in graph.QUERIES["trace_candidates"](spark, oracle.DATA).select("seed").distinct().collect()} == accounts
+
+
+def _path_from(edges, node, seed):
+    """[(edge, its end on the node's side)] from the node to the seed; None if it is out of reach."""
+    parent, order = {node: None}, [node]
+    for at in order:
+        for b, i in sorted((b, i) for i, s, t in edges for a, b in ((s, t), (t, s)) if a == at):
+            if b not in parent:
+                parent[b] = (at, i)
+                order.append(b)
+    if seed not in parent:
+        return None
+    path, at = [], seed
+    while parent[at]:
+        path.append((parent[at][1], parent[at][0]))
+        at = parent[at][0]
+    return path  # from the seed on
+
+
+def test_focus_paths_are_those_of_a_search_from_the_node(spark):
     r = random.Random(9)
-    rows, seeds, targets, want = [], [], [], {}
-    for k in range(25):
-        edges = [(f"e{i:02d}", f"n{r.randrange(8)}", f"n{r.randrange(8)}") for i in range(r.randrange(1, 14))]
+    rows, seeds, targets, want, elements = [], [], [], {}, {}
+    cases = [[(f"e{i:02d}", f"n{r.randrange(8)}", f"n{r.randrange(8)}") for i in range(r.randrange(1, 14))] for _ in range(25)]
+    cases.append([("e1", "n0", "a"), ("e2", "a", "z"), ("e3", "z", "t"), ("e4", "n0", "b"), ("e5", "b", "y"), ("e6", "y", "t"), ("e0", "y", "t")])
+    cases.append([(f"e{i:02d}", f"n{i}", f"n{i + 1}") for i in range(15)])  # far beyond any fixed depth
+    for k, edges in enumerate(cases):
         rows += [(f"c{k}", *e) for e in edges]
         seeds.append((f"c{k}", "n0"))
-        parent, order = {"n0": None}, ["n0"]
-        for node in order:
-            links = sorted((b, i) for i, s, t in edges for a, b in ((s, t), (t, s)) if a == node and b != node)
-            for b, i in links:
-                if b not in parent:
-                    parent[b] = (node, i)
-                    order.append(b)
-        for node in order[1:]:
+        for node in sorted({x for e in edges for x in e[1:]} | {"n0", "lonely"}):
             targets.append((f"c{k}", node))
-            path, at = [], node
-            while parent[at]:
-                path.append(parent[at][1])
-                at = parent[at][0]
-            want[f"c{k}", node] = path[::-1]
+            path = _path_from(edges, node, "n0")
+            if path:
+                want[f"c{k}", node] = path
+            near = [e for e in edges if node in e[1:]]
+            elements[f"c{k}", node] = {("node", node)} | {("edge", e[0]) for e in near} | {("node", x) for e in near for x in e[1:]}
+            if path:
+                elements[f"c{k}", node] |= {("edge", i) for i, _ in path} | {("node", x) for _, x in path} | {("node", "n0")}
     e = spark.createDataFrame(rows, "case_id string, edge_id string, source_id string, target_id string")
-    got: dict = {}
     pairs = "case_id string, node string"
-    for x in traversal.focus(e, spark.createDataFrame(seeds, pairs), spark.createDataFrame(targets, pairs), 7).orderBy("case_id", "node", "step").collect():
-        got.setdefault((x.case_id, x.node), []).append(x.edge_id)
-    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    s, t = spark.createDataFrame(seeds, pairs), spark.createDataFrame(targets, pairs)
+    got: dict = {}
+    for x in traversal.focus(e, s, t).orderBy("case_id", "node", "step").collect():
+        got.setdefault((x.case_id, x.node), []).append((x.edge_id, x.end_node))
     assert got == want
+    assert [i for i, _ in got["c25", "t"]] == ["e4", "e5", "e0"]
+    found: dict = {}
+    for x in traversal.focus_elements(e, s, t).collect():
+        found.setdefault((x.case_id, x.node), set()).add((x.kind, x.id))
+    assert found == elements
 
 
 FUND = "case_id string, seed string, edge_id string, source_id string, target_id string, amount double, currency string, event_time string"
@@ -179,6 +221,29 @@ def test_funding_clusters(spark):
     assert got[0].cluster_id == "cluster:h:s0%7Cs1%7Cs2%7Cs3%7Cs4"
 
 
+def test_funding_clusters_equal_a_plain_fold(spark):
+    r = random.Random(12)
+    rows, want = [], []
+    for k in range(12):
+        edges = []
+        for i in range(r.randrange(20, 120)):
+            at = 1_704_067_200 + r.randrange(4 * 3600)
+            edges.append((f"c{k}", "s0", f"e{i:03d}", f"s{r.randrange(14)}", f"t{r.randrange(3)}", float(r.choice([1, 5, 9, 60])), r.choice(["VND", "VND", "VND", None]), at))
+        rows += edges
+        small = [e for e in edges if e[6] == "VND" and e[5] < 50 and e[3] != "s0"]
+        windows = {(e[4], e[7] * 1000, tuple(sorted({x[3] for x in small if x[4] == e[4] and e[7] <= x[7] <= e[7] + 3600}))) for e in small}
+        taken: set = set()
+        for target, first, senders in sorted(windows, key=lambda w: (w[0], w[1], "|".join(w[2]))):
+            free = [x for x in senders if x not in taken]
+            if len(senders) >= 5 and len(free) >= 5:
+                taken |= set(free)
+                own = [e for e in small if e[4] == target and e[3] in free and first <= e[7] * 1000 <= first + 3_600_000]
+                want.append((f"c{k}", target, tuple(free), len(own), sum(e[5] for e in own)))
+    df = spark.createDataFrame([(*x[:7], str(x[7])) for x in rows], FUND).withColumn("event_time", F.timestamp_seconds(F.col("event_time").cast("long")))
+    got = typology.funding_clusters(df, F.lit("2025-01-01").cast("timestamp"), below=50).collect()
+    assert sorted((x.case_id, x.target_id, tuple(x.senders), x.n_edges, x.total) for x in got) == sorted(want) and len(want) > 10
+
+
 def test_greedy_senders_join_one_cluster():
     rows = [("b", 1, list("vwxyz")), ("a", 1, list("uvwxy")), ("b", 2, list("abcde")), ("b", 3, list("abcdef"))]
     assert typology.greedy_clusters(rows, 5) == [("a", 1, list("uvwxy")), ("b", 2, list("abcde"))]
