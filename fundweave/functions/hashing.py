@@ -29,12 +29,9 @@ def _value(c: Column, kind: T.DataType) -> Column:
         text = F.concat(F.lit('"'), utc_seconds(c), F.lit('"'))
     elif isinstance(kind, T.DoubleType | T.FloatType):
         text = _float_text(c)
-    elif isinstance(kind, T.StringType):
-        body = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
-        text = F.substr(body, F.lit(6), F.length(body) - 6)
-    elif isinstance(kind, T.ArrayType):
-        body = F.to_json(F.struct(c.alias("v")))
-        text = F.substr(body, F.lit(6), F.length(body) - 6)
+    elif isinstance(kind, T.StringType | T.ArrayType):
+        body = F.to_json(F.struct(c.alias("v")))  # {"v":...}, but {} of a null
+        text = F.when(c.isNotNull(), F.substr(body, F.lit(6), F.length(body) - 6))
     else:
         text = c.cast("string")
     return F.coalesce(text, F.lit("null"))

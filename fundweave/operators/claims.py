@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundweave.shared import values_at_ranks
+
 OUTPUT = "summary string, claims array<struct<text string, cited_evidence_ids array<string>>>"
 #: Lengths of a summary and a claim, and budgets.
 MAX_SUMMARY, MAX_CLAIM = 2000, 500
@@ -68,8 +72,13 @@ def claim_metrics(checked: DataFrame) -> DataFrame:
 
 def nearest_rank(df: DataFrame, column: str, *shares: float, by: tuple[str, ...] = ()) -> DataFrame:
     """p<share> of each group: the value at rank ceil(share * n), the least for 0; 0.0 if there is none."""
-    out = [F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})"), F.lit(0.0)).alias(f"p{round(100 * p)}") for p in shares]
-    return df.groupBy(*by).agg(*out)
+    ranks = lambda n: F.array(*[F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0)).cast("long") for p in shares])
+    found = values_at_ranks(df, by, column, ranks).groupBy(*by).agg(*[F.max(F.when(F.col("rank_id") == i, F.col("value"))).alias(f"v{i}") for i in range(len(shares))])
+    if by:
+        groups = df.select(*by).distinct()
+        same = functools.reduce(lambda a, b: a & b, [groups[c].eqNullSafe(found[c]) for c in by])
+        found = groups.join(found, same, "left").select(*[groups[c] for c in by], *[f"v{i}" for i in range(len(shares))])
+    return found.select(*by, *[F.coalesce(f"v{i}", F.lit(0.0)).alias(f"p{round(100 * p)}") for i, p in enumerate(shares)])
 
 
 def usage_by_case(attempts: DataFrame) -> DataFrame:

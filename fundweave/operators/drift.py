@@ -7,21 +7,27 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fundweave.shared import values_at_ranks
+
 #: Floor of a share, and the index from which a column has drifted.
 FLOOR, THRESHOLD = 1e-9, 0.1
 
 
-def quantile_edges(baseline: DataFrame, column: str, n: int, accuracy: int | None = None) -> list[float]:
-    """n + 1 strictly increasing edges, the outer ones infinite: n - 1 numbers come to the driver.
+def quantile_edges(baseline: DataFrame, column: str, n: int) -> list[float]:
+    """n + 1 strictly increasing edges, the outer ones infinite.
 
-    accuracy: where exact quantiles (a count of every distinct value) are too much, the
-    accuracy of approximate ones.
+    Quantiles are exact, by linear interpolation: 2 (n - 1) values come to the driver.
     """
     at = [i / n for i in range(1, n)]
-    q = F.percentile(column, at) if accuracy is None else F.percentile_approx(F.col(column), at, accuracy)
-    inner = baseline.agg(q.alias("q")).first().q or []
+    last = lambda size: (size - 1).cast("double")
+    ranks = lambda size: F.array(*[f(last(size) * p).cast("long") for p in at for f in (F.floor, F.ceil)])
+    rows = values_at_ranks(baseline.select(F.col(column).cast("double").alias("x")), (), "x", ranks).crossJoin(F.broadcast(baseline.agg(F.count(column).alias("n"))))  # one row
+    found = {r.rank_id: (r.value, r.n) for r in rows.collect()}
     edges = [-math.inf]
-    for x in inner:
+    for i, p in enumerate(at if found else []):
+        (low, size), (high, _) = found[2 * i], found[2 * i + 1]
+        share = p * (size - 1) - math.floor(p * (size - 1))
+        x = low if low == high else low * (1 - share) + high * share
         edges.append(max(float(x), math.nextafter(edges[-1], math.inf)) if edges[-1] > -math.inf else float(x))
     return [*edges, math.inf]
 
@@ -32,9 +38,9 @@ def bin_of(column: str, edges: list[float]) -> Column:
     return F.size(F.filter(inner, lambda e: F.col(column) >= e))
 
 
-def psi_bins(baseline: DataFrame, column: str, n: int, accuracy: int | None = None) -> tuple[list[float], DataFrame]:
+def psi_bins(baseline: DataFrame, column: str, n: int) -> tuple[list[float], DataFrame]:
     """(edges, table (bin, n, share)) of the baseline, a row a bin, empty bins included."""
-    edges = quantile_edges(baseline, column, n, accuracy)
+    edges = quantile_edges(baseline, column, n)
     return edges, bin_shares(baseline, column, edges)
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import json
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fundweave.functions.hashing import integrity_hash
+from fundweave.functions.scalars import utc_seconds
+
 
 def put_status(batch: DataFrame, current: DataFrame, key: str, hash_col: str) -> DataFrame:
     """batch with status INSERT, NOOP or CONFLICT against the current table.
@@ -93,46 +99,100 @@ def latest_pins(commands: DataFrame) -> DataFrame:
     return last.select("case_id", "edge_id", "x.*")
 
 
-PIN_SCHEMA = "case_id string, seq long, edge_id string, status string, version int"
+#: How the evidence that pins leave names its method.
+ACTION_METHOD, OBSERVED_METHOD = "forensic-canvas-pin-v1", "forensic-canvas-transaction-v1"
+CASE_FIELDS = ("case_id", "created_at", "evidence_ids", "seed_entity", "trace_edge_ids")
+PIN_SCHEMA = (
+    "case_id string, seq long, edge_id string, is_pinned boolean, tag string, status string,"
+    "previous_hash string, snapshot_hash string, evidence_id string, action_id string"
+)
+
 
+def _digest(value: dict) -> str:
+    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
-def apply_pins(rows: list[tuple], version: int = 0, pins: dict | None = None) -> tuple[list[tuple], int, dict]:
-    """Folds commands (seq, edge_id, in_case, is_pinned, tag, expected_version) of one case in order.
 
-    A stale expected version is SNAPSHOT_CONFLICT, an edge of another case INVALID_EDGE, an
-    unchanged state NOOP; an effective command makes a new version.
+def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple]) -> list[tuple]:
+    """Folds commands (case_id, seq, edge_id, is_pinned, tag, expected_hash) of one case in order; changes case and pins.
+
+    case: its CASE_FIELDS (created_at as text, ids sorted) and snapshot_hash. A stale
+    expected hash is SNAPSHOT_CONFLICT, an edge of another case INVALID_EDGE, an unchanged
+    state NOOP; an effective command adds an action, and if it pins the observed edge, to
+    the case's evidence and makes a new snapshot. Without an expected hash a command is
+    meant for the snapshot that it meets.
     """
-    pins = {} if pins is None else pins
     out = []
-    for seq, edge, in_case, pinned, tag, expected in rows:
-        state = (bool(pinned), tag)
-        if expected is not None and expected != version:
-            status = "SNAPSHOT_CONFLICT"
-        elif not in_case:
-            status = "INVALID_EDGE"
-        elif pins.get(edge, (False, None)) == state or not pinned and not pins.get(edge, (False, None))[0]:
-            status = "NOOP"
+    edges = frozenset(case["trace_edge_ids"]) if case else frozenset()
+    for case_id, seq, edge, pinned, tag, expected in commands:
+        before = case["snapshot_hash"] if case else None
+        row = (case_id, seq, edge, pinned, tag)
+        had = pins.get(edge)
+        if case is None:
+            out.append((*row, "CASE_NOT_FOUND", None, None, None, None))
+        elif expected is not None and expected != before:
+            out.append((*row, "SNAPSHOT_CONFLICT", before, before, None, None))
+        elif edge not in edges:
+            out.append((*row, "INVALID_EDGE", before, before, None, None))
+        elif (had is None and not pinned) or (had is not None and had[:2] == (pinned, tag)):
+            out.append((*row, "NOOP", before, before, had[2] if had else None, None))
         else:
-            pins[edge] = state
-            version += 1
-            status = "APPLIED"
-        out.append((seq, edge, status, version))
-    return out, version, pins
+            seen = had[2] if had else "ev:txn:" + _digest({"case_id": case_id, "edge_id": edge})
+            action = "ev:pin:" + _digest({"case_id": case_id, "seq": seq})[:32]
+            for new in {action, seen} if pinned else {action}:
+                at = bisect.bisect_left(case["evidence_ids"], new)
+                if case["evidence_ids"][at : at + 1] != [new]:
+                    case["evidence_ids"].insert(at, new)
+            case["snapshot_hash"] = _digest({k: case[k] for k in CASE_FIELDS})
+            pins[edge] = (pinned, tag, seen)
+            out.append((*row, "APPLIED", before, case["snapshot_hash"], seen, action))
+    return out
+
+
+def pin_cases(cases: DataFrame) -> DataFrame:
+    """CASE_FIELDS and snapshot_hash of cases (case_id, seed_entity, created_at, trace_edge_ids, evidence_ids), as pin_log() takes them."""
+    ids = {c: F.array_sort(F.array_distinct(c)) for c in ("trace_edge_ids", "evidence_ids")}
+    c = cases.withColumns({**ids, "created_at": utc_seconds(F.col("created_at"))}).select(*CASE_FIELDS)
+    return c.withColumn("snapshot_hash", integrity_hash(c, list(CASE_FIELDS)))
+
 
+def commands_of(pdf: pd.DataFrame) -> list[tuple]:
+    pdf = pdf.sort_values("seq", kind="stable")
+    columns: Sequence = [pdf[c].tolist() for c in ("case_id", "seq", "edge_id", "is_pinned", "tag", "expected_hash")]
+    return [tuple(None if x is None or x != x else x for x in row) for row in zip(*columns, strict=True)]
 
-def pin_log(commands: DataFrame, case_edges: DataFrame) -> DataFrame:
-    """case_id, seq, edge_id, status, version of every command, a fold over each case's own commands.
 
-    commands (case_id, seq, edge_id, is_pinned, tag, expected_version); case_edges (case_id, edge_id).
+def pin_log(commands: DataFrame, cases: DataFrame) -> DataFrame:
+    """PIN_SCHEMA of every command: a fold over each case's own commands, which also bounds it.
+
+    commands (case_id, seq, edge_id, is_pinned, tag, expected_hash); cases of pin_cases().
     """
-    known = case_edges.select("case_id", "edge_id", F.lit(True).alias("in_case")).distinct()
-    c = commands.join(known, ["case_id", "edge_id"], "left").fillna(False, ["in_case"])
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        columns: Sequence = [pdf[c].tolist() for c in ("seq", "edge_id", "in_case", "is_pinned", "tag")]
-        expected = [None if pd.isna(x) else int(x) for x in pdf["expected_version"]]
-        out, _, _ = apply_pins(list(zip(*columns, expected, strict=True)))
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["case_id", "seq", "edge_id", "status", "version"])
+    def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        case = None
+        if len(right):
+            case = {k: (sorted(v) if k.endswith("_ids") else v) for k, v in right.iloc[0].to_dict().items()}
+        rows = apply_pins(case, {}, commands_of(left))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in PIN_SCHEMA.split(",")])
+
+    c = commands.select("case_id", "seq", "edge_id", "is_pinned", "tag", "expected_hash")
+    return c.groupBy("case_id").cogroup(cases.groupBy("case_id")).applyInPandas(fold, PIN_SCHEMA)
+
 
-    return c.groupBy("case_id").applyInPandas(fold, PIN_SCHEMA)
+def pin_evidence(log: DataFrame) -> DataFrame:
+    """evidence_id, case_id, category, source_reference, polarity, generation_method_version, payload_summary.
+
+    A row for the action of each effective command, and one for each edge that was pinned.
+    """
+    done = log.where("status = 'APPLIED'")
+    summary = F.to_json(
+        F.struct("edge_id", "is_pinned", F.col("previous_hash").alias("previous_snapshot_hash"), F.col("tag").alias("typology_tag")), {"ignoreNullFields": "false"}
+    )
+    edge = F.concat(F.lit("edge:"), "edge_id")
+    row = lambda ident, category, method, text: F.struct(
+        ident.alias("evidence_id"), F.lit(category).alias("category"), edge.alias("source_reference"), F.lit("UNKNOWN").alias("polarity"),
+        F.lit(method).alias("generation_method_version"), text.alias("payload_summary"),
+    )
+    action = row(F.col("action_id"), "ANALYST", ACTION_METHOD, summary)
+    seen = row(F.col("evidence_id"), "OBSERVED", OBSERVED_METHOD, F.to_json(F.struct("edge_id")))
+    both = done.select("case_id", F.explode(F.when(F.col("is_pinned"), F.array(action, seen)).otherwise(F.array(action))).alias("x"))
+    return both.select("case_id", "x.*").distinct()

@@ -54,9 +54,11 @@ def clean_transfers(df: DataFrame, *order: str, raw: Raw = Raw()) -> tuple[DataF
     return accepted, marked.where("reason_code is not null")
 
 
-def quality_report(df: DataFrame, raw: Raw = Raw()) -> DataFrame:
+def quality_report(df: DataFrame, raw: Raw = Raw(), source_id: str | None = None, raw_sha256: str | None = None) -> DataFrame:
     """One row: counts, duplicates, a count for each reason, schema_hash, report_hash.
 
+    With source_id and raw_sha256 the report names them, and its hash covers them.
+
     Rows are counted once for each distinct content, so duplicates come from the same
     aggregate as the rest.
     """
@@ -71,6 +73,8 @@ def quality_report(df: DataFrame, raw: Raw = Raw()) -> DataFrame:
         (total - F.count(F.lit(1))).alias("duplicate_rows"),
         *counts,
     )
+    if source_id is not None and raw_sha256 is not None:
+        report = report.withColumns({"source_id": F.lit(source_id), "raw_sha256": F.lit(raw_sha256)})
     report = report.withColumn("schema_hash", F.sha2(F.lit(",".join(df.columns)), 256))
     return report.withColumn("report_hash", F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in report.columns]), 256))
 

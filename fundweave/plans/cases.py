@@ -84,9 +84,26 @@ def _latest_pins(spark, d):
     return evidence.latest_pins(_commands(spark, d))
 
 
+def _pin_cases(spark, d):
+    c = t.case_edges(spark, d)
+    return evidence.pin_cases(c.groupBy("case_id", F.col("seed").alias("seed_entity")).agg(
+        F.min("event_time").alias("created_at"), F.collect_set("edge_id").alias("trace_edge_ids"), F.array().cast("array<string>").alias("evidence_ids")
+    ))
+
+
+def _pin_commands(spark, d):
+    """Commands of which some expect the first snapshot of their case, which the first effective one replaces."""
+    first = _pin_cases(spark, d).select("case_id", "snapshot_hash")
+    c = _commands(spark, d).join(first, "case_id", "left")
+    return c.withColumn("expected_hash", F.when(F.col("seq") % 13 == 0, F.col("snapshot_hash"))).drop("snapshot_hash")
+
+
 def _pin_log(spark, d):
-    c = _commands(spark, d).withColumn("expected_version", F.when(F.col("seq") % 13 == 0, F.lit(0)))
-    return evidence.pin_log(c, t.case_edges(spark, d))
+    return evidence.pin_log(_pin_commands(spark, d), _pin_cases(spark, d))
+
+
+def _pin_evidence(spark, d):
+    return evidence.pin_evidence(_pin_log(spark, d))
 
 
 def _runs(spark, d):
@@ -169,6 +186,7 @@ QUERIES = {
     "case_summary": _summary,
     "latest_pins": _latest_pins,
     "pin_log": _pin_log,
+    "pin_evidence": _pin_evidence,
     "claim_status": _claim_status,
     "claim_metrics": _claim_metrics,
     "latency_percentiles": _latency,

@@ -8,6 +8,7 @@ from fundweave.functions import hashing, scalars
 from fundweave.operators import features, quality
 from fundweave.plans import tables as t
 from fundweave.plans.tables import CUTOFF, EDGES, RAW
+from fundweave.shared import shared_dir
 from fundweave.sources import transfers
 
 
@@ -24,13 +25,51 @@ def _canonical(spark, d):
     return transfers.adapt(t.lines(spark, d), "transactions")
 
 
+def _read_back(spark, d):
+    """Raw transfers written as a table of the second layout, and read as canonical edges."""
+    path = shared_dir(spark, "raw")
+    names = {"orig_id": "source_account_id", "dest_id": "target_account_id", "timestamp": "transaction_time"}
+    t.lines(spark, d).withColumnsRenamed(names).write.parquet(path)
+    return transfers.read_transfers(spark, path, "accounts")
+
+
+def _graph_at(spark, d):
+    return features.build_graph(t.edges(spark, d), CUTOFF).select("edge_id", "source_id", "target_id", "amount")
+
+
+def _neighbours(spark, d):
+    e = t.edges(spark, d)
+    seeds = e.select(F.col("source_id").alias("account_id")).distinct()
+    return features.neighbor_sample(e, seeds, (5, 3))
+
+
+def _artifact(spark, d):
+    """The manifest of the accepted ticks as a public artifact, with its report."""
+    raw = t.raw_ticks(spark, d)
+    edges, report = _ticks(spark, d), quality.quality_report(raw.drop("event_id"), source_id="events", raw_sha256="0" * 64)
+    m = transfers.write_clean_artifact(edges, shared_dir(spark, "artifact"), report, source="events", parent_hash="0" * 64, adapter="ticks")
+    return m.select("source", "parent_hash", "adapter", "row_count", F.array_join("columns", ",").alias("columns"), F.size("params").alias("n_params"), F.length("output_hash").alias("hash_length"))
+
+
+def _ledger(spark, d):
+    """A metric of each supplier as a run, appended and read back."""
+    s = t.read(spark, d, "supplier")
+    sha = lambda x: F.sha2(F.concat(F.lit(x), F.col("s_suppkey").cast("string")), 256)
+    runs = s.select(
+        F.concat(F.lit("run"), F.col("s_suppkey").cast("string")).alias("run_id"), F.substring(sha("g"), 1, 40).alias("git_sha"), sha("d").alias("dataset_hash"),
+        sha("s").alias("split_hash"), F.explode(F.array(F.lit("ap"), F.lit("brier"))).alias("metric"), (F.col("s_suppkey") / 7).alias("value"),
+    )
+    return transfers.run_ledger(runs, shared_dir(spark, "ledger")).withColumn("value", F.round("value", 9))
+
+
 def _public(spark, d):
     return quality.public_projection(t.edges(spark, d).withColumn("label", F.col("event_id") % 2))
 
 
 def _ticks(spark, d):
     good, _ = quality.clean_transfers(t.raw_ticks(spark, d))
-    return transfers.adapt_ticks(good, "event_id", start="2024-01-01 00:00:00", tick_seconds=0.5, prefix="t-")
+    good = good.withColumn("time", F.col("time").cast("long"))
+    return transfers.adapt_ticks(good, "event_id", start="2024-01-01T00:00:00Z", tick_seconds=0.5, prefix="t-")
 
 
 def _accepted(spark, d):
@@ -167,6 +206,11 @@ QUERIES = {
     "account_features_requested": _requested,
     "canonical_edges": _canonical,
     "public_projection": _public,
+    "read_transfers": _read_back,
+    "graph_at_cutoff": _graph_at,
+    "neighbor_sample": _neighbours,
+    "clean_artifact": _artifact,
+    "run_ledger": _ledger,
     "tick_adapter": _ticks,
     "clean_accepted": _accepted,
     "clean_quarantine": _quarantine,
@@ -206,6 +250,23 @@ ORACLE_SQL = {
         SELECT 'o' || l_orderkey || '-' || l_suppkey AS edge_id, 'C' || o_custkey AS source_id, 'S' || l_suppkey AS target_id,
                sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, o_orderdate AS event_time
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_suppkey, o_custkey, o_orderdate""",
+    "read_transfers": """
+        SELECT 'o' || l_orderkey || '-' || l_suppkey AS edge_id, 'C' || o_custkey AS source_id, 'S' || l_suppkey AS target_id,
+               sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS amount, o_orderdate AS event_time
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_suppkey, o_custkey, o_orderdate""",
+    "graph_at_cutoff": f"WITH {EDGES} SELECT edge_id, source_id, target_id, amount FROM edges WHERE event_time <= TIMESTAMP '{CUTOFF}'",
+    "neighbor_sample": f"""WITH {EDGES},
+        b AS (SELECT source_id AS node_id, target_id AS neighbor_id, edge_id FROM edges UNION ALL SELECT target_id, source_id, edge_id FROM edges),
+        p AS (SELECT node_id, neighbor_id, min(edge_id) AS edge_id FROM b GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY edge_id, neighbor_id) AS rk FROM p),
+        one AS (SELECT s.source_id AS seed_id, 1 AS hop, node_id, neighbor_id FROM (SELECT DISTINCT source_id FROM edges) s JOIN r ON r.node_id = s.source_id WHERE rk <= 5)
+        SELECT * FROM one UNION ALL SELECT o.seed_id, 2, r.node_id, r.neighbor_id FROM (SELECT DISTINCT seed_id, neighbor_id FROM one) o JOIN r ON r.node_id = o.neighbor_id WHERE rk <= 3""",
+    "clean_artifact": f"""WITH {RAW}
+        SELECT 'events' AS source, repeat('0', 64) AS parent_hash, 'ticks' AS adapter, count(*) AS row_count, 'edge_id,source_id,target_id,amount,event_time' AS columns,
+               1 AS n_params, 64 AS hash_length FROM judged WHERE reason IS NULL""",
+    "run_ledger": """
+        SELECT 'run' || s_suppkey AS run_id, substr(sha256('g' || s_suppkey), 1, 40) AS git_sha, sha256('d' || s_suppkey) AS dataset_hash,
+               sha256('s' || s_suppkey) AS split_hash, metric, round(s_suppkey / 7, 9) AS value FROM supplier, (SELECT unnest(['ap', 'brier']) AS metric) m""",
     "public_projection": f"WITH {EDGES} SELECT edge_id, source_id, target_id, amount, event_time FROM edges",
     "tick_adapter": f"""WITH {RAW}
         SELECT 't-' || (row_number() OVER (ORDER BY event_id) - 1) AS edge_id, sourceNodeId AS source_id, targetNodeId AS target_id,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from fundweave.operators import evidence, features
@@ -88,19 +88,53 @@ def _parity(spark, d):
 
 def _pin_stream(spark, d):
     replay.use_rocksdb(spark)
-    known = t.case_edges(spark, d).select("case_id", "edge_id", F.lit(True).alias("in_case")).distinct()
-    c = cases._commands(spark, d).join(known, ["case_id", "edge_id"], "left").fillna(False, ["in_case"])
-    c = c.withColumn("expected_version", F.when(F.col("seq") % 13 == 0, F.lit(0)))
     path = shared_dir(spark, "commands")
-    c.repartition(2, "case_id").write.parquet(path)
+    cases._pin_commands(spark, d).repartition(2, "case_id").write.parquet(path)
+    c, known = spark.read.parquet(path), staged(cases._pin_cases(spark, d), "pin-cases")
     stream = spark.readStream.schema(c.schema).parquet(path)
-    got = online.run_once(online.pin_stream(stream), shared_dir(spark, "pins"), shared_dir(spark, "checkpoint"))
-    want = evidence.pin_log(c.drop("in_case"), known)
+    got = online.run_once(online.pin_stream(stream, known), shared_dir(spark, "pins"), shared_dir(spark, "checkpoint"))
+    want = evidence.pin_log(c, known)
     j = want.alias("b").join(got.alias("s"), ["case_id", "seq"], "full_outer")
-    same = F.col("b.status").eqNullSafe(F.col("s.status")) & F.col("b.version").eqNullSafe(F.col("s.version"))
+    same = F.lit(True)
+    for name in ("status", "snapshot_hash", "evidence_id", "action_id"):
+        same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"s.{name}"))
     return j.agg(F.count(F.lit(1)).alias("commands"), F.count_if(~same).alias("differing"))
 
 
+def _quarantine_stream(spark, d):
+    """The quarantined records, through the durable sink."""
+    path, sink = shared_dir(spark, "replayed"), shared_dir(spark, "quarantine")
+    _replayed(spark, d).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    envelopes.quarantine_sink(stream, sink, shared_dir(spark, "checkpoint")).awaitTermination()
+    return envelopes.read_quarantine(spark, sink).select("topic", "partition", "offset", "reason")
+
+
+def _counters(spark, d):
+    """accepted, quarantined: what is observed as replayed records pass."""
+    seen = Observation("replay")
+    df = online.observed(_replayed(spark, d), seen)
+    df.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["accepted"], seen.get["quarantined"])], "accepted long, quarantined long")
+
+
+def _checked(spark, d):
+    """Edges in four batches by time; some come again a batch later, some come late."""
+    path, out, check = (shared_dir(spark, n) for n in ("edges", "checked", "checkpoint"))
+    k, e = F.col("event_id"), staged(t.edges(spark, d), "edges")
+    size = e.agg(F.max("event_id")).first()[0] // 4 + 1
+    part = F.floor(k / size)
+    late = F.when(k % 29 == 3, part + 1).otherwise(part)
+    again = e.where(k % 31 == 5).withColumn("batch", part + 2)
+    every = staged(e.withColumn("batch", late).unionByName(again), "edge-batches")
+    for i in range(6):
+        every.where(F.col("batch") == i).drop("batch", "event_id").write.mode("append").parquet(path)
+        stream = spark.readStream.schema(e.drop("event_id").schema).parquet(path)
+        online.checked_edges(stream, out, check).awaitTermination()
+    accepted = spark.read.parquet(f"{out}/accepted").select("edge_id", F.lit("ACCEPTED").alias("status"))
+    return accepted.unionByName(spark.read.parquet(f"{out}/rejected").select("edge_id", F.col("reason").alias("status")))
+
+
 QUERIES = {
     "parse_envelope": _valid,
     "replay_batch": _replay_batch,
@@ -111,6 +145,9 @@ QUERIES = {
     "online_features": _online,
     "online_features_parity": _parity,
     "pin_stream_parity": _pin_stream,
+    "quarantine_stream": _quarantine_stream,
+    "replay_counters": _counters,
+    "checked_edges": _checked,
 }
 
 _RECORDS = f"""{EDGES},
@@ -140,6 +177,15 @@ ORACLE_SQL = {
         SELECT 'transfers' AS topic, part AS partition, coalesce(max(off + 1) FILTER (status = 'ACCEPTED'), 0) AS next_offset FROM rp GROUP BY part""",
     "replay_quarantine": f"""WITH {_RECORDS}
         SELECT 'transfers' AS topic, part AS partition, off AS offset, status AS reason FROM rp WHERE status IN ('INVALID_SCHEMA', 'NON_CONTIGUOUS_OFFSET', 'CONFLICT')""",
+    "quarantine_stream": f"""WITH {_RECORDS}
+        SELECT 'transfers' AS topic, part AS partition, off AS offset, status AS reason FROM rp WHERE status IN ('INVALID_SCHEMA', 'NON_CONTIGUOUS_OFFSET', 'CONFLICT')""",
+    "replay_counters": f"""WITH {_RECORDS}
+        SELECT count(*) FILTER (status = 'ACCEPTED') AS accepted, count(*) FILTER (status IN ('INVALID_SCHEMA', 'NON_CONTIGUOUS_OFFSET', 'CONFLICT')) AS quarantined FROM rp""",
+    "checked_edges": f"""WITH {EDGES},
+        z AS (SELECT max(event_id) // 4 + 1 AS size FROM edges),
+        e AS (SELECT edge_id, event_id, event_time, event_id // size AS part FROM edges, z)
+        SELECT edge_id, CASE WHEN event_id % 29 = 3 THEN 'NON_MONOTONIC_ORDER' ELSE 'ACCEPTED' END AS status FROM e
+        UNION ALL SELECT edge_id, CASE WHEN event_id % 29 = 3 THEN 'NON_MONOTONIC_ORDER' ELSE 'DUPLICATE_EDGE' END FROM e WHERE event_id % 31 = 5""",
     "event_id_conflicts": f"""WITH {_RECORDS},
         v AS (SELECT * FROM r1 WHERE valid UNION ALL SELECT * FROM r1 WHERE valid AND k % 101 = 3),
         w AS (SELECT *, first_value(part) OVER x AS fp, first_value(off) OVER x AS fo FROM v WINDOW x AS (PARTITION BY eid ORDER BY ts, part, off))

@@ -40,3 +40,18 @@ def with_ordinal(df: DataFrame, *order: str, name: str = "row_ordinal") -> DataF
     base = base.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
     out = numbered.withColumn("__part", part).join(F.broadcast(base), "__part")  # a row a partition
     return out.withColumn(name, F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__at", "__part", "__base")
+
+
+def values_at_ranks(df: DataFrame, by: tuple[str, ...], column: str, ranks) -> DataFrame:
+    """The by columns, rank_id, value: for each group the values at the 0-based ranks that ranks(n) names.
+
+    ranks: from the column of a group's number of values to an array column of ranks.
+    Nulls have no rank. The values are range-partitioned and numbered, so that no task
+    holds a group; only the values asked for are joined.
+    """
+    values = df.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("value"))
+    ordered = with_ordinal(values, *by, "value", name="__rank")
+    groups = ordered.groupBy(*by).agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    asked = groups.select(*by, "__first", F.posexplode(ranks(F.col("__n"))).alias("rank_id", "__at"))
+    asked = asked.select(*by, "rank_id", (F.col("__first") + F.col("__at")).alias("__rank"))
+    return asked.join(ordered.select("__rank", "value"), "__rank").select(*by, "rank_id", "value")

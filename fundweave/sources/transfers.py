@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fundweave.functions.hashing import content_hash
-from fundweave.functions.scalars import tick_to_time
+from fundweave.functions.scalars import missing_id, tick_to_time
 from fundweave.operators.quality import public_projection
 from fundweave.shared import with_ordinal
 
@@ -33,11 +36,35 @@ def adapt(df: DataFrame, layout: str) -> DataFrame:
     return df.select(*[F.col(raw).alias(name) for raw, name in names.items()])
 
 
+def tick_violations(df: DataFrame) -> DataFrame:
+    """One row with a count of each way in which rows with relative ticks are not fit to adapt."""
+    value = F.col("value")
+    finite = value.isNotNull() & ~F.isnan(value.cast("double")) & (F.abs(value.cast("double")) < float("inf"))
+    return df.agg(
+        *[F.count_if(missing_id(F.col(c).cast("string"))).alias(f"bad_{c}") for c in TICKS[:2]],
+        F.count_if(~finite | F.coalesce(value <= 0, F.lit(True))).alias("bad_value"),
+        F.count_if(F.col("time").isNull() | (F.col("time") < 0)).alias("bad_time"),
+    )
+
+
 def adapt_ticks(df: DataFrame, *order: str, start: str, tick_seconds: float, prefix: str) -> DataFrame:
-    """Raw edges with relative ticks: edge ids from the row ordinal, times from the tick."""
+    """Raw edges with relative ticks: edge ids from the row ordinal, times from the tick.
+
+    start has a time zone; ticks are of an integer type and not negative, values numeric,
+    finite and positive, ids neither null nor blank. Anything else is an error.
+    """
     _need(df, TICKS)
-    if tick_seconds <= 0 or not prefix.strip():
+    if not tick_seconds > 0 or not prefix.strip():
         raise ValueError("a tick must last and the prefix must not be blank")
+    if not re.search(r"(Z|[+-]\d\d:?\d\d)$", start):
+        raise ValueError("the start must have a time zone")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if not isinstance(kinds["value"], T.NumericType):
+        raise ValueError("value must be numeric")
+    if not isinstance(kinds["time"], T.IntegralType):
+        raise ValueError("ticks must be of an integer type")
+    if broken := sorted(k for k, n in tick_violations(df).first().asDict().items() if n):
+        raise ValueError(f"tick rules broken: {broken}")
     begin = F.lit(start).cast("timestamp")
     return with_ordinal(df, *order).select(
         F.concat(F.lit(prefix), F.col("row_ordinal").cast("string")).alias("edge_id"),
@@ -127,14 +154,28 @@ def write_public_artifact(df: DataFrame, path: str, *, source: str, parent_hash:
     return spark.read.schema(manifest.schema).json(path.rstrip("/") + ".manifest")
 
 
-def write_clean_artifact(df: DataFrame, path: str, report: DataFrame, *, source: str, parent_hash: str, adapter: str) -> DataFrame:
-    """write_public_artifact() of accepted rows; the report must agree and its hash is a parameter."""
-    r = report.first()
-    if len(r.report_hash) != 64 or set(r.report_hash) - set("0123456789abcdef"):
+def write_clean_artifact(
+    df: DataFrame, path: str, report: DataFrame | str, *, source: str, parent_hash: str, adapter: str, params: tuple[str, ...] = ()
+) -> DataFrame:
+    """write_public_artifact() of accepted rows; the report's hash becomes a parameter.
+
+    A report table (one row of quality_report() with its source and raw hash) must be of
+    this source, raw table and number of rows; a string must be the hash of a report.
+    """
+    if isinstance(report, str):
+        found = report
+    else:
+        r = report.first()
+        if r.source_id != source:
+            raise ValueError("the report is of another source")
+        if r.raw_sha256 != parent_hash:
+            raise ValueError("the report is of another raw table")
+        if r.accepted_rows != df.count():
+            raise ValueError("the report does not count the accepted rows")
+        found = r.report_hash
+    if not re.fullmatch("[0-9a-f]{64}", found):
         raise ValueError("the report hash must be 64 hex digits")
-    if df.count() != r.accepted_rows:
-        raise ValueError("the report does not count the accepted rows")
-    return write_public_artifact(df, path, source=source, parent_hash=parent_hash, adapter=adapter, params=(f"quality:{r.report_hash}",))
+    return write_public_artifact(df, path, source=source, parent_hash=parent_hash, adapter=adapter, params=(*params, f"quality_report_sha256:{found}"))
 
 
 def artifact_inventory(spark: SparkSession, *paths: str) -> DataFrame:
@@ -149,19 +190,29 @@ def append_run_artifact(spark: SparkSession, payload: dict, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
 
 
-def valid_runs(runs: DataFrame) -> DataFrame:
-    """Runs with well-formed tags and finite metrics: run_id, git_sha, dataset_hash, split_hash, metric, value."""
+def run_violations(runs: DataFrame) -> DataFrame:
+    """One row with a count of each way in which runs (run_id, git_sha, dataset_hash, split_hash, metric, value) are malformed."""
     hex64 = "^[0-9a-f]{64}$"
-    return runs.where(
-        F.col("git_sha").rlike("^[0-9a-f]{40}$") & F.col("dataset_hash").rlike(hex64) & F.col("split_hash").rlike(hex64)
-        & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
-    )
+    bad = {"git_sha": ~F.col("git_sha").rlike("^[0-9a-f]{40}$"), "dataset_hash": ~F.col("dataset_hash").rlike(hex64), "split_hash": ~F.col("split_hash").rlike(hex64)}
+    bad["value"] = F.isnan("value") | (F.abs("value") == float("inf"))
+    each = runs.groupBy("run_id", "metric").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(f"bad_{k}") for k, c in bad.items()])
+    return each.agg(*[F.coalesce(F.sum(f"bad_{k}"), F.lit(0)).alias(f"bad_{k}") for k in bad], F.count_if(F.col("n") > 1).alias("repeated_metric"))
 
 
 def run_ledger(runs: DataFrame, path: str, tolerance: float = 1e-6) -> DataFrame:
-    """Appends valid runs and returns those that do not read back equal (none, if all is well)."""
-    good = valid_runs(runs)
-    good.write.mode("append").parquet(path)
-    back = runs.sparkSession.read.parquet(path).groupBy("run_id", "metric").agg(F.max("value").alias("read"))
-    both = good.join(back, ["run_id", "metric"], "left")
-    return both.where(F.col("read").isNull() | (F.abs(F.col("read") - F.col("value")) > tolerance))
+    """Appends runs, reads back what this call has written and returns it.
+
+    Malformed tags, metrics that are not finite and a metric that stands twice in a run are
+    errors, and nothing is written; so is a value or tag that does not read back.
+    """
+    if broken := sorted(k for k, n in run_violations(runs).first().asDict().items() if n):
+        raise ValueError(f"run rules broken: {broken}")
+    names, batch = ["run_id", "git_sha", "dataset_hash", "split_hash", "metric", "value"], uuid.uuid4().hex
+    runs.select(*names).withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+    back = runs.sparkSession.read.parquet(path).where(F.col("batch") == batch).drop("batch")
+    read = back.select("run_id", "metric", F.struct(*names[1:4]).alias("tags_read"), F.col("value").alias("value_read"))
+    both = runs.select("run_id", "metric", F.struct(*names[1:4]).alias("tags"), "value").join(read, ["run_id", "metric"], "full_outer")
+    same = F.col("tags").eqNullSafe(F.col("tags_read")) & (F.abs(F.col("value") - F.col("value_read")) <= tolerance)
+    if not both.where(~F.coalesce(same, F.lit(False))).isEmpty():
+        raise ValueError("runs do not read back as written")
+    return back

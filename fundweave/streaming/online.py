@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, put_status
+from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of, put_status
 from fundweave.operators.features import account_features
+from fundweave.shared import staged
 
 
 def online_account_features(edges: DataFrame) -> DataFrame:
@@ -35,6 +38,37 @@ def order_violations(batch: DataFrame, high: tuple | None) -> tuple[DataFrame, t
     return late, mark
 
 
+def checked_edges(stream: DataFrame, path: str, checkpoint: str):
+    """Starts a durable append of edges that may enter running features; others go to rejected rows.
+
+    path/accepted has the edges, path/rejected those with reason DUPLICATE_EDGE (the id was
+    accepted before, or stands twice in the batch; the first by time stays) or
+    NON_MONOTONIC_ORDER (at or below the greatest (event_time, edge_id) of the batches
+    before). A batch writes to a folder of its own id, so a repeated batch replaces what it
+    wrote.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        try:
+            old = spark.read.parquet(f"{path}/accepted").where(F.col("batch") < batch_id)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            old = batch.limit(0)
+        high = old.agg(F.max(F.struct("event_time", "edge_id")).alias("m")).first().m
+        nth = F.row_number().over(Window.partitionBy("edge_id").orderBy("event_time", *[c for c in batch.columns if c != "event_time"]))
+        known = old.select("edge_id", F.lit(True).alias("_known")).distinct()
+        b = batch.withColumn("_nth", nth).join(known, "edge_id", "left")
+        late = F.lit(False) if high is None else F.struct("event_time", "edge_id") <= F.struct(F.lit(high[0]), F.lit(high[1]))
+        reason = F.when(F.col("_known") | (F.col("_nth") > 1), "DUPLICATE_EDGE").when(late, "NON_MONOTONIC_ORDER")
+        b = staged(b.withColumn("reason", reason).drop("_nth", "_known"), "checked-edges")
+        b.where("reason is null").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch_id}")
+        b.where("reason is not null").select(*batch.columns, "reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def parity(online: DataFrame, offline: DataFrame) -> DataFrame:
     """Accounts on which two feature tables differ in any column."""
     columns = [c for c in offline.columns if c != "account_id"]
@@ -70,33 +104,38 @@ def feedback_sink(stream: DataFrame, cases: DataFrame, path: str, checkpoint: st
 
 
 class Pins(StatefulProcessor):
-    """A case's version and pins."""
+    """A case's fields and pins."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.version = handle.getValueState("version", "version int")
-        self.pins = handle.getMapState("pins", "edge_id string", "is_pinned boolean, tag string")
+        self.case = handle.getValueState("case", "fields string")
+        self.pins = handle.getMapState("pins", "edge_id string", "is_pinned boolean, tag string, evidence_id string")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0].to_dict()
+        self.case.update((json.dumps({k: (sorted(v) if k.endswith("_ids") else v) for k, v in row.items()}),))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        version = self.version.get()[0] if self.version.exists() else 0
-        pins = {e: tuple(self.pins.getValue((e,))) for e in batch["edge_id"].unique() if self.pins.containsKey((e,))}
-        columns = [batch[c].tolist() for c in ("seq", "edge_id", "in_case", "is_pinned", "tag")]
-        expected = [None if pd.isna(x) else int(x) for x in batch["expected_version"]]
+        commands = commands_of(pd.concat(list(rows)))  # of one case
+        case = json.loads(self.case.get()[0]) if self.case.exists() else None
+        pins = {e: tuple(self.pins.getValue((e,))) for e in {c[2] for c in commands} if self.pins.containsKey((e,))}
         before = dict(pins)
-        out, version, pins = apply_pins(list(zip(*columns, expected, strict=True)), int(version), pins)
+        out = apply_pins(case, pins, commands)
         for e, state in pins.items():
             if before.get(e) != state:
                 self.pins.updateValue((e,), state)
-        self.version.update((version,))
-        yield pd.DataFrame([(key[0], *r) for r in out], columns=["case_id", "seq", "edge_id", "status", "version"])
+        if case is not None:
+            self.case.update((json.dumps(case),))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in PIN_SCHEMA.split(",")])
 
     def close(self) -> None:
         pass
 
 
-def pin_stream(commands: DataFrame) -> DataFrame:
-    """evidence.pin_log() on a stream of commands that carry in_case."""
-    return commands.groupBy("case_id").transformWithStateInPandas(statefulProcessor=Pins(), outputStructType=PIN_SCHEMA, outputMode="Append", timeMode="None")
+def pin_stream(commands: DataFrame, cases: DataFrame) -> DataFrame:
+    """evidence.pin_log() on a stream of commands; cases of evidence.pin_cases() are the state that a new query begins with."""
+    return commands.groupBy("case_id").transformWithStateInPandas(
+        statefulProcessor=Pins(), outputStructType=PIN_SCHEMA, outputMode="Append", timeMode="None", initialState=cases.groupBy("case_id")
+    )
 
 
 class Counters(StreamingQueryListener):
@@ -121,7 +160,7 @@ class Counters(StreamingQueryListener):
         pass
 
 
-def observed(replayed: DataFrame, name: str = "replay") -> DataFrame:
+def observed(replayed: DataFrame, name: str | Observation = "replay") -> DataFrame:
     """Counts accepted and quarantined events as they pass."""
     bad = F.col("status").isin("INVALID_SCHEMA", "NON_CONTIGUOUS_OFFSET", "CONFLICT")
     return replayed.observe(name, F.count_if(F.col("status") == "ACCEPTED").alias("accepted"), F.count_if(bad).alias("quarantined"))

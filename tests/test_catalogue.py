@@ -5,7 +5,8 @@ import pytest
 from fundweave.plans import catalogue
 from tests import oracle
 
-SLOW = {"replay_stream", "pin_stream_parity", "online_features_parity", "boosted_tree_scores", "edge_ranker", "neighborhood_scores", "calibrated_scores"}
+#: Compared below, or with few trees in test_learn.
+SLOW = {"replay_stream", "pin_stream_parity", "online_features_parity", "boosted_tree_scores", "edge_ranker"}
 
 
 @pytest.fixture(scope="module")

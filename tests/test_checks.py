@@ -1,6 +1,10 @@
 """Audits, evaluation, drift, claims, evidence and replay on small examples."""
 
+import hashlib
 import json
+import math
+import time
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,7 +57,7 @@ def test_split_audits(spark):
     records = spark.createDataFrame([(i, "t", s, n, e) for i, s, n, e in rec], "case_id string, typology string, generator_seed long, entity_ids array<string>, edge_ids array<string>")
     man = spark.createDataFrame([("train", "a"), ("validation", "b"), ("test", "c")], "track string, case_id string")
     m = audits.split_members(records, man)
-    assert {r.kind: r.overlaps for r in audits.split_overlap(m).collect()} == {"entity": ["y"], "seed": ["1"]}
+    assert sorted(map(tuple, audits.split_overlap(m).collect())) == [("entity", "y"), ("seed", "1")]
     with pytest.raises(ValueError, match="entity"):
         audits.assert_split_safe(m)
     with pytest.raises(ValueError):
@@ -67,9 +71,10 @@ def test_split_audits(spark):
 
 
 def test_stages(spark):
-    rows = [("a", i, s) for i, s in enumerate(audits.STAGES)] + [("b", 0, "INTAKE"), ("b", 1, "SPLIT"), ("c", 0, "OTHER")]
+    rows = [("a", i, s) for i, s in enumerate(audits.STAGES)] + [("b", 0, "PREREGISTERED"), ("b", 1, "FITTED"), ("c", 0, "OTHER"), ("d", 0, "FITTED")]
     bad = audits.stage_violations(spark.createDataFrame(rows, "run_id string, seq int, stage string"))
-    assert {(r.run_id, r.stage) for r in bad.collect()} == {("b", "SPLIT"), ("c", "OTHER")}
+    assert {(r.run_id, r.stage) for r in bad.collect()} == {("b", "FITTED"), ("c", "OTHER"), ("d", "FITTED")}
+    assert audits.STAGES[:2] == ("PREREGISTERED", "DATA_VERIFIED") and audits.STAGES[-1] == "DECIDED" and len(audits.STAGES) == 9
 
 
 def test_claims(spark):
@@ -96,8 +101,60 @@ def test_puts_and_pins(spark):
     t = lambda *r: spark.createDataFrame(list(r), "id string, h string")
     got = evidence.put_status(t(("a", "1"), ("b", "2"), ("c", "1"), ("c", "2"), ("d", "1")), t(("a", "1"), ("b", "1")), "id", "h")
     assert {(r.id, r.status) for r in got.collect()} == {("a", "NOOP"), ("b", "CONFLICT"), ("c", "CONFLICT"), ("d", "INSERT")}
-    log, version, pins = evidence.apply_pins([(1, "e", True, True, "X", 0), (2, "e", True, True, "X", None), (3, "e", True, False, None, 0), (4, "f", False, True, "X", None), (5, "e", True, False, None, 1)])
-    assert [r[2] for r in log] == ["APPLIED", "NOOP", "SNAPSHOT_CONFLICT", "INVALID_EDGE", "APPLIED"] and version == 2 and pins == {"e": (False, None)}
+
+
+CASE_ROWS = [("c1", "s", "2024-01-01 00:00:00", ["f", "e"], ["ev9"]), ("c2", "s", None, [], [])]
+CASE = "case_id string, seed_entity string, created_at string, trace_edge_ids array<string>, evidence_ids array<string>"
+COMMANDS = "case_id string, seq long, edge_id string, is_pinned boolean, tag string, expected_hash string"
+
+
+def _pin_cases(spark):
+    return evidence.pin_cases(spark.createDataFrame(CASE_ROWS, CASE).withColumn("created_at", F.col("created_at").cast("timestamp")))
+
+
+def _snapshot(case_id, created_at, ids, edges):
+    body = {"case_id": case_id, "created_at": created_at, "evidence_ids": sorted(ids), "seed_entity": "s", "trace_edge_ids": sorted(edges)}
+    return hashlib.sha256(json.dumps(body, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def test_pins_make_evidence_and_snapshots(spark):
+    digest = lambda **kw: hashlib.sha256(json.dumps(kw, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    action = lambda seq: "ev:pin:" + digest(case_id="c1", seq=seq)[:32]
+    seen = "ev:txn:" + digest(case_id="c1", edge_id="e")
+    first = {r.case_id: r.snapshot_hash for r in _pin_cases(spark).collect()}
+    assert first == {"c1": _snapshot("c1", "2024-01-01T00:00:00Z", ["ev9"], ["e", "f"]), "c2": _snapshot("c2", None, [], [])}
+    rows = [
+        ("c1", 1, "f", False, None, None),  # nothing to unpin
+        ("c1", 2, "e", True, "X", first["c1"]), ("c1", 3, "e", True, "X", None), ("c1", 4, "e", True, "Y", first["c1"]), ("c1", 5, "g", True, "X", None),
+        ("c1", 6, "e", False, "X", None), ("c1", 7, "e", False, "X", None), ("c1", 8, "e", False, "Y", None), ("c9", 1, "e", True, "X", None), ("c2", 1, "e", True, "X", None),
+    ]
+    log = evidence.pin_log(spark.createDataFrame(rows, COMMANDS).repartition(4), _pin_cases(spark))
+    got = {(r.case_id, r.seq): r for r in log.collect()}
+    assert [got["c1", i].status for i in range(1, 9)] == ["NOOP", "APPLIED", "NOOP", "SNAPSHOT_CONFLICT", "INVALID_EDGE", "APPLIED", "NOOP", "APPLIED"]
+    assert got["c9", 1].status == "CASE_NOT_FOUND" and got["c2", 1].status == "INVALID_EDGE"
+    ids = ["ev9"]
+    for seq, new in ((2, [action(2), seen]), (6, [action(6)]), (8, [action(8)])):  # unpinning keeps the evidence
+        ids += new
+        assert got["c1", seq].snapshot_hash == _snapshot("c1", "2024-01-01T00:00:00Z", ids, ["e", "f"])
+        assert (got["c1", seq].evidence_id, got["c1", seq].action_id) == (seen, action(seq))
+    assert got["c1", 6].previous_hash == got["c1", 2].snapshot_hash == got["c1", 5].snapshot_hash
+    found = {r.evidence_id: r for r in evidence.pin_evidence(log).collect()}
+    assert set(found) == set(ids) - {"ev9"}
+    assert json.loads(found[action(2)].payload_summary) == {"edge_id": "e", "is_pinned": True, "previous_snapshot_hash": first["c1"], "typology_tag": "X"}
+    assert found[seen].category == "OBSERVED" and found[action(6)].category == "ANALYST"
+
+
+def test_streamed_pins_go_on_from_the_state(spark):
+    replay.use_rocksdb(spark)
+    source, out, check = (shared_dir(spark, n) for n in ("src", "out", "chk"))
+    cases = _pin_cases(spark)
+    rows = [("c1", i, "ef"[i % 2], i % 3 != 0, "XY"[i % 2], None) for i in range(1, 13)] + [("c9", 1, "e", True, "X", None)]
+    for part in (rows[:5], rows[5:]):
+        spark.createDataFrame(part, COMMANDS).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(COMMANDS).parquet(source)
+        got = online.run_once(online.pin_stream(stream, cases), out, check)
+    want = evidence.pin_log(spark.createDataFrame(rows, COMMANDS), cases)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_release(spark):
@@ -177,3 +234,50 @@ def test_feedback_is_appended_once(spark):
         online.feedback_sink(spark.readStream.schema(rows(first).schema).parquet(source), cases, out, check).awaitTermination()
     got = {(r.event_id, r.payload_hash, r.rejected, r.snapshot_matches) for r in spark.read.parquet(out).collect()}
     assert got == {("f1", "p1", False, True), ("f1", "p2", True, True), ("f1", "p1", True, True), ("f2", "p3", True, False)}
+
+
+EDGE = "edge_id string, source_id string, target_id string, amount double, event_time timestamp"
+
+
+def test_running_features_reject_repeats_and_late_edges(spark):
+    source, out, check = (shared_dir(spark, n) for n in ("src", "out", "chk"))
+    at = lambda m: datetime(2024, 1, 1, 10, m)
+    batches = [
+        [("e2", "a", "b", 1.0, at(2)), ("e1", "a", "b", 2.0, at(1)), ("e1", "a", "b", 2.0, at(1)), ("e3", "a", "b", 5.0, at(2))],
+        [("e4", "b", "a", 1.0, at(2)), ("e2", "a", "b", 1.0, at(9)), ("e3", "a", "b", 5.0, at(0)), ("e5", "a", "b", 1.0, at(1)), ("e6", "b", "c", 7.0, at(3))],
+    ]
+    for batch in batches:
+        spark.createDataFrame(batch, EDGE).coalesce(1).write.mode("append").parquet(source)
+        online.checked_edges(spark.readStream.schema(EDGE).parquet(source), out, check).awaitTermination()
+    assert {r.edge_id for r in spark.read.parquet(f"{out}/accepted").collect()} == {"e1", "e2", "e3", "e4", "e6"}
+    got = sorted((r.batch, r.edge_id, r.reason) for r in spark.read.parquet(f"{out}/rejected").collect())
+    assert got == [(0, "e1", "DUPLICATE_EDGE"), (1, "e2", "DUPLICATE_EDGE"), (1, "e3", "DUPLICATE_EDGE"), (1, "e5", "NON_MONOTONIC_ORDER")]
+
+
+def test_counters_of_a_stream(spark):
+    counters = online.Counters()
+    spark.streams.addListener(counters)
+    try:
+        source = shared_dir(spark, "src")
+        spark.range(7).write.parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        stream.writeStream.queryName("counted").format("noop").option("checkpointLocation", shared_dir(spark, "chk")).trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if counters.processed.get("counted"):
+                break
+            time.sleep(0.1)
+        assert counters.processed["counted"] == 7 and counters.latency_ms["counted"]
+    finally:
+        spark.streams.removeListener(counters)
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100])
+def test_nearest_ranks_are_those_of_sorted_values(spark, n):
+    values = [("g", float(i * 37 % 101)) for i in range(n)] + [("empty", None), (None, 3.0), (None, 1.0)]
+    df = spark.createDataFrame(values, "g string, x double").repartition(5)
+    shares = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = {r.g: tuple(r)[1:] for r in claims.nearest_rank(df, "x", *shares, by=("g",)).collect()}
+    ordered = sorted(x for g, x in values if g == "g")
+    assert got["g"] == tuple(ordered[max(0, math.ceil(p * n) - 1)] for p in shares)
+    assert got["empty"] == (0.0,) * 5 and got[None] == (1.0, 1.0, 1.0, 3.0, 3.0)
+    assert tuple(claims.nearest_rank(df.limit(0), "x", 0.5).collect()) in ((), ((0.0,),))

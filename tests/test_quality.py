@@ -56,10 +56,76 @@ def test_adapters(spark):
     with pytest.raises(ValueError, match="dest_id"):
         transfers.adapt(df.drop("dest_id"), "transactions")
     raw = spark.createDataFrame([("a", "b", 5.0, 4)], "sourceNodeId string, targetNodeId string, value double, time long")
-    e = transfers.adapt_ticks(raw, "time", start="2024-01-01 00:00:00", tick_seconds=90, prefix="x:").first()
+    e = transfers.adapt_ticks(raw, "time", start="2024-01-01T00:00:00Z", tick_seconds=90, prefix="x:").first()
     assert (e.edge_id, e.event_time.isoformat()) == ("x:0", "2024-01-01T00:06:00")
 
 
+@pytest.mark.parametrize("bad", [{"sourceNodeId": " \t"}, {"targetNodeId": None}, {"value": 0.0}, {"value": float("inf")}, {"value": None}, {"time": -1}, {"time": None}])
+def test_tick_rules(spark, bad):
+    row = {"sourceNodeId": "secret-a", "targetNodeId": "b", "value": 5.0, "time": 4} | bad
+    df = spark.createDataFrame([tuple(row.values()), ("a", "b", 1.0, 0)], "sourceNodeId string, targetNodeId string, value double, time long")
+    with pytest.raises(ValueError) as e:
+        transfers.adapt_ticks(df, "time", start="2024-01-01T00:00:00Z", tick_seconds=1, prefix="x")
+    assert f"bad_{next(iter(bad))}" in str(e.value) and "secret-a" not in str(e.value)
+
+
+def test_tick_parameters(spark):
+    df = spark.createDataFrame([("a", "b", 1.0, 0)], "sourceNodeId string, targetNodeId string, value double, time long")
+    good = {"start": "2024-01-01T07:00:00+07:00", "tick_seconds": 1, "prefix": "x"}
+    assert transfers.adapt_ticks(df, "time", **good).first().event_time.isoformat() == "2024-01-01T00:00:00"
+    for change in ({"start": "2024-01-01 00:00:00"}, {"tick_seconds": 0}, {"prefix": " "}):
+        with pytest.raises(ValueError):
+            transfers.adapt_ticks(df, "time", **(good | change))
+    for column, kind in (("time", "double"), ("value", "string")):
+        with pytest.raises(ValueError, match=column if column == "value" else "integer"):
+            transfers.adapt_ticks(df.withColumn(column, F.col(column).cast(kind)), "time", **good)
+
+
+def test_clean_artifacts_need_their_own_report(spark):
+    raw = spark.createDataFrame([("a", "b", 1.0, 0), ("a", None, 1.0, 0)], "sourceNodeId string, targetNodeId string, value double, time long")
+    edges = transfers.adapt_ticks(quality.clean_transfers(raw)[0], "time", start="2024-01-01T00:00:00Z", tick_seconds=1, prefix="x")
+    report = quality.quality_report(raw, source_id="src", raw_sha256="0" * 64)
+    good = {"source": "src", "parent_hash": "0" * 64, "adapter": "ticks"}
+    m = transfers.write_clean_artifact(edges, shared_dir(spark, "a"), report, **good, params=("k:v",)).first()
+    assert (m.row_count, m.params) == (1, ["k:v", f"quality_report_sha256:{report.first().report_hash}"])
+    assert transfers.write_clean_artifact(edges, shared_dir(spark, "a"), "a" * 64, **good).first().params == ["quality_report_sha256:" + "a" * 64]
+    for edges_, report_, change in ((edges, report, {"source": "other"}), (edges, report, {"parent_hash": "1" * 64}), (edges.limit(0), report, {}), (edges, "A" * 64, {}), (edges, "a", {})):
+        with pytest.raises(ValueError):
+            transfers.write_clean_artifact(edges_, shared_dir(spark, "a"), report_, **(good | change))
+
+
+def test_run_ledger(spark):
+    row = ("r1", "a" * 40, "b" * 64, "c" * 64, "ap", 0.5)
+    runs = lambda *rows: spark.createDataFrame(list(rows), "run_id string, git_sha string, dataset_hash string, split_hash string, metric string, value double")
+    path = shared_dir(spark, "ledger")
+    assert [tuple(r) for r in transfers.run_ledger(runs(row), path).collect()] == [row]
+    assert transfers.run_ledger(runs(("r1", *row[1:5], 0.25)), path).first().value == 0.25  # each call reads back its own rows
+    for bad in (("r1", "A" * 40, *row[2:]), (*row[:2], "b", *row[3:]), (*row[:3], None, *row[4:]), (*row[:5], float("nan")), (*row[:5], None)):
+        with pytest.raises(ValueError, match="bad_"):
+            transfers.run_ledger(runs(row, ("r2", *bad[1:])), path)
+    with pytest.raises(ValueError, match="repeated_metric"):
+        transfers.run_ledger(runs(row, row), path)
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_run_artifacts_are_written_once(spark):
+    path = shared_dir(spark, "run")
+    transfers.append_run_artifact(spark, {"b": 1, "a": "é"}, path)
+    assert spark.read.text(path).first().value == '{"a": "é", "b": 1}'
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        transfers.append_run_artifact(spark, {}, path)
+
+
+def test_raw_csv_is_read_leniently(spark):
+    path = shared_dir(spark, "csv")
+    rows = [("t1", "a", "b", "5.5", "2024-01-01 10:00:00"), ("t2", "a", "b", "many", "never")]
+    spark.createDataFrame(rows, "transaction_id string, orig_id string, dest_id string, amount string, timestamp string").write.option("header", True).csv(path)
+    got = {r.edge_id: r for r in transfers.read_transfers(spark, path, "transactions", "csv").collect()}
+    assert got["t1"].amount == 5.5 and got["t1"].event_time.hour == 10 and (got["t2"].amount, got["t2"].event_time) == (None, None)
+    with pytest.raises(ValueError, match="missing source columns"):
+        transfers.read_transfers(spark, path, "accounts", "csv")
+
+
 @pytest.mark.parametrize("bad", [{"edge_id": " "}, {"source_id": None}, {"amount": float("nan")}, {"amount": None}, {"event_time": None}])
 def test_canonical_rules_name_columns_not_values(spark, bad):
     row = {"edge_id": "e", "source_id": "secret-a", "target_id": "b", "amount": 1.0, "event_time": "2024-01-01"} | bad
