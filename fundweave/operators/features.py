@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundweave.functions.scalars import pass_through
+from fundweave.shared import with_ordinal
 
 MONEY = "decimal(18,2)"
 
@@ -72,15 +73,23 @@ def neighbor_edge_groups(edges: DataFrame) -> DataFrame:
     )
 
 
-def monotonic_violations(edges: DataFrame, arrival: str, stream: str | None = None) -> DataFrame:
+def monotonic_violations(edges: DataFrame, arrival: str, stream: str | None = None, block: int = 1 << 20) -> DataFrame:
     """Rows whose (time, edge id) does not exceed that of the row that arrived before.
 
     stream: a column (partition, topic) within which arrivals are ordered; without it one
-    stream holds all rows and one task must see them in order.
+    stream holds all rows, which are compared in blocks of `block` rows.
     """
-    w = (Window.partitionBy(stream) if stream else Window.partitionBy()).orderBy(arrival)
     key = F.struct(F.col("event_time"), F.col("edge_id"))
-    return edges.withColumn("__before", F.lag(key).over(w)).where(F.col("__before") >= key).drop("__before")
+    if stream:
+        w = Window.partitionBy(stream).orderBy(arrival)
+        return edges.withColumn("__before", F.lag(key).over(w)).where(F.col("__before") >= key).drop("__before")
+    # One order over all rows is compared in blocks; the last row of a block also begins the next.
+    at = F.col("__nth")
+    rows = with_ordinal(edges, arrival, name="__nth").withColumn("__own", F.floor(at / block))
+    last = F.when(at % block == block - 1, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
+    w = Window.partitionBy("__block").orderBy("__nth")
+    found = rows.withColumn("__block", F.explode(last)).withColumn("__before", F.lag(key).over(w))
+    return found.where((F.col("__block") == F.col("__own")) & (F.col("__before") >= key)).select(*edges.columns)
 
 
 def neighbor_sample(edges: DataFrame, seeds: DataFrame, fanouts: tuple[int, ...] = (15, 10)) -> DataFrame:

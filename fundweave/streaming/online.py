@@ -26,18 +26,6 @@ def online_account_features(edges: DataFrame) -> DataFrame:
     return account_features(edges)
 
 
-def order_violations(batch: DataFrame, high: tuple | None) -> tuple[DataFrame, tuple | None]:
-    """(rows of a micro-batch at or below the carried high-water mark, the new mark).
-
-    The mark is the greatest (event_time, edge_id) so far; order inside the batch is that
-    of the key itself.
-    """
-    top = batch.agg(F.max(F.struct("event_time", "edge_id")).alias("m")).first().m
-    late = batch.limit(0) if high is None else batch.where(F.struct("event_time", "edge_id") <= F.struct(F.lit(high[0]), F.lit(high[1])))
-    mark = max((tuple(x) for x in (top, high) if x is not None), default=None)
-    return late, mark
-
-
 def checked_edges(stream: DataFrame, path: str, checkpoint: str):
     """Starts a durable append of edges that may enter running features; others go to rejected rows.
 

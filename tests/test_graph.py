@@ -47,6 +47,16 @@ def test_features_do_not_depend_on_partitions(spark):
     assert got[0] == got[1]
 
 
+@pytest.mark.parametrize("block", [1, 2, 7, 1 << 20])
+def test_order_of_arrival_in_blocks(spark, block):
+    r = random.Random(block)
+    rows = [(i, f"e{r.randrange(30):02d}", f"2024-01-01 10:{r.randrange(9):02d}:00") for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, edge_id string, event_time string").withColumn("event_time", F.col("event_time").cast("timestamp")).repartition(3)
+    want = [b[0] for a, b in zip(rows, rows[1:]) if (a[2], a[1]) >= (b[2], b[1])]
+    assert sorted(x.n for x in features.monotonic_violations(df, "n", block=block).collect()) == want
+    assert sorted(x.n for x in features.monotonic_violations(df.withColumn("s", F.lit(1)), "n", "s").collect()) == want
+
+
 def _case(spark, rows, case="c"):
     return spark.createDataFrame([(case, *r) for r in rows], "case_id string, edge_id string, source_id string, target_id string")
 

@@ -1,5 +1,8 @@
-"""The registered model queries fit the operators' numbers of trees."""
+"""Models against plain fits; the registered queries fit the operators' numbers of trees."""
 
+import random
+
+import numpy as np
 import pytest
 
 from fundweave.operators import models
@@ -25,3 +28,68 @@ def test_queries_fit_all_trees(spark, monkeypatch, name, trees):
     with pytest.raises(Fitted):
         learn.QUERIES[name](spark, oracle.DATA)
     assert asked == [(trees, models.LEARNING_RATE)]
+
+
+def _points(spark, n=240, seed=2):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        a, b = r.gauss(0, 1), r.gauss(0, 1)
+        rows.append((i, a, b, int(r.random() < 1 / (1 + np.exp(-(1.5 * a - b - 1))))))
+    return spark.createDataFrame(rows, "row_id int, a double, b double, label int"), rows
+
+
+def test_logistic_is_the_minimum_of_the_balanced_loss(spark):
+    df, rows = _points(spark)
+    x, y = np.array([[a, b, 1.0] for _, a, b, _ in rows]), np.array([k for *_, k in rows])
+    w = len(y) / (2 * np.where(y == 1, (y == 1).sum(), (y == 0).sum()))
+    beta, ridge = np.zeros(3), np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):  # Newton's method on sum of weighted losses + |beta|^2 / 2
+        p = 1 / (1 + np.exp(-x @ beta))
+        beta -= np.linalg.solve(x.T @ (x * (w * p * (1 - p))[:, None]) + ridge, x.T @ (w * (p - y)) + ridge @ beta)
+    got = {r.row_id: r.score for r in models.predict_scores(models.fit_logistic(df, ["a", "b"]), df, ["a", "b"]).collect()}
+    assert max(abs(got[i] - p) for i, p in enumerate((1 / (1 + np.exp(-x @ beta))).tolist())) < 1e-3
+
+
+def test_boosted_trees_learn_what_a_line_cannot(spark):
+    r = random.Random(5)
+    rows = [(i, a, b, int((a > 0) != (b > 0))) for i, (a, b) in enumerate((r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(400))]
+    df = spark.createDataFrame(rows, "row_id int, a double, b double, label int")
+    scored = models.predict_scores(models.fit_boosted_trees(df, ["a", "b"], trees=4), df, ["a", "b"]).collect()
+    assert all(0 <= s.score <= 1 for s in scored)
+    assert np.mean([(s.score > 0.5) == s.label for s in scored]) > 0.95
+
+
+def test_calibration_is_isotonic_on_its_own_rows_and_clips(spark):
+    r = random.Random(8)
+    cal = sorted((round(r.random(), 3), int(r.random() < 0.5)) for _ in range(60))
+    cal = list({s: (s, y) for s, y in cal}.values())
+    pools: list = []  # pool adjacent violators
+    for _, y in cal:
+        pools.append([y, 1])
+        while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
+            y2, n2 = pools.pop()
+            pools[-1] = [pools[-1][0] + y2, pools[-1][1] + n2]
+    want = dict(zip((s for s, _ in cal), (y / n for y, n in pools for _ in range(n)), strict=True))
+    asked = [*want, -5.0, 5.0]
+    c = spark.createDataFrame(cal, "score double, label int")
+    got = {x.score: x.calibrated for x in models.calibrate(c, spark.createDataFrame([(s,) for s in asked], "score double")).collect()}
+    assert all(got[s] == pytest.approx(v) for s, v in want.items())
+    assert got[-5.0] == pytest.approx(min(want.values())) and got[5.0] == pytest.approx(max(want.values()))
+
+
+def test_ranker_learns_from_known_labels_alone(spark):
+    rows = [("c", f"e{i:02d}", float(i % 10), "RELEVANT" if i % 10 > 6 else "CONFIRMED_BENIGN") for i in range(60)]
+    rows += [("c", f"u{i:02d}", 9.0, "UNKNOWN") for i in range(30)]  # as negatives they would turn the order round
+    df = spark.createDataFrame(rows, "case_id string, edge_id string, x double, label string")
+    ranked = models.rank(models.fit_edge_ranker(df, ["x"], trees=3), df, ["x"]).orderBy("rank").collect()
+    top = [r.edge_id for r in ranked[: 30 + 18]]
+    assert all(i[0] == "u" or int(i[1:]) % 10 > 6 for i in top)
+    assert [(r.rank, r.edge_id) for r in ranked] == [(k, r.edge_id) for k, r in enumerate(sorted(ranked, key=lambda r: (-r.score, r.edge_id)), 1)]
+
+
+def test_five_seeds_give_a_precision_each(spark):
+    df, rows = _points(spark, 120)
+    got = models.five_seed_run(df, df, ["a", "b"], budget=20, trees=2)
+    assert len(got) == len(models.SEEDS) == 5 and models.SEEDS == (11, 23, 37, 53, 71)
+    assert all(0.6 < p <= 1 for p in got)
