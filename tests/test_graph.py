@@ -20,9 +20,9 @@ def _edges(spark, rows):
 @pytest.mark.parametrize(
     ("rows", "want"),
     [
-        ([("e1", "a", "b", 10.0), ("e2", "b", "c", 8.0)], (1, 1, 10.0, 8.0, 0.8)),
-        ([("e1", "a", "b", 10.0), ("e2", "b", "c", 25.0)], (1, 1, 10.0, 25.0, 1.0)),
-        ([("e1", "b", "c", 10.0)], (0, 1, 0.0, 10.0, 0.0)),
+        ([("k1", "p", "b", 12.5), ("k2", "b", "q", 5.0)], (1, 1, 12.5, 5.0, 0.4)),
+        ([("k1", "p", "b", 0.25), ("k2", "b", "q", 31.0), ("k3", "b", "p", 2.0)], (1, 2, 0.25, 33.0, 1.0)),
+        ([("k1", "b", "q", 6.0)], (0, 1, 0.0, 6.0, 0.0)),
         ([("e1", "b", "b", 3.0), ("e2", "a", "b", 1.0), ("e3", "a", "b", 1.0)], (3, 1, 5.0, 3.0, 0.6)),
         ([("e1", "a", "c", 1.0)], (0, 0, 0.0, 0.0, 0.0)),
     ],
@@ -220,14 +220,14 @@ def _fund(spark, rows):
 
 
 def test_funding_clusters(spark):
-    amounts = [10e6, 25e6, 45e6, 20e6, 30e6]
+    amounts = [11e6, 4e6, 49e6, 37e6, 8e6]
     rows = [("five", "h", f"e{i}", f"s{i}", "h", a, "VND", f"2024-01-01 08:{30 + 8 * i % 30}:00") for i, a in enumerate(amounts)]
     rows += [("four", "h", f"e{i}", f"s{i % 4}", "h", 1e6, "VND", "2024-01-01 08:30:00") for i in range(8)]
     rows += [("fifty", "h", f"e{i}", f"s{i}", "h", 50e6 if i == 0 else 1e6, "VND", "2024-01-01 08:30:00") for i in range(5)]
     rows += [("seed", "s0", f"e{i}", f"s{i}", "h", 1e6, "VND", "2024-01-01 08:30:00") for i in range(5)]
     rows += [("late", "h", f"e{i}", f"s{i}", "h", 1e6, "VND", f"2024-01-01 {8 + i // 4 * 2}:30:00") for i in range(5)]
     got = typology.funding_clusters(_fund(spark, rows), F.lit("2024-01-02").cast("timestamp")).collect()
-    assert [(x.case_id, x.total, x.n_edges) for x in got] == [("five", 130e6, 5)]
+    assert [(x.case_id, x.total, x.n_edges) for x in got] == [("five", 109e6, 5)]
     assert got[0].cluster_id == "cluster:h:s0%7Cs1%7Cs2%7Cs3%7Cs4"
 
 

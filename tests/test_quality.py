@@ -1,5 +1,8 @@
 """Intake: reason codes, reports, adapters, artifacts."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,23 +19,29 @@ def _report(spark, rows):
     return r.input_rows, r.accepted_rows, r.rejected_rows, r.duplicate_rows
 
 
-@pytest.mark.parametrize(
-    ("rows", "want", "ordinals"),
-    [
-        ([("a", "b", 1.0, 1.0), ("a", "b", 1.0, 1.0), ("", "c", -1.0, 2.0)], (3, 2, 1, 1), [2]),
-        ([(None, "b", 1.0, 1.0), ("a", None, 1.0, 1.0), ("   ", "c", 1.0, 1.0), ("ok", "ok", 1.0, 1.0)], (4, 1, 3, 0), [0, 1, 2]),
-        ([("a", "b", v, 1.0) for v in (-10.0, 0.0, float("nan"), float("inf"), 50.0)], (5, 1, 4, 0), [0, 1, 2, 3]),
-        ([("a", "b", 1.0, t) for t in (-1.0, 1.5, None, 10.0)], (4, 1, 3, 0), [0, 1, 2]),
-        ([("a", "b", 1.0, 1.0)] * 3, (3, 3, 0, 2), []),
-        ([("a", "b", 999_999_999_999.0, 1.0)], (1, 1, 0, 0), []),
-        ([(" \t\n", "b", 1.0, 1.0)], (1, 0, 1, 0), [0]),
-    ],
-)
-def test_reports_and_quarantine(spark, rows, want, ordinals):
-    assert _report(spark, rows) == want
-    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], RAW)
-    _, bad = quality.clean_transfers(df, "n")
-    assert sorted(r.row_ordinal for r in bad.collect()) == ordinals
+def _plain_reason(source, target, value, tick):
+    if any(x is None or not x.strip() for x in (source, target)):
+        return quality.BAD_ID
+    if value is None or not math.isfinite(value) or value <= 0:
+        return quality.BAD_AMOUNT
+    if tick is None or not math.isfinite(tick) or tick < 0 or tick != int(tick):
+        return quality.BAD_TICK
+    return None
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reports_and_quarantine_equal_a_plain_pass(spark, seed):
+    r = random.Random(seed)
+    ids, values = ["k1", "k2", "k3", None, "", " \t ", "\u2003"], [0.01, 7.25, 7.25, 8e11, 0.0, -3.5, None, float("nan"), float("inf"), float("-inf")]
+    rows = [(r.choice(ids), r.choice(ids[:5]), r.choice(values), r.choice([0.0, 3.0, 3.0, 12.0, -2.0, 2.25, None])) for _ in range(150)]
+    rows += [("k1", "k2", 7.25, 3.0)] * 4
+    reasons = [_plain_reason(*x) for x in rows]
+    distinct = len({tuple("nan" if v != v else v for v in x) for x in rows})
+    assert _report(spark, rows) == (len(rows), reasons.count(None), len(rows) - reasons.count(None), len(rows) - distinct)
+    df = spark.createDataFrame([(*x, i) for i, x in enumerate(rows)], RAW).repartition(3)
+    good, bad = quality.clean_transfers(df, "n")
+    assert {x.row_ordinal: x.reason_code for x in bad.collect()} == {i: k for i, k in enumerate(reasons) if k}
+    assert sorted(x.n for x in good.collect()) == [i for i, k in enumerate(reasons) if k is None]
 
 
 def test_reason_precedence_and_text_casts(spark):
