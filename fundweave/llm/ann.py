@@ -246,7 +246,7 @@ def search(
     k: int = 5,
     codes: int = 32,
     visit: float | None = None,
-    recall: float = 0.95,
+    recall: float = 0.98,
     sample_rows: int = 20_000,
     block_rows: int = 4096,
     seed: int = 42,

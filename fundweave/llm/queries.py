@@ -21,7 +21,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(_table(spark, sf_dir, "embeddings"), query_every=50, k=5, codes=32, recall=0.95, sample_rows=20_000)
+    return ann.search(_table(spark, sf_dir, "embeddings"), query_every=50, k=5, codes=32, recall=0.98, sample_rows=20_000)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
