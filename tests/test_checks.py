@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from fundweave.functions import hashing
 from fundweave.operators import audits, claims, drift, evaluation, evidence, models, release
 from fundweave.shared import shared_dir
 from fundweave.streaming import envelopes, online, replay
@@ -37,6 +38,21 @@ def test_trace_metrics(spark):
     assert evaluation.training_mask(lab).count() == 2
 
 
+def test_returned_edges_without_a_label(spark):
+    pairs = lambda *x: spark.createDataFrame(list(x), "case_id string, edge_id string")
+    found = evaluation.unlabelled_returns(pairs(("c", "e1"), ("c", "e2"), ("d", "e1")), pairs(("c", "e1")).withColumn("label", F.lit("UNKNOWN")))
+    assert sorted((r.case_id, r.edge_id) for r in found.collect()) == [("c", "e2"), ("d", "e1")]
+
+
+def test_stored_hashes_are_verified(spark):
+    df = spark.createDataFrame([("a", 1, ["x", "é"]), (None, None, None)], "k string, n int, l array<string>")
+    body = [{"k": "a", "l": ["x", "é"], "n": 1}, {"k": None, "l": None, "n": None}]
+    hashes = [hashlib.sha256(json.dumps(b, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for b in body]
+    df = df.withColumn("h", F.when(F.col("k") == "a", hashes[0]).otherwise(hashes[1]))
+    assert [r.hash_ok for r in hashing.verify_hash(df, ["k", "n", "l"], "h").collect()] == [True, True]
+    assert [r.hash_ok for r in hashing.verify_hash(df.withColumn("n", F.lit(7)), ["k", "n", "l"], "h").collect()] == [False, False]
+
+
 def test_gate(spark):
     base = [0.70, 0.71, 0.69, 0.70, 0.72]
     assert models.promotion(spark, base, [0.78, 0.79, 0.77, 0.80, 0.79]).first().selected
