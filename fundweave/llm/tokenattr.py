@@ -109,8 +109,10 @@ def attribute(docs: DataFrame, *, tokenizer_path: str, text_col: str = "text", s
     each with its line feed. Counts always add up to n_tokens with n_unassigned.
 
     Null and empty texts have no tokens, and one empty line; null sections are none, null
-    bounds are 0. Sections past the text or within earlier ones hold nothing. Rows are
-    independent of each other, so repeated rows repeat; an empty table gives no rows.
+    bounds are 0. Sections past the text or within earlier ones hold nothing. A token that
+    two sections hold equally much of goes, by the rule "most", to the earlier one. Rows are
+    independent of each other, so repeated rows repeat; an empty table gives no rows. Other
+    columns pass, but those that have the names of new ones are replaced.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
