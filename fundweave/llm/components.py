@@ -24,7 +24,7 @@ def _least(links: DataFrame) -> DataFrame:
 def _large_star(e: DataFrame, rows: int) -> DataFrame:
     """u > v -> every larger neighbour of a node to the least of the node and its neighbours."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    least = staged(_least(both).select("u", F.least("u", "m").alias("m"), "n"), "links-least")
     # Only links to larger neighbours go on; their number is what may fill a task.
     found = join_unique(both.where("v > u"), least, ["u"], 2 * rows)
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
@@ -32,7 +32,7 @@ def _large_star(e: DataFrame, rows: int) -> DataFrame:
 
 def _small_star(e: DataFrame, rows: int) -> DataFrame:
     """u > v -> a node and its smaller neighbours to the least of those."""
-    least = _least(e)
+    least = staged(_least(e), "links-least")
     rest = join_unique(e, least, ["u"], rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -52,8 +52,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = staged(e, "links")
     mark = _mark(e)
     while mark[0]:
-        # A large star has no more rows than the links before it; each is settled on its own.
-        e = staged(_small_star(_large_star(e, mark[0]), mark[0]), "links")
+        # A large star has no more rows than the links before it.
+        large = staged(_large_star(e, mark[0]), "links-large")
+        e = staged(_small_star(large, mark[0]), "links")
         now = _mark(e)
         if now == mark:
             break

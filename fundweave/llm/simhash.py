@@ -359,6 +359,7 @@ def _rest_links(at: DataFrame, sets: DataFrame, of: DataFrame, similarity: float
     long = at.where(F.col("n") > _ALL_PAIRS_UPTO).select("band", "key", "node").join(of, "node", "left")
     long = long.select("band", "key", "node", F.coalesce("component", "node").alias("c"))
     apart = long.groupBy("band", "key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("band", "key", "n")
+    apart = staged(apart, "near-apart-lists")
     size = sets.groupBy("node").agg(F.sum(F.length("shingles")).alias("size"))
     long = staged(join_unique(long, apart, ["band", "key"], at.count()).join(size, "node"), "near-apart")
     parts = long.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
@@ -366,6 +367,7 @@ def _rest_links(at: DataFrame, sets: DataFrame, of: DataFrame, similarity: float
     lists = parts.groupBy("band", "key").agg(most["c"].alias("main"), most["n"].alias("n_main"), F.sum("n").alias("n"), F.max_by("size", F.struct("n", "c")).alias("size_main"), F.sum("size").alias("size"))
     blocks = lambda n, size: F.greatest(F.ceil(n / _BLOCK), F.ceil(size / _BLOCK_BYTES), F.lit(1))
     lists = lists.select("band", "key", "main", "n", blocks(F.col("n_main"), F.col("size_main")).alias("k"), blocks(F.col("n") - F.col("n_main"), F.col("size") - F.col("size_main")).alias("r"))
+    lists = staged(lists, "near-apart-blocks")
     h, main = F.xxhash64("node", "band"), F.col("c") == F.col("main")
     dealt = join_unique(long, lists, ["band", "key"], long.count()).withColumn("block", F.when(main, F.pmod(h, "k")).otherwise(F.col("k") + F.pmod(h, "r")))
     # Blocks of the largest component meet the others only, those meet all.

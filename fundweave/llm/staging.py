@@ -47,7 +47,7 @@ HOT_KEYS = 1024
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: int, n: str = "n") -> DataFrame:
-    """left inner-joined to right, which has one row a key and the key's number n of left's rows.
+    """left inner-joined to right, a written table of one row a key and the key's number n of left's rows.
 
     A key with more than 1 in HOT_KEYS of left's rows would fill a task of its own. There
     are fewer than HOT_KEYS of those, whatever the size of the table, so they are broadcast
@@ -55,8 +55,10 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], rows: int, n:
     """
     limit = max(1, rows // HOT_KEYS)
     hot, cold = right.where(F.col(n) > limit).drop(n), right.where(F.col(n) <= limit).drop(n)
+    if hot.isEmpty():
+        return left.join(cold, on)
     near = left.join(F.broadcast(hot), on)
-    far = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on)
+    far = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
     return near.unionByName(far)
 
 

@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -163,9 +163,10 @@ def train(
 ) -> Model:
     """Fits on at most sample_rows labelled documents of at most sample_features features in all.
 
-    Of documents in the sample those come first whose hash of the id is least; the first
-    that would exceed sample_features, and those after it, are left out. reject_at is the severity that a share of clean_rejected of the sample's rows that are
-    not toxic reach, and least_reject at least.
+    Of documents in the sample those come first whose hash of the id is least; the id with
+    which they would exceed sample_features, and those after it, are left out. reject_at is
+    the severity that a share of clean_rejected of the sample's rows that are not toxic
+    reach, and least_reject at least.
 
     Labels that are null or have no document are left out. Without any toxic label the
     model scores every text 0.
@@ -175,16 +176,19 @@ def train(
     chosen = lab.orderBy(key, "id", "toxic").limit(sample_rows)
     d = like(docs, id_col, text_col).toDF("id", "text")
     rows = d.join(F.broadcast(chosen), "id").select(F.col("id").cast("long"), F.col("toxic").cast("int"), "text")  # sample_rows labels at most
-    found = staged(rows.mapInArrow(_features_of, "id long, toxic int, index array<int>"), "toxicity-sample")
-    # sample_rows numbers at most in the one task of this window.
-    before = Window.orderBy(F.xxhash64("id", F.lit(seed)), "id", "toxic", F.size("index"), F.xxhash64("index"))
-    so_far = F.sum(F.size("index")).over(before.rowsBetween(Window.unboundedPreceding, 0))
-    found = found.withColumn("so_far", so_far).where(F.col("so_far") <= sample_features).toArrow()
-    found = found.sort_by([("so_far", "ascending"), ("id", "ascending"), ("toxic", "ascending")]).combine_chunks()
-    toxic = found.column(1).to_numpy() > 0
+    found = staged(rows.mapInArrow(_features_of, "id long, toxic int, index array<int>").withColumn("key", F.xxhash64("id", F.lit(seed))), "toxicity-sample")
+    # sample_rows pairs of numbers at most; the features themselves come only as far as the bound.
+    sizes = found.select("key", F.size("index").alias("size")).toArrow().sort_by("key")
+    over = np.flatnonzero(np.cumsum(sizes.column("size").to_numpy(), dtype=np.int64) > sample_features)
+    if len(over):
+        found = found.where(F.col("key") < sizes.column("key")[over[0]].as_py())
+    found = found.withColumn("text", F.xxhash64("index")).toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("key", "id", "toxic", "text")]).combine_chunks()
+    toxic = found.column("toxic").to_numpy() > 0
     if not toxic.any():
         return Model(np.zeros(BUCKETS, np.float32), np.full(levels, 1e9))
-    lists = found.column(2).combine_chunks()
+    lists = found.column("index").combine_chunks()
+    del found
     index = np.split(lists.flatten().to_numpy(), lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py())
     scale = scales(index, toxic)
     model = fit(index, scale, severity_grades(index, toxic, levels))
