@@ -16,9 +16,8 @@ from functools import cache
 
 import numpy as np
 
-#: Distinct pieces remembered in each of two generations: of the word encoder's short
-#: pieces (about 200 bytes each), and of those with spans (about 400 bytes).
-REMEMBERED, REMEMBERED_SPANS = 400_000, 150_000
+#: Distinct pieces remembered in each of two generations.
+REMEMBERED = 150_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A single blank between two characters that are not white space.
@@ -83,12 +82,12 @@ def _is_byte_bpe(found: dict) -> bool:
 class Memory:
     """What pieces become, in two generations: the older one is dropped when the newer is full."""
 
-    def __init__(self, make: Callable[[list[str]], Iterable], most: int):
-        self.make, self.most, self.new, self.old = make, most, {}, {}
+    def __init__(self, make: Callable[[list[str]], Iterable]):
+        self.make, self.new, self.old = make, {}, {}
 
     def of(self, pieces: set[str]) -> dict:
         """A mapping that holds all the pieces."""
-        if len(self.new) >= self.most:
+        if len(self.new) >= REMEMBERED:
             self.old, self.new = self.new, {}
         order = []
         for p in pieces.difference(self.new):
@@ -149,7 +148,7 @@ class WordEncoder:
         self.model.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        self.pieces, self.words = Memory(self._of_pieces, REMEMBERED), Memory(self._of_words, REMEMBERED_SPANS)
+        self.pieces, self.words = Memory(self._of_pieces), Memory(self._of_words)
 
     @property
     def tokenizer(self):
@@ -203,7 +202,7 @@ class SpanEncoder:
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path, True)
         self.known = _is_byte_bpe(_description(path))
-        self.pieces = Memory(self._entries, REMEMBERED_SPANS)
+        self.pieces = Memory(self._entries)
 
     def _entries(self, texts: list[str]) -> Iterable[tuple[bytes, bytes, int]]:
         for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
