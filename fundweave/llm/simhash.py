@@ -307,8 +307,7 @@ def _band_lists(nodes: DataFrame) -> DataFrame:
     order = F.struct(F.xxhash64("node", "band").alias("h"), "node")
     lists = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("low"), F.max(order).alias("high")).where("rows > 1")
     lists = staged(lists.withColumn("n", F.col("rows")), "near-bands")
-    found = join_unique(posted, lists, ["band", "key"], BANDS * nodes.count())
-    return found.withColumnRenamed("rows", "n")
+    return posted.join(lists.drop("rows"), ["band", "key"])
 
 
 def _band_pairs(at: DataFrame) -> DataFrame:
