@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, linededup, mixing, secrets, simhash, tokenattr, tokenfile, toxicity, warc
+from . import alignment, ann, bottomk, decontam, linededup, mixing, secrets, simhash, spelling, tokenattr, tokenfile, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +89,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.aligned_sums(_table(spark, sf_dir, "documents"), path_a=a, path_b=b)
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(_table(spark, sf_dir, "documents"), least_length=5, least_count=3, ratio=2)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottomk.near_sets(_table(spark, sf_dir, "documents"), words=2, similarity=0.8)
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
     "op2_neighbours": op2_neighbours,
@@ -100,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_ids": op9_token_ids,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
+    "op12_spelling": op12_spelling,
+    "op13_minhash": op13_minhash,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -183,4 +203,59 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(it.n_items, 0)::BIGINT AS n_items, sha256(coalesce(it.ids, '')) AS items_sha256,
                coalesce(n.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op12_spelling": rf"""
+        WITH RECURSIVE bits AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+                CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+        r AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') AS run
+            FROM documents),
+        g AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY doc_id, run),
+        x AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS raw FROM g),
+        h AS (
+            SELECT run, n, xor(4294967295, list_reduce(
+                list_prepend(4294967295, list_transform(range(length(raw) // 2), lambda k: ('0x' || substr(raw, 2 * k + 1, 2))::BIGINT)),
+                lambda c, b: xor(crc[1 + (xor(c, b) & 255)], c >> 8))) AS h
+            FROM x, bits),
+        d AS (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+            FROM h),
+        w AS (SELECT word, sum(n)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        l AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM w, unnest(range(length(word))) AS t(i)),
+        e AS (
+            SELECT a.word, b.word AS near, b.n AS near_n FROM l a JOIN l b USING (rest, i) WHERE a.word <> b.word
+            UNION SELECT l.word, w.word, w.n FROM l JOIN w ON l.rest = w.word
+            UNION SELECT w.word, l.word, l.n FROM l JOIN w ON l.rest = w.word),
+        b AS (
+            SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM e GROUP BY word),
+        f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form,
+                   CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+            FROM w LEFT JOIN b USING (word)),
+        c AS (
+            SELECT word, word AS last, 0 AS steps FROM f
+            UNION ALL SELECT c.word, f.form, steps + 1 FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL),
+        z AS (SELECT word, arg_max(last, steps) AS root FROM c GROUP BY word)
+        SELECT word, form, root, n, n_near, form_n FROM f JOIN z USING (word)""",
+    "op13_minhash": rf"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS ws
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws
+                   ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS shingle
+            FROM d),
+        n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM s x JOIN s y USING (shingle)
+            WHERE x.doc_id < y.doc_id GROUP BY ALL),
+        l AS (
+            SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+            WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+        r AS (
+            SELECT doc_id AS a, doc_id AS b FROM d
+            UNION SELECT r.a, e.b FROM r JOIN (SELECT a, b FROM l UNION ALL SELECT b, a FROM l) e ON e.a = r.b),
+        m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
 }
