@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of, put_status
+from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of
 from fundweave.operators.features import account_features
 from fundweave.shared import staged
+from fundweave.streaming.envelopes import LATE, QUARANTINE
+
+HOUR_MS = 3_600_000
 
 
 def online_account_features(edges: DataFrame) -> DataFrame:
@@ -26,35 +29,119 @@ def online_account_features(edges: DataFrame) -> DataFrame:
     return account_features(edges)
 
 
-def checked_edges(stream: DataFrame, path: str, checkpoint: str):
+class Sightings(StatefulProcessor):
+    """What has been seen of the edge ids of a bucket: event time and batch of each sighting.
+
+    With bounded state, edges below the watermark are late, and an id is forgotten once the
+    watermark has passed the hour of its last sighting: a timer an hour of events.
+    """
+
+    def __init__(self, columns: list[str], bounded: bool) -> None:
+        self.columns, self.bounded = columns, bounded
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "edge_id string", "times array<long>, batches array<long>")
+        self.hours = handle.getMapState("hours", "hour long", "ids array<string>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs() if self.bounded else None
+        new: dict[int, list[str]] = {}
+        for batch in rows:
+            batch = batch.sort_values(["edge_id", "sighted_ms"], kind="stable")  # repeats within a batch come together
+            late, earlier, now = [], [], int(batch["sighted_in"].iloc[0])
+            for edge, ms in zip(batch["edge_id"].tolist(), batch["sighted_ms"].tolist(), strict=True):
+                late.append(watermark is not None and ms < watermark)
+                times, batches = (self.seen.getValue((edge,)) if self.seen.containsKey((edge,)) else None) or ((), ())
+                earlier.append([{"ms": t, "batch": b} for t, b in zip(times, batches, strict=True)])
+                if not late[-1]:
+                    self.seen.updateValue((edge,), ([*times, ms], [*batches, now]))
+                    new.setdefault(ms // HOUR_MS, []).append(edge)
+            yield batch[self.columns].assign(_late=late, _batch=now, _earlier=earlier).reset_index(drop=True)
+        for hour, edges in new.items() if self.bounded else ():
+            old = self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else []
+            if not len(old):
+                self.handle.registerTimer((hour + 1) * HOUR_MS)
+            self.hours.updateValue((hour,), ([*old, *edges],))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        hour = expiredTimerInfo.getExpiryTimeInMs() // HOUR_MS - 1
+        for edge in self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else []:
+            if self.seen.containsKey((edge,)) and max(self.seen.getValue((edge,))[0]) // HOUR_MS <= hour:
+                self.seen.removeKey((edge,))
+        self.hours.removeKey((hour,))
+        yield pd.DataFrame([], columns=[*self.columns, "_late", "_batch", "_earlier"])
+
+    def close(self) -> None:
+        pass
+
+
+def sightings(stream: DataFrame, lateness: str | None = None, buckets: int = 32) -> DataFrame:
+    """stream of edges with _late, _batch (its time) and _earlier (ms, batch) of the same id's sightings before."""
+    columns, ms = stream.columns, F.unix_millis("event_time").alias("sighted_ms")
+    if lateness:
+        # The copy of the time carries no watermark, so that late rows are not dropped before they are seen.
+        stream = stream.withWatermark("event_time", lateness)
+        own = (F.col("event_time") + F.expr("interval 0 seconds")).alias("event_time")
+        stream = stream.select(*[own if c == "event_time" else F.col(c) for c in columns])
+    now = F.unix_millis(F.current_timestamp()).alias("sighted_in")  # a micro-batch has one time, also when it is run again
+    rows = stream.select("*", ms, now, F.pmod(F.xxhash64("edge_id"), F.lit(buckets)).alias("_bucket"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields)
+    return rows.groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=Sightings(columns, lateness is not None), outputMode="Append", timeMode="EventTime" if lateness else "None",
+        outputStructType=f"{fields}, _late boolean, _batch long, _earlier array<struct<ms: bigint, batch: bigint>>",
+    )
+
+
+_MARK = "batch_time long, before_ms long, before_id string, after_ms long, after_id string"
+
+
+def checked_edges(stream: DataFrame, path: str, checkpoint: str, lateness: str | None = None, buckets: int = 32):
     """Starts a durable append of edges that may enter running features; others go to rejected rows.
 
-    path/accepted has the edges, path/rejected those with reason DUPLICATE_EDGE (the id was
-    accepted before, or stands twice in the batch; the first by time stays) or
-    NON_MONOTONIC_ORDER (at or below the greatest (event_time, edge_id) of the batches
-    before). A batch writes to a folder of its own id, so a repeated batch replaces what it
-    wrote.
+    path/accepted has the edges, path/rejected those with a reason: LATE_EVENT (with lateness,
+    an interval: below the watermark), DUPLICATE_EDGE (the id was accepted before, or stands
+    twice in the batch; the first by time stays) or NON_MONOTONIC_ORDER (at or below the
+    greatest (event_time, edge_id) of the batches before). A batch writes to folders of its
+    own id, so a repeated batch replaces what it wrote.
+
+    Ids are looked up in keyed state and the greatest edge is one row a batch in path/marks,
+    so a batch costs what it holds, whatever came before. Without lateness ids are kept for
+    ever, with it as long as the watermark lets their events in.
     """
-    spark = stream.sparkSession
+    spark, columns = stream.sparkSession, stream.columns
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            old = spark.read.parquet(f"{path}/accepted").where(F.col("batch") < batch_id)
-        except AnalysisException as e:  # the first batch finds no table
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            old = batch.limit(0)
-        high = old.agg(F.max(F.struct("event_time", "edge_id")).alias("m")).first().m
-        nth = F.row_number().over(Window.partitionBy("edge_id").orderBy("event_time", *[c for c in batch.columns if c != "event_time"]))
-        known = old.select("edge_id", F.lit(True).alias("_known")).distinct()
-        b = batch.withColumn("_nth", nth).join(known, "edge_id", "left")
-        late = F.lit(False) if high is None else F.struct("event_time", "edge_id") <= F.struct(F.lit(high[0]), F.lit(high[1]))
-        reason = F.when(F.col("_known") | (F.col("_nth") > 1), "DUPLICATE_EDGE").when(late, "NON_MONOTONIC_ORDER")
-        b = staged(b.withColumn("reason", reason).drop("_nth", "_known"), "checked-edges")
-        b.where("reason is null").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch_id}")
-        b.where("reason is not null").select(*batch.columns, "reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        at = f"{path}/marks/batch="
+        before = spark.read.schema(_MARK).parquet(f"{at}{batch_id - 1}").first() if batch_id else None
+        mark = (before.after_ms, before.after_id) if before else (None, None)
+        batch = staged(batch, "checked-edges")
+        now = batch.agg(F.max("_batch")).first()[0]
+        here = F.struct(F.unix_millis("event_time").alias("ms"), F.col("edge_id").alias("id"))
+        above = lambda edge, ms, name: ms.isNull() | (edge > F.struct(ms.alias("ms"), name.alias("id")))
+        old_ms, old_id = F.lit(mark[0]).cast("long"), F.lit(mark[1]).cast("string")
+        # An earlier sighting was let in, or one before it was, if it stood above the mark of its own batch.
+        seen = batch.where(F.size("_earlier") > 0).select("edge_id", F.explode("_earlier").alias("e")).select("edge_id", "e.*").distinct()
+        inside = seen.where(F.col("batch") == now).withColumn("before_ms", old_ms).withColumn("before_id", old_id)
+        past = seen.where(F.col("batch") < now)
+        if not past.isEmpty():
+            marks = spark.read.schema(_MARK).parquet(f"{path}/marks").select(F.col("batch_time").alias("batch"), "before_ms", "before_id")
+            inside = inside.unionByName(past.join(marks, "batch"))
+        let_in = inside.where(above(F.struct("ms", F.col("edge_id").alias("id")), F.col("before_ms"), F.col("before_id")))
+        let_in = let_in.select("edge_id", "ms", "batch").withColumn("s", F.struct("batch", "ms")).groupBy("edge_id").agg(F.array_sort(F.collect_set("s")).alias("_in"))
+        # Rows see only sightings before their own, so a row's own batch counts where its list has it.
+        b = batch.join(let_in, "edge_id", "left")
+        known = F.exists("_earlier", lambda e: F.array_contains(F.coalesce("_in", F.array().cast("array<struct<batch:bigint,ms:bigint>>")), F.struct(e["batch"].alias("batch"), e["ms"].alias("ms"))))
+        reason = F.when(F.col("_late"), LATE).when(known, "DUPLICATE_EDGE").when(~above(here, old_ms, old_id), "NON_MONOTONIC_ORDER")
+        b = staged(b.withColumn("reason", reason).withColumn("_here", here), "checked-edges")
+        b.where("reason is null").select(*columns).write.mode("overwrite").parquet(f"{path}/accepted/batch={batch_id}")
+        b.where("reason is not null").select(*columns, "reason").write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+        top = b.where("reason is null").agg(F.max("_here")).first()[0]
+        after = max([m for m in (mark, top and tuple(top)) if m and m[0] is not None], default=(None, None))
+        spark.createDataFrame([(now, *mark, *after)], _MARK).coalesce(1).write.mode("overwrite").parquet(f"{at}{batch_id}")
+
+    found = sightings(stream, lateness, buckets)
+    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def parity(online: DataFrame, offline: DataFrame) -> DataFrame:
@@ -67,28 +154,46 @@ def parity(online: DataFrame, offline: DataFrame) -> DataFrame:
     return j.where(~same).select("account_id")
 
 
-def feedback_sink(stream: DataFrame, cases: DataFrame, path: str, checkpoint: str):
+class Feedback(StatefulProcessor):
+    """The hash that each event id of a bucket was accepted with."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getMapState("taken", "event_id string", "payload_hash string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).drop_duplicates(["event_id", "payload_hash"])  # a trigger's rows of a bucket
+        clash = batch["event_id"].duplicated(keep=False)
+        status = []
+        for r, two in zip(batch.itertuples(index=False), clash.tolist(), strict=True):
+            known = self.taken.getValue((r.event_id,))[0] if self.taken.containsKey((r.event_id,)) else None
+            status.append("CONFLICT" if two or known not in (None, r.payload_hash) else "NOOP" if known else "INSERT")
+            if status[-1] == "INSERT" and r.known_case:
+                self.taken.updateValue((r.event_id,), (r.payload_hash,))
+        yield batch.assign(status=status).reset_index(drop=True)
+
+    def close(self) -> None:
+        pass
+
+
+def feedback_sink(stream: DataFrame, cases: DataFrame, path: str, checkpoint: str, buckets: int = 32):
     """Appends feedback (event_id, case_id, disposition, snapshot_hash, payload_hash) once each.
 
     Repeats are no-ops; other bytes under an id, or an unknown case, go to rejected=true.
-    Each row tells whether its hash is that of the case.
+    Each row tells whether its hash is that of the case. The ids are keyed state: a batch
+    reads nothing of what was written before.
     """
-    spark = stream.sparkSession
+    known = cases.select("case_id", F.col("snapshot_hash").alias("_now"))
+    s = stream.join(known, "case_id", "left").withColumn("snapshot_matches", F.col("snapshot_hash").eqNullSafe(F.col("_now")))
+    s = s.withColumn("known_case", F.col("_now").isNotNull()).drop("_now")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.schema.fields)
+    s = s.withColumn("_bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets))).groupBy("_bucket")
+    s = s.transformWithStateInPandas(statefulProcessor=Feedback(), outputStructType=f"{fields}, status string", outputMode="Append", timeMode="None")
+    s = s.withColumn("rejected", (F.col("status") == "CONFLICT") | ~F.col("known_case")).drop("known_case")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            old = spark.read.parquet(path).where(f"batch <> {batch_id} and not rejected").select("event_id", "payload_hash")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-                raise
-            old = batch.select("event_id", "payload_hash").limit(0)
-        known = cases.select("case_id", F.col("snapshot_hash").alias("_now"))
-        s = put_status(batch.dropDuplicates(["event_id", "payload_hash"]), old, "event_id", "payload_hash").join(known, "case_id", "left")
-        s = s.withColumn("snapshot_matches", F.col("snapshot_hash").eqNullSafe(F.col("_now")))
-        s = s.withColumn("rejected", (F.col("status") == "CONFLICT") | F.col("_now").isNull()).drop("_now")
-        s.where("rejected or status = 'INSERT'").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.where("rejected or status = 'INSERT'").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return s.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 class Pins(StatefulProcessor):
@@ -126,12 +231,49 @@ def pin_stream(commands: DataFrame, cases: DataFrame) -> DataFrame:
     )
 
 
+class Histogram:
+    """Counts of values in log-scaled buckets: bounded, mergeable, quantiles within a bucket of the exact ones."""
+
+    def __init__(self, per_octave: int = 4) -> None:
+        self.per_octave = per_octave
+        self.counts: dict[int, int] = {}
+
+    def bucket(self, value: float) -> int:
+        return max(0, math.ceil(math.log2(value) * self.per_octave)) if value > 1 else 0
+
+    def add(self, value: float, n: int = 1) -> None:
+        at = self.bucket(value)
+        self.counts[at] = self.counts.get(at, 0) + n
+
+    def merge(self, other: Histogram) -> None:
+        if other.per_octave != self.per_octave:
+            raise ValueError("histograms of other buckets")
+        for at, n in other.counts.items():
+            self.counts[at] = self.counts.get(at, 0) + n
+
+    def quantile(self, share: float) -> float | None:
+        """Upper bound of the bucket that holds the nearest rank."""
+        rank = max(1, math.ceil(share * sum(self.counts.values())))
+        for at in sorted(self.counts):
+            rank -= self.counts[at]
+            if rank <= 0:
+                return 2 ** (at / self.per_octave)
+        return None
+
+
+def latency_histogram(values: DataFrame, column: str, per_octave: int = 4) -> DataFrame:
+    """bucket, upper, n: the same buckets over a table of values; histograms merge by adding n."""
+    v = F.col(column)
+    bucket = F.when(v > 1, F.greatest(F.ceil(F.log2(v) * per_octave), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    return values.where(v.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).withColumn("upper", F.pow(F.lit(2.0), F.col("bucket") / per_octave))
+
+
 class Counters(StreamingQueryListener):
     """Rows processed and batch latency of the queries of a session, by query name."""
 
     def __init__(self) -> None:
         self.processed: dict[str, int] = {}
-        self.latency_ms: dict[str, list[int]] = {}
+        self.latency_ms: dict[str, Histogram] = {}
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -139,7 +281,7 @@ class Counters(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         name = event.progress.name or str(event.progress.id)
         self.processed[name] = self.processed.get(name, 0) + event.progress.numInputRows
-        self.latency_ms.setdefault(name, []).append(event.progress.batchDuration)
+        self.latency_ms.setdefault(name, Histogram()).add(event.progress.batchDuration)
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -150,7 +292,7 @@ class Counters(StreamingQueryListener):
 
 def observed(replayed: DataFrame, name: str | Observation = "replay") -> DataFrame:
     """Counts accepted and quarantined events as they pass."""
-    bad = F.col("status").isin("INVALID_SCHEMA", "NON_CONTIGUOUS_OFFSET", "CONFLICT")
+    bad = F.col("status").isin(*QUARANTINE)
     return replayed.observe(name, F.count_if(F.col("status") == "ACCEPTED").alias("accepted"), F.count_if(bad).alias("quarantined"))
 
 
