@@ -17,6 +17,7 @@ others has.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -54,29 +55,36 @@ def frequent_words(
 
 
 def with_signatures(words: DataFrame, n1: int = 1, n2: int = 7, k: int = 2) -> DataFrame:
-    """words with sigs, the PartEnum signatures of each word's letters: an array of longs."""
+    """words with sigs, the PartEnum signatures of each word's letters, and mask, a 64-bit picture of them.
+
+    Two words within k share a signature, and their masks differ in k bits at most.
+    """
     k2 = max(0, math.ceil((k + 1) / n1) - 1)
     w = words.withColumn("letters", F.array_sort(F.split("word", "")))
     # The j-th of a letter's occurrences is a dimension: its place less that of the first.
-    occurrence = lambda c, i: F.concat(c, (i + 1 - F.array_position("letters", c)).cast("string"))
-    w = w.withColumn("dims", F.transform("letters", occurrence))
-    part = lambda at: F.array_join(F.filter("dims", lambda d: F.pmod(F.xxhash64(d), F.lit(n1 * n2)) == at), " ")
-    w = w.withColumn("parts", F.array(*[part(at) for at in range(n1 * n2)]))
+    dimension = lambda c, i: F.xxhash64(c, i + 1 - F.array_position("letters", c))
+    w = w.withColumn("dims", F.transform("letters", dimension))
+    none = F.lit(0).cast("long")
+    of = lambda at: F.aggregate("dims", none, lambda x, d: F.when(F.pmod(d, F.lit(n1 * n2)) == at, x.bitwiseXOR(d)).otherwise(x))
+    bit = lambda x, d: x.bitwiseOR(F.element_at(F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)]), (F.pmod(F.shiftrightunsigned(d, 20), F.lit(64)) + 1).cast("int")))
+    w = w.withColumn("parts", F.array(*[of(at) for at in range(n1 * n2)])).withColumn("mask", F.aggregate("dims", none, bit))
     chosen = [[i * n2 + j for j in c] for i in range(n1) for c in combinations(range(n2), n2 - k2)]
-    w = w.withColumn("sigs", F.array(*[F.xxhash64(F.lit(str(c)), *[F.col("parts")[j] for j in c]) for c in chosen]))
-    return w.select(*words.columns, "sigs")
+    joint = lambda c: F.xxhash64(F.lit(str(c)), reduce(lambda x, y: x.bitwiseXOR(y), [F.col("parts")[j] for j in c]))
+    return w.withColumn("sigs", F.array(*[joint(c) for c in chosen])).select(*words.columns, "mask", "sigs")
 
 
 def _by_signature(words: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
     """(word, n, near, near_n) of words that share a short list and are near; words of long lists."""
-    posted = with_signatures(words).select("word", "n", F.explode("sigs").alias("sig"))
+    posted = with_signatures(words).select("word", "n", "mask", F.explode("sigs").alias("sig"))
     posted = staged(posted, "signatures")
     lists = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     lists = staged(lists.withColumn("rows", F.col("size")), "signature-lists")
     met = join_unique(posted, lists, ["sig"], posted.count(), "rows")
-    short = met.where(F.col("size") <= longest).groupBy("sig").agg(F.collect_list(F.struct("word", "n")).alias("l"))  # at most `longest`
+    short = met.where(F.col("size") <= longest).groupBy("sig").agg(F.collect_list(F.struct("word", "n", "mask")).alias("l"))  # at most `longest`
     one = short.select(F.explode("l").alias("w"), "l")
-    near = one.select("w", F.explode(F.filter("l", lambda x: F.levenshtein(F.col("w.word"), x["word"], 1) == 1)).alias("v"))
+    # Vectors further apart than two are told by their masks; the edit distance decides on the others.
+    alike = lambda x: (F.bit_count(F.col("w.mask").bitwiseXOR(x["mask"])) <= 2) & (F.levenshtein(F.col("w.word"), x["word"], 1) == 1)
+    near = one.select("w", F.explode(F.filter("l", alike)).alias("v"))
     found = near.select(F.col("w.word").alias("word"), F.col("w.n").alias("n"), F.col("v.word").alias("near"), F.col("v.n").alias("near_n"))
     return found, met.where(F.col("size") > longest).select("word", "n").distinct()
 
@@ -95,7 +103,7 @@ def _by_deletion(words: DataFrame) -> DataFrame:
     return replaced.unionByName(longer).unionByName(shorter)
 
 
-def near_words(words: DataFrame, longest: int = 256) -> DataFrame:
+def near_words(words: DataFrame, longest: int = 128) -> DataFrame:
     """(word, n, near, near_n): every ordered pair of words one edit apart, once."""
     found, hot = _by_signature(words, longest)
     hot = staged(hot, "frequent-signatures")
@@ -119,7 +127,7 @@ def _roots(forms: DataFrame) -> DataFrame:
 
 def variants(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_length: int = 5, least_count: int = 3, ratio: int = 2,
-    one_in: int = ONE_IN, longest: int = 256,
+    one_in: int = ONE_IN, longest: int = 128,
 ) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every frequent word.
 
