@@ -116,9 +116,12 @@ def _whole_sets(d: DataFrame, asked: DataFrame, words: int) -> DataFrame:
 
 
 def _lists(posted: DataFrame) -> DataFrame:
-    """(band, key, node, n, low, high) of the lists of two and more nodes; low and high lead."""
+    """(band, key, node, n, low, high) of the lists of two and more nodes; low and high lead.
+
+    The order of the leaders is one for all lists, so that the many lists of a group have few leaders.
+    """
     posted = staged(posted, "sketch-posted")
-    order = F.struct(F.xxhash64("node", "value").alias("h"), "node")
+    order = F.struct(F.xxhash64("node").alias("h"), "node")
     lists = posted.groupBy("value").agg(F.count(F.lit(1)).alias("rows"), F.min(order).alias("low"), F.max(order).alias("high")).where("rows > 1")
     lists = staged(lists.withColumn("n", F.col("rows")), "sketch-lists")
     at = join_unique(posted, lists, ["value"], posted.count(), "rows")
