@@ -35,6 +35,8 @@ from .staging import join_unique, like, staged
 
 #: Bytes of a lane, and id pairs that a worker holds.
 LANE, HELD_PAIRS = 512, 8_000_000
+#: Neither end is white space, and nothing in it stands for a blank.
+_WORDLIKE = re.compile(r"[^\s▁](?:[^▁]*[^\s▁])?")
 _BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 
 
@@ -73,11 +75,31 @@ class PairEncoder:
         want = (" " + text).encode("utf-8", "replace")
         return b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
 
-    def _entries(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
+    def _alone(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bool]]:
         left = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         for text, e, b in zip(texts, left, self.b.encode(texts, num_threads=1), strict=True):
             yield np.array(e.ids, "<u4").tobytes(), np.array(b, "<u4").tobytes(), self._same(text, e.ids, b)
 
+    def _entries(self, pieces: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """Ids of each piece. Pieces that white space cannot reach out of are encoded as one text, which costs less than a text each."""
+        joined = [i for i, p in enumerate(pieces) if _WORDLIKE.fullmatch(p)] if self.known else []
+        text = " ".join([pieces[i] for i in joined])
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids if joined else [], self.b.encode(text) if joined else []
+        out: dict[int, tuple[bytes, bytes, bool]] = {}
+        if joined and self._same(text, a, b):
+            ends, cut = np.cumsum([len(pieces[i].encode("utf-8", "replace")) + 1 for i in joined]), []
+            for ids, sizes in ((a, self.size_a), (b, self.size_b)):
+                ids = np.array(ids, "<u4")
+                at = np.cumsum(sizes[ids])
+                last = np.searchsorted(at, ends)
+                cut.append((ids.tobytes(), [0, *((last + 1) * 4).tolist()], (at[last] == ends).all()))
+            if cut[0][2] and cut[1][2]:
+                (raw_a, x, _), (raw_b, y, _) = cut
+                out = {i: (raw_a[x[k] : x[k + 1]], raw_b[y[k] : y[k + 1]], True) for k, i in enumerate(joined)}
+        rest = [i for i in range(len(pieces)) if i not in out]
+        out.update(zip(rest, self._alone([pieces[i] for i in rest]), strict=True))
+        return [out[i] for i in range(len(pieces))]
+
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Both sequences of ids as 32-bit integers; empty where one of them does not spell blank + text."""
         if not text:
@@ -87,7 +109,7 @@ class PairEncoder:
             a, b, same = zip(*map(self.pieces.of(set(pieces)).__getitem__, pieces), strict=True)
             if all(same):
                 return b"".join(a), b"".join(b)
-        a, b, same = next(self._entries([text]))
+        a, b, same = next(self._alone([text]))
         return (a, b) if same else (b"", b"")
 
 
