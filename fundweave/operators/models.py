@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundweave.operators.evaluation import SEEDS, bootstrap_gate, precision_at, rank_edges, training_mask
+from fundweave.shared import staged
 
 #: Fixed values of the reference configuration.
 LOGISTIC_ITERATIONS, TREES, LEARNING_RATE, DEPTH = 1000, 200, 0.05, 5
@@ -31,11 +33,30 @@ def balanced(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return df.withColumn("weight", weight), n
 
 
-def fit_logistic(df: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0):
-    """Balanced logistic regression; c is the inverse penalty of a sum of losses, so regParam is 1 / (c n)."""
-    w, n = balanced(df, label)
+@dataclass(frozen=True)
+class Logistic:
+    """A fitted logistic model: what it takes to score, and nothing else."""
+
+    intercept: float
+    coefficients: tuple[float, ...]
+
+    def score(self, columns: Sequence[str]) -> Column:
+        """Probability of the positive class, as a plain column."""
+        z = F.lit(self.intercept)
+        for c, w in zip(columns, self.coefficients, strict=True):
+            z = z + F.lit(w) * F.col(c).cast("double")
+        return 1 / (1 + F.exp(-z))
+
+
+def fit_logistic(df: DataFrame, columns: Sequence[str], label: str = "label", c: float = 1.0) -> Logistic:
+    """Balanced logistic regression; c is the inverse penalty of a sum of losses, so regParam is 1 / (c n).
+
+    The rows are written once: the fit passes over them up to LOGISTIC_ITERATIONS times.
+    """
+    w, n = balanced(staged(df.select(*columns, label), "logistic-rows"), label)
     lr = LogisticRegression(labelCol=label, weightCol="weight", maxIter=LOGISTIC_ITERATIONS, regParam=1 / (c * n), standardization=False)
-    return lr.fit(assembled(w, columns))
+    fitted = lr.fit(assembled(w, columns))
+    return Logistic(float(fitted.intercept), tuple(float(x) for x in fitted.coefficients.toArray()))
 
 
 def fit_boosted_trees(df: DataFrame, columns: Sequence[str], label: str = "label", trees: int = TREES, seed: int = 11):
@@ -45,6 +66,8 @@ def fit_boosted_trees(df: DataFrame, columns: Sequence[str], label: str = "label
 
 def predict_scores(model, df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with score, the probability of the positive class."""
+    if isinstance(model, Logistic):
+        return df.withColumn("score", model.score(columns))
     out = model.transform(assembled(df, columns)).withColumn("score", vector_to_array("probability")[1])
     return out.select(*df.columns, "score")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundweave.functions.scalars import url_component
+from fundweave.shared import staged, with_ordinal
 
 #: Fixed values of the typology: largest amount, window and number of senders.
 SMALL_VND, WINDOW_MS, LEAST_SENDERS = 50_000_000, 3_600_000, 5
@@ -26,11 +26,22 @@ def funding_candidates(
         (F.col("currency") == "VND") & (F.col("amount") > 0) & (F.col("amount") < below) & (F.col("source_id") != F.col("target_id"))
         & (F.col("source_id") != F.col("seed")) & (F.col("event_time") <= cutoff)
     ).withColumn("ms", F.unix_millis("event_time"))
-    e = e.select("case_id", "target_id", "source_id", "ms", F.floor(F.col("ms") / window_ms).alias("own"))
-    e = e.select("*", F.explode(F.array("own", F.col("own") - 1)).alias("block"))
-    w = Window.partitionBy("case_id", "target_id", "block").orderBy("ms").rangeBetween(0, window_ms)
-    found = e.withColumn("senders", F.array_sort(F.collect_set("source_id").over(w))).where((F.col("own") == F.col("block")) & (F.size("senders") >= senders))
-    return found.select("case_id", "target_id", F.col("ms").alias("first_ms"), "senders").distinct()
+    e = e.select("case_id", "target_id", "source_id", "ms").distinct()
+    e = e.withColumn("before", F.lag("ms").over(Window.partitionBy("case_id", "target_id", "source_id").orderBy("ms")))
+    own = F.floor(F.col("ms") / window_ms)
+    e = e.withColumn("own", own).withColumn("block", F.explode(F.array(own, own - 1)))
+    near = F.coalesce(F.col("ms") - F.col("before") <= window_ms, F.lit(False))
+    keys, one, none = ["case_id", "target_id", "block"], F.lit(1), F.lit(0)
+    starts = e.select(*keys, "own", F.col("ms").alias("at"), one.alias("edge"), near.cast("int").alias("again"), none.alias("first"))
+    firsts = e.where(near).select(*keys, F.lit(None).cast("long").alias("own"), F.col("before").alias("at"), none.alias("edge"), none.alias("again"), one.alias("first"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    upto, under = order.rangeBetween(Window.unboundedPreceding, window_ms), order.rangeBetween(Window.unboundedPreceding, -1)
+    repeats = F.sum("again").over(upto) - F.coalesce(F.sum("first").over(under), none)
+    n = F.sum("edge").over(upto) - F.coalesce(F.sum("edge").over(under), none) - repeats
+    kept = starts.unionByName(firsts).withColumn("n", n).where((F.col("own") == F.col("block")) & (F.col("edge") == 1) & (F.col("n") >= senders))
+    kept = kept.select(*keys, F.col("at").alias("first_ms")).distinct()
+    inside = kept.join(e.select(*keys, "source_id", "ms"), keys).where(F.col("ms").between(F.col("first_ms"), F.col("first_ms") + window_ms))
+    return inside.groupBy("case_id", "target_id", "first_ms").agg(F.array_sort(F.collect_set("source_id")).alias("senders"))
 
 
 def greedy_clusters(rows: list[tuple[str, int, list[str]]], least: int) -> list[tuple[str, int, list[str]]]:
@@ -45,20 +56,41 @@ def greedy_clusters(rows: list[tuple[str, int, list[str]]], least: int) -> list[
     return out
 
 
-def funding_clusters(edges: DataFrame, cutoff: Column, *, below: float = SMALL_VND, window_ms: int = WINDOW_MS, senders: int = LEAST_SENDERS) -> DataFrame:
-    """case_id, cluster_id, target_id, senders, n_edges, total, first_time, last_time.
+def greedy_rounds(candidates: DataFrame, least: int) -> DataFrame:
+    """greedy_clusters() of every case, in rounds: case_id, target_id, first_ms, senders.
 
-    The greedy choice within a case is a fold over its candidates (distinct windows, few
-    beside its edges); totals come from the member edges by a join.
+    In each round the candidates that come first at all of their free senders are settled
+    at once: nothing before them can take any of those. They take them, and what is left
+    with too few goes. A round is a few groups and joins by sender and by candidate; no task
+    holds a case. The least candidate of each case is settled in every round.
     """
-    cand = funding_candidates(edges, cutoff, below=below, window_ms=window_ms, senders=senders)
+    order = F.concat_ws("|", "senders").alias("joined")
+    ranked = staged(with_ordinal(candidates.select("*", order), "case_id", "target_id", "first_ms", "joined", name="rank").drop("joined"), "cluster-candidates")
+    members = ranked.select("case_id", "rank", F.explode("senders").alias("source_id"))
+    taken = None
+    while True:
+        enough = members.groupBy("rank").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("rank")
+        alive = staged(members.join(enough, "rank"), "cluster-members")
+        if alive.isEmpty():
+            break
+        first = alive.groupBy("case_id", "source_id").agg(F.min("rank").alias("first"))
+        settled = alive.join(first, ["case_id", "source_id"]).groupBy("rank").agg(F.bool_and(F.col("rank") == F.col("first")).alias("all")).where("all").select("rank")
+        now = staged(alive.join(settled, "rank"), "cluster-taken")
+        taken = now if taken is None else taken.unionByName(now)
+        members = alive.join(now.select("case_id", "source_id"), ["case_id", "source_id"], "left_anti").select("case_id", "rank", "source_id")
+    if taken is None:
+        return ranked.limit(0).drop("rank")
+    lists = taken.groupBy("rank").agg(F.array_sort(F.collect_set("source_id")).alias("senders"))
+    return ranked.drop("senders").join(lists, "rank").select("case_id", "target_id", "first_ms", "senders")
+
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(t, int(f), list(s)) for t, f, s in zip(pdf["target_id"], pdf["first_ms"], pdf["senders"], strict=True)]
-        found = greedy_clusters(rows, senders)
-        return pd.DataFrame([(key[0], t, f, s) for t, f, s in found], columns=["case_id", "target_id", "first_ms", "senders"])
+def funding_clusters(edges: DataFrame, cutoff: Column, *, below: float = SMALL_VND, window_ms: int = WINDOW_MS, senders: int = LEAST_SENDERS) -> DataFrame:
+    """case_id, cluster_id, target_id, senders, n_edges, total, first_time, last_time.
 
-    chosen = cand.groupBy("case_id").applyInPandas(fold, "case_id string, target_id string, first_ms long, senders array<string>")
+    The greedy choice within a case is made in rounds; totals come from the member edges by
+    a join.
+    """
+    chosen = greedy_rounds(funding_candidates(edges, cutoff, below=below, window_ms=window_ms, senders=senders), senders)
     name = F.concat(F.lit("cluster:"), url_component(F.col("target_id")), F.lit(":"), url_component(F.array_join("senders", "|")))
     chosen = chosen.withColumn("cluster_id", name)
     m = chosen.select("case_id", "cluster_id", "target_id", "senders", "first_ms", F.explode("senders").alias("source_id"))

@@ -264,6 +264,24 @@ ORACLE_SQL = {
         SELECT DISTINCT a.case_id, a.target_id, a.ms AS first_ms, string_agg(DISTINCT b.source_id, '|' ORDER BY b.source_id) AS senders
         FROM e a JOIN e b ON b.case_id = a.case_id AND b.target_id = a.target_id AND b.ms BETWEEN a.ms AND a.ms + {HOUR24}
         GROUP BY a.case_id, a.target_id, a.ms HAVING count(DISTINCT b.source_id) >= 5""",
+    "funding_clusters": f"""{_FUND.replace("WITH ", "WITH RECURSIVE ", 1)},
+        w AS (SELECT a.case_id, a.target_id, a.ms AS first_ms, list(DISTINCT b.source_id ORDER BY b.source_id) AS senders
+              FROM e a JOIN e b ON b.case_id = a.case_id AND b.target_id = a.target_id AND b.ms BETWEEN a.ms AND a.ms + {HOUR24}
+              GROUP BY a.case_id, a.target_id, a.ms HAVING count(DISTINCT b.source_id) >= 5),
+        o AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY target_id, first_ms, array_to_string(senders, '|')) AS i FROM w),
+        fold AS (
+            SELECT DISTINCT case_id, 0::BIGINT AS i, []::VARCHAR[] AS taken, []::VARCHAR[] AS free FROM o
+            UNION ALL SELECT case_id, i, CASE WHEN len(free) >= 5 THEN list_concat(taken, free) ELSE taken END, free
+            FROM (SELECT o.case_id, o.i, fold.taken, list_filter(o.senders, lambda x: NOT list_contains(fold.taken, x)) AS free
+                  FROM fold JOIN o ON o.case_id = fold.case_id AND o.i = fold.i + 1)),
+        ch AS (SELECT case_id, target_id, first_ms, free, unnest(free) AS source_id FROM fold JOIN o USING (case_id, i) WHERE len(free) >= 5),
+        j AS (SELECT ch.case_id, ch.target_id, array_to_string(free, '|') AS senders, c.amount, c.event_time
+              FROM ch JOIN case_edges c ON c.case_id = ch.case_id AND c.target_id = ch.target_id AND c.source_id = ch.source_id
+              WHERE c.currency = 'VND' AND c.amount > 0 AND c.amount < 50 AND c.event_time <= TIMESTAMP '{CUTOFF}'
+                AND epoch_ms(c.event_time) BETWEEN first_ms AND first_ms + {HOUR24})
+        SELECT case_id, 'cluster:' || target_id || ':' || replace(senders, '|', '%7C') AS cluster_id, target_id, senders, count(*) AS n_edges,
+               sum(amount::DECIMAL(38,2))::DOUBLE AS total, min(event_time) AS first_time, max(event_time) AS last_time
+        FROM j GROUP BY case_id, target_id, senders""",
     "project_view": f"""{_C}
         SELECT case_id, edge_id, CASE WHEN event_time IS NULL THEN 'unknown_time' WHEN event_time > TIMESTAMP '{CUTOFF}' THEN 'future'
             WHEN substr(edge_id, 2)::BIGINT % 10 = 0 THEN 'hidden'

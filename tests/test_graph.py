@@ -259,6 +259,26 @@ def test_greedy_senders_join_one_cluster():
     assert typology.greedy_clusters(rows, 5) == [("a", 1, list("uvwxy")), ("b", 2, list("abcde"))]
 
 
+def test_greedy_rounds_equal_the_fold_on_one_large_case(spark):
+    r = random.Random(3)
+    rows = {(f"t{r.randrange(20_000):05d}", r.randrange(1000), tuple(sorted(r.sample([f"s{k}" for k in range(g * 40, g * 40 + 40)], r.randint(5, 9))))) for g in r.choices(range(5000), k=100_000)}
+    df = spark.createDataFrame([("c", t, f, list(s)) for t, f, s in rows], "case_id string, target_id string, first_ms long, senders array<string>")
+    got = typology.greedy_rounds(df, 5).collect()
+    want = typology.greedy_clusters([(t, f, list(s)) for t, f, s in rows], 5)
+    assert sorted((x.target_id, x.first_ms, x.senders) for x in got) == sorted(want) and len(want) > 10_000
+    assert typology.greedy_rounds(df.limit(0), 5).collect() == []
+
+
+def test_windows_of_distinct_senders_equal_sets(spark):
+    r = random.Random(9)
+    rows = [("c", "x", f"e{i}", f"s{r.randrange(9)}", f"t{r.randrange(2)}", 1.0, "VND", str(1_704_067_200 + r.randrange(0, 5 * 3600, 7))) for i in range(600)]
+    df = spark.createDataFrame(rows, FUND).withColumn("event_time", F.timestamp_seconds(F.col("event_time").cast("long")))
+    for window in (0, 60, 1500, 3600):
+        got = typology.funding_candidates(df, F.lit("2025-01-01").cast("timestamp"), window_ms=max(1, window * 1000), senders=3).collect()
+        want = {(e[4], int(e[7]) * 1000, tuple(sorted({x[3] for x in rows if x[4] == e[4] and int(e[7]) <= int(x[7]) <= int(e[7]) + window}))) for e in rows}
+        assert {(g.target_id, g.first_ms, tuple(g.senders)) for g in got} == {w for w in want if len(w[2]) >= 3} and len(got) == len({(g.target_id, g.first_ms) for g in got})
+
+
 def test_manual_hide_beats_override_and_self_loops_count_once(spark):
     rows = [("c", "s", f"e{i}", "a", "a", 5.0, "VND", "2024-01-01") for i in range(3)]
     ids = lambda *x: spark.createDataFrame([("c", i) for i in x], "case_id string, edge_id string")

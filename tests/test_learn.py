@@ -51,6 +51,18 @@ def test_logistic_is_the_minimum_of_the_balanced_loss(spark):
     assert max(abs(got[i] - p) for i, p in enumerate((1 / (1 + np.exp(-x @ beta))).tolist())) < 1e-3
 
 
+def test_many_fits_in_one_session(spark):
+    """No fitted object is part of a plan: the scores are plain columns."""
+    df, _ = _points(spark, 60)
+    for c in (0.1, 0.3, 1.0, 3.0, 10.0):
+        model = models.fit_logistic(df, ["a", "b"], c=c)
+        scored = models.predict_scores(model, df, ["a", "b"])
+        assert "UDF" not in scored._jdf.queryExecution().toString()
+        want = 1 / (1 + np.exp(-(model.intercept + np.array([[r.a, r.b] for r in df.collect()]) @ np.array(model.coefficients))))
+        assert np.allclose([r.score for r in scored.collect()], want)
+        models.calibrate(scored, scored).count()
+
+
 def test_boosted_trees_learn_what_a_line_cannot(spark):
     r = random.Random(5)
     rows = [(i, a, b, int((a > 0) != (b > 0))) for i, (a, b) in enumerate((r.uniform(-1, 1), r.uniform(-1, 1)) for _ in range(400))]
