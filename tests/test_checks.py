@@ -256,14 +256,16 @@ def test_late_events_are_alike_in_batch_and_stream_and_the_state_stays_level(spa
     rows = [TIMED(i, i if i % 7 else max(0, i - 5)) for i in range(60)] + [TIMED(3, 3), TIMED(58, 58)]
     want = replay.replay_batch(envelopes.parse_envelope(_log(spark, rows)), lateness="3 hours")
     want = sorted((r.offset, r.status) for r in want.collect())
-    assert {s for _, s in want} == {"ACCEPTED", "LATE_EVENT", "NOOP"} and (3, "LATE_EVENT") in want and (58, "NOOP") in want
+    assert {s for _, s in want} == {"ACCEPTED", "LATE_EVENT", "NOOP"} and (3, "NOOP") in want and (58, "NOOP") in want
     held = []
     for part in (rows[:20], rows[20:40], rows[40:60], rows[60:]):
         _log(spark, part).coalesce(1).write.mode("append").parquet(source)
         stream = replay.replay_stream(envelopes.parse_envelope(envelopes.broker_stream(spark, path=source)), lateness="3 hours")
         got = online.run_once(stream, out, check)
         held.append(replay.stored_state(spark, check)[1].count())
-    assert sorted((r.offset, r.status) for r in got.where("offset <> 3").collect()) == [w for w in want if w[0] != 3]
+    # A call sorts its records, so that the retry follows its event at once; in a later call it is late.
+    got = sorted((r.offset, r.status) for r in got.collect())
+    assert got == sorted((3, "LATE_EVENT") if w == (3, "NOOP") else w for w in want)
     assert max(held) <= 4  # events of three hours
 
 
@@ -366,7 +368,7 @@ def test_text_of_doubles_is_that_of_scripting_languages(spark):
     df = spark.createDataFrame([(v,) for v in values if not math.isnan(v)], "x double").repartition(4)
     bad = [r for r in df.select("x", hashing.float_text(F.col("x")).alias("t")).collect() if r.t != repr(r.x)]
     # Digits are the engine's own: above 2^63 the last of 17 may be the second nearest.
-    assert all(float(r.t) == r.x and len(r.t) <= len(repr(r.x)) + 1 and r.x > 2**63 for r in bad) and len(bad) <= 5
+    assert all(float(r.t) == r.x and len(r.t) <= len(repr(r.x)) + 1 and abs(r.x) > 2**63 for r in bad) and len(bad) <= 5
     assert spark.createDataFrame([(float("nan"),), (None,)], "x double").select(hashing.float_text(F.col("x")).alias("t")).where("t is not null").count() == 0
 
 
