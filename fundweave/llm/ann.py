@@ -60,7 +60,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    scaled = x / np.abs(x).max(1, keepdims=True)
+    scaled = _scaled(x)
     return scaled / np.sqrt((scaled * scaled).sum(1, keepdims=True))
 
 
@@ -136,10 +136,19 @@ def _probe(batches: Iterator[pa.RecordBatch], books: Codebooks, dim: int, sizes:
         )
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to [0.5, 1): exact, and its cosines stay."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
+def _length(a: np.ndarray) -> float:
+    return math.sqrt(math.fsum((a * a).tolist()))
+
+
 def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """In double precision; sums are rounded once, so the order of components is none."""
-    dot, x, y = (math.fsum((p * q).tolist()) for p, q in ((a, b), (a, a), (b, b)))
-    return dot / (math.sqrt(x) * math.sqrt(y))
+    """In double precision; sums are rounded once, so the order of components is none. No finite vectors are too long or too short."""
+    a, b = _scaled(a), _scaled(b)
+    return math.fsum((a * b).tolist()) / (_length(a) * _length(b))
 
 
 def _score(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -178,12 +187,16 @@ def _by_cell(parts: list[tuple]) -> tuple:
 
 
 def _best(query_ids: list[int], queries: np.ndarray, visited: pa.ListArray, ready: tuple, k: int) -> pa.RecordBatch:
-    """Multiplies each cell with the queries that visit it alone, keeping each query's nearest so far."""
+    """Multiplies each cell with the queries that visit it alone, keeping what may be among each query's nearest.
+
+    That is every entry not below the (k + 1)-th score (one may be the query itself), however
+    many are as near as that; products differ from the exact scores by far less than 1e-9.
+    The block bounds them.
+    """
     ids, x, unit, cells, starts = ready
     q = _unit(queries)
-    # A few more than k, as near ties may change places once scored exactly; one may be the query itself.
-    room = k + 9
-    score, at = np.full((len(q), room), -np.inf), np.zeros((len(q), room), np.int64)
+    top = np.full((len(q), k + 1), -np.inf)
+    rows_of, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
     wanted = np.searchsorted(cells, visited.flatten().to_numpy())
     of = np.repeat(np.arange(len(q)), np.diff(visited.offsets.to_numpy()))
     order = np.argsort(wanted, kind="stable")
@@ -193,19 +206,29 @@ def _best(query_ids: list[int], queries: np.ndarray, visited: pa.ListArray, read
         if not len(rows):
             continue
         near = q[rows] @ unit[starts[c] : starts[c + 1]].T
-        better = near.max(1) > score[rows].min(1)
+        better = near.max(1) >= top[rows].min(1) - 1e-9
         rows, near = rows[better], near[better]
-        both = np.concatenate([score[rows], near], 1)
-        place = np.concatenate([at[rows], np.broadcast_to(np.arange(starts[c], starts[c + 1]), near.shape)], 1)
-        top = np.argpartition(-both, room - 1, axis=1)[:, :room]
-        score[rows], at[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(place, top, 1)
+        top[rows] = -np.partition(-np.concatenate([top[rows], near], 1), k, axis=1)[:, : k + 1]
+        r, e = np.nonzero(near >= top[rows].min(1)[:, None] - 1e-9)
+        rows_of.append(rows[r])
+        places.append(starts[c] + e)
+        scores.append(near[r, e])
+    row, place, score = np.concatenate(rows_of), np.concatenate(places), np.concatenate(scores)
+    kept = score >= top.min(1)[row] - 1e-9
+    order = np.argsort(row[kept], kind="stable")
+    row, place = row[kept][order], place[kept][order]
+    # Each vector is scaled and measured once.
+    used, place = np.unique(place, return_inverse=True)
+    entries, asked = _scaled(x[used]), _scaled(queries)
+    lengths, own = [_length(v) for v in entries], [_length(v) for v in asked]
     out = []
+    bounds = np.searchsorted(row, np.arange(len(q) + 1))
     for j, query in enumerate(query_ids):
-        held = at[j][score[j] >= max(np.sort(score[j])[-(k + 1)] - 1e-9, -2)]
         found = []
-        for t in held.tolist():
-            exact = cosine(queries[j], x[t])
-            found += [(-exact, v) for v in ids[t] if v != query]
+        at = place[bounds[j] : bounds[j + 1]]
+        for t, products in zip(at.tolist(), (asked[j] * entries[at]).tolist(), strict=True):
+            exact = math.fsum(products) / (own[j] * lengths[t])
+            found += [(-exact, v) for v in ids[used[t]] if v != query]
         out += [(query, v, -s) for s, v in sorted(found)[:k]]
     columns = list(zip(*out, strict=True)) or [()] * 3
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCORES, strict=True)], schema=_SCORES)

@@ -68,6 +68,30 @@ def test_one_component(spark, visit):
     assert got == {q: sorted(sorted(v, key=lambda x: (-x[1], x[0]))[:5]) for q, v in want.items()}
 
 
+def test_ties_of_any_number_go_to_the_smaller_ids(spark):
+    """Forty copies of one direction in different lengths, in no order, and fifty at one angle."""
+    direction = np.array([1.0, 2.0, -1.0, 0.5])
+    rows = [(i, (direction * 2.0 ** (i % 11)).tolist()) for i in range(1, 41)] + [(100, direction.tolist())]
+    rows += [(150, [0.0, 0.0, 0.0, -3.0])] + [(200 + i, [0.0, 0.0, float(2**i), 0.0]) for i in range(0, 49)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").orderBy("embedding").repartition(3)
+    got = _got(ann.search(df, visit=1.0, block_rows=30))
+    assert got == _brute(rows, 5, 50)
+    assert [i for i, _ in got[100]] == [1, 2, 3, 4, 5]
+
+
+def test_very_long_and_very_short_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=6) * 10.0 ** float(p)).tolist()) for i, p in zip(range(0, 300, 5), [-310, -200, 0, 154, 200, 307] * 10, strict=True)]
+    rows += [(1000, [5e-324] * 6), (1005, [1e308] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = _got(ann.search(df, visit=1.0))
+    assert got == _brute(rows, 5, 50)
+    assert got[1000][0] == (1005, pytest.approx(1.0, abs=1e-15))
+    a, b = np.array([1e-200, 2e-200]), np.array([2e-200, 1e-200])
+    assert ann.cosine(a, b) == ann.cosine(a * 2.0**900, b) == pytest.approx(0.8)
+    assert ann.cosine(np.full(40, 1e154), np.full(40, 1e200)) == pytest.approx(1.0)
+
+
 def test_only_visited_cells_are_searched():
     rng = np.random.default_rng(3)
     x = ann._unit(rng.normal(size=(60, 4)))
