@@ -9,7 +9,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundweave.operators.evaluation import SEEDS, bootstrap_gate, precision_at, rank_edges, training_mask
@@ -84,6 +84,72 @@ def fit_edge_ranker(edges: DataFrame, columns: Sequence[str], trees: int = 50, s
     return fit_boosted_trees(known.drop("label"), columns, "relevant", trees, seed)
 
 
+def ranking_sample(edges: DataFrame, columns: Sequence[str], per_class: int = 100, seed: int = 11) -> DataFrame:
+    """case_id, relevant, i, edge_id, x: of each case at most per_class edges of either known class, in a seeded order i.
+
+    The limit is applied before the shuffle as well, so that a case of any size sends few rows.
+    """
+    known = training_mask(edges).select("case_id", "edge_id", (F.col("label") == "RELEVANT").cast("int").alias("relevant"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
+    order = Window.partitionBy("case_id", "relevant").orderBy(F.xxhash64("edge_id", F.lit(seed)), "edge_id", "x")
+    return known.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_class)
+
+
+def ranking_pairs(sample: DataFrame, partners: int = 10) -> DataFrame:
+    """case_id, p, n, n_relevant, d: each relevant edge p with the next `partners` irrelevant ones n, in a circle; d is their difference.
+
+    A case without either class has no pairs. Equi-joins on numbers: at most per_class x partners rows a case.
+    """
+    sizes = sample.groupBy("case_id").agg(F.sum("relevant").alias("n_relevant"), F.sum(1 - F.col("relevant")).alias("many")).where("n_relevant > 0 and many > 0")
+    turns = F.sequence(F.lit(0), F.least(F.lit(partners), F.col("many")) - 1)
+    asked = sample.where("relevant = 1").join(sizes, "case_id").select("case_id", "n_relevant", F.col("i").alias("p"), "x", "many", F.explode(turns).alias("turn"))
+    asked = asked.withColumn("n", F.pmod(F.col("p") - 1 + F.col("turn"), "many") + 1)
+    other = sample.where("relevant = 0").select("case_id", F.col("i").cast("long").alias("n"), F.col("x").alias("y"))
+    return asked.join(other, ["case_id", "n"]).select("case_id", "p", "n", "n_relevant", F.zip_with("x", "y", lambda a, b: a - b).alias("d"))
+
+
+def _gain_of_swap(pairs: DataFrame, sample: DataFrame, model: Logistic) -> DataFrame:
+    """pairs with weight: how much of the case's discounted gain swapping the two would move, at the model's ranks in the sample."""
+    scored = sample.withColumn("score", sum((F.lit(w) * F.col("x")[k] for k, w in enumerate(model.coefficients)), F.lit(0.0)))
+    # A case has at most 2 x per_class rows here.
+    ranks = scored.select("case_id", "relevant", "i", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "edge_id", "i")).alias("rank"))
+    of = lambda relevant, number, name: ranks.where(F.col("relevant") == relevant).select("case_id", F.col("i").cast("long").alias(number), F.col("rank").alias(name))
+    discount = lambda rank: 1 / F.log2(rank + F.lit(1))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n_relevant").cast("int")), F.lit(0.0), lambda total, r: total + discount(r))
+    at = pairs.join(of(1, "p", "r_p"), ["case_id", "p"]).join(of(0, "n", "r_n"), ["case_id", "n"])
+    return at.withColumn("weight", F.abs(discount(F.col("r_p")) - discount(F.col("r_n"))) / ideal).drop("r_p", "r_n")
+
+
+def fit_pairwise_ranker(
+    edges: DataFrame, columns: Sequence[str], *, per_class: int = 100, partners: int = 10, rounds: int = 3, c: float = 1.0, seed: int = 11
+) -> Logistic:
+    """A linear ranker that learns from pairs of a relevant and an irrelevant edge of one case.
+
+    The logistic loss of the pairs' differences is minimised, first with equal weights, then
+    `rounds` times with each pair weighted by the change of the case's discounted gain if
+    the two changed places. What is common to a case cancels in the differences. Edges of
+    unknown label play no part; a bounded sample of each case does (ranking_sample). Only
+    the order of the scores within a case has a meaning. Null values in the columns and
+    tables without any pair are errors.
+    """
+    sample = staged(ranking_sample(edges, columns, per_class, seed), "ranking-sample")
+    pairs = staged(ranking_pairs(sample, partners), "ranking-pairs")
+    n = pairs.count()
+    if not n:
+        raise ValueError("no case holds both relevant and irrelevant edges")
+    names = [f"d{k}" for k in range(len(columns))]
+    # Half of the pairs are turned round, so that both classes are there; the loss is the same.
+    sign = 1 - 2 * F.pmod(F.col("p") + F.col("n"), F.lit(2))
+    lr = LogisticRegression(labelCol="up", weightCol="weight", fitIntercept=False, standardization=False, maxIter=LOGISTIC_ITERATIONS, regParam=1 / (c * n))
+    weighted, model = pairs.withColumn("weight", F.lit(1.0)), None
+    for _ in range(rounds + 1):
+        if model is not None:
+            weighted = _gain_of_swap(pairs, sample, model)
+        rows = weighted.select("weight", (sign > 0).cast("int").alias("up"), *[(F.col("d")[k] * sign).alias(name) for k, name in enumerate(names)])
+        fitted = lr.fit(assembled(staged(rows, "ranking-rows"), names))
+        model = Logistic(0.0, tuple(float(x) for x in fitted.coefficients.toArray()))
+    return model
+
+
 def rank(model, edges: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rank_edges(predict_scores(model, edges, columns))
 

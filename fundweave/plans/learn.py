@@ -39,12 +39,22 @@ def _calibrated(spark, d):
     return models.calibrate(scored.where("row_id % 3 = 2"), scored).select("account_id", F.round("score", 6).alias("score"), F.round("calibrated", 6).alias("calibrated"))
 
 
-def _ranker(spark, d):
+def _labelled(spark, d):
     c = t.case_edges(spark, d)
     k = F.substring("edge_id", 2, 20).cast("long")
     label = F.when(k % 4 == 0, "UNKNOWN").when(F.col("amount") + k % 30 > 70, "RELEVANT").otherwise("CONFIRMED_BENIGN")
-    e = c.withColumn("label", label).withColumn("size", F.log1p("amount")).withColumn("at", F.coalesce(F.hour("event_time"), F.lit(-1)))
-    model = models.fit_edge_ranker(e.where(k % 2 == 0), ["size", "at"])
+    return c.withColumn("label", label).withColumn("size", F.log1p("amount")).withColumn("at", F.coalesce(F.hour("event_time"), F.lit(-1))).withColumn("k", k)
+
+
+def _ranker(spark, d):
+    e = _labelled(spark, d)
+    model = models.fit_edge_ranker(e.where("k % 2 = 0"), ["size", "at"])
+    return models.rank(model, e, ["size", "at"]).select("case_id", "edge_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _pairwise(spark, d):
+    e = _labelled(spark, d)
+    model = models.fit_pairwise_ranker(e.where("k % 2 = 0"), ["size", "at"])
     return models.rank(model, e, ["size", "at"]).select("case_id", "edge_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -63,6 +73,7 @@ QUERIES = {
     "boosted_tree_scores": _trees,
     "calibrated_scores": _calibrated,
     "edge_ranker": _ranker,
+    "edge_ranker_pairwise": _pairwise,
     "neighborhood_scores": _neighborhood,
 }
 

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+@cache
+def _local_root(application: str) -> str:
+    """The folder of a local application; the setting itself cannot be changed in a running session."""
+    return "file://" + tempfile.mkdtemp(prefix="fundweave-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a local session without one gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = "file://" + tempfile.mkdtemp(prefix="fundweave-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root(spark.sparkContext.applicationId)
     if root.startswith("/"):
         root = "file://" + root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

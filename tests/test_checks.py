@@ -382,3 +382,16 @@ def test_latencies_in_buckets():
         exact = values[math.ceil(share * len(values)) - 1]
         assert max(exact, 1) <= h.quantile(share) * 1.0001 <= max(exact, 1) * 2**0.25 * 1.001
     assert online.Histogram().quantile(0.5) is None
+
+
+def test_a_local_session_without_a_shared_folder_gets_one_of_its_own():
+    from types import SimpleNamespace
+
+    from fundweave import shared
+
+    conf = SimpleNamespace(get=lambda key, default: default)  # the setting cannot be changed in a running session
+    session = lambda app, master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId=app))
+    a, b, c = (shared.shared_dir(session(app, "local[2]"), "x") for app in ("one", "one", "two"))
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0] != c.rsplit("/", 1)[0]
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(session("one", "spark://host:7077"), "x")

@@ -105,3 +105,79 @@ def test_five_seeds_give_a_precision_each(spark):
     got = models.five_seed_run(df, df, ["a", "b"], budget=20, trees=2)
     assert len(got) == len(models.SEEDS) == 5 and models.SEEDS == (11, 23, 37, 53, 71)
     assert all(0.6 < p <= 1 for p in got)
+
+
+def _cases(n_cases=24, size=40, seed=3):
+    """Relevance follows x within a case; every case has its own offset of x, against its share of relevant edges."""
+    r = random.Random(seed)
+    rows = []
+    for c in range(n_cases):
+        shift, share = 6.0 * (c % 4), (0.8, 0.6, 0.3, 0.1)[c % 4]
+        for i in range(size):
+            x, z = r.gauss(0, 1), r.gauss(0, 1)
+            label = "UNKNOWN" if i % 7 == 0 else "RELEVANT" if x + 0.3 * r.gauss(0, 1) > 1.7 * (0.5 - share) else "CONFIRMED_BENIGN"
+            rows.append((f"c{c:02d}", f"e{c:02d}-{i:02d}", x + shift, z, label))
+    return rows
+
+
+def _in_order(ranked):
+    """The share of pairs of a relevant and a benign edge of one case that stand in the right order."""
+    right = every = 0
+    for c in {x.case_id for x in ranked}:
+        yes, no = ([x.rank for x in ranked if x.case_id == c and x.label == k] for k in ("RELEVANT", "CONFIRMED_BENIGN"))
+        right += sum(a < b for a in yes for b in no)
+        every += len(yes) * len(no)
+    return right / every
+
+
+def test_pairwise_ranker_equals_a_plain_fit_and_beats_the_pointwise_one(spark):
+    rows = _cases()
+    df = spark.createDataFrame(rows, "case_id string, edge_id string, x double, z double, label string").repartition(3)
+    sample = models.ranking_sample(df, ["x", "z"], per_class=15).collect()
+    assert max(r.i for r in sample) == 15 and not {r.edge_id for r in sample} & {r[1] for r in rows if r[4] == "UNKNOWN"}
+    by = {}
+    for r in sample:
+        by.setdefault(r.case_id, ({}, {}))[r.relevant][r.i] = r
+    pairs = []
+    for c, (no, yes) in by.items():
+        pairs += [(c, p, (p - 1 + t) % len(no) + 1) for p in yes for t in range(min(4, len(no)))] if no else []
+    got = {(r.case_id, r.p, r.n): list(r.d) for r in models.ranking_pairs(models.ranking_sample(df, ["x", "z"], per_class=15), 4).collect()}
+    assert got.keys() == set(pairs)
+    d = np.array([np.subtract(by[c][1][p].x, by[c][0][n].x) for c, p, n in pairs])
+    assert np.allclose(d, [got[k] for k in pairs])
+    weight = np.ones(len(pairs))
+    for _ in range(3):
+        beta = np.zeros(2)
+        for _ in range(60):  # Newton's method; the penalty is relative to the mean of the weighted losses
+            q = 1 / (1 + np.exp(d @ beta))
+            grad = -(d.T @ (weight * q)) / weight.sum() + beta / len(pairs)
+            beta -= np.linalg.solve(d.T @ (d * (weight * q * (1 - q))[:, None]) / weight.sum() + np.eye(2) / len(pairs), grad)
+        ranks, ideal = {}, {}
+        for c, (no, yes) in by.items():
+            order = sorted([*no.values(), *yes.values()], key=lambda r: (-(beta @ r.x), r.edge_id))
+            ranks |= {(c, r.relevant, r.i): k for k, r in enumerate(order, 1)}
+            ideal[c] = sum(1 / np.log2(1 + k) for k in range(1, len(yes) + 1))
+        gain = lambda k: 1 / np.log2(1 + k)
+        weight = np.array([abs(gain(ranks[c, 1, p]) - gain(ranks[c, 0, n])) / ideal[c] for c, p, n in pairs])
+    model = models.fit_pairwise_ranker(df, ["x", "z"], per_class=15, partners=4, rounds=2)
+    assert np.allclose(model.coefficients, beta, rtol=0.02, atol=0.02)
+    pointwise = models.fit_logistic(models.training_mask(df).withColumn("y", (df.label == "RELEVANT").cast("int")), ["x", "z"], "y")
+    column = lambda m: df.withColumn("rank", -sum((w * df[c] for c, w in zip(("x", "z"), m.coefficients, strict=True)), models.F.lit(0.0)))
+    good, plain = _in_order(column(model).collect()), _in_order(column(pointwise).collect())
+    assert good > 0.95 and good > plain + 0.05
+
+
+def test_pairwise_ranker_needs_both_classes_in_a_case(spark):
+    rows = [("a", f"e{i}", float(i), "RELEVANT") for i in range(5)] + [("b", f"f{i}", float(i), "CONFIRMED_BENIGN") for i in range(5)]
+    df = spark.createDataFrame(rows, "case_id string, edge_id string, x double, label string")
+    assert models.ranking_pairs(models.ranking_sample(df, ["x"])).count() == 0
+    with pytest.raises(ValueError, match="both relevant and irrelevant"):
+        models.fit_pairwise_ranker(df, ["x"])
+
+
+def test_pairs_of_tied_and_repeated_edges(spark):
+    rows = [("a", "e", 1.0, "RELEVANT")] * 3 + [("a", "f", 1.0, "CONFIRMED_BENIGN")] * 2 + [("a", "g", 0.0, "CONFIRMED_BENIGN")]
+    df = spark.createDataFrame(rows, "case_id string, edge_id string, x double, label string")
+    pairs = models.ranking_pairs(models.ranking_sample(df, ["x"])).collect()
+    assert len(pairs) == len({(r.p, r.n) for r in pairs}) == 9
+    assert models.fit_pairwise_ranker(df, ["x"]).coefficients[0] > 0
