@@ -102,15 +102,19 @@ class PairEncoder:
 
     def encode(self, text: str | None) -> tuple[bytes, bytes]:
         """Both sequences of ids as 32-bit integers; empty where one of them does not spell blank + text."""
-        if not text:
-            return b"", b""
-        if self.known:
-            pieces = _CUT.split(text)
-            a, b, same = zip(*map(self.pieces.of(set(pieces)).__getitem__, pieces), strict=True)
-            if all(same):
-                return b"".join(a), b"".join(b)
-        a, b, same = next(self._alone([text]))
-        return (a, b) if same else (b"", b"")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """encode() of each text; the pieces that are new in any of them are encoded together."""
+        cut = [_CUT.split(t) if t and self.known else [] for t in texts]
+        entries, out = self.pieces.of(set().union(*cut)), []
+        for text, pieces in zip(texts, cut, strict=True):
+            a, b, same = zip(*map(entries.__getitem__, pieces), strict=True) if pieces else ((), (), ())
+            if text and not (pieces and all(same)):
+                x, y, spelled = next(self._alone([text]))
+                a, b = ([x], [y]) if spelled else ((), ())
+            out.append((b"".join(a), b"".join(b)))
+        return out
 
 
 @cache
@@ -189,7 +193,7 @@ class Aligned:
     """The alignment of a batch of documents, laid out one after the other."""
 
     def __init__(self, encoder: PairEncoder, texts: list[str | None]):
-        a, b = zip(*map(encoder.encode, texts), strict=True) if texts else ((), ())
+        a, b = zip(*encoder.encode_all(texts), strict=True) if texts else ((), ())
         self.a, self.b = (np.frombuffer(b"".join(x), "<u4").astype(np.int64) for x in (a, b))
         self.first_a, self.first_b = (np.concatenate([[0], np.cumsum([len(t) // 4 for t in x])]).astype(np.int64) for x in (a, b))
         end_a, end_b = np.cumsum(encoder.size_a[self.a]), np.cumsum(encoder.size_b[self.b])
