@@ -264,7 +264,10 @@ class Histogram:
 def latency_histogram(values: DataFrame, column: str, per_octave: int = 4) -> DataFrame:
     """bucket, upper, n: the same buckets over a table of values; histograms merge by adding n."""
     v = F.col(column)
-    bucket = F.when(v > 1, F.greatest(F.ceil(F.log2(v) * per_octave), F.lit(0))).otherwise(F.lit(0)).cast("int")
+    # The engine's logarithm of 2^29 is a little more than 29: a bucket too high by that is one whose lower bound is not below the value.
+    raw = F.ceil(F.log2(v) * per_octave)
+    near = F.when(F.pow(F.lit(2.0), (raw - 1) / per_octave) >= v, raw - 1).when(F.pow(F.lit(2.0), raw / per_octave) < v, raw + 1).otherwise(raw)
+    bucket = F.when(v > 1, F.greatest(near, F.lit(0))).otherwise(F.lit(0)).cast("int")
     return values.where(v.isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")).withColumn("upper", F.pow(F.lit(2.0), F.col("bucket") / per_octave))
 
 
