@@ -320,11 +320,12 @@ ORACLE_SQL = {
         SELECT 'transfers' AS topic, part AS partition, off AS offset, status AS reason FROM rp WHERE status IN ('INVALID_SCHEMA', 'NON_CONTIGUOUS_OFFSET', 'CONFLICT')""",
     "replay_counters": f"""WITH {_RECORDS}
         SELECT count(*) FILTER (status = 'ACCEPTED') AS accepted, count(*) FILTER (status IN ('INVALID_SCHEMA', 'NON_CONTIGUOUS_OFFSET', 'CONFLICT')) AS quarantined FROM rp""",
-    "checked_edges": f"""WITH {EDGES},
-        z AS (SELECT max(event_id) // 4 + 1 AS size FROM edges),
-        e AS (SELECT edge_id, event_id, event_time, event_id // size AS part FROM edges, z)
-        SELECT edge_id, CASE WHEN event_id % 29 = 3 THEN 'NON_MONOTONIC_ORDER' ELSE 'ACCEPTED' END AS status FROM e
-        UNION ALL SELECT edge_id, CASE WHEN event_id % 29 = 3 THEN 'NON_MONOTONIC_ORDER' ELSE 'DUPLICATE_EDGE' END FROM e WHERE event_id % 31 = 5""",
+    "checked_edges": f"""WITH {_BATCHES},
+        top AS (SELECT i AS batch, (SELECT max(row(epoch_ms(event_time), edge_id)) FROM bt WHERE bt.batch < i AND again = 0) AS mark FROM range(6) AS t(i)),
+        o AS (SELECT bt.*, row(epoch_ms(event_time), edge_id) <= mark AS low FROM bt JOIN top USING (batch)),
+        a AS (SELECT edge_id, batch FROM o WHERE again = 0 AND (low IS NULL OR NOT low))
+        SELECT o.edge_id, CASE WHEN again = 1 AND a.edge_id IS NOT NULL THEN 'DUPLICATE_EDGE' WHEN low THEN 'NON_MONOTONIC_ORDER' ELSE 'ACCEPTED' END AS status
+        FROM o LEFT JOIN a ON a.edge_id = o.edge_id AND a.batch < o.batch""",
     "event_id_conflicts": f"""WITH {_RECORDS},
         v AS (SELECT * FROM r1 WHERE valid UNION ALL SELECT * FROM r1 WHERE valid AND k % 101 = 3),
         w AS (SELECT *, first_value(part) OVER x AS fp, first_value(off) OVER x AS fo FROM v WINDOW x AS (PARTITION BY eid ORDER BY ts, part, off))
