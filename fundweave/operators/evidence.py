@@ -108,8 +108,63 @@ PIN_SCHEMA = (
 )
 
 
+_JSON = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+#: Evidence ids of a block of a snapshot's text.
+_BLOCK = 64
+
+
 def _digest(value: dict) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(_JSON.encode(value).encode()).hexdigest()
+
+
+class Snapshot:
+    """The hash of a case's CASE_FIELDS while evidence ids are added.
+
+    The ids are kept in order as blocks of canonical JSON, with the state of the hash before
+    each block: a new id is hashed from its block on, and nothing else is encoded again.
+    """
+
+    def __init__(self, case: dict) -> None:
+        ids = case["evidence_ids"]
+        rest = [{k: case[k] for k in CASE_FIELDS if before(k)} for before in (lambda k: k < "evidence_ids", lambda k: k > "evidence_ids")]
+        head, tail = (_JSON.encode(part) for part in rest)
+        self.tail = f"],{tail[1:]}".encode()
+        self.blocks = [ids[i : i + _BLOCK] for i in range(0, len(ids), _BLOCK)]
+        self.texts = [[_JSON.encode(i).encode() for i in b] for b in self.blocks]
+        self.joined: list = [None] * len(self.blocks)  # a block's text, if it is known
+        self.states = [hashlib.sha256(f'{head[:-1]},"evidence_ids":['.encode())]  # before the first blocks, as far as they are known
+
+    def add(self, new: str) -> None:
+        if not self.blocks:
+            self.blocks, self.texts, self.joined = [[]], [[]], [None]
+        n = max(0, bisect.bisect_right(self.blocks, new, key=lambda b: b[0] if b else "") - 1)
+        block, text = self.blocks[n], self.texts[n]
+        at = bisect.bisect_left(block, new)
+        if block[at : at + 1] == [new]:
+            return
+        block.insert(at, new)
+        text.insert(at, _JSON.encode(new).encode())
+        self.joined[n] = None
+        if len(block) == 2 * _BLOCK:
+            self.blocks[n : n + 1], self.texts[n : n + 1] = [block[:_BLOCK], block[_BLOCK:]], [text[:_BLOCK], text[_BLOCK:]]
+            self.joined.insert(n, None)
+        del self.states[n + 1 :]
+
+    def digest(self) -> str:
+        for n in range(len(self.states) - 1, len(self.texts)):
+            state = self.states[n].copy()
+            if self.joined[n] is None:
+                self.joined[n] = b",".join(self.texts[n])
+            if n:
+                state.update(b",")
+            state.update(self.joined[n])
+            self.states.append(state)
+        state = self.states[-1].copy()
+        state.update(self.tail)
+        return state.hexdigest()
+
+    def ids(self) -> list[str]:
+        return [i for b in self.blocks for i in b]
 
 
 def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple]) -> list[tuple]:
@@ -123,6 +178,7 @@ def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple])
     """
     out = []
     edges = frozenset(case["trace_edge_ids"]) if case else frozenset()
+    snapshot = Snapshot(case) if case else None
     for case_id, seq, edge, pinned, tag, expected in commands:
         before = case["snapshot_hash"] if case else None
         row = (case_id, seq, edge, pinned, tag)
@@ -139,12 +195,12 @@ def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple])
             seen = had[2] if had else "ev:txn:" + _digest({"case_id": case_id, "edge_id": edge})
             action = "ev:pin:" + _digest({"case_id": case_id, "seq": seq})[:32]
             for new in {action, seen} if pinned else {action}:
-                at = bisect.bisect_left(case["evidence_ids"], new)
-                if case["evidence_ids"][at : at + 1] != [new]:
-                    case["evidence_ids"].insert(at, new)
-            case["snapshot_hash"] = _digest({k: case[k] for k in CASE_FIELDS})
+                snapshot.add(new)
+            case["snapshot_hash"] = snapshot.digest()
             pins[edge] = (pinned, tag, seen)
             out.append((*row, "APPLIED", before, case["snapshot_hash"], seen, action))
+    if snapshot:
+        case["evidence_ids"] = snapshot.ids()
     return out
 
 

@@ -9,6 +9,7 @@ from fundweave.functions.scalars import cost_vnd
 from fundweave.operators import claims, evidence, release
 from fundweave.plans import tables as t
 from fundweave.plans.tables import CASES, EDGES, EVIDENCE
+from fundweave.shared import staged
 
 
 def _put(spark, d):
@@ -91,15 +92,16 @@ def _pin_cases(spark, d):
     ))
 
 
-def _pin_commands(spark, d):
-    """Commands of which some expect the first snapshot of their case, which the first effective one replaces."""
-    first = _pin_cases(spark, d).select("case_id", "snapshot_hash")
+def _pin_commands(spark, d, known):
+    """Commands of which some expect the first snapshot of their known case, which the first effective one replaces."""
+    first = known.select("case_id", "snapshot_hash")
     c = _commands(spark, d).join(first, "case_id", "left")
     return c.withColumn("expected_hash", F.when(F.col("seq") % 13 == 0, F.col("snapshot_hash"))).drop("snapshot_hash")
 
 
 def _pin_log(spark, d):
-    return evidence.pin_log(_pin_commands(spark, d), _pin_cases(spark, d))
+    known = staged(_pin_cases(spark, d), "pin-cases")
+    return evidence.pin_log(_pin_commands(spark, d, known), known)
 
 
 def _pin_evidence(spark, d):

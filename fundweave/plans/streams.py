@@ -129,9 +129,9 @@ def _parity(spark, d):
 
 def _pin_stream(spark, d):
     replay.use_rocksdb(spark)
-    path = shared_dir(spark, "commands")
-    cases._pin_commands(spark, d).repartition(2, "case_id").write.parquet(path)
-    c, known = spark.read.parquet(path), staged(cases._pin_cases(spark, d), "pin-cases")
+    path, known = shared_dir(spark, "commands"), staged(cases._pin_cases(spark, d), "pin-cases")
+    cases._pin_commands(spark, d, known).repartition("case_id").write.parquet(path)
+    c = spark.read.parquet(path)
     stream = spark.readStream.schema(c.schema).parquet(path)
     got = online.run_once(online.pin_stream(stream, known), shared_dir(spark, "pins"), shared_dir(spark, "checkpoint"))
     want = evidence.pin_log(c, known)

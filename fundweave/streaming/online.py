@@ -197,27 +197,22 @@ def feedback_sink(stream: DataFrame, cases: DataFrame, path: str, checkpoint: st
 
 
 class Pins(StatefulProcessor):
-    """A case's fields and pins."""
+    """A case's fields and pins: one value, read and written once a trigger; a case bounds it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.case = handle.getValueState("case", "fields string")
-        self.pins = handle.getMapState("pins", "edge_id string", "is_pinned boolean, tag string, evidence_id string")
+        self.case = handle.getValueState("case", "fields string, pins string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         row = initialState.iloc[0].to_dict()
-        self.case.update((json.dumps({k: (sorted(v) if k.endswith("_ids") else v) for k, v in row.items()}),))
+        self.case.update((json.dumps({k: (sorted(v) if k.endswith("_ids") else v) for k, v in row.items()}), "{}"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         commands = commands_of(pd.concat(list(rows)))  # of one case
-        case = json.loads(self.case.get()[0]) if self.case.exists() else None
-        pins = {e: tuple(self.pins.getValue((e,))) for e in {c[2] for c in commands} if self.pins.containsKey((e,))}
-        before = dict(pins)
+        case, pins = (json.loads(x) for x in self.case.get()) if self.case.exists() else (None, {})
+        pins = {e: tuple(p) for e, p in pins.items()}
         out = apply_pins(case, pins, commands)
-        for e, state in pins.items():
-            if before.get(e) != state:
-                self.pins.updateValue((e,), state)
         if case is not None:
-            self.case.update((json.dumps(case),))
+            self.case.update((json.dumps(case), json.dumps(pins)))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PIN_SCHEMA.split(",")])
 
     def close(self) -> None:
