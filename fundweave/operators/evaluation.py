@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,14 +99,18 @@ def bootstrap_gate(runs: DataFrame) -> DataFrame:
     """runs with lower_bound, n_gains, selected.
 
     baseline and candidate are arrays of five metrics. All 5^5 resamples of the five paired
-    differences are equally likely, so the bound is exact and needs no seed.
+    differences are equally likely, so the bound is exact and needs no seed. Resamples of the
+    same picks in another order have the same mean: 126 picks stand for them, each counted as
+    often as it can be ordered.
     """
     n = len(SEEDS)
     diff = F.zip_with("candidate", "baseline", lambda c, b: c - b)
     r = runs.withColumn("_d", diff)
-    pick = [F.get("_d", F.pmod(F.floor(F.col("_i") / n**k), F.lit(n)).cast("int")) for k in range(n)]
-    means = r.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n**n - 1)))).withColumn("_m", sum(pick[1:], pick[0]) / n)
+    orders = lambda picks: math.factorial(n) // math.prod(math.factorial(picks.count(i)) for i in set(picks))
+    every = F.array(*[F.struct(F.array(*map(F.lit, p)).alias("i"), F.lit(orders(p)).alias("n")) for p in itertools.combinations_with_replacement(range(n), n)])
+    pick = [F.get("_d", F.get("_p.i", F.lit(k))) for k in range(n)]
+    means = r.withColumn("_p", F.explode(every)).withColumn("_m", sum(pick[1:], pick[0]) / n)
     keys = runs.columns
-    bound = means.groupBy(*keys, "_d").agg(F.percentile("_m", LOWER).alias("lower_bound"))
+    bound = means.groupBy(*keys, "_d").agg(F.percentile("_m", LOWER, F.col("_p.n")).alias("lower_bound"))
     out = bound.withColumn("n_gains", F.size(F.filter("_d", lambda x: x > 0)))
     return out.withColumn("selected", (F.col("lower_bound") > 0) & (F.col("n_gains") >= LEAST_GAINS)).drop("_d")
