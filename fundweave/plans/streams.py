@@ -24,7 +24,7 @@ def _records(spark, d):
                            F.regexp_replace(good.cast("string"), r"^\{", '{"extra":1,'), F.regexp_replace(good.cast("string"), "Z\"", "+07:00\"")), (k % 5).cast("int"))
     value = F.when(k % 997 == 500, broken.cast("binary")).otherwise(good)
     r = e.where(k % 1999 != 1200).select(F.lit("transfers").alias("topic"), "partition", "offset", value.alias("value"), F.date_trunc("second", "event_time").alias("timestamp"), "event_id")
-    return r.unionByName(r.where(k % 101 == 3)).drop("event_id")
+    return r.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(k % 101 == 3, 2).otherwise(1)))).drop("event_id", "copy")
 
 
 def _parsed(spark, d):

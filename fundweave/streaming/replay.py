@@ -144,6 +144,8 @@ def event_id_conflicts(parsed: DataFrame) -> DataFrame:
 
 
 REPLAYED = "topic string, partition int, offset long, event_id string, source_id string, target_id string, amount double, event_time timestamp, payload_hash string, raw_hash string, status string"
+    # Written whole before any filter, which would parse the payloads again for each use.
+    parsed = staged(parsed.select("valid", "event_id", "timestamp", "topic", "partition", "offset", "payload_hash"), "parsed")
 
 
 def _ms(times: pd.Series) -> pd.Series:
