@@ -249,8 +249,10 @@ ends AS (SELECT source_id AS account_id, 0 AS i, 1 AS o, 0::DECIMAL(18,2) AS ai,
 f AS (SELECT account_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(ai)::DOUBLE AS amount_in, sum(ao)::DOUBLE AS amount_out
       FROM ends GROUP BY account_id)"""
 
-#: The second call knows the events that the first has taken; its records may follow the first one's cursor.
-_RESUMED = f"""{_RECORDS},
+def _resumed_sql(by_partition: bool) -> str:
+    """The second call knows the events that the first has taken, of all partitions or of the record's own; its records may follow the first one's cursor."""
+    kp, same = ("part AS kp,", "kp = in2.part") if by_partition else ("", "TRUE")
+    return f"""{_RECORDS},
 ct AS (SELECT part, (max(off) + 1) // 2 AS cut FROM r1 GROUP BY part),
 f1 AS (SELECT part, min(off) AS f FROM st JOIN ct USING (part) WHERE reason IS NOT NULL AND off < cut GROUP BY part),
 c1 AS (SELECT st.*, CASE WHEN f IS NULL OR off < f THEN 'ACCEPTED' WHEN off = f THEN reason ELSE 'SKIPPED' END AS status
@@ -259,14 +261,15 @@ call1 AS (SELECT part, off, status FROM c1 UNION ALL SELECT part, off, CASE WHEN
 nx AS (SELECT part, cut, coalesce(max(off + 1) FILTER (status = 'ACCEPTED'), 0) AS nxt FROM ct LEFT JOIN c1 USING (part) GROUP BY part, cut),
 in2 AS (SELECT part, off, k, eid, valid, 1 AS copy FROM r1 JOIN ct USING (part) WHERE off >= cut
         UNION ALL SELECT part, off, k, eid, valid, 2 FROM r1 JOIN ct USING (part) WHERE off >= cut AND k % 101 = 3
-        UNION ALL SELECT part, off, k, eid, valid, 1 FROM r1 JOIN ct USING (part) WHERE off < cut AND valid AND substr(eid, 2)::BIGINT % 7 = 1),
-k2 AS (SELECT in2.*, nxt, c1.off AS ko, c1.part AS kp,
+        UNION ALL SELECT part, off, k, eid, valid, 1 FROM r1 JOIN ct USING (part) WHERE off < cut AND substr(eid, 2)::BIGINT % 7 = 1 AND (valid OR k % 5 = 2)),
+kn AS (SELECT eid, {kp} list(part * 10000000000 + off) AS places FROM c1 WHERE status = 'ACCEPTED' GROUP BY ALL),
+k2 AS (SELECT in2.*, nxt, kn.places,
               CASE WHEN valid THEN lag(in2.off) OVER (PARTITION BY in2.part, CASE WHEN in2.valid THEN in2.eid ELSE 'x' || in2.k END ORDER BY in2.off, copy) END AS before
-       FROM in2 JOIN nx USING (part) LEFT JOIN (SELECT part, off, eid FROM c1 WHERE status = 'ACCEPTED') c1 ON in2.valid AND c1.eid = in2.eid),
-u2 AS (SELECT DISTINCT part, off + 1 AS off FROM k2 WHERE valid AND ko IS NULL AND before IS NULL AND off >= nxt),
+       FROM in2 JOIN nx USING (part) LEFT JOIN kn ON in2.valid AND kn.eid = in2.eid AND ({same})),
+u2 AS (SELECT DISTINCT part, off + 1 AS off FROM k2 WHERE valid AND places IS NULL AND before IS NULL AND off >= nxt),
 s2 AS (SELECT k2.*, CASE WHEN NOT valid THEN 'INVALID_SCHEMA'
               WHEN before IS NOT NULL THEN CASE WHEN before = k2.off THEN 'NOOP' ELSE 'CONFLICT' END
-              WHEN ko IS NOT NULL THEN CASE WHEN ko = k2.off AND kp = k2.part THEN 'NOOP' ELSE 'CONFLICT' END
+              WHEN places IS NOT NULL THEN CASE WHEN list_contains(places, k2.part * 10000000000 + k2.off) THEN 'NOOP' ELSE 'CONFLICT' END
               WHEN k2.off = nxt OR (k2.off > nxt AND u2.off IS NOT NULL) THEN 'ACCEPTED' ELSE 'NON_CONTIGUOUS_OFFSET' END AS reason
        FROM k2 LEFT JOIN u2 ON u2.part = k2.part AND u2.off = k2.off),
 f2 AS (SELECT part, min(off * 2 + copy) AS f FROM s2 WHERE reason NOT IN ('ACCEPTED', 'NOOP') GROUP BY part),
@@ -279,8 +282,8 @@ bt AS (SELECT edge_id, event_id AS k, event_time, event_id // size + (event_id %
        UNION ALL SELECT edge_id, event_id, event_time, event_id // size + 2, 1 FROM edges, z WHERE event_id % 31 = 5)"""
 
 ORACLE_SQL = {
-    "replay_resumed": f"WITH {_RESUMED}",
-    "replay_resumed_stream": f"WITH {_RESUMED}",
+    "replay_resumed": f"WITH {_resumed_sql(False)}",
+    "replay_resumed_stream": f"WITH {_resumed_sql(True)}",
     "conflict_stream": f"""WITH {_RECORDS},
         v AS (SELECT * FROM r1 WHERE valid UNION ALL SELECT * FROM r1 WHERE valid AND k % 101 = 3),
         w AS (SELECT *, first_value(part) OVER x AS fp, first_value(off) OVER x AS fo FROM v WINDOW x AS (PARTITION BY eid ORDER BY ts, part, off))

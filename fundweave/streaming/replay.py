@@ -73,12 +73,18 @@ def replay_batch(parsed: DataFrame, initial: DataFrame | None = None, events: Da
     known = F.when(named.isNotNull(), F.lag(F.struct(here.alias("h"), F.col("event_time").alias("t"))).over(same_id))
     p = p.withColumn("_known", known).withColumn("_known", F.when(F.coalesce(F.col("_known.t") < F.col("_horizon"), F.lit(False)), F.lit(None)).otherwise(F.col("_known")))
     if events is not None:
-        old = events.select("event_id", F.struct(*_KEYS, "offset", "payload_hash").alias("_old"), F.col("event_time").alias("_old_time"))
-        p = p.join(old, "event_id", "left").withColumn("_old", F.when(~F.coalesce(F.col("_old_time") < F.col("_horizon"), F.lit(False)), F.col("_old"))).drop("_old_time")
+        # A row an id and a row a place, so that an id which several partitions have taken does not repeat the record.
+        kept = F.coalesce(F.col("event_time"), F.lit("9999-12-31").cast("timestamp"))
+        there = [*_KEYS, "offset", "payload_hash"]
+        events = staged(events.select("event_id", *there, "event_time"), "known-events")
+        anywhere = events.groupBy("event_id").agg(F.max(kept).alias("_old_time"))
+        at_place = events.groupBy("event_id", *there).agg(F.max(kept).alias("_same_time"))
+        p = p.join(anywhere, "event_id", "left").join(at_place, ["event_id", *there], "left")
     else:
-        p = p.withColumn("_old", F.lit(None).cast("struct<topic:string,partition:int,offset:bigint,payload_hash:string>"))
-    has_id = F.col("_known").isNotNull() | F.col("_old").isNotNull()
-    retry = F.when(F.col("_known").isNotNull(), F.col("_known.h") == here).otherwise(F.col("_old") == F.struct(*_KEYS, "offset", "payload_hash"))
+        p = p.withColumns({c: F.lit(None).cast("timestamp") for c in ("_old_time", "_same_time")})
+    stands = lambda c: F.col(c).isNotNull() & ~F.coalesce(F.col(c) < F.col("_horizon"), F.lit(False))
+    has_id = F.col("_known").isNotNull() | stands("_old_time")
+    retry = F.when(F.col("_known").isNotNull(), F.col("_known.h") == here).otherwise(stands("_same_time"))
     new = F.col("valid") & ~has_id
     p = p.withColumn("_new", new).withColumn("_retry", retry)
     taken = p.where(F.col("_new") & (F.col("offset") >= F.col("next_offset")))
