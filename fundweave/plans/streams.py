@@ -275,6 +275,8 @@ s2 AS (SELECT k2.*, CASE WHEN NOT valid THEN 'INVALID_SCHEMA'
 f2 AS (SELECT part, min(off * 2 + copy) AS f FROM s2 WHERE reason NOT IN ('ACCEPTED', 'NOOP') GROUP BY part),
 call2 AS (SELECT part, off, CASE WHEN off * 2 + copy > f THEN 'SKIPPED' ELSE reason END AS status FROM s2 LEFT JOIN f2 USING (part))
 SELECT 1 AS call, part AS partition, off AS offset, status FROM call1 UNION ALL SELECT 2, part, off, status FROM call2"""
+
+
 #: Six batches of edges: which edge comes in which, in all.
 _BATCHES = f"""{EDGES},
 z AS (SELECT max(event_id) // 4 + 1 AS size FROM edges),

@@ -16,6 +16,7 @@ from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of
 from fundweave.operators.features import account_features
 from fundweave.shared import staged
 from fundweave.streaming.envelopes import LATE, QUARANTINE
+from fundweave.streaming.pages import Pages
 
 HOUR_MS = 3_600_000
 
@@ -33,7 +34,8 @@ class Sightings(StatefulProcessor):
     """What has been seen of the edge ids of a bucket: event time and batch of each sighting.
 
     With bounded state, edges below the watermark are late, and an id is forgotten once the
-    watermark has passed the hour of its last sighting: a timer an hour of events.
+    watermark has passed the hour of its last sighting: a bucket's timer stands at the end of
+    the earliest such hour.
     """
 
     def __init__(self, columns: list[str], bounded: bool) -> None:
@@ -41,42 +43,54 @@ class Sightings(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "edge_id string", "times array<long>, batches array<long>")
-        self.hours = handle.getMapState("hours", "hour long", "ids array<string>")
+        self.seen = Pages(handle, "seen")  # times, batches
+        self.alarm = handle.getValueState("alarm", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() if self.bounded else None
-        new: dict[int, list[str]] = {}
+        hours = set()
+        self.seen.begin()
         for batch in rows:
             batch = batch.sort_values(["edge_id", "sighted_ms"], kind="stable")  # repeats within a batch come together
             late, earlier, now = [], [], int(batch["sighted_in"].iloc[0])
             for edge, ms in zip(batch["edge_id"].tolist(), batch["sighted_ms"].tolist(), strict=True):
                 late.append(watermark is not None and ms < watermark)
-                times, batches = (self.seen.getValue((edge,)) if self.seen.containsKey((edge,)) else None) or ((), ())
+                ident = "" if edge is None else f"={edge}"
+                times, batches = self.seen.get(ident) or ((), ())
                 earlier.append([{"ms": t, "batch": b} for t, b in zip(times, batches, strict=True)])
                 if not late[-1]:
-                    self.seen.updateValue((edge,), ([*times, ms], [*batches, now]))
-                    new.setdefault(ms // HOUR_MS, []).append(edge)
+                    self.seen.put(ident, ([*times, ms], [*batches, now]))
+                    hours.add(ms // HOUR_MS)
             yield batch[self.columns].assign(_late=late, _batch=now, _earlier=earlier).reset_index(drop=True)
-        for hour, edges in new.items() if self.bounded else ():
-            old = self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else []
-            if not len(old):
-                self.handle.registerTimer((hour + 1) * HOUR_MS)
-            self.hours.updateValue((hour,), ([*old, *edges],))
+        self.seen.end()
+        if self.bounded and hours:
+            self._wake((min(hours) + 1) * HOUR_MS)
+
+    def _wake(self, at: int) -> None:
+        """A timer at that time, unless an earlier one will come."""
+        if not self.alarm.exists() or self.alarm.get()[0] > at:
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        hour = expiredTimerInfo.getExpiryTimeInMs() // HOUR_MS - 1
-        for edge in self.hours.getValue((hour,))[0] if self.hours.containsKey((hour,)) else []:
-            if self.seen.containsKey((edge,)) and max(self.seen.getValue((edge,))[0]) // HOUR_MS <= hour:
-                self.seen.removeKey((edge,))
-        self.hours.removeKey((hour,))
+        if self.alarm.exists() and self.alarm.get()[0] == expiredTimerInfo.getExpiryTimeInMs():
+            self.alarm.clear()
+            watermark = timerValues.getCurrentWatermarkInMs()
+            self.seen.begin()
+            last = {e: (max(times) // HOUR_MS + 1) * HOUR_MS for e, (times, _) in self.seen.items()}
+            for e in [e for e, ms in last.items() if ms <= watermark]:
+                self.seen.remove(e)
+                del last[e]
+            self.seen.end()
+            if last:
+                self._wake(min(last.values()))
         yield pd.DataFrame([], columns=[*self.columns, "_late", "_batch", "_earlier"])
 
     def close(self) -> None:
         pass
 
 
-def sightings(stream: DataFrame, lateness: str | None = None, buckets: int = 32) -> DataFrame:
+def sightings(stream: DataFrame, lateness: str | None = None, buckets: int = 256) -> DataFrame:
     """stream of edges with _late, _batch (its time) and _earlier (ms, batch) of the same id's sightings before."""
     columns, ms = stream.columns, F.unix_millis("event_time").alias("sighted_ms")
     if lateness:
@@ -96,7 +110,7 @@ def sightings(stream: DataFrame, lateness: str | None = None, buckets: int = 32)
 _MARK = "batch_time long, before_ms long, before_id string, after_ms long, after_id string"
 
 
-def checked_edges(stream: DataFrame, path: str, checkpoint: str, lateness: str | None = None, buckets: int = 32):
+def checked_edges(stream: DataFrame, path: str, checkpoint: str, lateness: str | None = None, buckets: int = 256):
     """Starts a durable append of edges that may enter running features; others go to rejected rows.
 
     path/accepted has the edges, path/rejected those with a reason: LATE_EVENT (with lateness,

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from fundweave.shared import staged
 from fundweave.streaming.envelopes import CONFLICT, INVALID_SCHEMA, LATE, NON_CONTIGUOUS, QUARANTINE
+from fundweave.streaming.pages import Pages
 
 ACCEPTED, NOOP, SKIPPED = "ACCEPTED", "NOOP", "SKIPPED"
 
@@ -143,6 +144,8 @@ def event_id_conflicts(parsed: DataFrame) -> DataFrame:
     Earlier is by timestamp, topic, partition, offset.
     """
     at = F.struct("timestamp", "topic", "partition", "offset", "payload_hash")
+    # Written whole before any filter, which would parse the payloads again for each use.
+    parsed = staged(parsed.select("valid", "event_id", "timestamp", "topic", "partition", "offset", "payload_hash"), "parsed")
     first = parsed.where("valid").groupBy("event_id").agg(F.min(at).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     j = parsed.where("valid").join(first, "event_id")
     other = (F.col("topic") != F.col("f.topic")) | (F.col("partition") != F.col("f.partition")) | (F.col("offset") != F.col("f.offset")) | (F.col("payload_hash") != F.col("f.payload_hash"))
@@ -150,8 +153,6 @@ def event_id_conflicts(parsed: DataFrame) -> DataFrame:
 
 
 REPLAYED = "topic string, partition int, offset long, event_id string, source_id string, target_id string, amount double, event_time timestamp, payload_hash string, raw_hash string, status string"
-    # Written whole before any filter, which would parse the payloads again for each use.
-    parsed = staged(parsed.select("valid", "event_id", "timestamp", "topic", "partition", "offset", "payload_hash"), "parsed")
 
 
 def _ms(times: pd.Series) -> pd.Series:
@@ -171,21 +172,24 @@ class Replay(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.cursor = handle.getValueState("cursor", "next_offset long, halted boolean, clock long")
-        self.seen = handle.getMapState("seen", "event_id string", "offset long, payload_hash string, at long")
+        self.seen = Pages(handle, "seen")  # offset, payload_hash, at
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """A row a known event, or one with a null event id."""
         offset, clock = initialState["next_offset"].iloc[0], _ms(initialState["clock"]).iloc[0]
         self.cursor.update((int(offset), False, int(clock)))
         known = initialState[initialState["event_id"].notna()]
+        self.seen.begin()
         for e, o, h, at in zip(known["event_id"], known["offset"], known["payload_hash"], _ms(known["event_time"]), strict=True):
-            self.seen.updateValue((e,), (int(o), h, int(at)))
+            self.seen.put(e, {"offset": int(o), "payload_hash": h, "at": int(at)})
+        self.seen.end()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         following, halted, clock = self.cursor.get() if self.cursor.exists() else (0, False, 0)
         # A trigger's records of a partition; the source bounds them by its rows or files a trigger.
         batch = pd.concat(list(rows)).sort_values(["offset", "timestamp", "raw_hash"], kind="stable")
         status, began = [], clock
+        self.seen.begin()
         for r, at in zip(batch.itertuples(index=False), _ms(batch["event_time"]).tolist(), strict=True):
             horizon = clock - self.lateness if self.lateness is not None and clock else None
             clock = max(clock, at) if not halted and r.valid else clock
@@ -201,22 +205,23 @@ class Replay(StatefulProcessor):
                 following += r.offset == following
                 status.append(NON_CONTIGUOUS if halted else LATE)
                 continue
-            known = self.seen.getValue((r.event_id,)) if self.seen.containsKey((r.event_id,)) else None
-            if known is not None and not (horizon is not None and known[2] < horizon):
-                same = known[0] == r.offset and known[1] == r.payload_hash
+            known = self.seen.get(r.event_id)
+            if known is not None and not (horizon is not None and known["at"] < horizon):
+                same = known["offset"] == r.offset and known["payload_hash"] == r.payload_hash
                 halted = not same
                 status.append(NOOP if same else CONFLICT)
             elif r.offset != following:
                 halted = True
                 status.append(NON_CONTIGUOUS)
             else:
-                self.seen.updateValue((r.event_id,), (int(r.offset), r.payload_hash, at))
+                self.seen.put(r.event_id, {"offset": int(r.offset), "payload_hash": r.payload_hash, "at": at})
                 following += 1
                 status.append(ACCEPTED)
         self.cursor.update((int(following), bool(halted), int(clock)))
         if self.lateness is not None and clock > began:
-            for e in [k[0] for k, v in self.seen.iterator() if v[2] < clock - self.lateness]:
-                self.seen.removeKey((e,))
+            for e in [k for k, v in self.seen.items() if v["at"] < clock - self.lateness]:
+                self.seen.remove(e)
+        self.seen.end()
         names = [c.split()[0] for c in REPLAYED.split(", ")][:-1]
         out = batch[names].reset_index(drop=True)
         out["status"] = status
@@ -251,71 +256,99 @@ def replay_stream(parsed: DataFrame, initial: DataFrame | None = None, events: D
     )
 
 
+_SEEN = "map<string, struct<offset: bigint, payload_hash: string, at: bigint>>"
+
+
 def stored_state(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """(OFFSETS, EVENTS) that a stopped replay_stream() query has left in its checkpoint."""
     read = lambda name: spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
     at = lambda c: F.when(F.col(c) > 0, F.timestamp_millis(c))
     offsets = read("cursor").select("key.topic", "key.partition", "value.next_offset", "value.clock")
-    events = read("seen").select(F.col("user_map_key.event_id").alias("event_id"), "key.topic", "key.partition", "user_map_value.offset", "user_map_value.payload_hash", F.col("user_map_value.at").alias("at"))
+    events = read("seen").select("key.topic", "key.partition", F.explode(F.from_json("user_map_value.ids", _SEEN)).alias("event_id", "e"))
+    events = events.select("event_id", "topic", "partition", "e.offset", "e.payload_hash", "e.at")
     return offsets.withColumn("clock", at("clock")), events.withColumn("event_time", at("at")).drop("at")
 
 
 CONFLICTS = "event_id string, topic string, partition int, offset long, first_topic string, first_partition int, first_offset long, reason string"
 
 
+_CONFLICT_NAMES = [c.split()[0] for c in CONFLICTS.split(", ")]
+_IN_TIME = ["timestamp", "topic", "partition", "offset"]
+
+
 class FirstSeen(StatefulProcessor):
-    """Where each event id was seen first; other coordinates are conflicts.
+    """Where each event id of a bucket was seen first, for ever; other coordinates are conflicts."""
 
-    With bounded state a record below the watermark is late, and an id is forgotten once the
-    watermark has passed its event.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = Pages(handle, "first")
 
-    def __init__(self, bounded: bool = False) -> None:
-        self.bounded = bounded
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values(_IN_TIME, kind="stable")  # a trigger's records of a bucket
+        self.first.begin()
+        out = []
+        for r in batch.itertuples(index=False):
+            at = [r.topic, int(r.partition), int(r.offset), r.payload_hash]
+            first = self.first.get(r.event_id)
+            if first is None:
+                self.first.put(r.event_id, at)
+            elif first != at:
+                out.append((r.event_id, *at[:3], *first[:3], CONFLICT))
+        self.first.end()
+        yield pd.DataFrame(out, columns=_CONFLICT_NAMES)
+
+    def close(self) -> None:
+        pass
+
+
+class FirstSeenInTime(StatefulProcessor):
+    """Where an event id was seen first, until the watermark has passed its event; records below it are late."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", "topic string, partition int, offset long, payload_hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        watermark = timerValues.getCurrentWatermarkInMs() if self.bounded else None
-        batch = pd.concat(list(rows)).sort_values(["timestamp", "topic", "partition", "offset"], kind="stable")  # of one event id
+        watermark = timerValues.getCurrentWatermarkInMs()
+        batch = pd.concat(list(rows)).sort_values(_IN_TIME, kind="stable")  # of one event id
         first = tuple(self.first.get()) if self.first.exists() else None
         out = []
         for r, ms in zip(batch.itertuples(index=False), _ms(batch["event_time"]).tolist(), strict=True):
             at = (r.topic, int(r.partition), int(r.offset), r.payload_hash)
-            if watermark is not None and ms < watermark:
+            if ms < watermark:
                 out.append((key[0], *at[:3], *(first or (None, -1, -1))[:3], LATE))
             elif first is None:
                 first = at
                 self.first.update(at)
-                if self.bounded:
-                    self.handle.registerTimer(ms + 1)
+                self.handle.registerTimer(ms + 1)
             elif first != at:
                 out.append((key[0], *at[:3], *first[:3], CONFLICT))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CONFLICTS.split(", ")])
+        yield pd.DataFrame(out, columns=_CONFLICT_NAMES)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.first.clear()
-        yield pd.DataFrame([], columns=[c.split()[0] for c in CONFLICTS.split(", ")])
+        yield pd.DataFrame([], columns=_CONFLICT_NAMES)
 
     def close(self) -> None:
         pass
 
 
-def conflict_stream(parsed: DataFrame, lateness: str | None = None) -> DataFrame:
+def conflict_stream(parsed: DataFrame, lateness: str | None = None, buckets: int = 256) -> DataFrame:
     """event_id_conflicts() on a stream, with reason CONFLICT.
 
     With lateness (an interval) the stream has an event-time watermark: records below it are
-    LATE_EVENT, and the state holds only ids whose events are not.
+    LATE_EVENT, and the state holds only ids whose events are not, each under its own key.
+    Without it the ids are kept in buckets.
     """
-    valid = parsed.where("valid")
+    valid, processor, key = parsed.where("valid"), FirstSeen(), "_bucket"
     if lateness:
+        processor, key = FirstSeenInTime(), "event_id"
         # The copy of the time carries no watermark, so that late rows are not dropped before they are seen.
         valid = valid.withWatermark("event_time", lateness)
         valid = valid.withColumn("_time", F.col("event_time") + F.expr("interval 0 seconds")).drop("event_time").withColumnRenamed("_time", "event_time")
-    return valid.groupBy("event_id").transformWithStateInPandas(
-        statefulProcessor=FirstSeen(lateness is not None), outputStructType=CONFLICTS, outputMode="Append", timeMode="EventTime" if lateness else "None"
+    else:
+        valid = valid.withColumn("_bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
+    return valid.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=CONFLICTS, outputMode="Append", timeMode="EventTime" if lateness else "None"
     )
 
 

@@ -1,6 +1,7 @@
 """What showed on larger tables only, on small examples."""
 
 import hashlib
+import itertools
 import json
 import random
 import time
@@ -9,9 +10,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fundweave.operators import evidence
+from fundweave.operators import evaluation, evidence
 from fundweave.plans import streams
-from fundweave.streaming import online
+from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
 
 
@@ -56,3 +57,107 @@ def test_a_snapshot_costs_what_changes(spark):
     case = {"case_id": "c", "created_at": None, "evidence_ids": [], "seed_entity": "s", "trace_edge_ids": [f"e{i}" for i in range(500)], "snapshot_hash": "x"}
     assert {r[5] for r in evidence.apply_pins(case, {}, commands)} == {"APPLIED"} and len(case["evidence_ids"]) == 8500
     assert time.process_time() - began < 5  # 17 s when each snapshot was encoded as a whole
+
+
+class _Store:
+    """The calls that pages make of a state store, counted."""
+
+    def __init__(self):
+        self.values, self.calls, self.maps = {}, 0, {}
+
+    def getValueState(self, name, schema):
+        return _Value(self, self.values, name)
+
+    def getMapState(self, name, key, schema):
+        return _Map(self, self.maps.setdefault(name, {}))
+
+
+class _Value:
+    def __init__(self, store, values, name):
+        self.store, self.values, self.name = store, values, name
+
+    def exists(self):
+        self.store.calls += 1
+        return self.name in self.values
+
+    def get(self):
+        self.store.calls += 1
+        return self.values[self.name]
+
+    def update(self, value):
+        self.store.calls += 1
+        self.values[self.name] = value
+
+
+class _Map:
+    def __init__(self, store, values):
+        self.store, self.values = store, values
+
+    def containsKey(self, key):
+        self.store.calls += 1
+        return key in self.values
+
+    def getValue(self, key):
+        self.store.calls += 1
+        return self.values[key]
+
+    def updateValue(self, key, value):
+        self.store.calls += 1
+        self.values[key] = value
+
+    def removeKey(self, key):
+        self.store.calls += 1
+        del self.values[key]
+
+
+def test_pages_hold_what_a_map_holds_in_few_calls():
+    store, want, rng = _Store(), {}, random.Random(5)
+    seen = pages.Pages(store, "seen")
+    for trigger in range(30):
+        before, n = store.calls, rng.choice([1, 20, 3000])
+        seen.begin()
+        for _ in range(n):
+            ident = f"é{rng.randrange(20_000)}"
+            assert seen.get(ident) == want.get(ident)
+            seen.put(ident, [trigger])
+            want[ident] = [trigger]
+        for ident in rng.sample(sorted(want), min(len(want), n // 3)):
+            seen.remove(ident)
+            del want[ident]
+        seen.end()
+        assert n < 3000 or store.calls - before < 3000  # two calls an id and more before
+    seen.begin()
+    assert dict(seen.items()) == want and seen.n == len(want)
+    for ident in sorted(want):
+        seen.remove(ident)
+    seen.end()
+    assert not store.maps["seen"] and store.values["seen_size"][0] == 0
+
+
+def test_an_id_that_two_partitions_have_taken_gives_one_row_a_record(spark):
+    payload = lambda event, part, at: json.dumps({"amount": 5.5, "event_id": event, "event_time": "2024-01-01T00:00:00Z", "schema_version": "1",
+                                                  "source_id": "a", "source_offset": at, "source_partition": part, "target_id": "b"}).encode()
+    log = lambda *rows: envelopes.parse_envelope(spark.createDataFrame([("t", p, o, payload(e, p, o), None) for p, o, e in rows], envelopes.RECORD))
+    one = replay.replay_batch(log((0, 0, "x"), (1, 0, "x"), (1, 1, "y")))
+    assert {r.status for r in one.collect()} == {"ACCEPTED"}
+    two = replay.replay_batch(log((0, 0, "x"), (1, 0, "x"), (2, 0, "x"), (0, 1, "z")), *replay.replay_state(one))
+    assert sorted((r.partition, r.offset, r.status) for r in two.collect()) == [(0, 0, "NOOP"), (0, 1, "ACCEPTED"), (1, 0, "NOOP"), (2, 0, "CONFLICT")]
+
+
+@pytest.mark.parametrize("name", ["replay_resumed", "replay_resumed_stream"])
+def test_calls_that_go_on_equal_their_sql(spark, name, tmp_path):
+    # Of 30,000 events, whose halves part a repeated id and hold a broken record of the kind that is sent again.
+    with duckdb.connect() as con:
+        con.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE event_id < 30000) TO '{tmp_path}/events.parquet'")
+    oracle.compare(spark, oracle.connection(str(tmp_path)), streams.QUERIES[name], streams.ORACLE_SQL[name], str(tmp_path))
+
+
+def test_the_gate_needs_a_row_a_multiset_of_picks(spark):
+    rng = random.Random(7)
+    rows = [(i, [rng.randrange(60, 70) * 1.0 for _ in range(5)], [rng.randrange(60, 72) * 1.0 for _ in range(5)]) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, baseline array<double>, candidate array<double>")
+    out = evaluation.bootstrap_gate(df)
+    for r in out.collect():
+        d = [c - b for b, c in zip(r.baseline, r.candidate, strict=True)]
+        means = sorted(sum(p) / 5 for p in itertools.product(d, repeat=5))
+        assert r.lower_bound == pytest.approx(means[78] + 0.1 * (means[79] - means[78]))
