@@ -8,8 +8,13 @@ splits; frontiers are kept at one row a case and node.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from functools import partial
+from itertools import groupby
+from math import isqrt
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +22,10 @@ from fundweave.shared import staged
 
 #: Work bounds of a traversal and of a canvas.
 MAX_HOPS, MAX_EDGES, CANVAS_HOPS = 4, 100, 3
+_TRACE = pa.schema(
+    [("seed", pa.string()), ("status", pa.string()), ("edge_id", pa.string()), ("source_id", pa.string()), ("target_id", pa.string())]
+    + [("amount", pa.float64()), ("hop", pa.int32()), ("rank", pa.int32())]
+)
 
 
 def _bounds(max_hops: int, max_edges: int) -> None:
@@ -181,6 +190,49 @@ def best_first(edges: list[tuple], seed: str, max_hops: int, max_edges: int) ->
     return out, sum(entered.values()) > len(out)
 
 
+def _two_hop_floors(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """seed, floor: the largest amount over which a seed reaches `most` of the edges in one or two hops.
+
+    nodes (seed, floor): the floor, where there is one, bounds the edges that are followed.
+    Seeds that reach fewer are absent. A node that several edges lead to is followed once,
+    over the largest of them.
+    """
+    enough = F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))
+    one = nodes.join(edges, nodes["seed"] == edges["source_id"]).where(enough).select("seed", "floor", "edge_id", F.col("target_id").alias("node"), "amount")
+    entered = one.groupBy("seed", "floor", "node").agg(F.max("amount").alias("before"))
+    two = entered.join(edges, entered["node"] == edges["source_id"]).where(enough)
+    paths = one.select("seed", "edge_id", "amount").unionByName(two.select("seed", "edge_id", F.least("before", "amount").alias("amount")))
+    # Dealt by seed alone, so that the edges and their ranks need one shuffle.
+    paths = paths.repartition("seed").groupBy("seed", "edge_id").agg(F.max("amount").alias("amount"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("amount")))
+    return paths.withColumn("_r", rank).where(F.col("_r") == most).select("seed", F.col("amount").alias("floor"))
+
+
+def _raised(nodes: DataFrame, floors: DataFrame) -> DataFrame:
+    """nodes (seed, floor) with the larger of both floors."""
+    higher = F.greatest("floor", "_floor")  # of a null and a number, the number
+    return staged(nodes.join(floors.withColumnRenamed("floor", "_floor"), "seed", "left").select("seed", higher.alias("floor")), "candidate-floors")
+
+
+def _fold(batches: Iterator[pa.RecordBatch], max_hops: int, max_edges: int) -> Iterator[pa.RecordBatch]:
+    """The traces of rows (seed, edge_id, source_id, target_id, amount, _n) that are sorted by seed."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    found: list[tuple] = []
+    for seed, group in groupby(rows, key=itemgetter(0)):
+        out, left = best_first([x[1:] for x in group], seed, max_hops, max_edges)
+        status = "TRACE_TRUNCATED" if left else "COMPLETE"
+        found += [(seed, status, *e, i) for i, e in enumerate(out, 1)]
+        if len(found) >= 10_000:
+            yield _trace_batch(found)
+            found = []
+    if found:
+        yield _trace_batch(found)
+
+
+def _trace_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _TRACE, strict=True)], schema=_TRACE)
+
+
 def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_edges: int = 100) -> DataFrame:
     """seed, status, edge_id, source_id, target_id, amount, hop, rank of best-first traces.
 
@@ -193,9 +245,12 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
     max_edges + 1 best can matter: they are kept before any join. Where max_edges + 1 edges
     are reached in one or two hops over amounts of at least x, one of them is queued
     whenever an edge is popped, so that no smaller amount is popped: each seed goes on over
-    edges of at least its x, and its part, reached within max_hops, is folded by a heap in
-    one group. The best edge of each source stays, whatever its amount, and carries the
-    number of edges kept for the source, so that the status counts smaller ones as well.
+    edges of at least its x, and its part, reached within max_hops, is folded by a heap as
+    the rows go by, sorted by seed. The largest x is found in two steps, as any smaller one
+    holds as well: first among the few best edges of each source, about as many as lead to
+    max_edges in two hops, then among all that are not below what that gave. The best edge
+    of each source stays, whatever its amount, and carries the number of edges kept for the
+    source, so that the status counts smaller ones as well.
     """
     _bounds(max_hops, max_edges)
     sound = F.col("amount").isNotNull() & ~F.isnan("amount") & (F.abs("amount") < float("inf"))
@@ -204,38 +259,28 @@ def trace_candidates(edges: DataFrame, seeds: DataFrame, max_hops: int = 4, max_
     kept = edges.withColumn("amount", amount).withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= max_edges + 1)
     kept = kept.withColumn("_n", F.max("_r").over(Window.partitionBy("source_id")))
     kept = staged(kept.select("edge_id", "source_id", "target_id", "amount", "_r", "_n"), "candidate-edges")
-    enough = F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))
-    last = F.col("_r") == max_edges + 1
-    floors = kept.where(last).select(F.col("source_id").alias("seed"), F.col("amount").alias("floor"))
     asked = seeds.select("seed").distinct()
-    nodes = asked.join(floors, "seed", "left")
-    slim = kept.drop("_r", "_n")
     if max_hops > 1:
-        one = nodes.join(slim, nodes["seed"] == slim["source_id"]).where(enough).select("seed", "floor", "edge_id", F.col("target_id").alias("node"), "amount")
-        two = one.select("seed", "floor", "node", F.col("amount").alias("before")).distinct().join(slim, F.col("node") == slim["source_id"]).where(enough)
-        paths = one.select("seed", "edge_id", "amount").unionByName(two.select("seed", "edge_id", F.least("before", "amount").alias("amount")))
-        paths = paths.groupBy("seed", "edge_id").agg(F.max("amount").alias("amount"))
-        rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("amount")))
-        floors = paths.withColumn("_r", rank).where(last).select("seed", F.col("amount").alias("floor"))
-        nodes = staged(nodes.select("seed").join(floors, "seed", "left"), "candidate-floors")
-    nodes = nodes.select("seed", "floor", F.col("seed").alias("node"))
-    reached = nodes
-    for _ in range(max_hops - 1):
-        nodes = nodes.join(slim, nodes["node"] == slim["source_id"]).where(enough).select("seed", "floor", F.col("target_id").alias("node")).distinct()
-        reached = reached.unionByName(nodes).distinct()
-    part = reached.join(kept, reached["node"] == kept["source_id"]).where(enough | (F.col("_r") == 1)).select("seed", "edge_id", "source_id", "target_id", "amount", "_n")
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["edge_id", "source_id", "target_id", "amount", "_n"]].itertuples(index=False, name=None))
-        out, left = best_first(rows, key[0], max_hops, max_edges)
-        status = "TRACE_TRUNCATED" if left else "COMPLETE"
-        return pd.DataFrame(
-            [(key[0], status, *e, i) for i, e in enumerate(out, 1)],
-            columns=["seed", "status", "edge_id", "source_id", "target_id", "amount", "hop", "rank"],
-        )
-
+        asked = staged(asked, "candidate-seeds")
+        floors = kept.where(F.col("_r") == max_edges + 1).select(F.col("source_id").alias("seed"), F.col("amount").alias("floor"))
+        nodes = asked.join(floors, "seed", "left")
+        few = kept.where(F.col("_r") <= isqrt(max_edges) + 3)
+        nodes = _raised(nodes, _two_hop_floors(nodes, few.drop("_r", "_n"), max_edges + 1))
+        nodes = _raised(nodes, _two_hop_floors(nodes, kept.drop("_r", "_n"), max_edges + 1))
+        enough = F.col("floor").isNull() | (F.col("amount") >= F.col("floor"))
+        nodes = nodes.select("seed", "floor", F.col("seed").alias("node"))
+        reached, slim = nodes, kept.select("source_id", "target_id", "amount")
+        for _ in range(max_hops - 1):
+            nodes = nodes.join(slim, nodes["node"] == slim["source_id"]).where(enough).select("seed", "floor", F.col("target_id").alias("node")).distinct()
+            reached = reached.unionByName(nodes).distinct()
+        part = reached.join(kept, reached["node"] == kept["source_id"]).where(enough | (F.col("_r") == 1))
+    else:
+        part = asked.join(kept, F.col("seed") == kept["source_id"])
+    part = part.select("seed", "edge_id", "source_id", "target_id", "amount", "_n")
+    # The fold takes far more time than its bytes tell: partitions by the number of sources' edges, which are not put together again.
+    n = kept.count() // 50_000 + edges.sparkSession.sparkContext.defaultParallelism
     schema = "seed string, status string, edge_id string, source_id string, target_id string, amount double, hop int, rank int"
-    found = part.groupBy("seed").applyInPandas(fold, schema)
+    found = part.repartition(n, "seed").sortWithinPartitions("seed").mapInArrow(partial(_fold, max_hops=max_hops, max_edges=max_edges), schema)
     absent = asked.join(kept.select(F.col("source_id").alias("seed")).distinct(), "seed", "left_anti").withColumn("status", F.lit("COMPLETE"))
     return found.unionByName(absent, allowMissingColumns=True)
 

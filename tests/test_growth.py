@@ -8,10 +8,11 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fundweave.operators import evaluation, evidence
-from fundweave.plans import streams
+from fundweave.operators import evaluation, evidence, traversal
+from fundweave.plans import graph, streams
 from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
 
@@ -161,3 +162,29 @@ def test_the_gate_needs_a_row_a_multiset_of_picks(spark):
         d = [c - b for b, c in zip(r.baseline, r.candidate, strict=True)]
         means = sorted(sum(p) / 5 for p in itertools.product(d, repeat=5))
         assert r.lower_bound == pytest.approx(means[78] + 0.1 * (means[79] - means[78]))
+
+
+def test_trace_floors_from_few_edges_hold_and_spare_the_rest(spark):
+    rng = random.Random(5)
+    rows = [(f"e{a:02d}-{i:02d}", f"n{a}", f"n{rng.randrange(40)}", float(rng.randrange(1, 400))) for a in range(40) for i in range(60)]
+    edges = spark.createDataFrame(rows, "edge_id string, source_id string, target_id string, amount double")
+    best = Window.partitionBy("source_id").orderBy(F.desc("amount"), "edge_id")
+    few = edges.withColumn("_r", F.row_number().over(best)).where("_r <= 10").drop("_r")
+    nodes = spark.createDataFrame([(f"n{a}", None) for a in range(40)], "seed string, floor double")
+    exact = {r.seed: r.floor for r in traversal._two_hop_floors(nodes, edges, 51).collect()}
+    coarse = traversal._raised(nodes, traversal._two_hop_floors(nodes, few, 51))
+    near = {r.seed: r.floor for r in coarse.collect()}
+    assert len(exact) == 40 and all(near[s] is not None and near[s] <= exact[s] for s in exact)
+    assert {r.seed: r.floor for r in traversal._two_hop_floors(coarse, edges, 51).collect()} == exact
+    # Edges within two hops that are not below the first floors: few beside the 60 x 60 there are.
+    of = {}
+    for e in rows:
+        of.setdefault(e[1], []).append(e)
+    for s in exact:
+        ahead = [e for e in of[s] if e[3] >= near[s]]
+        assert sum(e[3] >= near[s] for t in {x[2] for x in ahead} for e in of[t]) < 300
+
+
+def test_traces_are_folded_without_a_group_a_seed(spark):
+    plan = graph.QUERIES["trace_candidates_one_hop"](spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
