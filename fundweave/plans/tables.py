@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 CUTOFF = "2024-01-20 00:00:00"
 #: Events of a case and documents of an evidence case: the numbers of both kinds of cases grow with the tables.
 CASE_EVENTS, CASE_DOCUMENTS = 500, 40
+#: Lines of orders that one task sorts, joins and sums.
+TASK_LINES = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,15 @@ EDGES = """edges AS (
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as transfers customer -> supplier, an edge an order and supplier."""
+    """Orders as transfers customer -> supplier, an edge an order and supplier.
+
+    Both tables are dealt by order to as many tasks as there are TASK_LINES lines: a
+    shuffled byte becomes twenty in the sorts and the sums, so that partitions cut by their
+    shuffled bytes take more memory the larger the table is.
+    """
     o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    n = li.count() // TASK_LINES + 1
+    o, li = o.repartition(n, "o_orderkey"), li.repartition(n, "l_orderkey")
     j = li.join(o, li["l_orderkey"] == o["o_orderkey"])
     g = j.groupBy("l_orderkey", "l_suppkey", "o_custkey", "o_orderdate").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("amount")

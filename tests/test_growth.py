@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fundweave.operators import evaluation, evidence, traversal
-from fundweave.plans import graph, streams
+from fundweave.plans import graph, intake, streams, tables
 from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
 
@@ -188,3 +188,13 @@ def test_trace_floors_from_few_edges_hold_and_spare_the_rest(spark):
 def test_traces_are_folded_without_a_group_a_seed(spark):
     plan = graph.QUERIES["trace_candidates_one_hop"](spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_order_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_LINES", 1000)
+    lines = tables.lines(spark, oracle.DATA)
+    parts = spark.read.parquet(f"{oracle.DATA}/lineitem.parquet").count() // 1000 + 1
+    assert lines.rdd.getNumPartitions() == parts > 4
+    con = oracle.connection()
+    oracle.compare(spark, con, intake.QUERIES["canonical_edges"], intake.ORACLE_SQL["canonical_edges"])
+    oracle.compare(spark, con, intake.QUERIES["read_transfers"], intake.ORACLE_SQL["read_transfers"])
