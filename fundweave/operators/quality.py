@@ -30,9 +30,13 @@ class Raw(NamedTuple):
     time: str = "time"
 
 
-def reason_code(raw: Raw = Raw()) -> Column:
-    """The first reason to reject a row, or null."""
-    value, tick = lenient_double(F.col(raw.value)), lenient_double(F.col(raw.time))
+def reason_code(raw: Raw = Raw(), kinds: T.StructType | None = None) -> Column:
+    """The first reason to reject a row, or null.
+
+    kinds: the table's types, where they are known; columns of numbers are then not read as text.
+    """
+    known = {f.name for f in kinds or () if isinstance(f.dataType, T.NumericType)}
+    value, tick = (F.col(c).cast("double") if c in known else lenient_double(F.col(c)) for c in (raw.value, raw.time))
     bad_id = missing_id(F.col(raw.source).cast("string")) | missing_id(F.col(raw.target).cast("string"))
     good_tick = is_finite(tick) & (tick >= 0) & (tick == F.floor(tick))
     return (
@@ -47,10 +51,11 @@ def clean_transfers(df: DataFrame, *order: str, raw: Raw = Raw()) -> tuple[DataF
 
     Amounts are never clipped and duplicates never removed.
     """
-    accepted = df.where(reason_code(raw).isNull())
+    reason = reason_code(raw, df.schema)
+    accepted = df.where(reason.isNull())
     if not order:
-        return accepted, df.withColumn("reason_code", reason_code(raw)).where("reason_code is not null")
-    marked = with_ordinal(df, *order).withColumn("reason_code", reason_code(raw))
+        return accepted, df.withColumn("reason_code", reason).where("reason_code is not null")
+    marked = with_ordinal(df, *order).withColumn("reason_code", reason)
     return accepted, marked.where("reason_code is not null")
 
 
@@ -63,7 +68,7 @@ def quality_report(df: DataFrame, raw: Raw = Raw(), source_id: str | None = None
     aggregate as the rest.
     """
     content = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string") for c in df.columns]), {"ignoreNullFields": "false"}), 256)
-    each = df.select(content.alias("h"), reason_code(raw).alias("reason")).groupBy("h", "reason").agg(F.count(F.lit(1)).alias("n"))
+    each = df.select(content.alias("h"), reason_code(raw, df.schema).alias("reason")).groupBy("h", "reason").agg(F.count(F.lit(1)).alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0))
     counts = [F.coalesce(F.sum(F.when(F.col("reason") == r, F.col("n"))), F.lit(0)).alias(f"n_{r}") for r in REASONS]
     report = each.agg(

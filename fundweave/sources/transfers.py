@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from fundweave.functions.hashing import content_hash
 from fundweave.functions.scalars import missing_id, tick_to_time
 from fundweave.operators.quality import public_projection
-from fundweave.shared import with_ordinal
+from fundweave.shared import staged, with_ordinal
 
 #: Raw layouts: raw column -> canonical column.
 LAYOUTS = {
@@ -63,6 +63,8 @@ def adapt_ticks(df: DataFrame, *order: str, start: str, tick_seconds: float, pre
         raise ValueError("value must be numeric")
     if not isinstance(kinds["time"], T.IntegralType):
         raise ValueError("ticks must be of an integer type")
+    # Written once: the rules, the sample of the ranges and the ranges each read the rows.
+    df = staged(df, "ticks")
     if broken := sorted(k for k, n in tick_violations(df).first().asDict().items() if n):
         raise ValueError(f"tick rules broken: {broken}")
     begin = F.lit(start).cast("timestamp")

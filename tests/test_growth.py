@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fundweave.operators import evaluation, evidence, traversal
+from fundweave.operators import evaluation, evidence, quality, traversal
 from fundweave.plans import graph, intake, streams, tables
 from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
@@ -198,3 +198,15 @@ def test_order_lines_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     con = oracle.connection()
     oracle.compare(spark, con, intake.QUERIES["canonical_edges"], intake.ORACLE_SQL["canonical_edges"])
     oracle.compare(spark, con, intake.QUERIES["read_transfers"], intake.ORACLE_SQL["read_transfers"])
+
+
+def test_numbers_are_judged_without_reading_them_as_text(spark):
+    values = [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 5e-324, -1.0, 1.5, 1e300, 9007199254740993.0]
+    rows = [(f"a{i}", f"b{j}", v, t) for i, v in enumerate(values) for j, t in enumerate(values)]
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, "sourceNodeId string, targetNodeId string, value double, time double")
+        df = df.withColumn("value", F.col("value").cast(kind)).withColumn("time", F.col("time").cast(kind))
+        known = quality.reason_code(kinds=df.schema)
+        assert df.where(~known.eqNullSafe(quality.reason_code())).count() == 0
+        plan = df.select(known)._jdf.queryExecution().optimizedPlan().toString()
+        assert "RLIKE" not in plan.upper()
