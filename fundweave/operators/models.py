@@ -110,13 +110,18 @@ def ranking_pairs(sample: DataFrame, partners: int = 10) -> DataFrame:
 def _gain_of_swap(pairs: DataFrame, sample: DataFrame, model: Logistic) -> DataFrame:
     """pairs with weight: how much of the case's discounted gain swapping the two would move, at the model's ranks in the sample."""
     scored = sample.withColumn("score", sum((F.lit(w) * F.col("x")[k] for k, w in enumerate(model.coefficients)), F.lit(0.0)))
-    # A case has at most 2 x per_class rows here.
+    # A case has at most 2 x per_class rows here, and becomes one row of their discounts in the order of i.
     ranks = scored.select("case_id", "relevant", "i", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "edge_id", "i")).alias("rank"))
-    of = lambda relevant, number, name: ranks.where(F.col("relevant") == relevant).select("case_id", F.col("i").cast("long").alias(number), F.col("rank").alias(name))
     discount = lambda rank: 1 / F.log2(rank + F.lit(1))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n_relevant").cast("int")), F.lit(0.0), lambda total, r: total + discount(r))
-    at = pairs.join(of(1, "p", "r_p"), ["case_id", "p"]).join(of(0, "n", "r_n"), ["case_id", "n"])
-    return at.withColumn("weight", F.abs(discount(F.col("r_p")) - discount(F.col("r_n"))) / ideal).drop("r_p", "r_n")
+    # i counts from 1 without gaps, so that it is the place in the array.
+    placed = lambda relevant: F.array_sort(F.collect_list(F.when(F.col("relevant") == relevant, F.struct("i", discount(F.col("rank")).alias("d")))))
+    of = lambda relevant: F.transform(placed(relevant), lambda s: s["d"])
+    cases = ranks.groupBy("case_id").agg(of(1).alias("d_p"), of(0).alias("d_n"))
+    many = F.size("d_p")
+    ideal = F.when(many > 0, F.aggregate(F.sequence(F.lit(1), many), F.lit(0.0), lambda total, r: total + discount(r)))
+    cases = cases.withColumn("ideal", ideal)
+    at = pairs.join(cases, "case_id")
+    return at.withColumn("weight", F.abs(F.get("d_p", (F.col("p") - 1).cast("int")) - F.get("d_n", (F.col("n") - 1).cast("int"))) / F.col("ideal")).drop("d_p", "d_n", "ideal")
 
 
 def fit_pairwise_ranker(

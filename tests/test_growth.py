@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import math
 import random
 import time
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fundweave.operators import evaluation, evidence, quality, traversal
+from fundweave.operators import evaluation, evidence, models, quality, traversal
 from fundweave.plans import graph, intake, streams, tables
 from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
@@ -210,3 +211,23 @@ def test_numbers_are_judged_without_reading_them_as_text(spark):
         assert df.where(~known.eqNullSafe(quality.reason_code())).count() == 0
         plan = df.select(known)._jdf.queryExecution().optimizedPlan().toString()
         assert "RLIKE" not in plan.upper()
+
+
+def test_a_swap_weighs_what_the_case_loses(spark):
+    rng = random.Random(7)
+    edges = [(f"c{c}", f"e{c}-{i}", rng.choice(["RELEVANT", "CONFIRMED_BENIGN"]), rng.random()) for c in range(6) for i in range(rng.choice([2, 9, 40]))]
+    edges += [("only", f"o{i}", "RELEVANT", 0.5) for i in range(3)]
+    sample = models.ranking_sample(spark.createDataFrame(edges, "case_id string, edge_id string, label string, x double"), ["x"], per_class=15)
+    weighted = models._gain_of_swap(models.ranking_pairs(sample, 4), sample, models.Logistic(0.0, (2.0,)))
+    assert "aggregate" not in weighted.select("weight")._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]  # not once a pair
+    by_case = {}
+    for r in sample.collect():
+        by_case.setdefault(r.case_id, []).append(r)
+    discount = lambda rank: 1 / math.log2(rank + 1)
+    got = weighted.collect()
+    assert len(got) > 50
+    for r in got:
+        order = sorted(by_case[r.case_id], key=lambda s: (-2.0 * s.x[0], s.edge_id, s.i))
+        rank = {(s.relevant, s.i): k for k, s in enumerate(order, 1)}
+        ideal = sum(discount(k) for k in range(1, r.n_relevant + 1))
+        assert r.weight == pytest.approx(abs(discount(rank[1, r.p]) - discount(rank[0, r.n])) / ideal)
