@@ -74,17 +74,19 @@ def with_signatures(words: DataFrame, n1: int = 1, n2: int = 7, k: int = 2) -> D
 
 
 def _by_signature(words: DataFrame, longest: int) -> tuple[DataFrame, DataFrame]:
-    """(word, n, near, near_n) of words that share a short list and are near; words of long lists."""
+    """(word, n, near, near_n) of words that share a short list and are near, word < near; words of long lists."""
     posted = with_signatures(words).select("word", "n", "mask", F.explode("sigs").alias("sig"))
     posted = staged(posted, "signatures")
     lists = posted.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     lists = staged(lists.withColumn("rows", F.col("size")), "signature-lists")
     met = join_unique(posted, lists, ["sig"], posted.count(), "rows")
     short = met.where(F.col("size") <= longest).groupBy("sig").agg(F.collect_list(F.struct("word", "n", "mask")).alias("l"))  # at most `longest`
-    one = short.select(F.explode("l").alias("w"), "l")
+    # Each word with those after it: a pair is compared once a list, and leaves it in one order.
+    one = short.select(F.posexplode("l").alias("at", "w"), "l").select("w", F.slice("l", F.col("at") + 2, F.size("l")).alias("l"))
     # Vectors further apart than two are told by their masks; the edit distance decides on the others.
     alike = lambda x: (F.bit_count(F.col("w.mask").bitwiseXOR(x["mask"])) <= 2) & (F.levenshtein(F.col("w.word"), x["word"], 1) == 1)
-    near = one.select("w", F.explode(F.filter("l", alike)).alias("v"))
+    near = one.select("w", F.explode(F.filter("l", alike)).alias("x"))
+    near = near.select(F.least("w", "x").alias("w"), F.greatest("w", "x").alias("v"))  # by word, which comes first
     found = near.select(F.col("w.word").alias("word"), F.col("w.n").alias("n"), F.col("v.word").alias("near"), F.col("v.n").alias("near_n"))
     return found, met.where(F.col("size") > longest).select("word", "n").distinct()
 
@@ -108,8 +110,9 @@ def near_words(words: DataFrame, longest: int = 128) -> DataFrame:
     found, hot = _by_signature(words, longest)
     hot = staged(hot, "frequent-signatures")
     if not hot.isEmpty():
-        found = found.unionByName(_by_deletion(hot))
-    return found.distinct()
+        found = found.unionByName(_by_deletion(hot).where("word < near"))
+    turned = F.array(F.struct("word", "n", "near", "near_n"), F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
+    return found.distinct().select(F.inline(turned))
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -111,3 +111,14 @@ def test_empty_table_and_ratio(spark):
 def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, "abcde abcdf " * 300_000)], "doc_id long, text string")
     assert {(r.word, r.n_near) for r in spelling.variants(docs, one_in=10**9).collect()} == {("abcde", 1), ("abcdf", 1)}
+
+
+def test_lists_give_a_near_pair_in_one_order(spark):
+    words = spark.createDataFrame([(w, n) for n, w in enumerate(["house", "mouse", "horse", "houses", "hoses", "table", "tables", "stable"], 1)], "word string, n long")
+    found, hot = spelling._by_signature(words, 128)
+    pairs = {(r.word, r.near) for r in found.collect()}
+    assert hot.count() == 0 and pairs and all(a < b for a, b in pairs)
+    both = [(r.word, r.n, r.near, r.near_n) for r in spelling.near_words(words).collect()]
+    assert len(both) == len(set(both)) == 2 * len(pairs)
+    assert {(a, c) for a, _, c, _ in both} == pairs | {(b, a) for a, b in pairs}
+    assert {(a, c) for a, _, c, _ in spelling.near_words(words, 1).select("word", "n", "near", "near_n").collect()} == {(a, c) for a, _, c, _ in both}
