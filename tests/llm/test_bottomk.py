@@ -1,12 +1,13 @@
 """Bottom-k near-dedup against the similarity of all pairs of sets."""
 
 import random
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fundweave.llm import bottomk
+from fundweave.llm import bottomk, staging
 from fundweave.llm.queries import ORACLE_SQL, op13_minhash
 from tests.oracle import compare, connection
 
@@ -99,6 +100,63 @@ def test_other_parameters(spark, words, similarity):
     check(spark, [(i, edited(rng, base[: rng.choice([20, 150])], rng.randint(0, 8))) for i in range(80)], words, similarity)
 
 
+def lists_of(spark, rows):
+    """(rows of the lists, rows of the merged long lists) of near_sets() at 0.8 and two words."""
+    docs = spark.createDataFrame(rows, "id long, text string")
+    keys = docs.mapInArrow(partial(bottomk._key_batches, words=2, k=64), "id long, h1 long, h2 long, size long, sketch array<long>")
+    nodes = keys.select(F.col("id").alias("node"), "size", "sketch")
+    at = staging.staged(bottomk._lists(bottomk._posted(nodes, 0.8, 64)), "test-meetings")
+    return at, bottomk._merged(at)
+
+
+def test_texts_that_share_word_pairs_alone_do_not_meet(spark):
+    """Most word pairs of a text are in others as well; no two texts are near each other."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(200))) for i in range(400)]
+    at, _ = lists_of(spark, rows)
+    assert at.count() < 2 * len(rows)  # lists of single values have more than 20 rows a text
+    check(spark, rows)
+
+
+def test_a_group_of_near_copies_is_compared_once(spark):
+    """A text stands in some thirty lists of its group, and in a few merged ones that lose no pair."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, edited(rng, base, rng.choice([6, 10, 14]))) for i in range(200)]
+    at, merged = lists_of(spark, rows)
+    lists = at.where("n > 8").count()
+    assert lists > 20 * len(rows) and merged.count() * 3 < lists
+    where = {}
+    for r in merged.collect():
+        where.setdefault(r.node, set()).add((r.band, r.key))
+    met = {}
+    for r in at.where("n > 8").collect():
+        met.setdefault(r.key, []).append(r.node)
+    assert all(where[a] & where[b] for nodes in met.values() for a in nodes for b in nodes)
+    check(spark, rows)
+
+
+def test_lists_that_share_a_leader_alone_stay_apart(spark):
+    """Node 0 leads two lists that have no other text in common."""
+    order = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).cast("long").alias("node"))
+    at = spark.range(40).select(F.explode(F.array(F.col("id") + 1, F.when(F.col("id") % 20 == 0, F.lit(0)))).alias("node"), F.when(F.col("id") < 20, 7).otherwise(8).cast("long").alias("key"))
+    at = at.where("node is not null").withColumns({"n": F.lit(21), "low": order})
+    got = bottomk._merged(at).collect()
+    assert sorted((r.band, r.key, r.node) for r in got) == sorted([(0, 7, 0), (0, 8, 0), *((0, 7 if i < 20 else 8, i + 1) for i in range(40))])
+
+
+def test_gaps_of_small_sets_are_a_bound():
+    """No two sets within 0.8 share fewer gaps than they are said to."""
+    gaps = lambda x: set(zip([None, *sorted(x)], [*sorted(x), None], strict=True))
+    rng = random.Random(5)
+    for _ in range(3000):
+        x = set(rng.sample(range(60), rng.randint(1, 40)))
+        y = (x - set(rng.sample(sorted(x), rng.randint(0, len(x) // 8)))) | set(rng.sample(range(60), rng.randint(0, 5)))
+        if len(x & y) >= 0.8 * len(x | y):
+            assert len(gaps(x) & gaps(y)) >= max(bottomk.shared_gaps_of_sets(len(s), 0.8) for s in (x, y))
+    assert bottomk.shared_gaps(0.8, 64) == 14
+
+
 def test_query_equals_sql(spark):
     compare(spark, connection(), op13_minhash, ORACLE_SQL["op13_minhash"])
 
