@@ -36,11 +36,11 @@ def codes(lengths: np.ndarray) -> np.ndarray:
     """Canonical codes: by length, then id."""
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    out, code, last = np.zeros(len(lengths), np.uint64), 0, 0
-    for symbol in order.tolist():
-        size = int(lengths[symbol])
-        code = (code + 1) << (size - last) if last else 0
-        out[symbol], last = code, size
+    size = lengths[order].astype(np.int64)
+    # Codes of the greatest length follow each other; a shorter one stands for all that begin with it.
+    free = int(size[-1] if len(size) else 0) - size
+    out = np.zeros(len(lengths), np.uint64)
+    out[order] = (np.cumsum(1 << free) - (1 << free)) >> free
     return out
 
 
@@ -67,11 +67,11 @@ class Decoder:
         used = np.flatnonzero(lengths)
         self.symbol = np.zeros(1 << self.limit, np.uint32)
         self.size = np.ones(1 << self.limit, np.uint8)
-        for s in used.tolist():
-            pad = self.limit - int(lengths[s])
-            at = int(code[s]) << pad
-            self.symbol[at : at + (1 << pad)] = s
-            self.size[at : at + (1 << pad)] = lengths[s]
+        pad = self.limit - lengths[used].astype(np.int64)
+        order = np.argsort(code[used].astype(np.int64) << pad)
+        used, many = used[order], (1 << pad)[order]
+        self.symbol[: many.sum()] = np.repeat(used, many)
+        self.size[: many.sum()] = np.repeat(lengths[used], many)
 
     def decode(self, data: bytes, checkpoints: np.ndarray, n: int, every: int) -> np.ndarray:
         words = np.frombuffer(data, ">u4").astype(np.uint64)

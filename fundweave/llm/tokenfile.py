@@ -41,6 +41,8 @@ _COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 _FILES = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _CHUNK = 4 << 20
+#: Blocks that are decoded at once.
+_TOGETHER = 16
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
@@ -65,11 +67,12 @@ def encoded(docs: DataFrame, *, id_col: str, text_col: str, tokenizer_path: str,
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in by_size(batches, 2):
-        for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            c = np.bincount(_unpack(data, n))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
+        # Counted once a batch: the counts are as many as the vocabulary has ids.
+        ids = [_unpack(data, n) for n, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        c = np.bincount(np.concatenate(ids))
+        if len(c) > len(total):
+            total = np.pad(total, (0, len(c) - len(total)))
+        total[: len(c)] += c
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=_COUNTS)
 
@@ -180,16 +183,25 @@ def read_file(data: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     parts: list[np.ndarray] = []
     have = 0
     blocks = head["blocks"]
+    every = head["every"]
     for doc, there, count in zip(ids.tolist(), known.tolist(), counts.tolist(), strict=True):
         while have < count:
             if not blocks:
                 raise ValueError("a token file ends early")
-            tokens, _, size = struct.unpack_from("<III", data, at)
-            marks = -(-tokens // head["every"])
-            checkpoints = np.frombuffer(data, "<u4", marks, at + 12)
-            at += 12 + 4 * marks
-            parts.append(decoder.decode(data[at : at + size], checkpoints, tokens, head["every"]))
-            at, have, blocks = at + size, have + tokens, blocks - 1
+            found, bits, several = [], [], min(blocks, _TOGETHER)
+            for _ in range(several):
+                tokens, _, size = struct.unpack_from("<III", data, at)
+                marks = -(-tokens // every)
+                # Payloads are whole words, so that bits count on from one to the next.
+                bits.append(np.frombuffer(data, "<u4", marks, at + 12).astype(np.int64) + 8 * sum(len(x) for _, x in found))
+                at += 12 + 4 * marks
+                found.append((tokens, data[at : at + size]))
+                at += size
+            flat = decoder.decode(b"".join(x for _, x in found), np.concatenate(bits), every * sum(map(len, bits)), every)
+            for (tokens, _), b in zip(found, bits, strict=True):
+                parts.append(flat[:tokens])
+                flat, have = flat[every * len(b) :], have + tokens
+            blocks -= several
         flat = np.concatenate(parts) if len(parts) != 1 else parts[0]
         yield (doc if there else None), flat[:count]
         parts, have = [flat[count:]], have - count
