@@ -3,7 +3,9 @@
 Both encoders cut a text where its tokenizer can form no token across the cut, encode each
 distinct piece once with the tokenizers library and put the pieces' ids together. The ids
 are those of encoding the whole text; tests compare the two. A worker keeps its encoders,
-and the pieces they know, from task to task.
+and the pieces they know, from task to task. The word encoder cuts plain texts, and puts
+their ids together, a batch at a time in numpy and Arrow: no piece becomes a Python object
+but a new one.
 """
 
 from __future__ import annotations
@@ -11,27 +13,32 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces remembered in each of two generations.
 REMEMBERED = 150_000
+#: Distinct pieces remembered in Arrow arrays, about 30 bytes each.
+REMEMBERED_ROWS = 400_000
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: A single blank between two characters that are not white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts of these characters alone are normalised by str.lower() and split by _PIECES.
+#: Texts of these characters alone are normalised by _LOWER and cut by _cut(), in Latin-1.
 _PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
-#: The tokenizer's own pattern, for lower-case plain text.
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-
-#: Lower-case letters and white space, and signs that stand alone: no two of those are one piece.
-_SIMPLE = re.compile("[\t-\r a-zß-öø-ÿ.,;:!?()]*")
-_SIGNS = ".,;:!?()"
-_TWO_SIGNS = re.compile("[.,;:!?()]{2}")
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+_WHITE = b"\t\n\x0b\x0c\r "
+#: Ends a text. It is not plain.
+_MARK = b"\0"
+#: What a letter of lower-case plain text is, by its byte of Latin-1: 0 white space, 1 a letter, 2 a sign, 3 a piece of its own.
+_KINDS = bytes(
+    0 if b in _WHITE else 1 if re.match("[a-zß-öø-ÿ]", chr(b)) else 3 if chr(b) in "0123456789\0" else 2 for b in range(256)
+)
 
 #: The byte-level tokenizer's own pattern, for plain text; its pieces follow each other without gaps.
 _BYTE_PIECES = re.compile(
@@ -116,20 +123,58 @@ def tokenizer(path: str, special_as_text: bool):
     return t
 
 
-def _plain_pieces(text: str) -> list[str]:
-    """The pieces of a lower-case plain text, by splitting at white space where that is enough."""
-    if not _SIMPLE.fullmatch(text) or _TWO_SIGNS.search(text):
-        return _PIECES.findall(text)
-    for sign in _SIGNS:
-        if sign in text:
-            text = text.replace(sign, f" {sign} ")
-    return text.split()
+def _cut(data: bytes) -> pa.LargeBinaryArray:
+    """The pieces of lower-case plain texts in Latin-1, each with a mark after it; marks are pieces.
+
+    The tokenizer's own pattern: 's|'t|'re|'ve|'m|'ll|'d|[letters]+|[digit]|[signs]+.
+    """
+    kind = np.frombuffer(data.translate(_KINDS), np.uint8)
+    first = kind == 3
+    first[:1] = True
+    first[1:] |= kind[1:] != kind[:-1]
+    letters = np.frombuffer(data + _MARK, np.uint8)
+    at = np.flatnonzero(letters[:-1] == ord("'"))
+    at = at[first[at]]  # within signs it is one of them
+    one, two = letters[at + 1], letters[at + 2]
+    three = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for found, size in ((at[np.isin(one, list(b"stmd"))], 2), (at[three], 3)):
+        first[found + 1], first[found + size] = False, True
+    starts = np.flatnonzero(first[kind > 0])
+    dense = data.translate(None, _WHITE)
+    offsets = np.append(starts, len(dense)).astype(np.int64, copy=False)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(dense)])
+
+
+class PieceIds:
+    """The ids of pieces as bytes, in arrays that new pieces are added to.
+
+    When there are too many, those of the last batch stay.
+    """
+
+    def __init__(self, make: Callable[[list[str]], Iterable[bytes]]):
+        self.make = make
+        self.known, self.ids = pa.array([_MARK], pa.large_binary()), pa.array([b""], pa.large_binary())
+
+    def of(self, pieces: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The ids of each piece; a mark has none."""
+        found = pieces.dictionary_encode()
+        at = pc.index_in(found.dictionary, value_set=self.known)
+        new = found.dictionary.filter(at.is_null())
+        text, cuts = b"".join(new.to_numpy(zero_copy_only=False)).decode("latin-1"), np.cumsum(pc.binary_length(new)).tolist()
+        order = [text[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        made = [ids for i in range(0, len(order), 5000) for ids in self.make(order[i : i + 5000])]
+        where = at.fill_null(-1).to_numpy().copy()
+        where[where < 0] = len(self.known) + np.arange(len(new))
+        known, ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, pa.array(made, pa.large_binary())])
+        mine = ids.take(pa.array(where))
+        self.known, self.ids = (known, ids) if len(known) <= REMEMBERED_ROWS else (found.dictionary, mine)
+        return mine.take(found.indices)
 
 
 class WordEncoder:
     """For the word BPE: lower case, white space separates words for good and is dropped.
 
-    A plain text is lower-cased and split by the tokenizer's pattern here; its pieces are
+    A plain text is lower-cased and cut by the tokenizer's pattern here; its pieces are
     encoded by the tokenizer's model without the normaliser and the pattern. Other texts are cut
     at white space and their words go through the whole tokenizer. str.split() also cuts at
     \\x1c-\\x1f, which the tokenizer takes for symbols: texts with those are encoded as
@@ -149,7 +194,7 @@ class WordEncoder:
         self.kind = "<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4"
         if not self.known:
             return
-        self.pieces, self.words = Memory(self._of_pieces), Memory(self._of_words)
+        self.pieces, self.words = PieceIds(self._of_pieces), Memory(self._of_words)
 
     @property
     def tokenizer(self):
@@ -179,23 +224,33 @@ class WordEncoder:
         end = b"" if end_id is None else self._raw([end_id])
         if not self.known:
             return [self._raw(e.ids) + end for e in self.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        plain, other = [], []
-        for text in texts:
-            easy = not text or (_PLAIN.fullmatch(text) and "<|" not in text)
-            plain.append(_plain_pieces((text or "").lower()) if easy else None)
-            other.append(None if easy or _SEPARATORS.search(text) else text.split())
-        pieces = self.pieces.of(set().union(*(p for p in plain if p))).__getitem__
+        easy = [not t or (_PLAIN.fullmatch(t) is not None and "<|" not in t) for t in texts]
+        other = [None if e or _SEPARATORS.search(t) else t.split() for t, e in zip(texts, easy, strict=True)]
+        plain = self._of_plain([t or "" for t, e in zip(texts, easy, strict=True) if e])
         words = self.words.of(set().union(*(w for w in other if w))).__getitem__
         out = []
-        for text, p, w in zip(texts, plain, other, strict=True):
-            if p is not None:
-                out.append(b"".join(map(pieces, p)) + end)
+        for text, e, w in zip(texts, easy, other, strict=True):
+            if e:
+                out.append(next(plain) + end)
             elif w is not None:
                 out.append(b"".join(map(words, w)) + end)
             else:
                 out.append(self._raw(self.tokenizer.encode(text, add_special_tokens=False).ids) + end)
         return out
 
+    def _of_plain(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, in order."""
+        if not texts:
+            return
+        pieces = _cut("\0".join([*texts, ""]).encode("latin-1").translate(_LOWER))
+        starts, letters = (np.frombuffer(b, kind) for b, kind in zip(pieces.buffers()[1:], (np.int64, np.uint8), strict=True))
+        ends = np.flatnonzero(letters[starts[:-1]] == 0)
+        _, offsets, raw = self.pieces.of(pieces).buffers()
+        data, a = memoryview(raw) if raw else b"", 0
+        for b in np.frombuffer(offsets, np.int64)[ends].tolist():
+            yield bytes(data[a:b])
+            a = b
+
 
 class SpanEncoder:
     """Ids and character spans of a byte-level BPE whose words carry their leading blank.

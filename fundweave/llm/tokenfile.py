@@ -41,6 +41,8 @@ _COUNTS = pa.schema([("token", pa.int64()), ("n", pa.int64())])
 _FILES = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _CHUNK = 4 << 20
+#: Bytes of text that are encoded at once: each distinct piece of them is looked up once.
+_TEXTS = 4 << 20
 #: Blocks that are decoded at once.
 _TOGETHER = 16
 
@@ -48,7 +50,7 @@ _TOGETHER = 16
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     encoder = word_encoder(path)
     size = np.dtype(encoder.kind).itemsize
-    for batch in by_size(batches, 1):
+    for batch in by_size(batches, 1, _TEXTS):
         ids = encoder.encode_batch(batch.column(1).to_pylist(), end_id)
         n = pa.array([len(x) // size for x in ids], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array(ids, pa.binary())], schema=_IDS)

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import tracemalloc
 import zlib
 from pathlib import Path
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from fundweave.llm import huffman, tokenfile
+from fundweave.llm import encoding, huffman, tokenfile
 from fundweave.llm.encoding import SpanEncoder, WordEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -179,3 +181,38 @@ def test_codes_are_canonical():
             code, last = ((code + 1) << (size - last) if last else 0), size
             want[symbol] = code
         assert {i: int(c) for i, c in enumerate(huffman.codes(lengths)) if lengths[i]} == want
+
+
+def test_plain_texts_are_cut_by_the_tokenizers_pattern():
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+    r = random.Random(8)
+    texts = ["", " ", "'", "a'", "'s", "'l", "'ll", "'r", "don't've", "''s", ".'s", "'s's'", "'re.", "'d1", "'v e", "7'm'"]
+    texts += ["".join(r.choice("''stmdrevlla1.é \n") for _ in range(r.randrange(30))) for _ in range(3000)]
+    got = encoding._cut("".join(t + "\0" for t in texts).encode("latin-1")).to_pylist()
+    assert [p.decode("latin-1") for p in got] == [p for t in texts for p in [*pattern.findall(t), "\0"]]
+    assert encoding._cut(b"").to_pylist() == []
+
+
+def test_pieces_are_made_again_once_they_are_forgotten(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED_ROWS", 20)
+    plain, encoder = Tokenizer.from_file(WORDS), WordEncoder(WORDS)
+    for k in range(12):
+        texts = [f"the word{chr(97 + k)} {chr(97 + i)}x'{i}" for i in range(k, k + 8)] + [None, "the caf\xe9"]
+        for text, ids in zip(texts, encoder.encode_batch(texts, 2), strict=True):
+            assert np.frombuffer(ids, encoder.kind).tolist() == plain.encode(text or "", add_special_tokens=False).ids + [2]
+        assert len(encoder.pieces.known) == len(encoder.pieces.ids) <= 40
+
+
+def test_known_pieces_of_a_plain_text_are_no_objects_of_their_own():
+    """Lists of str took 141 bytes a piece, arrays take 30."""
+    encoder, n = WordEncoder(WORDS), 400_000
+    text = "ab Cd " * (n // 2)
+    whole = encoder.encode_batch([text[:6]])[0]
+    tracemalloc.start()
+    try:
+        (ids,) = encoder.encode_batch([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert ids == whole * (n // 2)
+    assert peak < 60 * n
