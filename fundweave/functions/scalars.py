@@ -50,6 +50,12 @@ def tick_to_time(start: Column, tick: Column, seconds: float) -> Column:
     return F.timestamp_micros(micros)
 
 
+def nearest_millis(t: Column) -> Column:
+    """Milliseconds since the epoch, to the nearest; what lies in the middle goes away from the epoch."""
+    micros = F.unix_micros(t)
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
+
+
 def pass_through(amount_in: Column, amount_out: Column) -> Column:
     """Share of what came in that went out: 0 without income, 1 at most."""
     return F.when(amount_in == 0, 0.0).otherwise(F.least(amount_out / F.nullif(amount_in, F.lit(0.0)), F.lit(1.0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
+from fundweave.functions.scalars import nearest_millis
 from fundweave.operators import evidence, features
 from fundweave.plans import cases
 from fundweave.plans import tables as t
@@ -205,9 +206,10 @@ def _feedback(spark, d):
 
 
 def _latencies(spark, d):
-    """Log-scaled buckets of the milliseconds between an account's transfers."""
+    """Log-scaled buckets of the milliseconds between an account's transfers, each time rounded to its nearest one as in the SQL."""
     w = Window.partitionBy("source_id").orderBy("event_time", "edge_id")
-    gaps = t.edges(spark, d).select((F.unix_millis("event_time") - F.unix_millis(F.lag("event_time").over(w))).alias("ms"))
+    e = t.edges(spark, d).withColumn("ms", nearest_millis(F.col("event_time")))
+    gaps = e.select((F.col("ms") - F.lag("ms").over(w)).alias("ms"))
     return online.latency_histogram(gaps, "ms", per_octave=1).select("bucket", "n")
 
 

@@ -38,6 +38,15 @@ def test_buckets_of_powers_of_two(spark):
         assert {r.bucket: r.n for r in online.latency_histogram(df, "ms", per_octave).collect()} == h.counts
 
 
+def test_gaps_of_times_that_part_milliseconds(spark, tmp_path):
+    # Three accounts, on both sides of the epoch; gaps of few milliseconds stand at the bounds of buckets.
+    with duckdb.connect() as con:
+        con.sql(f"""COPY (SELECT i AS event_id, epoch_ms(0) + to_microseconds(CASE WHEN i % 97 > 0 THEN i * 1499 + i * i % 977 - 500000 END) AS ts, i % 3 AS user_id,
+                          'view' AS event_type, 1.0::DOUBLE AS value, '{{"k": 1}}' AS props
+                          FROM range(1000) AS t(i)) TO '{tmp_path}/events.parquet'""")
+    oracle.compare(spark, oracle.connection(str(tmp_path)), streams.QUERIES["latency_histogram"], streams.ORACLE_SQL["latency_histogram"], str(tmp_path))
+
+
 def test_checked_edges_whose_times_do_not_follow_their_ids(spark, copies):
     oracle.compare(spark, oracle.connection(copies), streams.QUERIES["checked_edges"], streams.ORACLE_SQL["checked_edges"], copies)
 
