@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fundweave.functions.hashing import integrity_hash
 from fundweave.functions.scalars import utc_seconds
+from fundweave.shared import staged
 
 
 def put_status(batch: DataFrame, current: DataFrame, key: str, hash_col: str) -> DataFrame:
@@ -113,8 +114,16 @@ _JSON = json.JSONEncoder(sort_keys=True, ensure_ascii=False, separators=(",", ":
 _BLOCK = 64
 
 
-def _digest(value: dict) -> str:
-    return hashlib.sha256(_JSON.encode(value).encode()).hexdigest()
+def ids_of(case_id: str) -> tuple[Callable[[str], str], Callable[[int], str]]:
+    """(of an edge, of a command's seq): the evidence ids that pins of a case leave."""
+    head = hashlib.sha256(f'{{"case_id":{_JSON.encode(case_id)},'.encode())
+
+    def digest(name: str, value) -> str:
+        state = head.copy()
+        state.update(f'"{name}":{_JSON.encode(value)}}}'.encode())
+        return state.hexdigest()
+
+    return lambda edge: "ev:txn:" + digest("edge_id", edge), lambda seq: "ev:pin:" + digest("seq", seq)[:32]
 
 
 class Snapshot:
@@ -179,6 +188,7 @@ def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple])
     out = []
     edges = frozenset(case["trace_edge_ids"]) if case else frozenset()
     snapshot = Snapshot(case) if case else None
+    seen_of, action_of = ids_of(case["case_id"]) if case else (None, None)
     for case_id, seq, edge, pinned, tag, expected in commands:
         before = case["snapshot_hash"] if case else None
         row = (case_id, seq, edge, pinned, tag)
@@ -192,8 +202,7 @@ def apply_pins(case: dict | None, pins: dict[str, tuple], commands: list[tuple])
         elif (had is None and not pinned) or (had is not None and had[:2] == (pinned, tag)):
             out.append((*row, "NOOP", before, before, had[2] if had else None, None))
         else:
-            seen = had[2] if had else "ev:txn:" + _digest({"case_id": case_id, "edge_id": edge})
-            action = "ev:pin:" + _digest({"case_id": case_id, "seq": seq})[:32]
+            seen, action = had[2] if had else seen_of(edge), action_of(seq)
             for new in {action, seen} if pinned else {action}:
                 snapshot.add(new)
             case["snapshot_hash"] = snapshot.digest()
@@ -234,6 +243,38 @@ def pin_log(commands: DataFrame, cases: DataFrame) -> DataFrame:
     return c.groupBy("case_id").cogroup(cases.groupBy("case_id")).applyInPandas(fold, PIN_SCHEMA)
 
 
+def digested(log: DataFrame) -> DataFrame:
+    """case_id, seq, said: 128 bits for all that a pin log says of a command, which its ids and hashes take 300 bytes for."""
+    said = F.to_json(F.struct("edge_id", "is_pinned", "tag", "status", "previous_hash", "snapshot_hash", "evidence_id", "action_id"), {"ignoreNullFields": "false"})
+    return log.select("case_id", "seq", F.unhex(F.substring(F.sha2(said, 256), 1, 32)).alias("said"))
+
+
+def pin_parity(commands: DataFrame, cases: DataFrame, got: DataFrame) -> DataFrame:
+    """One row (commands, differing): how many commands a digested() log has otherwise than pin_log(), or not at all.
+
+    Cases are compared first, by the number and a sum of their digests, which takes a row a
+    case. Only in cases that differ are the commands compared one by one.
+    """
+
+    def totals(log: DataFrame) -> DataFrame:
+        # Both logs come with the commands of a case together, so that a task sends few rows.
+        return log.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("seq", "said").cast("decimal(20,0)")).alias("total"))
+
+    both = totals(digested(pin_log(commands, cases))).unionByName(totals(got))
+    same = (F.count(F.lit(1)) == 2) & (F.min("n") == F.max("n")) & (F.min("total") == F.max("total"))
+    by_case = staged(both.groupBy("case_id").agg(F.max("n").alias("commands"), same.alias("same")), "pin-parity")
+    agreed = by_case.where("same").select("commands", F.lit(0).cast("long").alias("differing"))
+    other = by_case.where("not same").select(F.col("case_id").alias("_case"))
+    if not other.isEmpty():
+        within = lambda df: df.join(other, df["case_id"].eqNullSafe(other["_case"]), "left_semi")
+        sides = [(digested(pin_log(within(commands), within(cases))), 1, 0), (within(got), 0, 1)]
+        rows = [log.select("*", F.lit(b).alias("b"), F.lit(s).alias("s")) for log, b, s in sides]
+        each = rows[0].unionByName(rows[1]).groupBy("case_id", "seq", "said").agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
+        each = each.groupBy("case_id", "seq").agg(F.greatest(F.sum("b"), F.sum("s")).alias("commands"), F.sum(F.least("b", "s")).alias("alike"))
+        agreed = agreed.unionByName(each.select("commands", (F.col("commands") - F.col("alike")).alias("differing")))
+    return agreed.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("commands", "differing")])
+
+
 def pin_evidence(log: DataFrame) -> DataFrame:
     """evidence_id, case_id, category, source_reference, polarity, generation_method_version, payload_summary.
 

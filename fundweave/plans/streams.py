@@ -134,13 +134,8 @@ def _pin_stream(spark, d):
     cases._pin_commands(spark, d, known).repartition("case_id").write.parquet(path)
     c = spark.read.parquet(path)
     stream = spark.readStream.schema(c.schema).parquet(path)
-    got = online.run_once(online.pin_stream(stream, known), shared_dir(spark, "pins"), shared_dir(spark, "checkpoint"))
-    want = evidence.pin_log(c, known)
-    j = want.alias("b").join(got.alias("s"), ["case_id", "seq"], "full_outer")
-    same = F.lit(True)
-    for name in ("status", "snapshot_hash", "evidence_id", "action_id"):
-        same = same & F.col(f"b.{name}").eqNullSafe(F.col(f"s.{name}"))
-    return j.agg(F.count(F.lit(1)).alias("commands"), F.count_if(~same).alias("differing"))
+    got = online.run_once(evidence.digested(online.pin_stream(stream, known)), shared_dir(spark, "pins"), shared_dir(spark, "checkpoint"))
+    return evidence.pin_parity(c, known, got)
 
 
 def _quarantine_stream(spark, d):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
-from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of
+from fundweave.operators.evidence import PIN_SCHEMA, apply_pins, commands_of, ids_of
 from fundweave.operators.features import account_features
 from fundweave.shared import staged
 from fundweave.streaming.envelopes import LATE, QUARANTINE
@@ -211,22 +211,35 @@ def feedback_sink(stream: DataFrame, cases: DataFrame, path: str, checkpoint: st
 
 
 class Pins(StatefulProcessor):
-    """A case's fields and pins: one value, read and written once a trigger; a case bounds it."""
+    """A case's first fields, and what pins have made of them: values read once and written at most once a trigger; a case bounds them.
+
+    Of the evidence that pins add, the state has only the edges and the numbers of the
+    commands that its ids are hashes of.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.case = handle.getValueState("case", "fields string, pins string")
+        self.case = handle.getValueState("case", "fields string")
+        self.pins = handle.getValueState("pins", "pins string")  # snapshot hash, states of edges, effective commands
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         row = initialState.iloc[0].to_dict()
-        self.case.update((json.dumps({k: (sorted(v) if k.endswith("_ids") else v) for k, v in row.items()}), "{}"))
+        self.case.update((self._text({k: (sorted(v) if k.endswith("_ids") else v) for k, v in row.items()}),))
+
+    @staticmethod
+    def _text(value) -> str:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         commands = commands_of(pd.concat(list(rows)))  # of one case
-        case, pins = (json.loads(x) for x in self.case.get()) if self.case.exists() else (None, {})
-        pins = {e: tuple(p) for e, p in pins.items()}
+        case, pins, done = (json.loads(self.case.get()[0]) if self.case.exists() else None), {}, []
+        if case is not None and self.pins.exists():
+            case["snapshot_hash"], states, done = json.loads(self.pins.get()[0])
+            seen_of, action_of = ids_of(case["case_id"])
+            pins = {edge: (*state, seen_of(edge)) for edge, *state in states}  # the first effective command on an edge pins it
+            case["evidence_ids"] = sorted({*case["evidence_ids"], *(p[2] for p in pins.values()), *map(action_of, done)})
         out = apply_pins(case, pins, commands)
-        if case is not None:
-            self.case.update((json.dumps(case), json.dumps(pins)))
+        if new := [r[1] for r in out if r[5] == "APPLIED"]:
+            self.pins.update((self._text([case["snapshot_hash"], [[edge, *p[:2]] for edge, p in pins.items()], done + new]),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PIN_SCHEMA.split(",")])
 
     def close(self) -> None:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import pathlib
 import random
 import time
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from fundweave.operators import evaluation, evidence, models, quality, traversal
 from fundweave.plans import graph, intake, streams, tables
+from fundweave.shared import shared_dir, staged
 from fundweave.streaming import envelopes, online, pages, replay
 from tests import oracle
 
@@ -70,6 +72,36 @@ def test_a_snapshot_costs_what_changes(spark):
     assert time.process_time() - began < 5  # 17 s when each snapshot was encoded as a whole
 
 
+def test_a_stream_of_pins_writes_little_a_command(spark, copies, monkeypatch):
+    paths = {}
+    monkeypatch.setattr(streams, "shared_dir", lambda spark, name: paths.setdefault(name, shared_dir(spark, name)))
+    got = streams.QUERIES["pin_stream_parity"](spark, copies).first()
+    assert (got.commands, got.differing) == (4 * tables.edges(spark, copies).count(), 0)
+    size = lambda name, files: sum(f.stat().st_size for f in pathlib.Path(paths[name].removeprefix("file://")).rglob(files))
+    assert size("pins", "*.parquet") < 40 * got.commands  # 129 with ids and hashes as text
+    assert size("checkpoint", "*.sst") < 20 * got.commands  # 53 with the evidence that pins add
+
+
+def test_logs_of_pins_are_compared_by_case_then_by_command(spark):
+    edges = [f"e{i}" for i in range(20)]
+    cases = spark.createDataFrame([(c, "s", None, edges, []) for c in "abcd"], "case_id string, seed_entity string, created_at timestamp, trace_edge_ids array<string>, evidence_ids array<string>")
+    rows = [(c, i, edges[i % 20], i % 3 > 0, "t", None) for c in "abcd" for i in range(30)] + [("x", 1, "e1", True, "t", None)]
+    commands = spark.createDataFrame(rows, "case_id string, seq long, edge_id string, is_pinned boolean, tag string, expected_hash string")
+    cases = staged(evidence.pin_cases(cases), "cases")
+    log = lambda c: staged(evidence.digested(evidence.pin_log(c, cases)), "log")
+    compare = lambda c, got: tuple(evidence.pin_parity(c, cases, got).first())
+    said = log(commands)
+    assert compare(commands, said) == (121, 0)
+    # One command that is told otherwise, two that are missing, one too many and a case that only the stream has.
+    other = said.withColumn("said", F.when(F.expr("case_id = 'a' and seq = 7"), F.lit(b"?")).otherwise(F.col("said"))).where("not (case_id = 'b' and seq in (3, 4))")
+    more = said.where("case_id = 'c' and seq = 1").withColumn("seq", F.lit(99).cast("long")).unionByName(said.where("case_id = 'x'").withColumn("case_id", F.lit("y")))
+    assert compare(commands, other.unionByName(more)) == (123, 5)
+    assert compare(commands, said.limit(0)) == (121, 121)
+    # Commands that come twice count twice and are alike.
+    twice = commands.unionByName(commands)
+    assert compare(twice, log(twice)) == (242, 0)
+
+
 class _Store:
     """The calls that pages make of a state store, counted."""
 
