@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -17,6 +21,8 @@ from fundweave.shared import staged
 
 #: Fixed values of the reference configuration.
 LOGISTIC_ITERATIONS, TREES, LEARNING_RATE, DEPTH = 1000, 200, 0.05, 5
+#: Edges of a side of a tile of pairs, and pairs that a task works on.
+TILE, TASK_PAIRS = 512, 4_000_000
 
 
 def assembled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -84,74 +90,151 @@ def fit_edge_ranker(edges: DataFrame, columns: Sequence[str], trees: int = 50, s
     return fit_boosted_trees(known.drop("label"), columns, "relevant", trees, seed)
 
 
-def ranking_sample(edges: DataFrame, columns: Sequence[str], per_class: int = 100, seed: int = 11) -> DataFrame:
-    """case_id, relevant, i, edge_id, x: of each case at most per_class edges of either known class, in a seeded order i.
+def ranking_sample(edges: DataFrame, columns: Sequence[str], per_class: int | None = None, seed: int = 11) -> DataFrame:
+    """case_id, relevant, i, edge_id, x: the edges of known class of each case, numbered by i in a seeded order of each class.
 
-    The limit is applied before the shuffle as well, so that a case of any size sends few rows.
+    All of them, unless per_class limits either class of a case. That limit is applied before
+    the shuffle as well, so that a case of any size sends few rows.
     """
     known = training_mask(edges).select("case_id", "edge_id", (F.col("label") == "RELEVANT").cast("int").alias("relevant"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     order = Window.partitionBy("case_id", "relevant").orderBy(F.xxhash64("edge_id", F.lit(seed)), "edge_id", "x")
-    return known.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_class)
+    numbered = known.withColumn("i", F.row_number().over(order))
+    return numbered if per_class is None else numbered.where(F.col("i") <= per_class)
 
 
-def ranking_pairs(sample: DataFrame, partners: int = 10) -> DataFrame:
-    """case_id, p, n, n_relevant, d: each relevant edge p with the next `partners` irrelevant ones n, in a circle; d is their difference.
+def ranking_pairs(sample: DataFrame, partners: int | None = None) -> DataFrame:
+    """case_id, p, n, n_relevant, d: each relevant edge p with every irrelevant one n, or with the next `partners`, in a circle; d is their difference.
 
-    A case without either class has no pairs. Equi-joins on numbers: at most per_class x partners rows a case.
+    A case without either class has no pairs. This is a row a pair, for small tables: the
+    fit makes the same pairs of blocks (_tiles).
     """
     sizes = sample.groupBy("case_id").agg(F.sum("relevant").alias("n_relevant"), F.sum(1 - F.col("relevant")).alias("many")).where("n_relevant > 0 and many > 0")
-    turns = F.sequence(F.lit(0), F.least(F.lit(partners), F.col("many")) - 1)
+    turns = F.sequence(F.lit(0), F.least(F.lit(partners), F.col("many")) - 1)  # the least of a null and many is many
     asked = sample.where("relevant = 1").join(sizes, "case_id").select("case_id", "n_relevant", F.col("i").alias("p"), "x", "many", F.explode(turns).alias("turn"))
     asked = asked.withColumn("n", F.pmod(F.col("p") - 1 + F.col("turn"), "many") + 1)
     other = sample.where("relevant = 0").select("case_id", F.col("i").cast("long").alias("n"), F.col("x").alias("y"))
     return asked.join(other, ["case_id", "n"]).select("case_id", "p", "n", "n_relevant", F.zip_with("x", "y", lambda a, b: a - b).alias("d"))
 
 
-def _gain_of_swap(pairs: DataFrame, sample: DataFrame, model: Logistic) -> DataFrame:
-    """pairs with weight: how much of the case's discounted gain swapping the two would move, at the model's ranks in the sample."""
+def _discounted(sample: DataFrame, model: Logistic) -> DataFrame:
+    """sample with the discount of each edge's rank in its case by the model."""
     scored = sample.withColumn("score", sum((F.lit(w) * F.col("x")[k] for k, w in enumerate(model.coefficients)), F.lit(0.0)))
-    # A case has at most 2 x per_class rows here, and becomes one row of their discounts in the order of i.
-    ranks = scored.select("case_id", "relevant", "i", F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "edge_id", "i")).alias("rank"))
-    discount = lambda rank: 1 / F.log2(rank + F.lit(1))
-    # i counts from 1 without gaps, so that it is the place in the array.
-    placed = lambda relevant: F.array_sort(F.collect_list(F.when(F.col("relevant") == relevant, F.struct("i", discount(F.col("rank")).alias("d")))))
-    of = lambda relevant: F.transform(placed(relevant), lambda s: s["d"])
-    cases = ranks.groupBy("case_id").agg(of(1).alias("d_p"), of(0).alias("d_n"))
-    many = F.size("d_p")
-    ideal = F.when(many > 0, F.aggregate(F.sequence(F.lit(1), many), F.lit(0.0), lambda total, r: total + discount(r)))
-    cases = cases.withColumn("ideal", ideal)
-    at = pairs.join(cases, "case_id")
-    return at.withColumn("weight", F.abs(F.get("d_p", (F.col("p") - 1).cast("int")) - F.get("d_n", (F.col("n") - 1).cast("int"))) / F.col("ideal")).drop("d_p", "d_n", "ideal")
+    rank = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "edge_id", "i"))
+    return scored.withColumn("discount", 1 / F.log2(rank + F.lit(1))).drop("score")
+
+
+def _gain_of_swap(pairs: DataFrame, sample: DataFrame, model: Logistic) -> DataFrame:
+    """ranking_pairs() with weight: how much of the case's discounted gain swapping the two would move, at the model's ranks in the sample."""
+    ranks = _discounted(sample, model)
+    of = lambda relevant, i, d: ranks.where(F.col("relevant") == relevant).select("case_id", F.col("i").cast("long").alias(i), F.col("discount").alias(d))
+    cases = _ranking_cases(sample).select("case_id", "ideal")
+    at = pairs.join(of(1, "p", "d_p"), ["case_id", "p"]).join(of(0, "n", "d_n"), ["case_id", "n"]).join(cases, "case_id")
+    return at.withColumn("weight", F.abs(F.col("d_p") - F.col("d_n")) / F.col("ideal")).drop("d_p", "d_n", "ideal")
+
+
+def _ranking_cases(sample: DataFrame) -> DataFrame:
+    """case_id, n_relevant, many (irrelevant), ideal, broken of the cases with both classes: ideal is their best discounted gain, broken counts edges without a finite x."""
+    # i counts the relevant edges from 1 without gaps, so it runs over the ranks that they would have at best.
+    best = F.sum(F.when(F.col("relevant") == 1, 1 / F.log2(F.col("i") + 1)))
+    broken = F.count_if(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
+    cases = sample.groupBy("case_id").agg(F.sum("relevant").alias("n_relevant"), F.sum(1 - F.col("relevant")).alias("many"), best.alias("ideal"), broken.alias("broken"))
+    return cases.where("n_relevant > 0 and many > 0")
+
+
+def _tiles(sample: DataFrame, cases: DataFrame, model: Logistic | None, tasks: int) -> DataFrame:
+    """Each block of relevant edges beside each block of irrelevant ones of its case: x and, at the model's ranks, discounts of both.
+
+    A tile stands for up to TILE x TILE pairs, which only the task that works on it makes.
+    """
+    ranks = _discounted(sample, model) if model else sample.withColumn("discount", F.lit(None).cast("double"))
+    first = (F.col("i") - 1 - F.pmod(F.col("i") - 1, F.lit(TILE))).alias("first")
+    blocks = ranks.groupBy("case_id", "relevant", first).agg(F.array_sort(F.collect_list(F.struct("i", "x", "discount"))).alias("e"))
+    blocks = staged(blocks.select("case_id", "relevant", "first", F.flatten("e.x").alias("x"), F.col("e.discount").alias("discount")), "ranking-blocks")
+    of = lambda relevant, name: blocks.where(F.col("relevant") == relevant).select("case_id", *[F.col(c).alias(f"{name}_{c}") for c in ("first", "x", "discount")])
+    tiles = of(1, "p").join(of(0, "n"), "case_id").join(cases.select("case_id", "many", "ideal"), "case_id")
+    return tiles.repartition(tasks, "case_id", "p_first", "n_first").drop("case_id")
+
+
+def _pair_terms(batches: Iterator[pa.RecordBatch], beta: np.ndarray, partners: int | None, equal: bool) -> Iterator[pa.RecordBatch]:
+    """One row: weight, loss, gradient and curvature at beta, summed over the pairs of the tiles."""
+    k, total = len(beta), 0.0
+    for batch in batches:
+        # flatten() keeps to the rows of the batch, as lengths do.
+        part = {c: np.split(batch.column(c).flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(batch.column(c)).to_numpy())[:-1]) for c in ("p_x", "n_x", "p_discount", "n_discount")}
+        rows = zip(part["p_x"], part["n_x"], part["p_discount"], part["n_discount"], *(batch.column(c).to_pylist() for c in ("p_first", "n_first", "many", "ideal")), strict=True)
+        for p, n, d_p, d_n, p_first, n_first, many, ideal in rows:
+            p, n = p.reshape(-1, k), n.reshape(-1, k)
+            centre = n.mean(axis=0)  # differences stay, and sums of squares keep their digits
+            p, n = p - centre, n - centre
+            margin = (p @ beta)[:, None] - (n @ beta)[None, :]
+            weight = np.ones_like(margin) if equal else np.abs(d_p[:, None] - d_n[None, :]) / ideal
+            if partners is not None:
+                turn = (n_first + np.arange(len(n)))[None, :] - (p_first + np.arange(len(p)))[:, None]
+                weight = np.where(turn % many < partners, weight, 0.0)
+            e = np.exp(-np.abs(margin))
+            wrong = np.where(margin >= 0, e, 1.0) / (1 + e)
+            slope = weight * wrong
+            bend = slope * (1 - wrong)
+            cross = p.T @ bend @ n
+            curvature = (p.T * bend.sum(axis=1)) @ p + (n.T * bend.sum(axis=0)) @ n - cross - cross.T
+            loss = (weight * (np.log1p(e) + np.maximum(-margin, 0.0))).sum()
+            total = total + np.concatenate([[weight.sum(), loss], slope.sum(axis=0) @ n - slope.sum(axis=1) @ p, curvature.ravel()])
+    if np.ndim(total):
+        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["terms"])
+
+
+def _fit_tiles(tiles: DataFrame, beta: np.ndarray, penalty: float, partners: int | None, equal: bool) -> np.ndarray:
+    """The least of the mean loss of all pairs and the penalty, by Newton's method from beta; a pass over the tiles a step."""
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        terms = tiles.mapInArrow(partial(_pair_terms, beta=beta, partners=partners, equal=equal), "terms array<double>").collect()  # a row a task
+        weight, loss, *rest = np.sum([r.terms for r in terms], axis=0)
+        k = len(beta)
+        gradient, curvature = np.array(rest[:k]) / weight + penalty * beta, np.reshape(rest[k:], (k, k)) / weight + penalty * np.eye(k)
+        return loss / weight + penalty / 2 * beta @ beta, gradient, curvature
+
+    loss, gradient, curvature = at(beta)
+    for _ in range(LOGISTIC_ITERATIONS):
+        step = np.linalg.solve(curvature, gradient)
+        gain = gradient @ step
+        if gain <= 1e-16:
+            break
+        size = 1.0
+        while (new := at(beta - size * step))[0] > loss - 1e-4 * size * gain + 1e-12 and size > 1e-6:
+            size /= 2
+        beta, (loss, gradient, curvature) = beta - size * step, new
+    return beta
 
 
 def fit_pairwise_ranker(
-    edges: DataFrame, columns: Sequence[str], *, per_class: int = 100, partners: int = 10, rounds: int = 3, c: float = 1.0, seed: int = 11
+    edges: DataFrame, columns: Sequence[str], *, per_class: int | None = None, partners: int | None = None, rounds: int = 3, c: float = 1.0, seed: int = 11
 ) -> Logistic:
-    """A linear ranker that learns from pairs of a relevant and an irrelevant edge of one case.
+    """A linear ranker that learns from all pairs of a relevant and an irrelevant edge of one case.
 
     The logistic loss of the pairs' differences is minimised, first with equal weights, then
     `rounds` times with each pair weighted by the change of the case's discounted gain if
     the two changed places. What is common to a case cancels in the differences. Edges of
-    unknown label play no part; a bounded sample of each case does (ranking_sample). Only
-    the order of the scores within a case has a meaning. Null values in the columns and
-    tables without any pair are errors.
+    unknown label play no part; per_class and partners, if given, limit the edges of a case
+    (ranking_sample) and the pairs of an edge (ranking_pairs). Only the order of the scores
+    within a case has a meaning. Values in the columns that are null or not finite and tables
+    without any pair are errors.
+
+    The work is that of the pairs, which are quadratic in a case; what is written and held
+    is blocks of edges (_tiles), dealt to tasks by the number of pairs.
     """
     sample = staged(ranking_sample(edges, columns, per_class, seed), "ranking-sample")
-    pairs = staged(ranking_pairs(sample, partners), "ranking-pairs")
-    n = pairs.count()
+    cases = staged(_ranking_cases(sample), "ranking-cases")
+    count = F.sum(F.col("n_relevant") * F.least(F.lit(partners), F.col("many")))
+    n, all_pairs, broken = cases.agg(count, F.sum(F.col("n_relevant") * F.col("many")), F.sum("broken")).first()
     if not n:
         raise ValueError("no case holds both relevant and irrelevant edges")
-    names = [f"d{k}" for k in range(len(columns))]
-    # Half of the pairs are turned round, so that both classes are there; the loss is the same.
-    sign = 1 - 2 * F.pmod(F.col("p") + F.col("n"), F.lit(2))
-    lr = LogisticRegression(labelCol="up", weightCol="weight", fitIntercept=False, standardization=False, maxIter=LOGISTIC_ITERATIONS, regParam=1 / (c * n))
-    weighted, model = pairs.withColumn("weight", F.lit(1.0)), None
+    if broken:
+        raise ValueError("columns hold values that are null or not finite")
+    model = None
     for _ in range(rounds + 1):
-        if model is not None:
-            weighted = _gain_of_swap(pairs, sample, model)
-        rows = weighted.select("weight", (sign > 0).cast("int").alias("up"), *[(F.col("d")[k] * sign).alias(name) for k, name in enumerate(names)])
-        fitted = lr.fit(assembled(staged(rows, "ranking-rows"), names))
-        model = Logistic(0.0, tuple(float(x) for x in fitted.coefficients.toArray()))
+        tiles = staged(_tiles(sample, cases, model, all_pairs // TASK_PAIRS + 1), "ranking-tiles")
+        beta = _fit_tiles(tiles, np.array(model.coefficients) if model else np.zeros(len(columns)), 1 / (c * n), partners, model is None)
+        model = Logistic(0.0, tuple(beta.tolist()))
     return model
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fundweave.operators import models
 from fundweave.plans import learn
@@ -175,6 +176,40 @@ def test_pairwise_ranker_needs_both_classes_in_a_case(spark):
         models.fit_pairwise_ranker(df, ["x"])
 
 
+def test_pairwise_ranker_is_fitted_on_every_pair_of_a_case(spark, monkeypatch):
+    # The larger case holds 240 and 160 edges; what tells them apart changes along the seeded order in which few were taken.
+    r = random.Random(9)
+    rows = [(c, f"e{c}{i}", "RELEVANT" if i % 5 < 3 else "CONFIRMED_BENIGN", i) for c, size in (("a", 400), ("b", 30), ("only", 0)) for i in range(size)] + [("only", "o", "RELEVANT", 0)]
+    df = spark.createDataFrame([(c, e, label, (label == "RELEVANT") + r.gauss(0, 2), r.gauss(5, 1)) for c, e, label, _ in rows], "case_id string, edge_id string, label string, x double, z double")
+    order = {e.edge_id: e.i for e in models.ranking_sample(df, ["x"]).collect()}
+    df = df.withColumn("x", F.when(F.col("edge_id").isin([e for e, i in order.items() if i <= 100]), F.col("x")).otherwise(F.col("z") * 0.3 - F.col("x")))
+    by = {}
+    for e in df.where("case_id <> 'only'").orderBy("edge_id").collect():
+        by.setdefault(e.case_id, []).append((e.label == "RELEVANT", e.edge_id, order[e.edge_id], np.array([e.x, e.z])))
+    pairs = [(c, p, n) for c, edges in by.items() for p in edges if p[0] for n in edges if not n[0]]
+    assert len(pairs) == 240 * 160 + 18 * 12
+    d, weight, beta = np.array([p[3] - n[3] for _, p, n in pairs]), np.ones(len(pairs)), np.zeros(2)
+    for _ in range(4):
+        for _ in range(40):
+            q = 1 / (1 + np.exp(d @ beta))
+            beta = beta - np.linalg.solve(d.T @ (d * (weight * q * (1 - q))[:, None]) / weight.sum() + np.eye(2) / len(pairs), -(d.T @ (weight * q)) / weight.sum() + beta / len(pairs))
+        gain, ideal = {}, {}
+        for c, edges in by.items():
+            ranked = sorted(edges, key=lambda e: (-(beta @ e[3]), e[1], e[2]))
+            gain |= {e[1]: 1 / np.log2(k + 1) for k, e in enumerate(ranked, 1)}
+            ideal[c] = sum(1 / np.log2(k + 1) for k in range(1, sum(e[0] for e in edges) + 1))
+        weight = np.array([abs(gain[p[1]] - gain[n[1]]) / ideal[c] for c, p, n in pairs])
+    assert np.allclose(models.fit_pairwise_ranker(df, ["x", "z"]).coefficients, beta, rtol=1e-5, atol=1e-7)
+    # The same in tiles of seven edges a side and many tasks, with limits or without; limits are those of ranking_pairs().
+    limited = models.fit_pairwise_ranker(df, ["x", "z"], per_class=20, partners=3, rounds=1).coefficients
+    monkeypatch.setattr(models, "TILE", 7)
+    monkeypatch.setattr(models, "TASK_PAIRS", 4000)
+    assert np.allclose(models.fit_pairwise_ranker(df, ["x", "z"]).coefficients, beta, rtol=1e-5, atol=1e-7)
+    assert np.allclose(models.fit_pairwise_ranker(df, ["x", "z"], per_class=20, partners=3, rounds=1).coefficients, limited, rtol=1e-7)
+    with pytest.raises(ValueError, match="not finite"):
+        models.fit_pairwise_ranker(df.withColumn("z", F.when(F.col("edge_id") == "ea7", None).otherwise(F.col("z"))), ["x", "z"])
+
+
 def test_pairs_of_tied_and_repeated_edges(spark):
     rows = [("a", "e", 1.0, "RELEVANT")] * 3 + [("a", "f", 1.0, "CONFIRMED_BENIGN")] * 2 + [("a", "g", 0.0, "CONFIRMED_BENIGN")]
     df = spark.createDataFrame(rows, "case_id string, edge_id string, x double, label string")
